@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopclock.functions.calendar import clock_list_seconds
@@ -19,7 +19,7 @@ from stopclock.session import stage
 FORWARD, REVERSE = 1, 0
 
 # Side of a lookup cell in degrees. Any size gives the same results.
-CELL_DEG = 0.002
+CELL_DEG = 0.0005
 
 
 @dataclass(frozen=True)
@@ -87,13 +87,31 @@ def _sequence_times(times: Column) -> Column:
 
 def timetable_headways(timetable: DataFrame) -> DataFrame:
     """Adds ``headway_sched_s``: median of the successive differences, more than one entry needed."""
-    gaps = F.array_sort(_sequence_times(F.col("times")))
+    gaps = F.sort_array(_sequence_times(F.col("times")))
     n = F.size(gaps)
     low = F.get(gaps, F.floor((n - 1) / 2).cast("int"))
     high = F.get(gaps, F.floor(n / 2).cast("int"))
     return timetable.withColumn("headway_sched_s", F.when(n > 0, (low + high) / 2.0))
 
 
+def _touched_cells(vertices: DataFrame, cell_deg: float) -> DataFrame:
+    """Cells met when walking along the line in steps no longer than a cell."""
+    ahead = Window.partitionBy("model_id").orderBy("idx")
+    d_lat = F.coalesce(F.lead("lat").over(ahead) - F.col("lat"), F.lit(0.0))
+    d_lon = F.coalesce(F.lead("lon").over(ahead) - F.col("lon"), F.lit(0.0))
+    edges = vertices.select("model_id", "lat", "lon", d_lat.alias("d_lat"), d_lon.alias("d_lon"))
+    steps = F.ceil(F.greatest(F.abs("d_lat"), F.abs("d_lon")) / cell_deg) + 1
+    walked = edges.withColumn("steps", steps.cast("int")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("steps"))).alias("k")
+    )
+    share = F.col("k") / F.col("steps")
+    return walked.select(
+        "model_id",
+        F.floor((F.col("lon") + F.col("d_lon") * share) / cell_deg).alias("x"),
+        F.floor((F.col("lat") + F.col("d_lat") * share) / cell_deg).alias("y"),
+    ).distinct()
+
+
 def lookup_cells(vertices: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
     """For cells along a line: every vertex that can be nearest to some point of the cell.
 
@@ -101,12 +119,11 @@ def lookup_cells(vertices: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
     cell's diagonal can be nearest to a point inside, so dropping those loses nothing.
     """
     lines = vertices.groupBy("model_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "lat", "lon", "cum_m"))).alias("line")
+        F.sort_array(F.collect_list(F.struct("idx", "lat", "lon", "cum_m"))).alias("line")
     )
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     cells = (
-        vertices.select("model_id", F.floor(F.col("lon") / cell_deg).alias("x"), F.floor(F.col("lat") / cell_deg).alias("y"))
-        .distinct()
+        _touched_cells(vertices, cell_deg)
         .select("model_id", "y", F.explode(F.transform(around, lambda d: F.col("x") + d)).alias("cell_x"))
         .select("model_id", "cell_x", F.explode(F.transform(around, lambda d: F.col("y") + d)).alias("cell_y"))
         .distinct()
@@ -118,12 +135,12 @@ def lookup_cells(vertices: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
     def distance(v):
         return F.sqrt(squared_degrees(v["lat"], v["lon"], centre_lat, centre_lon))
 
-    return (
-        cells.join(lines, "model_id")
-        .withColumn("closest", F.array_min(F.transform("line", distance)))
-        .select("model_id", "cell_x", "cell_y",
-                F.filter("line", lambda v: distance(v) <= F.col("closest") + reach).alias("near"))
+    # The one-element array binds the closest distance, which is then not worked out per vertex.
+    closest = F.array(F.array_min(F.transform("line", distance)))
+    near = F.get(
+        F.transform(closest, lambda d: F.filter("line", lambda v: distance(v) <= d + reach)), F.lit(0)
     )
+    return cells.join(lines, "model_id").select("model_id", "cell_x", "cell_y", near.alias("near"))
 
 
 def _pick_block(blocks: Column, day: Column) -> Column:
@@ -220,7 +237,7 @@ def _sequences(models: DataFrame, stop_points: DataFrame) -> DataFrame:
     return (
         placed.join(stop_points, ["snapshot_date", "stop_id"], "left")
         .groupBy("model_id")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "stop_id", "lat", "lon"))).alias("ordered"))
+        .agg(F.sort_array(F.collect_list(F.struct("idx", "stop_id", "lat", "lon"))).alias("ordered"))
         .select("model_id", F.transform("ordered", lambda s: F.struct(s["stop_id"].alias("stop_id"), s["lat"].alias("lat"), s["lon"].alias("lon"))).alias("stops"))
     )
 

@@ -34,7 +34,7 @@ def locate_along(samples: DataFrame, network: Network, cell_deg: float = CELL_DE
         "cell_y", F.floor(F.col("lat") / cell_deg)
     )
     lines = network.vertices.groupBy(F.col("model_id").alias("stray_id")).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "lat", "lon", "cum_m"))).alias("line")
+        F.sort_array(F.collect_list(F.struct("idx", "lat", "lon", "cum_m"))).alias("line")
     )
     looked = (
         placed.join(network.cells, ["model_id", "cell_x", "cell_y"], "left")
