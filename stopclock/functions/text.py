@@ -64,7 +64,7 @@ def unescape_markup(escaped: Column) -> Column:
     The code points are decoded by the JSON reader, with every other backslash and quote
     protected first.
     """
-    protected = F.regexp_replace(escaped, r"\\(?!u[0-9a-fA-F]{4})", r"\\\\\\\\")
+    protected = F.regexp_replace(escaped, r"\\(?!u[0-9a-fA-F]{4})", r"\\\\")
     protected = F.replace(protected, F.lit('"'), F.lit('\\"'))
     decoded = F.from_json(
         F.concat(F.lit('["'), protected, F.lit('"]')),

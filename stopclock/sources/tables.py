@@ -46,7 +46,8 @@ def write_table(df: DataFrame, root: str, name: str, sort_by: list[str]) -> None
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     schema, _ = SCHEMAS[name]
-    return spark.read.schema(schema).parquet(f"{root}/{name}")
+    names = [f.name for f in StructType.fromDDL(schema)]
+    return spark.read.schema(schema).parquet(f"{root}/{name}").select(*names)
 
 
 def append_ledger(rows: DataFrame, root: str) -> None:
