@@ -58,6 +58,11 @@ def is_pdf(body: Column) -> Column:
     return F.hex(F.substring(body, 1, 4)) == PDF_SIGNATURE
 
 
+def base64_text(body: Column) -> Column:
+    """Base64 without line breaks (Spark may cut it into lines)."""
+    return F.translate(F.base64(body), "\r\n", "")
+
+
 def unescape_markup(escaped: Column) -> Column:
     r"""Undo ``\uXXXX``, ``\/``, ``\n`` (to a space) and ``\"``; other escapes stay as written.
 

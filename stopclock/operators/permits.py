@@ -28,7 +28,7 @@ def permit_decisions(documents: DataFrame) -> DataFrame:
         field(tx.labelled_date(F.col("plain"), tx.LABEL_REGISTERED)).alias("registered"),
         field(tx.labelled_date(F.col("plain"), tx.LABEL_ISSUED)).alias("issued"),
         field(tx.labelled_word(F.col("plain"), tx.LABEL_RESULT)).alias("result"),
-        F.when(F.col("pdf"), F.base64("body")).alias("base64"),
+        F.when(F.col("pdf"), tx.base64_text(F.col("body"))).alias("base64"),
     )
 
 

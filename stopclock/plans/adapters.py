@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopclock.functions import text as tx
 from stopclock.functions.calendar import DAY_MS
 from stopclock.functions.geo import with_running_length
 from stopclock.functions.numbers import half_up
@@ -41,8 +42,11 @@ def utc_timestamp(ts: Column) -> Column:
 
 
 def event_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrivals_of(load(spark, sf_dir, "events"))
+
+
+def arrivals_of(events: DataFrame) -> DataFrame:
     """Events as stop arrivals with a signed delay."""
-    events = load(spark, sf_dir, "events")
     raw = F.col("value") * 10 - 200
     return events.select(
         F.to_date("ts").alias("service_date"),
@@ -61,8 +65,11 @@ def hourly_schedule(arrivals: DataFrame) -> DataFrame:
 
 
 def event_positions(spark: SparkSession, sf_dir: str, days: int = 1) -> DataFrame:
+    return positions_of(load(spark, sf_dir, "events"), days)
+
+
+def positions_of(events: DataFrame, days: int = 1) -> DataFrame:
     """Events as vehicle samples on a straight line; with ``days`` > 1 users fall on different days."""
-    events = load(spark, sf_dir, "events")
     micros = wall_micros(F.col("ts")) - F.lit(EVENTS_START_MS * 1000)
     along = F.pmod(4.0 * micros / (1e6 * TIME_SQUEEZE) + F.col("value"), F.lit(float(ROUTE_LENGTH_M)))
     shift = (F.col("user_id") % days).cast("int")
@@ -126,8 +133,11 @@ def line_network(spark: SparkSession, days: int = 1) -> Network:
 
 
 def billing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return billing_of(load(spark, sf_dir, "events"))
+
+
+def billing_of(events: DataFrame) -> DataFrame:
     """Events as billing events."""
-    events = load(spark, sf_dir, "events")
     user = F.col("user_id").cast("string")
     eid = F.col("event_id")
     at = F.col("at")
@@ -260,3 +270,126 @@ def part_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(
         z.alias("z"), (key * 7919 % n).alias("x"), (key * 104729 % n).alias("y")
     )
+
+
+# Customers as routes: two snapshots, two timetable blocks forward, a reverse side for two routes in three.
+SNAPSHOT_DAYS = ("2024-01-01", "2024-01-16")
+ROUTE_DAYS = ("2024-01-15", "2024-01-17")
+ROUTE_STOPS = 5
+LINE_POINTS = 12
+
+
+def _dates(spark: SparkSession, name: str, values: tuple[str, ...]) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v).cast("date") for v in values])).alias(name))
+
+
+def route_days(spark: SparkSession) -> DataFrame:
+    return _dates(spark, "service_date", ROUTE_DAYS)
+
+
+def route_snapshots(spark: SparkSession) -> DataFrame:
+    return _dates(spark, "snapshot_date", SNAPSHOT_DAYS)
+
+
+def _stop_name(n: Column) -> Column:
+    return F.concat(F.lit("S"), n.cast("string"))
+
+
+def customer_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    base = k % 40
+    places = F.sequence(F.lit(0), F.lit(ROUTE_STOPS - 1))
+
+    def block(dates: list[str], times: Column, backwards: bool = False) -> Column:
+        stops = F.transform(
+            places,
+            lambda i: F.struct(_stop_name(base + (ROUTE_STOPS - 1 - i if backwards else i)).alias("id"), times.alias("arrivalTimes")),
+        )
+        listed = F.array(*[F.lit(d) for d in dates]) if dates else F.array().cast("array<string>")
+        return F.struct(listed.alias("serviceDates"), stops.alias("stops"))
+
+    def patterns(*listed: tuple[str, Column, Column]) -> Column:
+        plain = F.array(*[F.array(F.lit(suffix), first, last) for suffix, first, last in listed])
+        return F.transform(
+            plain,
+            lambda p: F.struct(
+                p[0].alias("patternSuffix"), F.struct(p[1].alias("id")).alias("firstStop"), F.struct(p[2].alias("id")).alias("lastStop")
+            ),
+        )
+
+    first, last, nowhere = _stop_name(base), _stop_name(base + ROUTE_STOPS - 1), F.lit("Z")
+    usual = F.format_string("06:00,06:20,%02d:%02d", F.lit(7), k % 10)
+    dense = F.format_string("06:00,06:10,06:20,%02d:%02d", F.lit(6), 25 + k % 7)
+    encoded = F.array_join(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(LINE_POINTS - 1)),
+            lambda i: F.concat(F.char(63 + 2 * ((k + i) % 16)), F.char(63 + 2 * ((k * 3 + i) % 16))),
+        ),
+        "",
+    )
+    routes = load(spark, sf_dir, "customer").select(
+        k.alias("pos"),
+        F.concat(F.lit("R"), k.cast("string")).alias("id"),
+        patterns(("0:01", first, last), ("1:01", last, first), ("0:02", nowhere, last), ("9:99", nowhere, nowhere)).alias("patterns"),
+        F.array(block([], usual), block([ROUTE_DAYS[1]], dense)).alias("sched_fwd"),
+        F.when(k % 3 != 0, F.array(block([], F.lit("08:00"), backwards=True))).alias("sched_rev"),
+        encoded.alias("poly_fwd"),
+        F.lit(None).cast("string").alias("poly_rev"),
+    )
+    return routes.select(F.explode(F.array(*[F.lit(d).cast("date") for d in SNAPSHOT_DAYS])).alias("snapshot_date"), "*")
+
+
+def customer_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stop points named many times over; the last customer of a name places it. ``S43`` has none."""
+    k = F.col("c_custkey")
+    rows = load(spark, sf_dir, "customer").select(
+        k.alias("pos"), _stop_name(k % 43).alias("id"), (41.0 + k / 10_000.0).alias("lat"), (44.0 + k / 20_000.0).alias("lon")
+    )
+    return rows.select(F.explode(F.array(*[F.lit(d).cast("date") for d in SNAPSHOT_DAYS])).alias("snapshot_date"), "*")
+
+
+def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as collection replies: two suffixes, one of them empty for some."""
+    vehicle = F.struct(
+        F.col("o_custkey").cast("string").alias("vehicleId"), (F.col("o_totalprice") / 1e4).alias("lat"),
+        (F.col("o_totalprice") / 2e4).alias("lon"), _stop_name(F.col("o_orderkey") % 9).alias("nextStopId"),
+    )
+    empty = F.slice(F.array(vehicle), 1, 0)
+    return load(spark, sf_dir, "orders").select(
+        F.concat(F.lit("R"), (F.col("o_orderkey") % 17).cast("string")).alias("route_id"),
+        (F.col("o_orderkey") % 17).cast("string").alias("short_name"),
+        F.timestamp_seconds(
+            F.lit(TRACE_START_MS // 1000) + F.col("o_orderkey") % 7 * 86_400 + F.col("o_orderkey") % 1440 * 60
+        ).alias("sampled_at"),
+        F.create_map(
+            F.lit("0:01"), F.array(vehicle, vehicle),
+            F.lit("1:01"), F.when(F.col("o_orderkey") % 2 == 0, F.array(vehicle)).otherwise(empty),
+        ).alias("reply"),
+    )
+
+
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as permit replies: labelled fields appended, every sixth one a PDF by its signature."""
+    key = F.col("page_id")
+    when = F.format_string("%d.%d.%d", key % 28 + 1, key % 12 + 1, key % 30 + 1990)
+    page = F.concat(
+        F.col("html"), F.lit(f"<b>{tx.LABEL_REGISTERED}</b>:&nbsp;"), when,
+        F.lit(f"<td>{tx.LABEL_RESULT} : "), F.when(key % 2 == 0, "დადებითი").otherwise("უარყოფითი"), F.lit("</td>"),
+    )
+    body = F.when(key % 6 == 5, F.concat(F.lit("%PDF-1.7 "), F.col("url"))).otherwise(page)
+    return load(spark, sf_dir, "pages").select(
+        F.concat(F.lit("doc-"), key.cast("string")).alias("doc_id"), F.encode(body, "UTF-8").alias("body")
+    )
+
+
+def page_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as escaped markup inside a reply; every fourth one without its list items."""
+    key = F.col("page_id")
+    bare = F.when(key % 4 == 3, F.regexp_replace("html", "(?i)</?li>", "")).otherwise(F.col("html"))
+    escaped = F.replace(F.replace(bare, F.lit('"'), F.lit('\\"')), F.lit("/"), F.lit("\\/"))
+    escaped = F.replace(F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("é"), F.lit("\\u00e9"))
+    code = F.format_string("%02d.%02d.%02d.%03d.%03d", key % 97, key % 13, key % 7, key % 501, key % 333)
+    return load(spark, sf_dir, "pages").select(
+        key.cast("string").alias("doc_id"),
+        F.concat(code, F.lit(' s0.nomenklaturMarkup:"'), escaped, F.lit('"; '), code).alias("body"),
+    )

@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopclock.functions import calendar as cal
+from stopclock.functions import sql
 from stopclock.functions import text as tx
 from stopclock.functions.numbers import half_up
-from stopclock.operators import access, history, network, places, records, segments, stop_metrics
+from stopclock.operators import access, history, network, permits, places, records, segments, stop_metrics
 from stopclock.operators import subscriptions as subs
 from stopclock.operators import usage
 from stopclock.operators.arrivals import derive_arrivals
+from stopclock.operators.quantiles import histogram, rounded_quantiles
 from stopclock.operators.traces import assign_model, sample_pairs, valid_samples
 from stopclock.plans import adapters as ad
-from stopclock.plans.derive import located_pairs, pending_days
+from stopclock.plans.derive import day_metrics, located_pairs, pending_days
+from stopclock.session import scratch_root
+from stopclock.sources import archive, tables
+from stopclock.streaming import billing, positions
+from stopclock.streaming.requests import rate_limit_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,11 +80,9 @@ def excess_wait(spark, sf):
     )
 
 
-def route_speed_profile(spark, sf):
+def bucketed_quantiles(spark, sf):
     """Exact medians of a real-valued column over large groups."""
     rows = ad.load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
-    from stopclock.operators.quantiles import histogram, rounded_quantiles
-
     keys = ["l_returnflag", "l_linestatus"]
     return rounded_quantiles(histogram(rows, keys, "l_extendedprice", 0), keys, 0, "med", {"p15": 0.15, "p90": 0.9})
 
@@ -110,10 +115,12 @@ def history_coverage(spark, sf):
 
 
 def derive_ledger(spark, sf):
-    """Ledger figures of arrivals and matches per day."""
-    return ad.event_arrivals(spark, sf).groupBy("service_date").agg(
-        F.count("*").alias("arrivals"), F.count("delay_s").alias("matched")
-    )
+    """Ledger figures per day; the hours with events stand for the archive objects."""
+    arrivals = ad.event_arrivals(spark, sf)
+    hour = F.floor(F.col("ts_ms") / cal.HOUR_MS).cast("string")
+    files = arrivals.select("service_date", hour.alias("file_path"))
+    samples = arrivals.where(F.col("route_id") == "R1")
+    return day_metrics(files, samples, arrivals).select("date", "files", "samples", "arrivals", "matched")
 
 
 def _all_stats(spark, sf):
@@ -168,7 +175,10 @@ def _plain_pairs(spark, sf):
 
 
 def sample_pair_rows(spark, sf):
-    pairs = sample_pairs(valid_samples(ad.event_positions(spark, sf)))
+    return _pair_columns(sample_pairs(valid_samples(ad.event_positions(spark, sf))))
+
+
+def _pair_columns(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         "service_date", "vehicle_id", "pattern_suffix",
         half_up(F.col("a_ts_ms")).alias("a_ms"), half_up(F.col("b_ts_ms")).alias("b_ms"),
@@ -228,6 +238,195 @@ def pending(spark, sf):
     return pending_days(days, ledger, dt.date(2024, 1, 25))
 
 
+# Network models
+
+def _customer_network(spark, sf):
+    days = network.snapshot_for_days(ad.route_days(spark), ad.route_snapshots(spark))
+    return network.build_network(days, ad.customer_stops(spark, sf), ad.customer_routes(spark, sf))
+
+
+def network_patterns(spark, sf):
+    return _customer_network(spark, sf).patterns
+
+
+def network_sequences(spark, sf):
+    stops = _customer_network(spark, sf).sequences.select("model_id", F.posexplode("stops").alias("idx", "stop"))
+    return stops.select(
+        "model_id", "idx", F.col("stop.stop_id").alias("stop_id"),
+        half_up(F.col("stop.lat"), 6).alias("lat"), half_up(F.col("stop.lon"), 6).alias("lon"),
+    )
+
+
+def network_headways(spark, sf):
+    return network.scheduled_headways(_customer_network(spark, sf))
+
+
+def network_vertices(spark, sf):
+    return _customer_network(spark, sf).vertices.select(
+        "model_id", "idx", half_up(F.col("lat") * 1e5).alias("lat_e5"), half_up(F.col("lon") * 1e5).alias("lon_e5"),
+        half_up(F.col("cum_m"), 3).alias("cum_m"),
+    )
+
+
+def routes_with_patterns(spark, sf):
+    k = F.col("c_custkey")
+    names = F.filter(F.array(F.when(k % 2 == 0, "0:01").otherwise(""), F.when(k % 3 == 0, "1:01")), lambda s: s.isNotNull())
+    catalog = ad.load(spark, sf, "customer").select(k.alias("id"), F.col("c_name").alias("short_name"), names.alias("suffixes"))
+    return archive.routes_with_patterns(catalog).withColumn("suffixes", F.array_join("suffixes", ","))
+
+
+# Files and tables: written to the shared folder and read back
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/stopclock/{name}-{uuid.uuid4().hex}"
+
+
+def flattened_replies(spark, sf):
+    lines = archive.flatten_replies(ad.order_replies(spark, sf))
+    return lines.groupBy("r", "n", "p", "v.nextStopId").agg(
+        F.count("*").alias("vehicles"), F.min("t").alias("first_t"), F.count_distinct("v.vehicleId").alias("distinct_vehicles")
+    )
+
+
+def collected_positions(spark, sf):
+    """Replies archived as gzipped lines by local day and minute, and read back as samples."""
+    root = _fresh(spark, "collected")
+    archive.write_positions(archive.flatten_replies(ad.order_replies(spark, sf)), root)
+    samples = valid_samples(archive.read_collected_positions(spark, root))
+    return samples.groupBy("service_date", "pattern_suffix").agg(
+        F.count("*").alias("samples"), F.min("ts_ms").cast("long").alias("first_ms"), F.max("ts_ms").cast("long").alias("last_ms"),
+        F.count_distinct("vehicle_id").alias("vehicles"),
+    )
+
+
+def arrivals_archive(spark, sf):
+    root = _fresh(spark, "arrivals")
+    archive.write_arrivals_archive(ad.event_arrivals(spark, sf), root)
+    return archive.read_arrivals_archive(spark, root)
+
+
+def stored_history(spark, sf):
+    """History over the stored stop-day table."""
+    root = _fresh(spark, "tables")
+    daily, hourly = _stop_tables(spark, sf)
+    tables.write_table(daily, root, "transit_stop_daily", ["stop_id", "route_id"])
+    return history.history_stats(tables.read_table(spark, root, "transit_stop_daily"), hourly, STOPS, *SPAN)
+
+
+def stored_hourly(spark, sf):
+    root = _fresh(spark, "tables")
+    tables.write_table(_stop_tables(spark, sf)[1], root, "transit_stop_hourly", ["stop_id", "route_id"])
+    return history.history_hourly(tables.read_table(spark, root, "transit_stop_hourly"), STOPS, *SPAN)
+
+
+def stored_weekly(spark, sf):
+    """Daily speed histograms stored, the week rebuilt from the stored days."""
+    root = _fresh(spark, "speeds")
+    hist = segments.speed_histogram(segments.traversals(_line_pairs(spark, sf, days=3)))
+    tables.overwrite_partitions(hist, f"{root}/daily", "service_date", ["route_id", "bin_idx"])
+    weekly = segments.segment_weekly(spark.read.parquet(f"{root}/daily"), "merge")
+    tables.write_table(weekly, root, "transit_segment_weekly", ["route_id", "direction", "bin_idx"])
+    stored = tables.read_table(spark, root, "transit_segment_weekly")
+    return stored.select("iso_week", "direction", "bin_idx", "band", "n", *[
+        half_up(F.col(c).cast("double"), 1).alias(c) for c in ("speed_med_kmh", "speed_p15_kmh")
+    ])
+
+
+def stored_ledger(spark, sf):
+    """Every third day processed twice; the later figures count."""
+    root = _fresh(spark, "ledger")
+    figures = derive_ledger(spark, sf)
+    for run in (1, 2):
+        done = figures if run == 1 else figures.where(F.dayofmonth("date") % 3 == 0).withColumn("files", F.col("files") + 100)
+        tables.append_ledger(done.withColumns({"processed_at": F.timestamp_seconds(F.lit(run)), "notes": F.lit(None).cast("string")}), root)
+    return tables.read_ledger(spark, root).select("date", "files", "samples", "arrivals", "matched")
+
+
+def exported_features(spark, sf):
+    """Stop results as GeoJSON lines, written, read back and taken apart."""
+    root = _fresh(spark, "export")
+    stops = ad.load(spark, sf, "supplier").where(F.col("s_suppkey") < 2).select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("stop_id"),
+        F.lit(41.7).alias("lat"), (F.col("s_suppkey") + 44.5).alias("lon"),
+    )
+    tables.export_geojson(_all_stats(spark, sf), stops, root)
+    lines = spark.read.text(root)
+
+    def part(path: str, kind: str = "string") -> Column:
+        return F.get_json_object("value", path).cast(kind)
+
+    return lines.select(
+        part("$.type").alias("type"), part("$.geometry.type").alias("shape"), part("$.geometry.coordinates[0]", "double").alias("lon"),
+        part("$.properties.stop_id").alias("stop_id"), part("$.properties.n_obs", "bigint").alias("n_obs"),
+    )
+
+
+def exported_csv(spark, sf):
+    root = _fresh(spark, "export")
+    stats = _all_stats(spark, sf)
+    tables.export_csv(stats, root)
+    return spark.read.schema(stats.schema).option("header", True).csv(root)
+
+
+def history_sql(spark, sf):
+    """The SQL functions: the daily and the hourly branch of the statistics together."""
+    daily, hourly = _stop_tables(spark, sf)
+    ledger = ad.event_arrivals(spark, sf).select(F.col("service_date").alias("date")).distinct()
+    sql.register(spark, daily, hourly, ledger)
+    span = "array('S0', 'S1'), DATE'2024-01-03', DATE'2024-01-28'"
+    return spark.sql(f"""
+        SELECT 'all' AS band, * FROM transit_history_stats({span}, 'weekday')
+        UNION ALL SELECT 'pm_peak' AS band, * FROM transit_history_stats({span}, 'all', 'pm_peak')
+        UNION ALL SELECT CAST(days AS STRING), CAST(first_date AS STRING), 0, 0, 0, 0, 0, NULL, NULL, NULL, NULL FROM transit_history_coverage()
+    """)
+
+
+# Streams: the whole input in the files available now
+
+def _streamed(spark, sf, table: str) -> DataFrame:
+    schema = ad.load(spark, sf, table).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+
+
+def _run(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """Runs a stream over what is there and reads back what it wrote."""
+    spark = stream.sparkSession
+    out, checkpoint = _fresh(spark, name), _fresh(spark, f"{name}-checkpoint")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={batch_id}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def stream_rate_limit(spark, sf):
+    asked = _streamed(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("client"), ad.utc_timestamp(F.col("ts")).alias("ts")
+    )
+    found = _run(rate_limit_stream(asked, (1, "15 minutes")), "complete", "limits")
+    return found.select("client", F.unix_seconds("window_start").alias("window_s"), "n", "rejected")
+
+
+def stream_sample_pairs(spark, sf):
+    samples = valid_samples(ad.positions_of(_streamed(spark, sf, "events")))
+    return _pair_columns(_run(positions.pair_stream(samples), "append", "pairs"))
+
+
+def stream_hourly_counts(spark, sf):
+    arrivals = ad.arrivals_of(_streamed(spark, sf, "events")).withColumn("arrived_at", cal.from_epoch_ms(F.col("ts_ms")))
+    found = _run(positions.hourly_counts(arrivals, offset_hours=0), "complete", "hourly")
+    return found.withColumnRenamed("service_date", "date")
+
+
+def stream_subscription_state(spark, sf):
+    root = _fresh(spark, "state")
+    writer = billing.keep_state(ad.billing_of(_streamed(spark, sf, "events")), root, _fresh(spark, "state-checkpoint"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return _state_columns(billing.read_state(spark, root))
+
+
 # Subscriptions
 
 def _state(policy: str, with_current: bool = False) -> Query:
@@ -391,21 +590,13 @@ def code_extract(spark, sf):
     return ad.load(spark, sf, "pages").select("page_id", F.array_join(tx.property_codes(body), ",").alias("codes"))
 
 
-def labelled_dates(spark, sf):
-    """Labelled dates and result words written into page texts."""
-    key = F.col("page_id")
-    when = F.format_string("%d.%d.%d", key % 28 + 1, key % 12 + 1, key % 30 + 1990)
-    body = F.concat(
-        F.col("html"), F.lit(f"<b>{tx.LABEL_REGISTERED}</b>:&nbsp;"), when,
-        F.lit(f"<td>{tx.LABEL_RESULT} : "), F.when(key % 2 == 0, "დადებითი").otherwise("უარყოფითი"), F.lit("</td>"),
-    )
-    plain = tx.plain_text(body)
-    return ad.load(spark, sf, "pages").select(
-        "page_id",
-        tx.labelled_date(plain, tx.LABEL_REGISTERED).alias("registered"),
-        tx.labelled_date(plain, tx.LABEL_ISSUED).alias("issued"),
-        tx.labelled_word(plain, tx.LABEL_RESULT).alias("result"),
-    )
+def permit_decisions(spark, sf):
+    return permits.permit_decisions(ad.page_documents(spark, sf))
+
+
+def permit_details(spark, sf):
+    found = permits.permit_details(ad.page_replies(spark, sf))
+    return found.withColumn("cadastral", F.array_join("cadastral", ","))
 
 
 # Usage and places
@@ -466,7 +657,7 @@ QUERIES: dict[str, Query] = {
     "stop_hourly": stop_hourly,
     "observed_headways": observed_headways,
     "excess_wait": excess_wait,
-    "bucketed_quantiles": route_speed_profile,
+    "bucketed_quantiles": bucketed_quantiles,
     "history_stats_all": _history("all", "all"),
     "history_stats_weekday": _history("weekday", "all"),
     "history_stats_v1": _history(None, "all"),
@@ -493,6 +684,25 @@ QUERIES: dict[str, Query] = {
     "segment_speeds": segment_speeds,
     "segment_weekly_merge": _weekly("merge"),
     "segment_weekly_last_day": _weekly("last_day"),
+    "network_patterns": network_patterns,
+    "network_sequences": network_sequences,
+    "network_headways": network_headways,
+    "network_vertices": network_vertices,
+    "routes_with_patterns": routes_with_patterns,
+    "flattened_replies": flattened_replies,
+    "collected_positions": collected_positions,
+    "arrivals_archive": arrivals_archive,
+    "stored_history": stored_history,
+    "stored_hourly": stored_hourly,
+    "stored_weekly": stored_weekly,
+    "stored_ledger": stored_ledger,
+    "exported_features": exported_features,
+    "exported_csv": exported_csv,
+    "history_sql": history_sql,
+    "stream_rate_limit": stream_rate_limit,
+    "stream_sample_pairs": stream_sample_pairs,
+    "stream_hourly_counts": stream_hourly_counts,
+    "stream_subscription_state": stream_subscription_state,
     "snapshot_asof": snapshot_asof,
     "pending_days": pending,
     "subscription_state": _state("server"),
@@ -520,7 +730,8 @@ QUERIES: dict[str, Query] = {
     "page_text": page_text,
     "page_items": page_items,
     "code_extract": code_extract,
-    "labelled_dates": labelled_dates,
+    "permit_decisions": permit_decisions,
+    "permit_details": permit_details,
     "rate_limit_audit": rate_limit_audit,
     "monthly_activity": monthly_activity,
     "quota_status": quota_status,

@@ -141,6 +141,10 @@ PAIRS = """lagged AS (SELECT *, lag(ts_ms) OVER w AS a_ts, lag(lon) OVER w AS a_
 pairs AS (SELECT *, ts_ms - a_ts AS dt, row_number() OVER () AS pid FROM lagged WHERE ts_ms - a_ts > 0 AND ts_ms - a_ts <= 360000)"""
 
 
+PAIR_COLUMNS = f"""service_date, vehicle_id, pattern_suffix, {half_up('a_ts')} AS a_ms, {half_up('ts_ms')} AS b_ms,
+  a_next AS a_next_stop_id, next AS b_next_stop_id, {half_up('dt')} AS dt_ms"""
+
+
 def _stop_lon(k: str) -> str:
     return f"({LON} + {k} * 400::DOUBLE / 83000)"
 
@@ -287,6 +291,22 @@ def _lat_m(row: str) -> str:
     return f"ln(tan(pi() / 4 + atan((exp({s}) - exp(-{s})) / 2) / 2)) * {_MERC}"
 
 
+RATE = """WITH w AS (SELECT CAST(user_id AS VARCHAR) AS client, epoch_us(ts) // 900000000 * 900 AS window_s FROM events)
+  SELECT client, window_s, count(*) AS n, count(*) - 1 AS rejected FROM w GROUP BY ALL HAVING count(*) > 1"""
+
+LEDGER = f"""WITH {ARR}, ledger AS (SELECT service_date AS date, count(DISTINCT floor(ts_ms / 3600000)) AS files,
+  count(*) FILTER (WHERE route_id = 'R1') AS samples, count(*) AS arrivals, count(delay_s) AS matched FROM arr GROUP BY service_date)"""
+
+ROUTE_MODELS = """k AS (SELECT c_custkey AS k FROM customer),
+days(d, snap, blk) AS (VALUES (DATE '2024-01-15', '2024-01-01', 0), (DATE '2024-01-17', '2024-01-16', 1)),
+fwd AS (SELECT k, d, snap, snap || '|R' || k || '|1|' || blk AS model_id, blk FROM k, days),
+rev AS (SELECT k, d, snap, snap || '|R' || k || '|0|0' AS model_id FROM k, days WHERE k % 3 <> 0)"""
+
+REPLIES = """lines AS (SELECT 'R' || (o_orderkey % 17) AS r, CAST(o_orderkey % 17 AS VARCHAR) AS n, 'S' || (o_orderkey % 9) AS stop,
+    CAST(o_custkey AS VARCHAR) AS vehicle, TIMESTAMP '2024-01-15 03:00:00' + to_seconds(o_orderkey % 7 * 86400 + o_orderkey % 1440 * 60) AS sampled,
+    unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['0:01', '0:01', '1:01'] ELSE ['0:01', '0:01'] END) AS p FROM orders)"""
+
+
 def oracle_sql() -> dict[str, str]:
     pages_text = plain_text("html")
     labelled = (
@@ -322,8 +342,9 @@ def oracle_sql() -> dict[str, str]:
         "history_hourly_area": f"WITH {ARR}, {hourly('arr')} {HOUR_PROFILE} {PICKED} GROUP BY hour",
         "history_coverage": f"""WITH {ARR} SELECT CAST(min(service_date) AS VARCHAR) AS first_date,
             CAST(max(service_date) AS VARCHAR) AS last_date, count(DISTINCT service_date) AS days FROM arr""",
-        "derive_ledger": text_date(
-            f"WITH {ARR} SELECT service_date, count(*) AS arrivals, count(delay_s) AS matched FROM arr GROUP BY service_date", "service_date"),
+        "derive_ledger": f"{LEDGER} SELECT CAST(date AS VARCHAR) AS date, files, samples, arrivals, matched FROM ledger",
+        "stored_ledger": f"""{LEDGER} SELECT CAST(date AS VARCHAR) AS date, CASE WHEN day(date) % 3 = 0 THEN files + 100 ELSE files END AS files,
+            samples, arrivals, matched FROM ledger""",
         "area_reliability": f"""{ALL_STATS}, s AS (SELECT count(*) AS stops, CAST(sum(n_obs) AS BIGINT) AS n_obs,
             sum(on_time / n_matched * n_obs) FILTER (WHERE n_matched > 0) / sum(n_obs) FILTER (WHERE n_matched > 0) AS score FROM stats)
             SELECT stops, n_obs, {half_up('score', 6)} AS score, CASE WHEN score >= 0.8 THEN 'A' WHEN score >= 0.7 THEN 'B'
@@ -338,8 +359,7 @@ def oracle_sql() -> dict[str, str]:
         "route_measures": f"WITH {ARR}, {daily('arr')}, {ROUTES} SELECT * FROM routes",
         "worst_route": f"WITH {ARR}, {daily('arr')}, {ROUTES} SELECT route_id, on_time_share FROM routes ORDER BY on_time_share, route_id LIMIT 1",
         "sample_pairs": text_date(
-            f"""WITH {positions(1)}, {PAIRS} SELECT service_date, vehicle_id, pattern_suffix, {half_up('a_ts')} AS a_ms, {half_up('ts_ms')} AS b_ms,
-            a_next AS a_next_stop_id, next AS b_next_stop_id, {half_up('dt')} AS dt_ms FROM pairs""", "service_date"),
+            f"WITH {positions(1)}, {PAIRS} SELECT {PAIR_COLUMNS} FROM pairs", "service_date"),
         "stop_arrivals": text_date(
             f"""WITH {positions(1)}, {PAIRS}, {ARRIVALS} SELECT {KEYS}, {half_up('ts_ms')} AS at_ms, delay_s FROM arr""", "service_date"),
         "arrival_delays": text_date(f"WITH {positions(1)}, {PAIRS}, {ARRIVALS}, {hourly('arr')} SELECT * FROM hourly", "date"),
@@ -351,6 +371,47 @@ def oracle_sql() -> dict[str, str]:
         "segment_weekly_last_day": f"""WITH {positions(3)}, {PAIRS}, {SPEEDS}, per_day AS (SELECT service_date, {WEEK_KEYS}, {SPEED_STATS} FROM banded
             GROUP BY service_date, {WEEK_KEYS} HAVING count(*) >= 3)
             SELECT * EXCLUDE (service_date) FROM per_day QUALIFY row_number() OVER (PARTITION BY {WEEK_KEYS} ORDER BY service_date DESC) = 1""",
+        "network_patterns": f"""WITH {ROUTE_MODELS} SELECT CAST(d AS VARCHAR) AS service_date, 'R' || k AS route_id, s AS pattern_suffix,
+            1 AS direction, model_id FROM fwd, (VALUES ('0:01'), ('0:02')) t(s)
+            UNION ALL SELECT CAST(d AS VARCHAR), 'R' || k, '1:01', 0, model_id FROM rev""",
+        "network_sequences": f"""WITH {ROUTE_MODELS}, placed AS (SELECT 'S' || (c_custkey % 43) AS stop_id, max(c_custkey) AS last FROM customer GROUP BY 1),
+            seq AS (SELECT model_id, i AS idx, 'S' || (k % 40 + i) AS stop_id FROM fwd, range(0, 5) t(i)
+              UNION ALL SELECT model_id, i, 'S' || (k % 40 + 4 - i) FROM rev, range(0, 5) t(i))
+            SELECT model_id, CAST(idx AS INTEGER) AS idx, stop_id, {half_up('41 + last / 10000', 6)} AS lat, {half_up('44 + last / 20000', 6)} AS lon
+            FROM seq LEFT JOIN placed USING (stop_id)""",
+        "network_headways": f"""WITH {ROUTE_MODELS} SELECT CAST(d AS VARCHAR) AS service_date, 'R' || k AS route_id, 1 AS direction, 'S' || (k % 40 + i) AS stop_id,
+            CASE WHEN blk = 1 THEN 600::DOUBLE ELSE (60 + k % 10) * 30::DOUBLE END AS headway_sched_s FROM fwd, range(0, 5) t(i)""",
+        "network_vertices": f"""WITH {ROUTE_MODELS}, v AS (SELECT model_id, i,
+              sum((k + i) % 16) OVER w AS lat_e5, sum((k * 3 + i) % 16) OVER w AS lon_e5 FROM fwd, range(0, 12) t(i)
+              WINDOW w AS (PARTITION BY model_id ORDER BY i)),
+            g AS (SELECT *, lat_e5 / 1e5::DOUBLE AS lat, lon_e5 / 1e5::DOUBLE AS lon FROM v),
+            l AS (SELECT *, lag(lat) OVER o AS plat, lag(lon) OVER o AS plon FROM g WINDOW o AS (PARTITION BY model_id ORDER BY i)),
+            s AS (SELECT *, coalesce({hav('plat', 'plon', 'lat', 'lon')}, 0) AS step FROM l)
+            SELECT model_id, CAST(i AS INTEGER) AS idx, CAST(lat_e5 AS BIGINT) AS lat_e5, CAST(lon_e5 AS BIGINT) AS lon_e5,
+            {half_up('sum(step) OVER (PARTITION BY model_id ORDER BY i)', 3)} AS cum_m FROM s""",
+        "routes_with_patterns": """SELECT c_custkey AS id, c_name AS short_name, CASE WHEN c_custkey % 6 = 0 THEN '0:01,1:01'
+            WHEN c_custkey % 2 = 0 THEN '0:01' ELSE '1:01' END AS suffixes FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""",
+        "flattened_replies": f"""WITH {REPLIES} SELECT r, n, p, stop AS nextStopId, count(*) AS vehicles,
+            min(strftime(sampled, '%Y-%m-%dT%H:%M:%S.%gZ')) AS first_t, count(DISTINCT vehicle) AS distinct_vehicles FROM lines GROUP BY ALL""",
+        "collected_positions": f"""WITH {REPLIES}, local AS (SELECT *, sampled + INTERVAL 4 HOUR AS l, epoch_ms(sampled) AS ms FROM lines)
+            SELECT CAST(CAST(l AS DATE) AS VARCHAR) AS service_date, p AS pattern_suffix, count(*) AS samples, min(ms) AS first_ms, max(ms) AS last_ms,
+            count(DISTINCT vehicle) AS vehicles FROM local WHERE hour(l) >= 6 OR hour(l) < 1 GROUP BY ALL""",
+        "arrivals_archive": f"""WITH {ARR} SELECT CAST(service_date AS VARCHAR) AS service_date, stop_id AS stop, route_id AS route, direction AS dir,
+            strftime(make_timestamp(CAST(ts_ms * 1000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, delay_s AS delay FROM arr""",
+        "stored_history": history("all", "all"),
+        "stored_hourly": f"WITH {ARR}, {hourly('arr')} {HOUR_PROFILE} {PICKED} GROUP BY hour",
+        "stored_weekly": f"""WITH {positions(3)}, {PAIRS}, {SPEEDS} SELECT iso_week, direction, bin_idx, band, {SPEED_STATS} FROM banded
+            GROUP BY {WEEK_KEYS} HAVING count(*) >= 3""",
+        "exported_features": f"""{ALL_STATS} SELECT 'Feature' AS type, 'Point' AS shape, 44.5 + CAST(substr(stop_id, 2) AS INTEGER) AS lon, stop_id, n_obs
+            FROM stats WHERE stop_id IN ('S0', 'S1')""",
+        "exported_csv": f"{ALL_STATS} SELECT * FROM stats",
+        "history_sql": f"""SELECT 'all' AS band, * FROM ({history('weekday', 'all')}) UNION ALL SELECT 'pm_peak', * FROM ({history('all', 'pm_peak')})
+            UNION ALL (WITH {ARR} SELECT CAST(count(DISTINCT service_date) AS VARCHAR), CAST(min(service_date) AS VARCHAR), 0, 0, 0, 0, 0,
+            NULL, NULL, NULL, NULL FROM arr)""",
+        "stream_rate_limit": RATE,
+        "stream_sample_pairs": text_date(f"WITH {positions(1)}, {PAIRS} SELECT {PAIR_COLUMNS} FROM pairs", "service_date"),
+        "stream_hourly_counts": text_date(f"WITH {ARR}, {hourly('arr')} SELECT * EXCLUDE (delay_med_s) FROM hourly", "date"),
+        "stream_subscription_state": state("server"),
         "snapshot_asof": f"""WITH {ARR}, days AS (SELECT DISTINCT service_date FROM arr),
             snaps AS (SELECT DISTINCT service_date AS s FROM arr WHERE day(service_date) % 5 = 0 AND route_id = 'R1')
             SELECT CAST(service_date AS VARCHAR) AS service_date, CAST(max(s) AS VARCHAR) AS snapshot_date
@@ -416,11 +477,20 @@ def oracle_sql() -> dict[str, str]:
             found AS (SELECT page_id, regexp_extract_all(c || ' ' || html || ' ' || o || ' ' || c,
               '[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{3}}[.][0-9]{{3}}') AS l FROM body)
             SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS codes FROM found""",
-        "labelled_dates": f"""WITH b AS (SELECT page_id, {labelled} AS body FROM pages), p AS (SELECT page_id, {plain_text('body')} AS plain FROM b)
-            SELECT page_id, {dated(tx.LABEL_REGISTERED)} AS registered, {dated(tx.LABEL_ISSUED)} AS issued,
-            regexp_extract(plain, '{tx.LABEL_RESULT}{SPACE}*:?{SPACE}*([ა-ჰ]+)', 1) AS result FROM p""",
-        "rate_limit_audit": """WITH w AS (SELECT CAST(user_id AS VARCHAR) AS client, epoch_us(ts) // 900000000 * 900 AS window_s FROM events)
-            SELECT client, window_s, count(*) AS n, count(*) - 1 AS rejected FROM w GROUP BY ALL HAVING count(*) > 1""",
+        "permit_decisions": f"""WITH b AS (SELECT page_id, page_id % 6 = 5 AS pdf, {labelled} AS body, url FROM pages),
+            p AS (SELECT *, {plain_text('body')} AS plain FROM b)
+            SELECT CAST(page_id AS VARCHAR) AS doc_id, CASE WHEN pdf THEN 'pdf' ELSE 'html' END AS format,
+            CASE WHEN NOT pdf THEN {dated(tx.LABEL_REGISTERED)} END AS registered, CASE WHEN NOT pdf THEN {dated(tx.LABEL_ISSUED)} END AS issued,
+            CASE WHEN NOT pdf THEN regexp_extract(plain, '{tx.LABEL_RESULT}{SPACE}*:?{SPACE}*([ა-ჰ]+)', 1) END AS result,
+            CASE WHEN pdf THEN to_base64(encode('%PDF-1.7 ' || url)) END AS base64 FROM p""",
+        "permit_details": f"""WITH b AS (SELECT page_id, replace(CASE WHEN page_id % 4 = 3 THEN regexp_replace(html, '(?i)</?li>', '', 'g') ELSE html END,
+              chr(10), ' ') AS markup, {_code('page_id % 97', 'page_id % 13', 'page_id % 7', 'page_id % 501', 'page_id % 333')} AS code FROM pages),
+            f AS (SELECT *, list_filter(list_transform(regexp_extract_all(markup, '(?i)<li>([^\\n\\r\\x{{2028}}\\x{{2029}}]*?)</li>', 1),
+              lambda s: regexp_replace(regexp_replace(s, '<[^>]+>', '', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g')), lambda s: s <> '') AS items FROM b)
+            SELECT CAST(page_id AS VARCHAR) AS doc_id, CASE WHEN len(items) > 0 THEN array_to_string(items, ' | ') ELSE
+              regexp_replace(regexp_replace(regexp_replace(markup, '<[^>]+>', ' ', 'g'), '{SPACE}+', ' ', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g') END AS nomenclature,
+            code AS cadastral FROM f""",
+        "rate_limit_audit": RATE,
         "monthly_activity": f"WITH {USES} SELECT * FROM activity",
         "quota_status": f"""WITH {USES}, {CUSTOMERS}, used AS (SELECT user_id, month, CAST(sum(uses) AS BIGINT) AS used FROM activity GROUP BY ALL),
             q AS (SELECT used.*, CAST(CASE WHEN key % 4 = 1 THEN key % 60 + 20 WHEN status = 'trialing' THEN 300 WHEN plan = 'pro' THEN 1000

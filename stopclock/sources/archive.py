@@ -124,25 +124,29 @@ def flatten_replies(replies: DataFrame) -> DataFrame:
     )
 
 
-def write_positions(lines: DataFrame, root: str, offset_hours: int = LOCAL_OFFSET_HOURS) -> None:
-    """Adds one cycle's lines to the archive, in the folder of their local date.
+def write_positions(
+    lines: DataFrame, root: str, offset_hours: int = LOCAL_OFFSET_HOURS, cycle: int | None = None
+) -> None:
+    """Adds one collection cycle to the archive, in the folders of its local dates.
 
-    Lines outside service hours are not collected; an empty cycle writes no rows. Files are
-    named ``service_date=...`` folders here, as Spark partitions them.
+    Lines outside service hours are not collected; an empty cycle writes no rows. A numbered
+    cycle owns its folder under the date, and writing it again replaces just that.
     """
-    day, hhmm = local_key_parts(F.col("ts_ms"), offset_hours)
-    open_hours = in_service_hours(local_hour(F.col("ts_ms"), offset_hours))
+    day, _ = local_key_parts(F.col("ts_ms"), offset_hours)
+    kept = lines.where(in_service_hours(local_hour(F.col("ts_ms"), offset_hours))).withColumn("service_date", day)
+    folders = ["service_date"]
+    if cycle is not None:
+        kept, folders = kept.withColumn("cycle", F.lit(cycle)), ["service_date", "cycle"]
     (
-        lines.where(open_hours)
-        .withColumn("service_date", day).withColumn("hhmm", hhmm)
-        .drop("ts_ms")
-        .write.mode("append").partitionBy("service_date", "hhmm").option("compression", "gzip").json(root)
+        kept.drop("ts_ms").hint("rebalance", F.col("service_date"))
+        .write.mode("append" if cycle is None else "overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*folders).option("compression", "gzip").json(root)
     )
 
 
 def read_collected_positions(spark: SparkSession, root: str) -> DataFrame:
     """Samples written by :func:`write_positions`; the service day is the partition."""
-    lines = spark.read.schema(schemas.POSITION_LINE + ", service_date date, hhmm string").option(
+    lines = spark.read.schema(schemas.POSITION_LINE + ", service_date date").option(
         "mode", "DROPMALFORMED"
     ).json(root)
     return lines.select(
@@ -164,6 +168,7 @@ def write_arrivals_archive(arrivals: DataFrame, root: str) -> None:
             "service_date", F.col("stop_id").alias("stop"), F.col("route_id").alias("route"),
             F.col("direction").alias("dir"), stamp.alias("ts"), F.col("delay_s").alias("delay"),
         )
+        .hint("rebalance", F.col("service_date"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("service_date").option("compression", "gzip").option("ignoreNullFields", "false").json(root)
     )

@@ -29,11 +29,12 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
 def overwrite_partitions(df: DataFrame, path: str, partition: str, sort_by: list[str]) -> None:
     """Replaces exactly the partitions present in ``df``, so a rerun leaves no stale keys.
 
-    Rows are spread over tasks by partition and sort key, not by partition alone, so one large
-    day is written by many tasks; sorting within files makes their statistics useful.
+    Rows are gathered by partition, and the adaptive planner then splits large partitions over
+    tasks and joins small ones, so neither one huge day nor many tiny files arise. Sorting within
+    files makes their statistics useful.
     """
     (
-        df.repartition(F.col(partition), *[F.col(c) for c in sort_by[:1]])
+        df.hint("rebalance", F.col(partition))
         .sortWithinPartitions(partition, *sort_by)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     )

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, from_epoch_ms, in_service_hours, local_hour, local_key_parts
+from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, from_epoch_ms
 from stopclock.operators.stop_metrics import stop_hourly
 from stopclock.operators.traces import MAX_GAP_MS, SAMPLE_ORDER, SLICE_MS, TRACE_KEYS
-from stopclock.sources import archive, schemas, tables
+from stopclock.sources import archive, tables
 
 WATERMARK = "10 minutes"
 
@@ -40,15 +40,7 @@ def collect_positions(replies: DataFrame, root: str, checkpoint: str, offset_hou
     """Archives a stream of collection replies. A repeated batch replaces its own files only."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        lines = archive.flatten_replies(batch)
-        day, hhmm = local_key_parts(F.col("ts_ms"), offset_hours)
-        (
-            lines.where(in_service_hours(local_hour(F.col("ts_ms"), offset_hours)))
-            .withColumns({"service_date": day, "hhmm": hhmm, "batch": F.lit(batch_id)})
-            .drop("ts_ms")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("service_date", "hhmm", "batch").option("compression", "gzip").json(root)
-        )
+        archive.write_positions(archive.flatten_replies(batch), root, offset_hours, cycle=batch_id)
 
     return replies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

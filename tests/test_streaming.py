@@ -98,7 +98,7 @@ def test_collection(spark, tmp_path):
     one.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     finish(positions.collect_positions(stream, str(tmp_path / "p"), str(tmp_path / "cp")))
-    assert sorted(p.name for p in (tmp_path / "p").glob("service_date=2026-07-13/hhmm=0900/batch=0/*.gz"))
+    assert sorted(p.name for p in (tmp_path / "p").glob("service_date=2026-07-13/cycle=0/*.gz"))
 
 
 def test_archive_as_a_stream(spark, tmp_path):
