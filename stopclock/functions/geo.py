@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_M = 6_371_000.0
 MERCATOR_RADIUS_M = 6_378_137.0
 POLYLINE_SCALE = 1e5
+MAX_GROUPS = 7
 SLOPE_LIMITS = ((3.0, "flat"), (8.0, "gentle"), (15.0, "moderate"), (30.0, "steep"))
 STEEPEST = "very_steep"
 ASPECT_SECTORS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
@@ -39,40 +40,34 @@ def squared_degrees(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 def _signed_delta(token: Column) -> Column:
     """One encoded number: 5-bit groups, lowest first, sign in the last bit."""
-    digits = F.transform(F.split(token, ""), lambda c: F.ascii(c) - 63)
-    raw = F.aggregate(
-        F.transform(digits, lambda d, i: d.bitwiseAND(31) * F.pow(F.lit(32), i).cast("long")),
-        F.lit(0).cast("long"),
-        lambda total, part: total + part,
-    )
-    half = F.floor(raw / 2)
+    raw = F.lit(0).cast("long")
+    for place in range(MAX_GROUPS):
+        digit = (F.ascii(F.substring(token, place + 1, 1)) - 63).bitwiseAND(31)
+        raw = raw + F.when(F.length(token) > place, digit * F.lit(32**place)).otherwise(F.lit(0)).cast("long")
+    half = F.shiftright(raw, 1)
     return F.when(raw % 2 == 1, -half - 1).otherwise(half)
 
 
 def polyline_vertices(df: DataFrame, keys: list[str], encoded: str) -> DataFrame:
-    """Encoded polylines to rows ``keys, idx, lat, lon, cum_m``.
+    """Encoded polylines of at least two points to rows ``keys, idx, lat, lon, cum_m``.
 
     A number ends at the first character below ``_``, so one pattern cuts the string into
     numbers; latitude and longitude alternate, and running sums undo the delta coding.
-    Windows run within one polyline, which is one input value.
+    All windows run within one polyline, which is one input value, on one shuffle.
     """
     tokens = df.where(F.length(encoded) > 0).select(
         *keys,
         F.posexplode(F.regexp_extract_all(F.col(encoded), F.lit(r"([_-~]*[?-^])"), F.lit(1))).alias("n", "token"),
     )
-    points = (
-        tokens.select(*keys, F.floor(F.col("n") / 2).cast("int").alias("idx"), (F.col("n") % 2).alias("axis"),
-                      _signed_delta(F.col("token")).alias("delta"))
-        .groupBy(*keys, "idx")
-        .agg(F.max(F.when(F.col("axis") == 0, F.col("delta"))).alias("dlat"),
-             F.max(F.when(F.col("axis") == 1, F.col("delta"))).alias("dlon"))
-    )
-    order = Window.partitionBy(*keys).orderBy("idx")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    located = points.select(
-        *keys, "idx",
-        (F.sum("dlat").over(upto) / POLYLINE_SCALE).alias("lat"),
-        (F.sum("dlon").over(upto) / POLYLINE_SCALE).alias("lon"),
+    deltas = tokens.select(*keys, "n", _signed_delta(F.col("token")).alias("delta"))
+    upto = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    is_lat = F.col("n") % 2 == 0
+    located = (
+        deltas.withColumn("lat", F.sum(F.when(is_lat, F.col("delta"))).over(upto) / POLYLINE_SCALE)
+        .withColumn("lon", F.sum(F.when(~is_lat, F.col("delta"))).over(upto) / POLYLINE_SCALE)
+        .withColumn("numbers", F.count("*").over(Window.partitionBy(*keys)))
+        .where(~is_lat & (F.col("numbers") > 2))
+        .select(*keys, F.shiftright("n", 1).alias("idx"), "lat", "lon")
     )
     return with_running_length(located, keys)
 

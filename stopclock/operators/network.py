@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stopclock.functions.calendar import clock_list_seconds
 from stopclock.functions.geo import polyline_vertices, squared_degrees
 from stopclock.operators.carry import carry_forward
-from stopclock.session import stage
+from stopclock.session import Staging
 
 FORWARD, REVERSE = 1, 0
 
@@ -39,9 +39,9 @@ class Network:
     vertices: DataFrame
     cells: DataFrame
 
-    def staged(self) -> "Network":
+    def staged(self, staging: Staging) -> "Network":
         """The same tables written to the shared folder, so that their sizes are known."""
-        return Network(**{f.name: stage(getattr(self, f.name), f.name) for f in fields(self)})
+        return Network(**{f.name: staging.stage(getattr(self, f.name), f.name) for f in fields(self)})
 
 
 def snapshot_for_days(days: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -197,17 +197,11 @@ def build_network(days: DataFrame, stops: DataFrame, routes: DataFrame) -> Netwo
         patterns=_match_patterns(dated),
         sequences=_sequences(models, stop_points),
         timetable=_timetable(models),
-        vertices=(vertices := _long_lines(polyline_vertices(models, ["model_id"], "encoded"))),
+        vertices=(vertices := polyline_vertices(models, ["model_id"], "encoded")),
         cells=lookup_cells(vertices),
     )
 
 
-def _long_lines(vertices: DataFrame) -> DataFrame:
-    """Lines of at least two vertices."""
-    long_enough = vertices.where(F.col("idx") == 1).select("model_id")
-    return vertices.join(long_enough, "model_id", "left_semi")
-
-
 def _match_patterns(dated: DataFrame) -> DataFrame:
     """Pattern to direction: by first stop forward, first stop reverse, last stop forward, last stop reverse."""
     ends = dated.select(

@@ -545,15 +545,17 @@ def replace_groups(spark, sf):
 
 
 def owner_batches(spark, sf):
-    """Conversations as batches: one JSON array per conversation, some rows malformed on purpose."""
-    turns = ad.load(spark, sf, "conversations").select(
-        "conv_id", "turn",
+    """Turns of conversations as batches: one full row, some malformed on purpose, then up to 119 short ones."""
+    first = (
         F.when(F.col("turn") % 5 == 4, F.to_json(F.struct(F.col("conv_id").alias("cadastral"))))
         .when(F.length("text") % 11 == 0, F.to_json(F.struct(F.col("role").alias("cadastral"), F.col("turn").alias("extra"))))
-        .otherwise(F.to_json(F.struct(F.col("role").alias("cadastral"), F.col("text").alias("owner_name")))).alias("row"),
+        .otherwise(F.to_json(F.struct(F.col("role").alias("cadastral"), F.col("text").alias("owner_name"))))
     )
-    bodies = turns.groupBy(F.col("conv_id").alias("batch_id")).agg(
-        F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("body")
+    more = F.array_repeat(F.to_json(F.struct(F.col("role").alias("cadastral"))), (F.col("conv_id") * 7 + F.col("turn") * 13).cast("int") % 120)
+    turns = ad.load(spark, sf, "conversations")
+    bodies = turns.select(
+        F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("batch_id"),
+        F.concat(F.lit("["), F.array_join(F.concat(F.array(first), more), ","), F.lit("]")).alias("body"),
     )
     return records.check_owner_batches(bodies)
 

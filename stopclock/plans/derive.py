@@ -14,7 +14,7 @@ from stopclock.operators.network import Network, build_network, scheduled_headwa
 from stopclock.operators.segments import GROUP_KEYS, locate_along, segment_weekly, speed_histogram, traversals
 from stopclock.operators.stop_metrics import stop_daily, stop_hourly
 from stopclock.operators.traces import assign_model, sample_pairs, valid_samples
-from stopclock.session import stage
+from stopclock.session import Staging
 from stopclock.sources import archive, tables
 
 DERIVED_ARRIVALS = "derived_arrivals"
@@ -54,13 +54,14 @@ def pending_days(archived: DataFrame, ledger: DataFrame, today: dt.date) -> Data
     return closed.join(ledger.select(F.col("date").alias("service_date")), "service_date", "left_anti")
 
 
-def load_network(spark: SparkSession, snapshots: str, days: DataFrame) -> Network:
+def load_network(spark: SparkSession, snapshots: str, days: DataFrame, staging: Staging) -> Network:
     """Models of the given days from the newest snapshot on or before each."""
-    dated = stage(snapshot_for_days(days, archive.snapshot_days(spark, snapshots)), "snapshot-days")
+    dated = staging.stage(snapshot_for_days(days, archive.snapshot_days(spark, snapshots)), "snapshot-days")
     wanted = dated.select("snapshot_date").distinct()
     stops = archive.read_stops(spark, snapshots).join(wanted, "snapshot_date", "left_semi")
     routes = archive.read_routes(spark, snapshots).join(wanted, "snapshot_date", "left_semi")
-    return build_network(dated, stage(stops, "stops"), stage(routes, "routes")).staged()
+    network = build_network(dated, staging.stage(stops, "stops"), staging.stage(routes, "routes"))
+    return network.staged(staging)
 
 
 def day_metrics(files: DataFrame, samples: DataFrame, arrivals: DataFrame) -> DataFrame:
@@ -105,26 +106,28 @@ def derive_days(
     The ledger is written last, so an interrupted run is simply repeated. Arrivals and speed
     histograms are stored first and everything else is built from the stored tables.
     """
-    if not days:
-        return
-    wanted = spark.createDataFrame([(str(d),) for d in days], "service_date string").select(
-        F.col("service_date").cast("date")
-    )
-    files = archive.archived_files(spark, layout.positions).join(wanted, "service_date", "left_semi")
-    present = [str(r[0]) for r in files.select("service_date").distinct().collect()]
+    present = archive.present_days(spark, layout.positions, days)
     if not present:
         return
-    network = load_network(spark, layout.snapshots, wanted)
+    with Staging(spark) as staging:
+        _derive(spark, layout, present, weekly_mode, offset_hours, staging)
+
+
+def _derive(
+    spark: SparkSession, layout: Layout, days: list[str], weekly_mode: str, offset_hours: int, staging: Staging
+) -> None:
+    wanted = spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("date").alias("service_date"))
+    network = load_network(spark, layout.snapshots, wanted, staging)
 
     # The archive is many small gzip files; one pass turns the valid samples into a columnar table.
-    samples = stage(
-        valid_samples(archive.read_positions(spark, layout.positions, present)).drop("file_path"), "samples"
+    samples = staging.stage(
+        valid_samples(archive.read_positions(spark, layout.positions, days)).drop("file_path"), "samples"
     )
-    pairs = stage(located_pairs(samples, network), "pairs")
+    pairs = staging.stage(located_pairs(samples, network), "pairs")
 
     fresh = derive_arrivals(pairs, network, offset_hours)
     tables.overwrite_partitions(fresh, layout.arrivals, "service_date", ["stop_id", "ts_ms"])
-    arrivals = spark.read.parquet(layout.arrivals).where(F.col("service_date").isin(*[F.lit(d).cast("date") for d in present]))
+    arrivals = spark.read.parquet(layout.arrivals).where(F.col("service_date").isin(*[dt.date.fromisoformat(d) for d in days]))
     tables.overwrite_partitions(
         speed_histogram(traversals(pairs, offset_hours)), layout.histograms, "service_date", ["route_id", "bin_idx"]
     )
@@ -132,8 +135,9 @@ def derive_days(
     daily = stop_daily(arrivals, scheduled_headways(network))
     tables.write_table(daily, layout.tables, "transit_stop_daily", ["stop_id", "route_id"])
     tables.write_table(stop_hourly(arrivals, offset_hours), layout.tables, "transit_stop_hourly", ["stop_id", "route_id"])
-    write_weeks(spark, layout, present, weekly_mode)
+    write_weeks(spark, layout, days, weekly_mode)
     archive.write_arrivals_archive(arrivals, layout.arrivals_archive)
+    files = archive.archived_files(spark, layout.positions, days)
     tables.append_ledger(day_metrics(files, samples, arrivals), layout.tables)
 
 

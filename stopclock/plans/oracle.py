@@ -462,8 +462,9 @@ def oracle_sql() -> dict[str, str]:
         "replace_groups": """SELECT o_custkey AS cadastral, o_orderkey AS owner_id, o_orderstatus AS owner_type FROM orders
             WHERE o_custkey NOT IN (SELECT l_suppkey FROM lineitem)
             UNION ALL SELECT l_suppkey, l_orderkey, l_returnflag FROM lineitem""",
-        "owner_batches": """SELECT conv_id AS batch_id, CAST(count(*) AS INTEGER) AS n_rows,
-            count(*) <= 100 AND bool_and(turn % 5 <> 4 AND length(text) % 11 <> 0) AS accepted FROM conversations GROUP BY conv_id""",
+        "owner_batches": """WITH b AS (SELECT *, 1 + (conv_id * 7 + turn * 13) % 120 AS n FROM conversations)
+            SELECT conv_id || '-' || turn AS batch_id, CAST(n AS INTEGER) AS n_rows,
+            n <= 100 AND turn % 5 <> 4 AND length(text) % 11 <> 0 AS accepted FROM b""",
         "parcel_checks": """WITH b AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN replace(props, '{', '{"cadastral": "c", ')
               WHEN 1 THEN replace(props, '"k"', '"cadastral"') ELSE '[' || props || ']' END AS body FROM events)
             SELECT event_id, regexp_matches(body, '^[{].*"cadastral": "') AS accepted FROM b""",

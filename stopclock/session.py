@@ -37,13 +37,36 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+class Staging:
+    """Intermediate tables of one job in the shared folder, removed when the job ends.
 
-    Cuts the lineage with a table that outlives lost executors, and gives the
+    ``stage`` cuts the lineage with a table that outlives lost executors, and gives the
     optimizer a true file size to decide broadcast joins on.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/stopclock/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._folder = f"{scratch_root(spark)}/stopclock/job-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> "Staging":
+        return self
+
+    def __exit__(self, *_error) -> None:
+        path, fs = hadoop_path(self._spark, self._folder)
+        fs.delete(path, True)
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{self._folder}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system it lives on."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    found, fs = hadoop_path(spark, path)
+    return fs.exists(found)

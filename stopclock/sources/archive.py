@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stopclock.functions.calendar import (
     LOCAL_OFFSET_HOURS, epoch_ms, from_epoch_ms, in_service_hours, local_hour, local_key_parts,
 )
+from stopclock.session import path_exists
 from stopclock.sources import schemas
 
 _FOLDER_DATE = r"/(\d{4}-\d{2}-\d{2})/[^/]*$"
@@ -26,6 +27,11 @@ def _day_paths(root: str, days: list[dt.date | str] | None) -> list[str]:
     return [f"{root}/{day}/*.gz" for day in days] if days else [f"{root}/{_DATE_GLOB}/*.gz"]
 
 
+def present_days(spark: SparkSession, root: str, days: list[dt.date | str]) -> list[str]:
+    """Those of the days that have a folder in the archive."""
+    return [str(day) for day in days if path_exists(spark, f"{root}/{day}")]
+
+
 def position_lines(reader, paths: list[str] | str) -> DataFrame:
     """Parsed archive lines; blank and malformed lines are dropped. Works on batch and stream readers."""
     return reader.schema(schemas.POSITION_LINE).option("mode", "DROPMALFORMED").json(paths)
@@ -51,9 +57,9 @@ def read_positions(spark: SparkSession, root: str, days: list[dt.date | str] | N
     return project_positions(position_lines(spark.read, _day_paths(root, days)))
 
 
-def archived_files(spark: SparkSession, root: str) -> DataFrame:
-    """``service_date, file_path`` of every archive object; contents are not read."""
-    files = spark.read.format("binaryFile").load(f"{root}/{_DATE_GLOB}/*.gz").select("path")
+def archived_files(spark: SparkSession, root: str, days: list[dt.date | str] | None = None) -> DataFrame:
+    """``service_date, file_path`` of archive objects; contents are not read."""
+    files = spark.read.format("binaryFile").load(_day_paths(root, days)).select("path")
     return files.select(folder_date(F.col("path")).alias("service_date"), F.col("path").alias("file_path"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from stopclock.session import path_exists
 from stopclock.sources import schemas
 
 SCHEMAS = {
@@ -15,11 +16,6 @@ SCHEMAS = {
 }
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """Columns in the order and the types of the stored table."""
     target = StructType.fromDDL(schema)
@@ -58,7 +54,7 @@ def append_ledger(rows: DataFrame, root: str) -> None:
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     """One row per derived day, the one processed last; an absent ledger is empty."""
     path = f"{root}/transit_derive_log"
-    if not table_exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schemas.LEDGER)
     rows = spark.read.schema(schemas.LEDGER).parquet(path)
     names = [f.name for f in rows.schema if f.name != "date"]

@@ -7,20 +7,17 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from stopclock.operators.subscriptions import fold_events
+from stopclock.session import hadoop_path, path_exists
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Numbers of the versions written completely."""
+    path, fs = hadoop_path(spark, root)
     if not fs.exists(path):
         return []
-    found = []
-    for status in fs.listStatus(path):
-        match = re.fullmatch(r"version=(\d+)", status.getPath().getName())
-        done = match and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-        if done:
-            found.append(int(match.group(1)))
-    return found
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    found = [re.fullmatch(r"version=(\d+)", name) for name in names]
+    return [int(m.group(1)) for m in found if m and path_exists(spark, f"{root}/{m.string}/_SUCCESS")]
 
 
 def read_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:

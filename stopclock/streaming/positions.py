@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, from_epoch_ms
 from stopclock.operators.stop_metrics import stop_hourly
 from stopclock.operators.traces import MAX_GAP_MS, SAMPLE_ORDER, SLICE_MS, TRACE_KEYS
+from stopclock.session import path_exists
 from stopclock.sources import archive, tables
 
 WATERMARK = "10 minutes"
@@ -125,7 +126,7 @@ def keep_hourly(arrivals: DataFrame, root: str, checkpoint: str, offset_hours: i
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("service_date", "batch").parquet(store)
         )
-        if not tables.table_exists(spark, store):
+        if not path_exists(spark, store):
             return
         touched = [r[0] for r in batch.select("service_date").distinct().collect()]
         stored = spark.read.parquet(store).where(F.col("service_date").isin(*touched)) if touched else None

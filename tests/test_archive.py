@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stopclock.operators import network
 from stopclock.operators.quantiles import merge_histograms
 from stopclock.plans import derive
+from stopclock.session import Staging
 from stopclock.sources import archive, tables
 
 DAY = dt.date(2026, 7, 13)
@@ -114,7 +115,11 @@ def test_days_and_files(spark, layout):
 
 def test_network(spark, layout):
     days = spark.createDataFrame([(DAY,), (NEXT,)], "service_date date")
-    net = derive.load_network(spark, layout.snapshots, days)
+    with Staging(spark) as staging:
+        check_network(derive.load_network(spark, layout.snapshots, days, staging))
+
+
+def check_network(net):
     matched = {(r.service_date, r.route_id, r.pattern_suffix): r.direction for r in net.patterns.collect()}
     assert matched == {
         (DAY, "R1", "0:01"): 1, (DAY, "R1", "1:01"): 0, (DAY, "R1", "0:09"): 1, (DAY, "R2", "0:01"): 1,
