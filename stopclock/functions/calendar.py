@@ -32,6 +32,15 @@ def from_epoch_ms(ms: Column) -> Column:
     return F.timestamp_millis(F.floor(ms).cast("long"))
 
 
+def add_hours(ts: Column, hours: Column | int) -> Column:
+    """A timestamp moved by elapsed hours.
+
+    Adding an interval would add its whole days on the session zone's calendar instead.
+    """
+    micros = (F.lit(hours) if isinstance(hours, int) else hours).cast("long") * F.lit(3_600_000_000)
+    return F.timestamp_micros(F.unix_micros(ts) + micros)
+
+
 def local_hour(ms: Column, offset_hours: int = LOCAL_OFFSET_HOURS) -> Column:
     return F.pmod(F.floor(ms / HOUR_MS) + offset_hours, F.lit(24)).cast("int")
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stopclock.functions.calendar import add_hours
 from stopclock.operators.carry import carry_forward
 
 # Fixed values
@@ -49,13 +50,9 @@ def instant(value: Column | str | dt.datetime) -> Column:
     return F.lit(text).cast("timestamp")
 
 
-def _hours(n: int) -> Column:
-    return F.expr(f"INTERVAL '{n}' HOUR")
-
-
 def _interval_end(start: Column, interval: Column) -> Column:
     """365 days for yearly billing, 30 days for anything else."""
-    return F.when(interval == "year", start + _hours(YEAR_HOURS)).otherwise(start + _hours(MONTH_HOURS))
+    return F.when(interval == "year", add_hours(start, YEAR_HOURS)).otherwise(add_hours(start, MONTH_HOURS))
 
 
 def _blank(text: Column) -> Column:
@@ -246,7 +243,7 @@ def trial_reminders(
     due = F.lit(None).cast("string")
     for name, first, last in REMINDERS:
         ends = F.col("trial_ends_at")
-        due = F.when((ends >= now + _hours(first)) & (ends < now + _hours(last)), name).otherwise(due)
+        due = F.when((ends >= add_hours(now, first)) & (ends < add_hours(now, last)), name).otherwise(due)
     candidates = subscriptions.where(F.col("status") == "trialing").withColumn("reminder", due)
     addressed = users.where(~_blank(F.col("email"))).select("user_id", "email")
     return candidates.where(F.col("reminder").isNotNull()).select("user_id", "trial_ends_at", "reminder").join(
@@ -260,7 +257,7 @@ def maintenance_counts(subscriptions: DataFrame, as_of: Column | str | dt.dateti
     steps = maintenance_action(now)
     for name, first, last in REMINDERS:
         ends = F.col("trial_ends_at")
-        window = (F.col("status") == "trialing") & (ends >= now + _hours(first)) & (ends < now + _hours(last))
+        window = (F.col("status") == "trialing") & (ends >= add_hours(now, first)) & (ends < add_hours(now, last))
         steps = F.coalesce(steps, F.when(window, name))
     return subscriptions.select(steps.alias("action")).where(F.col("action").isNotNull()).groupBy("action").count()
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopclock.functions import text as tx
-from stopclock.functions.calendar import DAY_MS
+from stopclock.functions.calendar import DAY_MS, add_hours
 from stopclock.functions.geo import with_running_length
 from stopclock.functions.numbers import half_up
 from stopclock.operators.network import Network, lookup_cells, timetable_headways
@@ -148,9 +148,8 @@ def billing_of(events: DataFrame) -> DataFrame:
         .when(F.col("event_type") == "click", "subscription.past_due")
         .when(F.col("event_type") == "error", F.when(eid % 2 == 0, "subscription.canceled").otherwise("subscription.paused"))
     )
-    hour = F.expr("INTERVAL '1' HOUR")
-    ends = at + hour * ((F.floor("value") - 35) * 24).cast("int")
-    started = at - hour * ((eid % 60) * 24).cast("int")
+    ends = add_hours(at, (F.floor("value") - 35) * 24)
+    started = add_hours(at, -(eid % 60) * 24)
     sub = F.when(eid % 5 != 0, F.concat(F.lit("sub_"), user))
     nothing = F.lit(None)
     data = F.struct(
@@ -178,7 +177,6 @@ def customer_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as subscription rows in every state, around 2024-01-31."""
     key = F.col("c_custkey")
     base = F.lit("2024-01-31T00:00:00Z").cast("timestamp")
-    hour = F.expr("INTERVAL '1' HOUR")
     states = F.array(*[F.lit(s) for s in ("trialing", "active", "canceling", "canceled", "past_due")])
     return load(spark, sf_dir, "customer").select(
         key.cast("string").alias("user_id"),
@@ -186,12 +184,12 @@ def customer_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(states, (key % 5 + 1).cast("int")).alias("status"),
         F.when(key % 11 != 0, F.concat(F.lit("sub_"), key.cast("string"))).alias("paddle_subscription_id"),
         F.when(key % 3 == 0, "year").otherwise("month").alias("billing_interval"),
-        F.when(key % 13 != 0, base + hour * ((key % 400 - 20) * 24).cast("int")).alias("current_period_end"),
+        F.when(key % 13 != 0, add_hours(base, (key % 400 - 20) * 24)).alias("current_period_end"),
         F.concat(F.lit("cus_"), key.cast("string")).alias("paddle_customer_id"),
-        (base - hour * ((key % 90) * 24).cast("int")).alias("subscription_started_at"),
+        add_hours(base, -(key % 90) * 24).alias("subscription_started_at"),
         base.alias("updated_at"),
         (key % 5 == 0).alias("trial_active"),
-        (base + hour * ((key % 240) - 60).cast("int")).alias("trial_ends_at"),
+        add_hours(base, key % 240 - 60).alias("trial_ends_at"),
     )
 
 

@@ -371,3 +371,14 @@ def test_text_fields(spark):
     assert got.digits == "123"
     assert got.codes == ["01.02.03.004.005", "01.02.03.004.006"]
     assert got.far == "" and got.near == "11/2/2024"
+
+
+def test_hours_are_elapsed_time_in_any_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        start = F.lit("2024-03-01T12:00:00Z").cast("timestamp")
+        got = one(spark, (F.unix_seconds(cal.add_hours(start, 30 * 24)) - F.unix_seconds(start)).alias("s"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got.s == 30 * 86_400
