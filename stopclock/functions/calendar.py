@@ -32,6 +32,11 @@ def from_epoch_ms(ms: Column) -> Column:
     return F.timestamp_millis(F.floor(ms).cast("long"))
 
 
+def iso_text(ts: Column) -> Column:
+    """``2026-07-13T04:00:00.000Z``, whatever the session zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def add_hours(ts: Column, hours: Column | int) -> Column:
     """A timestamp moved by elapsed hours.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopclock.functions import text as tx
-from stopclock.functions.calendar import DAY_MS, add_hours
+from stopclock.functions.calendar import DAY_MS, add_hours, from_epoch_ms, iso_text
 from stopclock.functions.geo import with_running_length
 from stopclock.functions.numbers import half_up
 from stopclock.operators.network import Network, lookup_cells, timetable_headways
@@ -89,6 +89,17 @@ def positions_of(events: DataFrame, days: int = 1) -> DataFrame:
     )
 
 
+def position_lines(samples: DataFrame) -> DataFrame:
+    """Samples as archive lines."""
+    point = F.struct(
+        F.col("vehicle_id").alias("vehicleId"), F.col("lat"), F.col("lon"), F.col("next_stop_id").alias("nextStopId")
+    )
+    return samples.select(
+        iso_text(from_epoch_ms(F.col("ts_ms"))).alias("t"), F.col("route_id").alias("r"), F.lit("1").alias("n"),
+        F.col("pattern_suffix").alias("p"), point.alias("v"), "ts_ms",
+    )
+
+
 def line_network(spark: SparkSession, days: int = 1) -> Network:
     """Stops, timetable and polyline of that line; both suffixes follow the same order."""
     models = spark.range(2).select(

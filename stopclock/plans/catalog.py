@@ -20,7 +20,7 @@ from stopclock.operators.arrivals import derive_arrivals
 from stopclock.operators.quantiles import histogram, rounded_quantiles
 from stopclock.operators.traces import assign_model, sample_pairs, valid_samples
 from stopclock.plans import adapters as ad
-from stopclock.plans.derive import day_metrics, located_pairs, pending_days
+from stopclock.plans.derive import Layout, day_metrics, derive_days, located_pairs, pending_days
 from stopclock.session import scratch_root
 from stopclock.sources import archive, tables
 from stopclock.streaming import billing, positions
@@ -342,6 +342,28 @@ def stored_ledger(spark, sf):
     return tables.read_ledger(spark, root).select("date", "files", "samples", "arrivals", "matched")
 
 
+def _derive_job(spark, sf, weekly_mode: str) -> Layout:
+    """Positions archived as files, then the whole derivation job over them."""
+    layout = Layout(_fresh(spark, "positions"), _fresh(spark, "snapshots"), _fresh(spark, "derived"))
+    archive.write_positions(ad.position_lines(ad.event_positions(spark, sf, days=3)), layout.positions)
+    days = [r[0] for r in archive.archived_days(spark, layout.positions).collect()]
+    derive_days(spark, layout, days, weekly_mode, network=ad.line_network(spark, days=3))
+    return layout
+
+
+def derive_job_daily(spark, sf):
+    return tables.read_table(spark, _derive_job(spark, sf, "last_day").tables, "transit_stop_daily")
+
+
+def derive_job_ledger(spark, sf):
+    layout = _derive_job(spark, sf, "merge")
+    weekly = tables.read_table(spark, layout.tables, "transit_segment_weekly").agg(F.sum("n").alias("traversals"))
+    ledger = tables.read_ledger(spark, layout.tables).agg(
+        F.count("*").alias("days"), F.sum("samples").alias("samples"), F.sum("arrivals").alias("arrivals"), F.sum("matched").alias("matched")
+    )
+    return ledger.select("*", weekly.scalar().alias("traversals"))
+
+
 def exported_features(spark, sf):
     """Stop results as GeoJSON lines, written, read back and taken apart."""
     root = _fresh(spark, "export")
@@ -698,6 +720,8 @@ QUERIES: dict[str, Query] = {
     "stored_hourly": stored_hourly,
     "stored_weekly": stored_weekly,
     "stored_ledger": stored_ledger,
+    "derive_job_daily": derive_job_daily,
+    "derive_job_ledger": derive_job_ledger,
     "exported_features": exported_features,
     "exported_csv": exported_csv,
     "history_sql": history_sql,

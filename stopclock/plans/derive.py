@@ -100,25 +100,28 @@ def derive_days(
     days: list[dt.date | str],
     weekly_mode: str = "last_day",
     offset_hours: int = LOCAL_OFFSET_HOURS,
+    network: Network | None = None,
 ) -> None:
     """Derives any number of service days in one job and replaces their partitions.
 
+    The network comes from the snapshots unless one is given.
+
     The ledger is written last, so an interrupted run is simply repeated. Arrivals and speed
     histograms are stored first and everything else is built from the stored tables.
     """
     present = archive.present_days(spark, layout.positions, days)
     if not present:
         return
+    wanted = spark.createDataFrame([(d,) for d in present], "d string").select(F.col("d").cast("date").alias("service_date"))
     with Staging(spark) as staging:
-        _derive(spark, layout, present, weekly_mode, offset_hours, staging)
+        network = network.staged(staging) if network else load_network(spark, layout.snapshots, wanted, staging)
+        _derive(spark, layout, present, network, weekly_mode, offset_hours, staging)
 
 
 def _derive(
-    spark: SparkSession, layout: Layout, days: list[str], weekly_mode: str, offset_hours: int, staging: Staging
+    spark: SparkSession, layout: Layout, days: list[str], network: Network, weekly_mode: str, offset_hours: int,
+    staging: Staging,
 ) -> None:
-    wanted = spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("date").alias("service_date"))
-    network = load_network(spark, layout.snapshots, wanted, staging)
-
     # The archive is many small gzip files; one pass turns the valid samples into a columnar table.
     samples = staging.stage(
         valid_samples(archive.read_positions(spark, layout.positions, days)).drop("file_path"), "samples"

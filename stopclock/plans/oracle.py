@@ -126,11 +126,12 @@ HOUR_PROFILE = """SELECT hour, CAST(sum(n_matched) AS BIGINT) AS n_matched, CAST
 LON = "44.78::DOUBLE"
 
 
-def positions(days: int) -> str:
+def positions(days: int, whole_ms: bool = False) -> str:
+    ts = "1705287600000::DOUBLE + us / 120000::DOUBLE + shift * 86400000::DOUBLE"
     return f"""raw AS (SELECT CAST(epoch_us(ts) - 1704067200000000 AS DOUBLE) AS us, user_id, value, user_id % {days} AS shift FROM events),
 pos AS (SELECT DATE '2024-01-15' + CAST(shift AS INTEGER) AS service_date, CAST(user_id AS VARCHAR) AS vehicle_id,
     (user_id % 2) || ':01' AS pattern_suffix, CAST((user_id + 1) % 2 AS INTEGER) AS direction,
-    1705287600000::DOUBLE + us / 120000::DOUBLE + shift * 86400000::DOUBLE AS ts_ms,
+    {f'floor({ts})' if whole_ms else ts} AS ts_ms,
     (4::DOUBLE * us / 120000000::DOUBLE + value) % 9000::DOUBLE AS d FROM raw),
 samples AS (SELECT service_date, vehicle_id, pattern_suffix, direction, ts_ms, 41.7::DOUBLE AS lat, {LON} + d / 83000 AS lon,
     'S' || CAST(floor(d / 400) + 1 AS BIGINT) AS next FROM pos)"""
@@ -402,6 +403,11 @@ def oracle_sql() -> dict[str, str]:
         "stored_hourly": f"WITH {ARR}, {hourly('arr')} {HOUR_PROFILE} {PICKED} GROUP BY hour",
         "stored_weekly": f"""WITH {positions(3)}, {PAIRS}, {SPEEDS} SELECT iso_week, direction, bin_idx, band, {SPEED_STATS} FROM banded
             GROUP BY {WEEK_KEYS} HAVING count(*) >= 3""",
+        "derive_job_daily": text_date(f"WITH {positions(3, True)}, {PAIRS}, {ARRIVALS}, {daily('arr')} SELECT * FROM daily", "date"),
+        "derive_job_ledger": f"""WITH {positions(3, True)}, {PAIRS}, {ARRIVALS}, {SPEEDS}, week AS (SELECT count(*) AS n FROM banded
+            GROUP BY {WEEK_KEYS} HAVING count(*) >= 3)
+            SELECT (SELECT count(DISTINCT service_date) FROM samples) AS days, (SELECT count(*) FROM samples) AS samples, count(*) AS arrivals,
+            count(delay_s) AS matched, (SELECT CAST(sum(n) AS BIGINT) FROM week) AS traversals FROM arr""",
         "exported_features": f"""{ALL_STATS} SELECT 'Feature' AS type, 'Point' AS shape, 44.5 + CAST(substr(stop_id, 2) AS INTEGER) AS lon, stop_id, n_obs
             FROM stats WHERE stop_id IN ('S0', 'S1')""",
         "exported_csv": f"{ALL_STATS} SELECT * FROM stats",

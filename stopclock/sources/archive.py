@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopclock.functions.calendar import (
-    LOCAL_OFFSET_HOURS, epoch_ms, from_epoch_ms, in_service_hours, local_hour, local_key_parts,
+    LOCAL_OFFSET_HOURS, epoch_ms, from_epoch_ms, in_service_hours, iso_text, local_hour, local_key_parts,
 )
 from stopclock.session import path_exists
 from stopclock.sources import schemas
 
-_FOLDER_DATE = r"/(\d{4}-\d{2}-\d{2})/[^/]*$"
+# A day's folder is named by its date alone, or as Spark names partitions; numbered cycles lie below it.
+_FOLDER_DATE = r"/(?:service_date=)?(\d{4}-\d{2}-\d{2})/(?:cycle=\d+/)?[^/]*$"
 _DATE_GLOB = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
 
 
@@ -22,14 +23,14 @@ def folder_date(path: Column) -> Column:
     return F.try_to_timestamp(F.nullif(F.regexp_extract(path, _FOLDER_DATE, 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
 
 
-def _day_paths(root: str, days: list[dt.date | str] | None) -> list[str]:
+def day_paths(root: str, days: list[dt.date | str] | None) -> list[str]:
     """Only the folders asked for are listed."""
-    return [f"{root}/{day}/*.gz" for day in days] if days else [f"{root}/{_DATE_GLOB}/*.gz"]
+    return [f"{root}/{{,service_date=}}{day}/{{,cycle=*/}}*.gz" for day in days or [_DATE_GLOB]]
 
 
 def present_days(spark: SparkSession, root: str, days: list[dt.date | str]) -> list[str]:
     """Those of the days that have a folder in the archive."""
-    return [str(day) for day in days if path_exists(spark, f"{root}/{day}")]
+    return [str(d) for d in days if path_exists(spark, f"{root}/{d}") or path_exists(spark, f"{root}/service_date={d}")]
 
 
 def position_lines(reader, paths: list[str] | str) -> DataFrame:
@@ -54,12 +55,12 @@ def project_positions(lines: DataFrame) -> DataFrame:
 
 def read_positions(spark: SparkSession, root: str, days: list[dt.date | str] | None = None) -> DataFrame:
     """Samples of the given service days, or of every archived day."""
-    return project_positions(position_lines(spark.read, _day_paths(root, days)))
+    return project_positions(position_lines(spark.read, day_paths(root, days)))
 
 
 def archived_files(spark: SparkSession, root: str, days: list[dt.date | str] | None = None) -> DataFrame:
     """``service_date, file_path`` of archive objects; contents are not read."""
-    files = spark.read.format("binaryFile").load(_day_paths(root, days)).select("path")
+    files = spark.read.format("binaryFile").load(day_paths(root, days)).select("path")
     return files.select(folder_date(F.col("path")).alias("service_date"), F.col("path").alias("file_path"))
 
 
@@ -121,7 +122,7 @@ def flatten_replies(replies: DataFrame) -> DataFrame:
     """
     by_suffix = replies.select("route_id", "short_name", "sampled_at", F.explode("reply").alias("p", "vehicles"))
     return by_suffix.select(
-        F.date_format(F.to_utc_timestamp("sampled_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("t"),
+        iso_text(F.col("sampled_at")).alias("t"),
         F.col("route_id").alias("r"),
         F.col("short_name").alias("n"),
         "p",
@@ -166,9 +167,7 @@ def read_collected_positions(spark: SparkSession, root: str) -> DataFrame:
 
 def write_arrivals_archive(arrivals: DataFrame, root: str) -> None:
     """Arrivals as gzipped JSON lines per service day, instants as ISO text cut to milliseconds."""
-    stamp = F.date_format(
-        F.to_utc_timestamp(from_epoch_ms(F.col("ts_ms")), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-    )
+    stamp = iso_text(from_epoch_ms(F.col("ts_ms")))
     (
         arrivals.select(
             "service_date", F.col("stop_id").alias("stop"), F.col("route_id").alias("route"),

@@ -34,7 +34,7 @@ def position_stream(spark: SparkSession, root: str, files_per_batch: int | None
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return archive.project_positions(archive.position_lines(reader, archive._day_paths(root, None)[0]))
+    return archive.project_positions(archive.position_lines(reader, archive.day_paths(root, None)[0]))
 
 
 def collect_positions(replies: DataFrame, root: str, checkpoint: str, offset_hours: int = LOCAL_OFFSET_HOURS):
