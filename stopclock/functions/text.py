@@ -13,8 +13,12 @@ LABEL_RESULT = "შედეგი"
 LABEL_NOMENCLATURE = "ნომენკლატურა"
 CODE_PATTERN = r"\d{2}\.\d{2}\.\d{2}\.\d{3}\.\d{3}"
 PDF_SIGNATURE = "25504446"
+NOMENCLATURE_FIELD = r'nomenklaturMarkup:"([^"\\]*+(?:\\[^\n\r\x{2028}\x{2029}][^"\\]*+)*+)"'
 
 _ANY_TAG = r"<[^>]+>"
+# Cheap tests that a match can start here at all; the full white-space class is slow to try at every letter.
+_MAY_BE_SPACE = r"(?=[\t\n\x0B\f\r \xA0\x{1680}-\x{FEFF}])"
+_MAY_BE_GAP = r"(?=[<&\t\n\x0B\f\r \xA0\x{1680}-\x{FEFF}])"
 
 
 def strip_tags(text: Column, replacement: str = " ") -> Column:
@@ -22,16 +26,16 @@ def strip_tags(text: Column, replacement: str = " ") -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE + "+", " ")
+    return F.regexp_replace(text, f"{_MAY_BE_SPACE}{SPACE}+", " ")
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|{_MAY_BE_SPACE}{SPACE}+$", "")
 
 
 def plain_text(html: Column) -> Column:
-    """Tags and ``&nbsp;`` become spaces, then runs of white space become one space."""
-    return collapse_space(F.regexp_replace(strip_tags(html), "(?i)&nbsp;", " "))
+    """Runs of tags, ``&nbsp;`` and white space become one space, in a single pass."""
+    return F.regexp_replace(html, f"{_MAY_BE_GAP}(?:{_ANY_TAG}|&[nN][bB][sS][pP];|{SPACE})++", " ")
 
 
 def labelled_date(text: Column, label: str) -> Column:
@@ -89,17 +93,14 @@ def list_items(markup: Column) -> Column:
     return F.filter(cleaned, lambda item: item != "")
 
 
-def nomenclature(raw: Column) -> Column:
-    """The nomenclature field of a permit reply: list items joined, else the stripped text."""
-    captured = F.regexp_extract_all(
-        raw, F.lit(r'nomenklaturMarkup:"((?:[^"\\]|\\[^\n\r\x{2028}\x{2029}])*+)"'), F.lit(1)
-    )
-    markup = unescape_markup(F.try_element_at(captured, F.lit(1)))
-    items = list_items(markup)
-    unlabelled = F.regexp_replace(
-        strip_tags(markup),
-        f"(?s)^(.*?){LABEL_NOMENCLATURE}{SPACE}*:{SPACE}*(.*)$",
-        "$1$2",
-    )
-    whole = trim_space(collapse_space(unlabelled))
-    return F.coalesce(F.when(F.size(items) > 0, F.array_join(items, " | ")).otherwise(whole), F.lit(""))
+def nomenclature_markup(raw: Column) -> Column:
+    """The unescaped nomenclature markup of a permit reply, null when it has none."""
+    captured = F.regexp_extract_all(raw, F.lit(NOMENCLATURE_FIELD), F.lit(1))
+    return unescape_markup(F.try_element_at(captured, F.lit(1)))
+
+
+def unlisted_nomenclature(markup: Column) -> Column:
+    """The stripped text of markup without list items, its label removed once."""
+    text = F.regexp_replace(markup, f"{_MAY_BE_GAP}(?:{_ANY_TAG}|{SPACE})++", " ")
+    unlabelled = F.regexp_replace(text, f"(?s)^(.*?){LABEL_NOMENCLATURE} ?: ?(.*)$", "$1$2")
+    return F.trim(F.when(F.contains(text, F.lit(LABEL_NOMENCLATURE)), unlabelled).otherwise(text))

@@ -33,9 +33,16 @@ def permit_decisions(documents: DataFrame) -> DataFrame:
 
 
 def permit_details(documents: DataFrame) -> DataFrame:
-    """``doc_id, body string`` to the nomenclature text and the distinct property codes."""
-    return documents.select(
+    """``doc_id, body string`` to the nomenclature text and the distinct property codes.
+
+    List items are joined; without any, the whole markup is stripped to text. Each step is a
+    column of its own, so that long replies are unescaped once.
+    """
+    unescaped = documents.select("doc_id", "body", tx.nomenclature_markup(F.col("body")).alias("markup"))
+    listed = unescaped.select("*", tx.list_items(F.col("markup")).alias("items"))
+    text = F.when(F.size("items") > 0, F.array_join("items", " | ")).otherwise(tx.unlisted_nomenclature(F.col("markup")))
+    return listed.select(
         tx.digits_only(F.col("doc_id").cast("string")).alias("doc_id"),
-        tx.nomenclature(F.col("body")).alias("nomenclature"),
+        F.coalesce(text, F.lit("")).alias("nomenclature"),
         tx.property_codes(F.col("body")).alias("cadastral"),
     )

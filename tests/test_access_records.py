@@ -115,7 +115,9 @@ def test_details_without_the_field(spark):
     assert (got.nomenclature, got.cadastral) == ("", [])
 
 
-def test_long_markup(spark):
-    body = 'nomenklaturMarkup:"' + "word " * 200_000 + '"'
-    got = spark.createDataFrame([(body,)], "body string").select(F.length(tx.nomenclature(F.col("body"))).alias("n")).first()
-    assert got.n == 5 * 200_000 - 1
+def test_long_texts(spark):
+    body = 'nomenklaturMarkup:"' + "word <br>" * 200_000 + '"'
+    df = spark.createDataFrame([("1", body)], "doc_id string, body string")
+    assert len(permits.permit_details(df).first().nomenclature) == 5 * 200_000 - 1
+    blank = "<p> &nbsp;" * 200_000 + "x"
+    assert spark.createDataFrame([(blank,)], "b string").select(tx.plain_text(F.col("b"))).first()[0] == " x"
