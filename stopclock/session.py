@@ -15,6 +15,8 @@ SETTINGS = {
     # Spark broadcasts a join side only while its measured size stays below this;
     # above it the same join is a shuffle join whose hot keys AQE splits.
     "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+    # Median buffers are small here, so keep hash aggregation for more groups before sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
 }
 
 

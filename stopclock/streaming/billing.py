@@ -26,15 +26,21 @@ def read_state(spark: SparkSession, root: str, before: int | None = None) -> Dat
     return spark.read.parquet(f"{root}/version={max(usable)}") if usable else None
 
 
-def keep_state(events: DataFrame, root: str, checkpoint: str, policy: str = "server"):
+def keep_state(events: DataFrame, root: str, checkpoint: str, policy: str = "server", kept_versions: int = 10):
     """Folds each batch into the state before it and writes the result as a new version.
 
     A repeated batch starts from the same earlier version and replaces its own, so it changes nothing.
+    Events are folded in order within a batch; batches apply in the order they arrive. Versions older
+    than the last ``kept_versions`` are removed.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         current = read_state(batch.sparkSession, root, before=batch_id)
         state = fold_events(batch, current, policy)
         state.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        for old in _versions(batch.sparkSession, root):
+            if old <= batch_id - kept_versions:
+                path, fs = hadoop_path(batch.sparkSession, f"{root}/version={old}")
+                fs.delete(path, True)
 
     return events.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)

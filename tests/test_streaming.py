@@ -52,7 +52,8 @@ def test_pairs(spark, tmp_path):
 def test_subscription_state(spark, tmp_path):
     events = ad.billing_events(spark, SF)
     stream = replay(spark, events.withColumn("s", F.unix_seconds("received_at").cast("double")), "s", tmp_path / "in", 4)
-    finish(billing.keep_state(stream, str(tmp_path / "state"), str(tmp_path / "cp")))
+    finish(billing.keep_state(stream, str(tmp_path / "state"), str(tmp_path / "cp"), kept_versions=2))
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["version=2", "version=3"]
     assert rows(billing.read_state(spark, str(tmp_path / "state"))) == rows(subs.fold_events(events))
 
 
