@@ -316,7 +316,8 @@ def stored_history(spark, sf):
 def stored_hourly(spark, sf):
     root = _fresh(spark, "tables")
     tables.write_table(_stop_tables(spark, sf)[1], root, "transit_stop_hourly", ["stop_id", "route_id"])
-    return history.history_hourly(tables.read_table(spark, root, "transit_stop_hourly"), STOPS, *SPAN)
+    profile = history.history_hourly(tables.read_table(spark, root, "transit_stop_hourly"), STOPS, *SPAN)
+    return profile.withColumn("hour", F.col("hour").cast("int"))
 
 
 def stored_weekly(spark, sf):
@@ -327,7 +328,7 @@ def stored_weekly(spark, sf):
     weekly = segments.segment_weekly(spark.read.parquet(f"{root}/daily"), "merge")
     tables.write_table(weekly, root, "transit_segment_weekly", ["route_id", "direction", "bin_idx"])
     stored = tables.read_table(spark, root, "transit_segment_weekly")
-    return stored.select("iso_week", "direction", "bin_idx", "band", "n", *[
+    return stored.select("iso_week", F.col("direction").cast("int"), "bin_idx", "band", F.col("n").cast("long"), *[
         half_up(F.col(c).cast("double"), 1).alias(c) for c in ("speed_med_kmh", "speed_p15_kmh")
     ])
 
@@ -339,7 +340,9 @@ def stored_ledger(spark, sf):
     for run in (1, 2):
         done = figures if run == 1 else figures.where(F.dayofmonth("date") % 3 == 0).withColumn("files", F.col("files") + 100)
         tables.append_ledger(done.withColumns({"processed_at": F.timestamp_seconds(F.lit(run)), "notes": F.lit(None).cast("string")}), root)
-    return tables.read_ledger(spark, root).select("date", "files", "samples", "arrivals", "matched")
+    return tables.read_ledger(spark, root).select(
+        "date", *[F.col(c).cast("long") for c in ("files", "samples", "arrivals", "matched")]
+    )
 
 
 def _derive_job(spark, sf, weekly_mode: str) -> Layout:
@@ -352,7 +355,8 @@ def _derive_job(spark, sf, weekly_mode: str) -> Layout:
 
 
 def derive_job_daily(spark, sf):
-    return tables.read_table(spark, _derive_job(spark, sf, "last_day").tables, "transit_stop_daily")
+    daily = tables.read_table(spark, _derive_job(spark, sf, "last_day").tables, "transit_stop_daily")
+    return daily.withColumn("direction", F.col("direction").cast("int"))
 
 
 def derive_job_ledger(spark, sf):
