@@ -7,6 +7,7 @@ text where that is longer, and a longer text is hashed in pieces that end betwee
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -131,11 +132,28 @@ def rolling(hashes: np.ndarray, width: int, seed: int = 0x51) -> np.ndarray:
     return out
 
 
-def words_of(
-    column: pa.Array, separators: np.ndarray, fold: bool = False
-) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each step ``(a, b, data, starts, ends, firsts)``: rows, their bytes, their words' bounds in these bytes,
-    and for each row the index of its first word (one entry more than rows)."""
+class Step(NamedTuple):
+    """Words of the rows ``first_row …`` of a batch, in the bytes ``data`` of these rows."""
+
+    first_row: int
+    data: np.ndarray
+    #: Where each row starts in ``data``; one entry more than rows.
+    cuts: np.ndarray
+    #: Bounds of all words in ``data``.
+    starts: np.ndarray
+    ends: np.ndarray
+    #: For each row the index of its first word; one entry more than rows.
+    first: np.ndarray
+
+    @property
+    def rows(self) -> range:
+        return range(len(self.first) - 1)
+
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.data, self.starts, self.ends)
+
+
+def words_of(column: pa.Array, separators: np.ndarray, fold: bool = False) -> Iterator[Step]:
     data, offsets = texts_of(column)
     for a, b in steps(offsets):
         piece = data[offsets[a] : offsets[b]]
@@ -143,4 +161,4 @@ def words_of(
             piece = LOWER[piece]
         cuts = offsets[a : b + 1] - offsets[a]
         starts, ends = word_bounds(piece, cuts, separators)
-        yield a, b, piece, starts, ends, np.searchsorted(starts, cuts)
+        yield Step(a, piece, cuts, starts, ends, np.searchsorted(starts, cuts))
