@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,28 +57,20 @@ def numbered(df: DataFrame, within: list[str], order: list[str], name: str, bloc
     )
 
 
-def id_bits(ids: DataFrame, column: str, bits: int = 22) -> np.ndarray:
-    """A bitmap of ``2**bits`` hashed ids, as bytes; its size is the same for any number of ids.
+def key_bits(keys: DataFrame, columns: list[str], bits: int = 22) -> DataFrame:
+    """A bitmap of hashed keys as a table of at most ``2**(bits - 6)`` rows, for any number of keys.
 
-    It only spares work: rows whose bit is unset are certainly not among ``ids``, the others still
-    have to be joined.
+    It only spares work: rows whose bit is unset are certainly not among ``keys``, the others still have to be joined.
     """
-    at = F.pmod(F.xxhash64(column), F.lit(1 << bits))
-    found = (
-        ids.select(at.alias("at"))
-        .groupBy(F.shiftright("at", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask"))
-        .toPandas()
-    )
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[found["word"].to_numpy()] = found["mask"].to_numpy()
-    return out
-
-
-def maybe_in(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the bit ``at`` (see ``bit_of``) is set."""
-    return (bits[at >> 6] >> (at & 63)) & 1 == 1
-
-
-def bit_of(column: str, bits: int = 22) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    at = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    mask = F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))"))
+    return checkpointed(keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(mask.alias("_mask")).coalesce(8))
+
+
+def split_by_bits(df: DataFrame, columns: list[str], bitmap: DataFrame, bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be among the keys of a bitmap, and those that are not. The bitmap, of bounded size, is broadcast."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    hit = (F.shiftright(at, 6) == F.col("_word")) & (F.expr("shiftright(_mask, cast(_at & 63 as int)) & 1") == 1)
+    marked = df.withColumn("_at", at)
+    small = F.broadcast(bitmap)
+    return marked.join(small, hit, "left_semi").drop("_at"), marked.join(small, hit, "left_anti").drop("_at")
