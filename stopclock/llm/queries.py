@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopclock.llm import decontaminate, exact, language, shards, substrings
+from stopclock.llm import decontaminate, exact, language, neardup, shards, substrings
 from stopclock.llm.shared import read_documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_documents(spark, sf_dir))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read_documents(spark, sf_dir))
 
@@ -31,6 +35,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_shards": op3_shards,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
