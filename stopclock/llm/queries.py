@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopclock.llm import decontaminate, exact, language, neardup, shards, substrings
-from stopclock.llm.shared import read_documents
+from stopclock.llm import decontaminate, exact, language, neardup, shards, substrings, tokens
+from stopclock.llm.shared import output_folder, read_documents
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_documents(spark, sf_dir))
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.training_order(read_documents(spark, sf_dir), output_folder(spark, "tokens"), key=20240229)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_shards": op3_shards,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op8_substrings": op8_substrings,
     "op9_language": op9_language,
+    "op10_tokens": op10_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,8 @@ def split_by_bits(df: DataFrame, columns: list[str], bitmap: DataFrame, bits: in
     marked = df.withColumn("_at", at)
     small = F.broadcast(bitmap)
     return marked.join(small, hit, "left_semi").drop("_at"), marked.join(small, hit, "left_anti").drop("_at")
+
+
+def output_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for an operator's files beside the checkpoints, which driver and executors share."""
+    return f"{scratch_root(spark).rstrip('/')}/stopclock/{name}-{uuid.uuid4().hex}"
