@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopclock.llm import decontaminate, exact, language, neardup, shards, substrings, tokens
+from stopclock.llm import decontaminate, exact, language, mixing, neardup, shards, substrings, tokens
 from stopclock.llm.shared import output_folder, read_documents
 
 
@@ -14,6 +14,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_documents(spark, sf_dir))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return mixing.mix_sources(docs, mixing.tempered(mixing.source_counts(docs)))
+
+
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read_documents(spark, sf_dir))
 
@@ -40,6 +45,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_mixing": op2_mixing,
     "op3_shards": op3_shards,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
