@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stopclock.llm import decontaminate, exact, language, mixing, neardup, shards, substrings, tokens
+from stopclock.llm import decontaminate, exact, language, licences, lines, mixing, neardup, shards, substrings, tokens
 from stopclock.llm.shared import output_folder, read_documents
 
 
@@ -31,6 +31,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read_documents(spark, sf_dir))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read_documents(spark, sf_dir), licences.document_path())
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_report(read_documents(spark, sf_dir))
 
@@ -49,11 +57,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shards": op3_shards,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_decontaminate": op5_decontaminate,
+    "op6_lines": op6_lines,
+    "op7_licences": op7_licences,
     "op8_substrings": op8_substrings,
     "op9_language": op9_language,
     "op10_tokens": op10_tokens,
 }
 
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{body}')" for name, body in licences.TEMPLATES)
+_TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> ''))"
+LICENCE_SQL = rf"""
+        WITH templates(name, body) AS (VALUES {_TEMPLATE_ROWS}),
+        tt AS (SELECT name, unnest({_TERMS.format("body")}) AS term FROM templates),
+        files AS (SELECT doc_id, coalesce(text, '') AS text, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS folder,
+                         CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS file FROM documents),
+        df AS (SELECT term, count(*) AS df FROM (SELECT unnest({_TERMS.format("text")}) AS term FROM files) GROUP BY term),
+        n AS (SELECT count(*) AS n FROM files),
+        w AS (SELECT term, ln((1 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
+        units AS (SELECT name, term, idf / sqrt(sum(idf * idf) OVER (PARTITION BY name)) AS unit FROM tt JOIN w USING (term)),
+        lines AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files)),
+        lt AS (SELECT DISTINCT line, unnest({_TERMS.format("line")}) AS term FROM (SELECT DISTINCT line FROM lines)),
+        lw AS (SELECT line, term, coalesce(idf, ln(1.0 + n) + 1) AS idf FROM lt LEFT JOIN w USING (term), n),
+        norms AS (SELECT line, sqrt(sum(idf * idf)) AS norm FROM lw GROUP BY line),
+        cosines AS (SELECT line, name, round(sum(idf * unit) / any_value(norm), 6) AS score
+                    FROM lw JOIN units USING (term) JOIN norms USING (line) GROUP BY line, name),
+        best AS (SELECT doc_id, score, name, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) AS r
+                 FROM lines JOIN cosines USING (line) WHERE score >= 0.7),
+        own AS (SELECT files.doc_id, folder, file, folder || '/' || file AS path, name, score FROM files LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_id)),
+        speaking AS (SELECT folder, name, score, row_number() OVER (PARTITION BY folder ORDER BY score DESC, name) AS r
+                     FROM own WHERE name IS NOT NULL AND file = 'LICENSE')
+        SELECT own.doc_id, own.path, coalesce(own.name, s.name) AS licence, coalesce(own.score, s.score) AS score,
+               CASE WHEN own.name IS NOT NULL THEN 'header' WHEN s.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS how
+        FROM own LEFT JOIN (SELECT * FROM speaking WHERE r = 1) s ON own.folder = s.folder"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -76,4 +112,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op6_lines": r"""
+        WITH cut AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        lines AS (SELECT doc_id, source, line, i, trim(line, ' ' || chr(9) || chr(13)) AS plain
+                  FROM (SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS i FROM cut)),
+        common AS (SELECT plain FROM lines WHERE plain <> '' GROUP BY plain HAVING count(DISTINCT coalesce('=' || source, 'null')) >= 10),
+        marked AS (SELECT *, plain IN (SELECT plain FROM common) AS gone FROM lines)
+        SELECT doc_id, CASE WHEN count(*) = 1 AND max(line) = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+    "op7_licences": LICENCE_SQL,
 }
