@@ -111,13 +111,25 @@ def service_seconds(ms: Column, date: Column, offset_hours: int = LOCAL_OFFSET_H
 
 
 def clock_list_seconds(text: Column) -> Column:
-    """``"06:10,24:05"`` to seconds of the service day; blanks dropped, hours may pass 23."""
-    entries = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda e: e != "")
-    return F.transform(
-        entries,
-        lambda e: F.element_at(F.split(e, ":"), 1).cast("int") * 3600
-        + F.element_at(F.split(e, ":"), 2).cast("int") * 60,
-    )
+    """``"06:10,24:05"`` to seconds of the service day; hours may pass 23.
+
+    Blanks and entries that aren't two numbers are dropped: they match nothing.
+    """
+    return F.filter(F.transform(_clock_entries(text), _clock_seconds), lambda s: s.isNotNull())
+
+
+def bad_clock_entries(text: Column) -> Column:
+    """How many entries of a timetable text are neither blank nor a time."""
+    return F.size(F.filter(_clock_entries(text), lambda e: _clock_seconds(e).isNull()))
+
+
+def _clock_entries(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda e: e != "")
+
+
+def _clock_seconds(entry: Column) -> Column:
+    parts = F.split(entry, ":")
+    return F.try_element_at(parts, F.lit(1)).try_cast("int") * 3600 + F.try_element_at(parts, F.lit(2)).try_cast("int") * 60
 
 
 def local_key_parts(ms: Column, offset_hours: int = LOCAL_OFFSET_HOURS) -> tuple[Column, Column]:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_M = 6_371_000.0
 MERCATOR_RADIUS_M = 6_378_137.0
 POLYLINE_SCALE = 1e5
-MAX_GROUPS = 7
 SLOPE_LIMITS = ((3.0, "flat"), (8.0, "gentle"), (15.0, "moderate"), (30.0, "steep"))
 STEEPEST = "very_steep"
 ASPECT_SECTORS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
@@ -39,11 +38,9 @@ def squared_degrees(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 
 def _signed_delta(token: Column) -> Column:
-    """One encoded number: 5-bit groups, lowest first, sign in the last bit."""
-    raw = F.lit(0).cast("long")
-    for place in range(MAX_GROUPS):
-        digit = (F.ascii(F.substring(token, place + 1, 1)) - 63).bitwiseAND(31)
-        raw = raw + F.when(F.length(token) > place, digit * F.lit(32**place)).otherwise(F.lit(0)).cast("long")
+    """One encoded number: 5-bit groups, lowest first, sign in the last bit; beyond 64 bits an error."""
+    digits = F.transform(F.reverse(F.split(token, "")), lambda c: (F.ascii(c) - 63).bitwiseAND(31).cast("long"))
+    raw = F.aggregate(digits, F.lit(0).cast("long"), lambda value, digit: value * 32 + digit)
     half = F.shiftright(raw, 1)
     return F.when(raw % 2 == 1, -half - 1).otherwise(half)
 
@@ -53,9 +50,10 @@ def polyline_vertices(df: DataFrame, keys: list[str], encoded: str) -> DataFrame
 
     A number ends at the first character below ``_``, so one pattern cuts the string into
     numbers; latitude and longitude alternate, and running sums undo the delta coding.
+    A string with a character outside the alphabet has no vertices, as its numbers can't be told apart.
     All windows run within one polyline, which is one input value, on one shuffle.
     """
-    tokens = df.where(F.length(encoded) > 0).select(
+    tokens = df.where(F.col(encoded).rlike(r"^[?-~]+$")).select(
         *keys,
         F.posexplode(F.regexp_extract_all(F.col(encoded), F.lit(r"([_-~]*[?-^])"), F.lit(1))).alias("n", "token"),
     )

@@ -61,8 +61,9 @@ RETURN SELECT min(date), max(date), count(*) FROM {LEDGER_VIEW}
 def register(spark: SparkSession, daily: DataFrame, hourly: DataFrame, ledger: DataFrame) -> None:
     """Makes the tables available as views and the functions over them callable from SQL.
 
-    The function bodies are inlined into the calling query, so date and stop filters reach the scans
-    and the branch that the band rules out is dropped.
+    The function bodies are inlined into the calling query, so date filters reach the scans and the branch
+    that the band rules out is dropped. The stop set is one array and filters rows after the scan; the Python
+    functions push it down.
     """
     daily.createOrReplaceTempView(DAILY_VIEW)
     hourly.createOrReplaceTempView(HOURLY_VIEW)

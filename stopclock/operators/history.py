@@ -142,16 +142,14 @@ def stop_measures(stats: DataFrame) -> DataFrame:
 
 
 def worst_stops(stats: DataFrame, k: int | None = None) -> DataFrame:
-    """Stops with enough data from least to most reliable.
+    """Stops with enough data and their rank from least to most reliable, or the first ``k`` of them.
 
-    With ``k``, the first ``k`` of them and their rank, numbered over those ``k`` rows only.
+    The ranking sorts one narrow row per stop; with ``k`` it numbers those ``k`` rows only.
     """
     measured = stop_measures(stats).where(~F.col("insufficient"))
     ordered = measured.select("stop_id", "n_matched", "on_time_share").orderBy("on_time_share", "stop_id")
-    if k is None:
-        return ordered
     place = F.row_number().over(Window.orderBy("on_time_share", "stop_id"))
-    return ordered.limit(k).withColumn("rank", place)
+    return (ordered if k is None else ordered.limit(k)).withColumn("rank", place)
 
 
 def route_measures(daily: DataFrame, stops: Stops, start: Day, end: Day, day_type: str | None = "all") -> DataFrame:

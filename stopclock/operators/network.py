@@ -20,6 +20,9 @@ FORWARD, REVERSE = 1, 0
 
 # Side of a lookup cell in degrees. Any size gives the same results.
 CELL_DEG = 0.0005
+# Edges longer than so many cells (about 20 km) get no cells of their own: such a line most likely has a
+# misplaced vertex, and samples there look at the whole line instead.
+LONGEST_EDGE = 400
 
 
 @dataclass(frozen=True)
@@ -38,10 +41,13 @@ class Network:
     timetable: DataFrame
     vertices: DataFrame
     cells: DataFrame
+    # The size the cells were built with.
+    cell_deg: float = CELL_DEG
 
     def staged(self, staging: Staging) -> "Network":
         """The same tables written to the shared folder, so that their sizes are known."""
-        return Network(**{f.name: staging.stage(getattr(self, f.name), f.name) for f in fields(self)})
+        tables = {f.name: getattr(self, f.name) for f in fields(self)}
+        return Network(**{k: staging.stage(v, k) if isinstance(v, DataFrame) else v for k, v in tables.items()})
 
 
 def snapshot_for_days(days: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -95,15 +101,16 @@ def timetable_headways(timetable: DataFrame) -> DataFrame:
 
 
 def _touched_cells(vertices: DataFrame, cell_deg: float) -> DataFrame:
-    """Cells met when walking along the line in steps no longer than a cell."""
+    """Cells met when walking along the line in steps no longer than a cell; of very long edges only the ends' cells."""
     ahead = Window.partitionBy("model_id").orderBy("idx")
     d_lat = F.coalesce(F.lead("lat").over(ahead) - F.col("lat"), F.lit(0.0))
     d_lon = F.coalesce(F.lead("lon").over(ahead) - F.col("lon"), F.lit(0.0))
     edges = vertices.select("model_id", "lat", "lon", d_lat.alias("d_lat"), d_lon.alias("d_lon"))
     steps = F.ceil(F.greatest(F.abs("d_lat"), F.abs("d_lon")) / cell_deg) + 1
-    walked = edges.withColumn("steps", steps.cast("int")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("steps"))).alias("k")
+    stops = F.when(F.col("steps") <= LONGEST_EDGE, F.sequence(F.lit(0).cast("long"), F.col("steps"))).otherwise(
+        F.array(F.lit(0).cast("long"), F.col("steps"))
     )
+    walked = edges.withColumn("steps", steps.cast("long")).select("*", F.explode(stops).alias("k"))
     share = F.col("k") / F.col("steps")
     return walked.select(
         "model_id",
@@ -156,22 +163,20 @@ def build_network(days: DataFrame, stops: DataFrame, routes: DataFrame) -> Netwo
     stops:  snapshot_date, pos, id, lat, lon
     routes: snapshot_date, pos, id, patterns, sched_fwd, sched_rev, poly_fwd, poly_rev
     """
-    routes = last_per_key(
-        routes, ["snapshot_date", "id"], "pos", ["patterns", "sched_fwd", "sched_rev", "poly_fwd", "poly_rev"]
-    ).withColumnRenamed("id", "route_id")
+    routes = routes.withColumnRenamed("id", "route_id").withColumnRenamed("pos", "entry")
     stop_points = last_per_key(stops, ["snapshot_date", "id"], "pos", ["lat", "lon"]).withColumnRenamed("id", "stop_id")
 
     directed = routes.select(
-        "snapshot_date", "route_id", "patterns",
+        "snapshot_date", "route_id", "entry", "patterns",
         F.explode(F.array(
             F.struct(F.lit(FORWARD).alias("direction"), F.col("sched_fwd").alias("blocks"), F.col("poly_fwd").alias("encoded")),
             F.struct(F.lit(REVERSE).alias("direction"), F.col("sched_rev").alias("blocks"), F.col("poly_rev").alias("encoded")),
         )).alias("side"),
-    ).select("snapshot_date", "route_id", "patterns", "side.*").where(F.size("blocks") > 0)
+    ).select("snapshot_date", "route_id", "entry", "patterns", "side.*").where(F.size("blocks") > 0)
 
     # Which block serves which day, decided on the blocks' dates and end stops alone.
     outlines = directed.select(
-        "snapshot_date", "route_id", "direction", "patterns",
+        "snapshot_date", "route_id", "entry", "direction", "patterns",
         F.transform("blocks", lambda b, i: F.struct(
             i.alias("block"),
             b["serviceDates"].alias("serviceDates"),
@@ -182,12 +187,18 @@ def build_network(days: DataFrame, stops: DataFrame, routes: DataFrame) -> Netwo
     dated = (
         days.join(outlines, "snapshot_date")
         .withColumn("chosen", _pick_block(F.col("blocks"), F.col("service_date").cast("string")))
-        .select("service_date", "snapshot_date", "route_id", "direction", "patterns", "chosen.block", "chosen.head", "chosen.tail")
-        .withColumn("model_id", F.concat_ws("|", F.col("snapshot_date").cast("string"), "route_id", F.col("direction").cast("string"), F.col("block").cast("string")))
+        .select("service_date", "snapshot_date", "route_id", "entry", "direction", "patterns", "chosen.block", "chosen.head", "chosen.tail")
     )
-    used = dated.select("model_id", "snapshot_date", "route_id", "direction", "block").distinct()
+    # A route listed twice is its last entry that has a matching pattern; one without any keeps its last entry.
+    matching = _preference().isNotNull().cast("int")
+    entries = dated.select("service_date", "route_id", "entry", "direction", "head", "tail", F.explode_outer("patterns").alias("pattern"))
+    chosen = entries.groupBy("service_date", "route_id").agg(F.max_by("entry", F.struct(F.coalesce(matching, F.lit(0)), F.col("entry"))).alias("entry"))
+    dated = dated.join(chosen, ["service_date", "route_id", "entry"], "left_semi").withColumn(
+        "model_id", F.concat_ws("|", F.col("snapshot_date").cast("string"), "route_id", F.col("direction").cast("string"), F.col("block").cast("string"))
+    )
+    used = dated.select("model_id", "snapshot_date", "route_id", "entry", "direction", "block").distinct()
     models = used.join(
-        directed.drop("patterns"), ["snapshot_date", "route_id", "direction"]
+        directed.drop("patterns"), ["snapshot_date", "route_id", "entry", "direction"]
     ).select(
         "model_id", "snapshot_date", "encoded",
         F.coalesce(F.get("blocks", F.col("block"))["stops"], F.array().cast("array<struct<id:string,arrivalTimes:string>>")).alias("stops"),
@@ -202,19 +213,23 @@ def build_network(days: DataFrame, stops: DataFrame, routes: DataFrame) -> Netwo
     )
 
 
+def _preference() -> Column:
+    """How well ``pattern`` matches a direction's end stops: 0 best, null not at all."""
+    return (
+        F.when(F.col("pattern.firstStop.id") == F.col("head"), F.lit(0))
+        .when(F.col("pattern.lastStop.id") == F.col("tail"), F.lit(2))
+    ) + F.when(F.col("direction") == FORWARD, F.lit(0)).otherwise(F.lit(1))
+
+
 def _match_patterns(dated: DataFrame) -> DataFrame:
     """Pattern to direction: by first stop forward, first stop reverse, last stop forward, last stop reverse."""
     ends = dated.select(
         "service_date", "route_id", "direction", "model_id", "head", "tail",
         F.posexplode("patterns").alias("pos", "pattern"),
     )
-    preference = (
-        F.when(F.col("pattern.firstStop.id") == F.col("head"), F.lit(0))
-        .when(F.col("pattern.lastStop.id") == F.col("tail"), F.lit(2))
-    ) + F.when(F.col("direction") == FORWARD, F.lit(0)).otherwise(F.lit(1))
     ranked = ends.select(
         "service_date", "route_id", F.col("pattern.patternSuffix").alias("pattern_suffix"), "pos",
-        "direction", "model_id", preference.alias("preference"),
+        "direction", "model_id", _preference().alias("preference"),
     ).where(F.col("preference").isNotNull())
     # A suffix listed twice keeps its last matching entry.
     return (

@@ -13,10 +13,11 @@ def permit_decisions(documents: DataFrame) -> DataFrame:
 
     A PDF is passed on whole and has no fields; anything else is read as a page.
     """
-    pdf = tx.is_pdf(F.col("body"))
+    pdf = F.coalesce(tx.is_pdf(F.col("body")), F.lit(False))
+    # PDFs are neither decoded nor searched.
+    page = F.when(~pdf, F.col("body")).cast("string")
     marked = documents.select(
-        "doc_id", "body", F.coalesce(pdf, F.lit(False)).alias("pdf"),
-        tx.plain_text(F.regexp_replace(F.col("body").cast("string"), r"^\x{FEFF}", "")).alias("plain"),
+        "doc_id", "body", pdf.alias("pdf"), tx.plain_text(F.regexp_replace(page, r"^\x{FEFF}", "")).alias("plain")
     )
 
     def field(value):

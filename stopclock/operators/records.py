@@ -16,7 +16,8 @@ def merge_records(
     """Upsert by key: a supplied column replaces the stored one, others stay.
 
     Every incoming column counts as supplied, nulls included. With ``supplied``, an array column
-    of names, each row supplies only those. Several rows of one key apply in ``order``.
+    of names, each row supplies only those. Several rows of one key apply in ``order``; without an
+    order they are an error.
     """
     columns = [c for c in incoming.columns if c not in (key, order, supplied)]
 
@@ -27,10 +28,11 @@ def merge_records(
 
     def last(name: str) -> Column:
         if order is None:
-            return F.first(given(name), ignorenulls=True)
+            several = F.raise_error(F.lit("several incoming rows of one key need an order"))
+            return F.when(F.count(F.lit(1)) > 1, several).otherwise(F.first(given(name)))
         return F.max_by(given(name), F.when(given(name).isNotNull(), F.col(order)))
 
-    latest = incoming.groupBy(key).agg(*[last(c).alias(f"_new_{c}") for c in columns], F.count("*").alias("_rows"))
+    latest = incoming.groupBy(key).agg(*[last(c).alias(f"_new_{c}") for c in columns])
     joined = existing.join(latest, key, "full_outer")
 
     def merged(name: str) -> Column:
@@ -44,9 +46,13 @@ def merge_records(
     return joined.select(key, *[merged(c) for c in kept + [c for c in columns if c not in kept]])
 
 
-def replace_groups(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Deletes every stored row of the incoming keys, then inserts the incoming rows."""
-    replaced = incoming.select(key).distinct()
+def replace_groups(existing: DataFrame, incoming: DataFrame, key: str, keys: DataFrame | None = None) -> DataFrame:
+    """Deletes every stored row of the replaced keys, then inserts the incoming rows.
+
+    Replaced are the keys of the incoming rows and those of ``keys``, so a group can also become empty.
+    """
+    replaced = incoming.select(key)
+    replaced = (replaced if keys is None else replaced.union(keys.select(key))).distinct()
     kept = existing.join(replaced, key, "left_anti").select(*existing.columns)
     return kept.unionByName(incoming, allowMissingColumns=True)
 

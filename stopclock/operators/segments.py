@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, hour_band, iso_week, local_hour
 from stopclock.functions.geo import haversine_m, squared_degrees
-from stopclock.operators.network import CELL_DEG, Network
+from stopclock.operators.network import Network
 from stopclock.operators.quantiles import histogram, merge_histograms, rounded_quantiles
 from stopclock.operators.traces import speed_kmh
 
@@ -24,26 +24,27 @@ GROUP_KEYS = ["iso_week", "route_id", "direction", "bin_idx", "band"]
 TABLE_COLUMNS = [*GROUP_KEYS, "n", "speed_med_kmh", "speed_p15_kmh"]
 
 
-def locate_along(samples: DataFrame, network: Network, cell_deg: float = CELL_DEG) -> DataFrame:
+def locate_along(samples: DataFrame, network: Network) -> DataFrame:
     """Adds ``along_m``: the running length at the nearest vertex, the first one on ties.
 
     Each sample looks only at the vertices its cell can be nearest to. Samples off every
-    listed cell, far from the line, look at the whole line. Null where there is no line.
+    listed cell, far from the line, look at the whole line; only they are joined with whole lines.
+    Null where there is no line.
     """
+    cell_deg = network.cell_deg
     placed = samples.withColumn("cell_x", F.floor(F.col("lon") / cell_deg)).withColumn(
         "cell_y", F.floor(F.col("lat") / cell_deg)
     )
-    lines = network.vertices.groupBy(F.col("model_id").alias("stray_id")).agg(
+    lines = network.vertices.groupBy("model_id").agg(
         F.sort_array(F.collect_list(F.struct("idx", "lat", "lon", "cum_m"))).alias("line")
     )
-    looked = (
-        placed.join(network.cells, ["model_id", "cell_x", "cell_y"], "left")
-        .withColumn("stray_id", F.when(F.col("near").isNull(), F.col("model_id")))
-        .join(lines, "stray_id", "left")
-    )
+    cells = ["model_id", "cell_x", "cell_y"]
+    beside = placed.join(network.cells.select(*cells, F.col("near").alias("line")), cells)
+    strays = placed.join(network.cells.select(*cells), cells, "left_anti").join(lines, "model_id", "left")
+    looked = beside.unionByName(strays)
     nearest = F.array_min(
         F.transform(
-            F.coalesce("near", "line"),
+            "line",
             lambda v: F.struct(
                 squared_degrees(v["lat"], v["lon"], F.col("lat"), F.col("lon")).alias("d"),
                 v["idx"].alias("idx"),

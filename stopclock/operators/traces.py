@@ -29,6 +29,11 @@ def valid_samples(samples: DataFrame) -> DataFrame:
     ).withColumn("next_stop_id", F.when(F.col("next_stop_id") != "", F.col("next_stop_id")))
 
 
+def slices_reached(time: Column, horizon_ms: int, slice_ms: int) -> Column:
+    """The slice of an instant and all slices within the horizon after it."""
+    return F.sequence(F.floor(time / slice_ms), F.floor((time + horizon_ms) / slice_ms))
+
+
 def with_previous(
     df: DataFrame,
     keys: list[str],
@@ -40,15 +45,13 @@ def with_previous(
     """Adds ``prev``, the preceding row of the key, for rows at most ``horizon_ms`` apart.
 
     ``order[0]`` is the time column. A key is cut into time slices so that no task ever
-    sorts a whole hot key; rows within the horizon of a slice's end are also sent to the
-    next slice, where they serve only as predecessors. Every pair no further apart than
-    the horizon is found; for wider gaps ``prev`` may be null, so callers filter on the gap.
+    sorts a whole hot key; a row is also sent to every later slice that the horizon reaches, where it
+    serves only as predecessor. Every pair no further apart than the horizon is found for any slice
+    length (slices shorter than the horizon copy rows more often); for wider gaps ``prev`` may be
+    null, so callers filter on the gap.
     """
     time = order[0]
-    own = F.floor(F.col(time) / slice_ms)
-    near_end = F.col(time) >= (own + 1) * slice_ms - horizon_ms
-    homes = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = df.withColumn("slice", F.explode(homes))
+    spread = df.withColumn("slice", F.explode(slices_reached(F.col(time), horizon_ms, slice_ms)))
     within = Window.partitionBy(*keys, "slice").orderBy(*order)
     return (
         spread.withColumn("prev", F.lag(F.struct(*carry)).over(within))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, iso_week
 from stopclock.operators.arrivals import derive_arrivals
@@ -57,9 +58,12 @@ def pending_days(archived: DataFrame, ledger: DataFrame, today: dt.date) -> Data
 def load_network(spark: SparkSession, snapshots: str, days: DataFrame, staging: Staging) -> Network:
     """Models of the given days from the newest snapshot on or before each."""
     dated = staging.stage(snapshot_for_days(days, archive.snapshot_days(spark, snapshots)), "snapshot-days")
-    wanted = dated.select("snapshot_date").distinct()
-    stops = archive.read_stops(spark, snapshots).join(wanted, "snapshot_date", "left_semi")
-    routes = archive.read_routes(spark, snapshots).join(wanted, "snapshot_date", "left_semi")
+    # At most one snapshot per day asked for; only their files are read.
+    wanted = [r[0] for r in dated.select("snapshot_date").distinct().collect()]
+    if not wanted:
+        raise ValueError("no snapshot on or before the given days")
+    stops = archive.read_stops(spark, snapshots, wanted)
+    routes = archive.read_routes(spark, snapshots, wanted)
     network = build_network(dated, staging.stage(stops, "stops"), staging.stage(routes, "routes"))
     return network.staged(staging)
 
@@ -129,27 +133,29 @@ def _derive(
     pairs = staging.stage(located_pairs(samples, network), "pairs")
 
     fresh = derive_arrivals(pairs, network, offset_hours)
-    tables.overwrite_partitions(fresh, layout.arrivals, "service_date", ["stop_id", "ts_ms"])
-    arrivals = spark.read.parquet(layout.arrivals).where(F.col("service_date").isin(*[dt.date.fromisoformat(d) for d in days]))
-    tables.overwrite_partitions(
-        speed_histogram(traversals(pairs, offset_hours)), layout.histograms, "service_date", ["route_id", "bin_idx"]
-    )
+    # Every output owns the days asked for: a day that has no rows any more is emptied, not left as it was.
+    tables.overwrite_partitions(fresh, layout.arrivals, "service_date", ["stop_id", "ts_ms"], owned=days)
+    own_days = [dt.date.fromisoformat(d) for d in days]
+    arrivals = spark.read.schema(fresh.schema).parquet(layout.arrivals).where(F.col("service_date").isin(*own_days))
+    speeds = speed_histogram(traversals(pairs, offset_hours))
+    tables.overwrite_partitions(speeds, layout.histograms, "service_date", ["route_id", "bin_idx"], owned=days)
 
     daily = stop_daily(arrivals, scheduled_headways(network))
-    tables.write_table(daily, layout.tables, "transit_stop_daily", ["stop_id", "route_id"])
-    tables.write_table(stop_hourly(arrivals, offset_hours), layout.tables, "transit_stop_hourly", ["stop_id", "route_id"])
-    write_weeks(spark, layout, days, weekly_mode)
-    archive.write_arrivals_archive(arrivals, layout.arrivals_archive)
+    tables.write_table(daily, layout.tables, "transit_stop_daily", ["stop_id", "route_id"], owned=days)
+    tables.write_table(stop_hourly(arrivals, offset_hours), layout.tables, "transit_stop_hourly", ["stop_id", "route_id"], owned=days)
+    write_weeks(spark, layout, days, weekly_mode, speeds.schema)
+    archive.write_arrivals_archive(arrivals, layout.arrivals_archive, owned=days)
     files = archive.archived_files(spark, layout.positions, days)
     tables.append_ledger(day_metrics(files, samples, arrivals), layout.tables)
 
 
-def write_weeks(spark: SparkSession, layout: Layout, days: list[str], mode: str) -> None:
-    """Rebuilds the weeks the given days fall in from every stored day of those weeks."""
+def write_weeks(spark: SparkSession, layout: Layout, days: list[str], mode: str, schema: StructType | None = None) -> None:
+    """Rebuilds the weeks the given days fall in from every stored day of those weeks; a week may become empty."""
     weeks = spark.createDataFrame([(d,) for d in days], "d string").select(
         iso_week(F.col("d").cast("date")).alias("iso_week")
     ).distinct()
-    stored = spark.read.parquet(layout.histograms)
+    reader = spark.read.schema(schema) if schema else spark.read
+    stored = reader.parquet(layout.histograms)
     first, last = min(days), max(days)
     near = stored.where(
         F.col("service_date").between(
@@ -158,18 +164,24 @@ def write_weeks(spark: SparkSession, layout: Layout, days: list[str], mode: str)
     )
     touched = near.join(weeks, "iso_week", "left_semi").select("service_date", *GROUP_KEYS, "bucket", "n", "low", "high")
     tables.write_table(
-        segment_weekly(touched, mode), layout.tables, "transit_segment_weekly", ["route_id", "direction", "bin_idx"]
+        segment_weekly(touched, mode), layout.tables, "transit_segment_weekly", ["route_id", "direction", "bin_idx"],
+        owned=[r[0] for r in weeks.collect()],
     )
 
 
 def backfill(
     spark: SparkSession, layout: Layout, today: dt.date, weekly_mode: str = "last_day",
-    offset_hours: int = LOCAL_OFFSET_HOURS,
+    offset_hours: int = LOCAL_OFFSET_HOURS, days_per_job: int = 64,
 ) -> list[str]:
-    """Derives every closed day that is not in the ledger, all in one job. Returns the days."""
+    """Derives every closed day that is not in the ledger, and returns these days.
+
+    Days go in runs of ``days_per_job``, oldest first. Each run ends with its ledger rows, so what was derived
+    before an interruption is not derived again.
+    """
     waiting = pending_days(
         archive.archived_days(spark, layout.positions), tables.read_ledger(spark, layout.tables), today
     )
     days = [str(r[0]) for r in waiting.orderBy("service_date").collect()]
-    derive_days(spark, layout, days, weekly_mode, offset_hours)
+    for at in range(0, len(days), days_per_job):
+        derive_days(spark, layout, days[at : at + days_per_job], weekly_mode, offset_hours)
     return days

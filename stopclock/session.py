@@ -31,9 +31,12 @@ def build_session(name: str, master: str | None = None, **extra: str) -> SparkSe
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where none is named."""
+    """The shared folder named by the cluster; in local mode a private one where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="stopclock-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -69,6 +72,18 @@ def hadoop_path(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def folders_matching(spark: SparkSession, pattern: str, parent: bool = False) -> list:
+    """Paths that match a glob, or the folders they lie in."""
+    path, fs = hadoop_path(spark, pattern)
+    return [s.getPath().getParent() if parent else s.getPath() for s in fs.globStatus(path) or []]
+
+
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity that Spark gave a stream's checkpoint when it was first used."""
+    found = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()
+    return found["id"].replace("-", "")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     found, fs = hadoop_path(spark, path)
     return fs.exists(found)

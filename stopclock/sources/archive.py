@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from stopclock.functions.calendar import (
     LOCAL_OFFSET_HOURS, epoch_ms, from_epoch_ms, in_service_hours, iso_text, local_hour, local_key_parts,
 )
-from stopclock.session import path_exists
+from stopclock.session import hadoop_path, path_exists
 from stopclock.sources import schemas
+from stopclock.sources.tables import clear_partitions
 
-# A day's folder is named by its date alone, or as Spark names partitions; numbered cycles lie below it.
-_FOLDER_DATE = r"/(?:service_date=)?(\d{4}-\d{2}-\d{2})/(?:cycle=\d+/)?[^/]*$"
+# A day's folder is named by its date alone, or as Spark names partitions; collection cycles lie below it.
+_FOLDER_DATE = r"/(?:service_date=)?(\d{4}-\d{2}-\d{2})/(?:cycle=[^/]+/)?[^/]*$"
 _DATE_GLOB = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
 
 
@@ -65,7 +66,12 @@ def archived_files(spark: SparkSession, root: str, days: list[dt.date | str] | N
 
 
 def archived_days(spark: SparkSession, root: str) -> DataFrame:
-    return archived_files(spark, root).select("service_date").distinct()
+    """``service_date`` of the archive's day folders; only folder names are listed."""
+    path, fs = hadoop_path(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+    days = sorted({n.removeprefix("service_date=") for n in names})
+    listed = spark.createDataFrame([(d,) for d in days], "d string")
+    return listed.select(F.try_to_timestamp("d", F.lit("yyyy-MM-dd")).cast("date").alias("service_date")).where("service_date is not null")
 
 
 def snapshot_days(spark: SparkSession, root: str) -> DataFrame:
@@ -132,22 +138,23 @@ def flatten_replies(replies: DataFrame) -> DataFrame:
 
 
 def write_positions(
-    lines: DataFrame, root: str, offset_hours: int = LOCAL_OFFSET_HOURS, cycle: int | None = None
+    lines: DataFrame, root: str, offset_hours: int = LOCAL_OFFSET_HOURS, writer: str | None = None
 ) -> None:
-    """Adds one collection cycle to the archive, in the folders of its local dates.
+    """Archives collected lines under their local date and ``HHMM``, the key of a collection cycle.
 
-    Lines outside service hours are not collected; an empty cycle writes no rows. A numbered
-    cycle owns its folder under the date, and writing it again replaces just that.
+    Lines outside service hours are not collected; nothing to collect writes no rows. Writing a cycle again
+    replaces just that cycle. A cycle that several writers fill in parts, as the batches of a stream do, has
+    one folder per ``writer``, and each replaces its own only.
     """
-    day, _ = local_key_parts(F.col("ts_ms"), offset_hours)
-    kept = lines.where(in_service_hours(local_hour(F.col("ts_ms"), offset_hours))).withColumn("service_date", day)
-    folders = ["service_date"]
-    if cycle is not None:
-        kept, folders = kept.withColumn("cycle", F.lit(cycle)), ["service_date", "cycle"]
+    day, minute = local_key_parts(F.col("ts_ms"), offset_hours)
+    cycle = minute if writer is None else F.concat(minute, F.lit(f"-{writer}"))
+    kept = lines.where(in_service_hours(local_hour(F.col("ts_ms"), offset_hours)))
     (
-        kept.drop("ts_ms").hint("rebalance", F.col("service_date"))
-        .write.mode("append" if cycle is None else "overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*folders).option("compression", "gzip").json(root)
+        # The letter keeps the name from being read back as a number.
+        kept.withColumn("service_date", day).withColumn("cycle", F.concat(F.lit("m"), cycle))
+        .drop("ts_ms").hint("rebalance", F.col("service_date"), F.col("cycle"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("service_date", "cycle").option("compression", "gzip").json(root)
     )
 
 
@@ -165,8 +172,13 @@ def read_collected_positions(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def write_arrivals_archive(arrivals: DataFrame, root: str) -> None:
-    """Arrivals as gzipped JSON lines per service day, instants as ISO text cut to milliseconds."""
+def write_arrivals_archive(arrivals: DataFrame, root: str, owned: list | None = None) -> None:
+    """Arrivals as gzipped JSON lines per service day, instants as ISO text cut to milliseconds.
+
+    Days of ``owned`` without arrivals become empty.
+    """
+    if owned is not None:
+        clear_partitions(arrivals.sparkSession, root, "service_date", owned)
     stamp = iso_text(from_epoch_ms(F.col("ts_ms")))
     (
         arrivals.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stopclock.session import path_exists
+from stopclock.session import hadoop_path, path_exists
 from stopclock.sources import schemas
 
 SCHEMAS = {
@@ -22,13 +22,28 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition: str, sort_by: list[str]) -> None:
-    """Replaces exactly the partitions present in ``df``, so a rerun leaves no stale keys.
+def clear_partitions(spark: SparkSession, path: str, partition: str, values: list) -> None:
+    """Removes the folders of the given partition values, and makes sure that the table's folder exists."""
+    root, fs = hadoop_path(spark, path)
+    fs.mkdirs(root)
+    for value in values:
+        fs.delete(hadoop_path(spark, f"{path}/{partition}={value}")[0], True)
+
+
+def overwrite_partitions(
+    df: DataFrame, path: str, partition: str, sort_by: list[str], owned: list | None = None
+) -> None:
+    """Replaces the partitions present in ``df``, so a rerun leaves no stale keys.
+
+    With ``owned``, all partitions of these values are replaced: those without rows become empty. ``df``
+    must not read what it replaces.
 
     Rows are gathered by partition, and the adaptive planner then splits large partitions over
     tasks and joins small ones, so neither one huge day nor many tiny files arise. Sorting within
     files makes their statistics useful.
     """
+    if owned is not None:
+        clear_partitions(df.sparkSession, path, partition, owned)
     (
         df.hint("rebalance", F.col(partition))
         .sortWithinPartitions(partition, *sort_by)
@@ -36,9 +51,9 @@ def overwrite_partitions(df: DataFrame, path: str, partition: str, sort_by: list
     )
 
 
-def write_table(df: DataFrame, root: str, name: str, sort_by: list[str]) -> None:
+def write_table(df: DataFrame, root: str, name: str, sort_by: list[str], owned: list | None = None) -> None:
     schema, partition = SCHEMAS[name]
-    overwrite_partitions(conform(df, schema), f"{root}/{name}", partition, sort_by)
+    overwrite_partitions(conform(df, schema), f"{root}/{name}", partition, sort_by, owned)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -7,40 +7,43 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from stopclock.operators.subscriptions import fold_events
-from stopclock.session import hadoop_path, path_exists
+from stopclock.session import checkpoint_id, folders_matching, hadoop_path, path_exists
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the versions written completely."""
-    path, fs = hadoop_path(spark, root)
-    if not fs.exists(path):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(path)]
-    found = [re.fullmatch(r"version=(\d+)", name) for name in names]
-    return [int(m.group(1)) for m in found if m and path_exists(spark, f"{root}/{m.string}/_SUCCESS")]
+def _versions(spark: SparkSession, root: str) -> dict[int, tuple[str, str]]:
+    """Versions written completely: their number, the batch that made them and their folder."""
+    names = [path.getName() for path in folders_matching(spark, f"{root}/version=*")]
+    found = [re.fullmatch(r"version=(\d+)\.(\w+\.\d+)", name) for name in names]
+    return {int(m.group(1)): (m.group(2), f"{root}/{m.string}") for m in found if m and path_exists(spark, f"{root}/{m.string}/_SUCCESS")}
 
 
-def read_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version, or the newest one before a batch."""
-    usable = [v for v in _versions(spark, root) if before is None or v < before]
-    return spark.read.parquet(f"{root}/version={max(usable)}") if usable else None
+def read_state(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest complete version."""
+    versions = _versions(spark, root)
+    return spark.read.parquet(versions[max(versions)][1]) if versions else None
 
 
 def keep_state(events: DataFrame, root: str, checkpoint: str, policy: str = "server", kept_versions: int = 10):
-    """Folds each batch into the state before it and writes the result as a new version.
+    """Folds each batch into the newest state and writes the result as the next version.
 
-    A repeated batch starts from the same earlier version and replaces its own, so it changes nothing.
-    Events are folded in order within a batch; batches apply in the order they arrive. Versions older
-    than the last ``kept_versions`` are removed.
+    A version is named by its number and by the checkpoint and batch that made it. A repeated batch that has
+    its version already changes nothing, and a stream started anew goes on from the newest version.
+    Events are folded in order within a batch; batches apply in the order they arrive. Of the versions
+    only the last ``kept_versions`` stay; all but the newest are copies that nothing reads.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
-        current = read_state(batch.sparkSession, root, before=batch_id)
-        state = fold_events(batch, current, policy)
-        state.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
-        for old in _versions(batch.sparkSession, root):
-            if old <= batch_id - kept_versions:
-                path, fs = hadoop_path(batch.sparkSession, f"{root}/version={old}")
+        spark = batch.sparkSession
+        versions = _versions(spark, root)
+        own = f"{checkpoint_id(spark, checkpoint)}.{batch_id}"
+        if own in {maker for maker, _ in versions.values()}:
+            return
+        number = max(versions, default=-1) + 1
+        current = spark.read.parquet(versions[number - 1][1]) if versions else None
+        fold_events(batch, current, policy).write.mode("overwrite").parquet(f"{root}/version={number}.{own}")
+        for old, (_, folder) in versions.items():
+            if old <= number - kept_versions:
+                path, fs = hadoop_path(spark, folder)
                 fs.delete(path, True)
 
     return events.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)

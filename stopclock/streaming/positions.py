@@ -5,6 +5,7 @@ Stream results are provisional. The batch derivation of a closed day stays the a
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, from_epoch_ms
 from stopclock.operators.stop_metrics import stop_hourly
-from stopclock.operators.traces import MAX_GAP_MS, SAMPLE_ORDER, SLICE_MS, TRACE_KEYS
-from stopclock.session import path_exists
+from stopclock.operators.traces import MAX_GAP_MS, SAMPLE_ORDER, SLICE_MS, TRACE_KEYS, slices_reached
+from stopclock.session import checkpoint_id, folders_matching
 from stopclock.sources import archive, tables
 
 WATERMARK = "10 minutes"
@@ -38,10 +39,15 @@ def position_stream(spark: SparkSession, root: str, files_per_batch: int | None
 
 
 def collect_positions(replies: DataFrame, root: str, checkpoint: str, offset_hours: int = LOCAL_OFFSET_HOURS):
-    """Archives a stream of collection replies. A repeated batch replaces its own files only."""
+    """Archives a stream of collection replies. A repeated batch replaces its own files only.
+
+    Batches are named by the checkpoint's identity and their number, so a stream started anew keeps what
+    an earlier one has collected.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        archive.write_positions(archive.flatten_replies(batch), root, offset_hours, cycle=batch_id)
+        writer = f"{checkpoint_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        archive.write_positions(archive.flatten_replies(batch), root, offset_hours, writer)
 
     return replies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -77,11 +83,11 @@ def pair_stream(samples: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     """Sample pairs of a stream of valid samples, equal to the batch pairs on in-order input.
 
     Traces are cut into the same overlapping time slices as in the batch, so a hot vehicle's
-    state and rows are spread too. State is dropped once no sample could still pair with it.
+    state and rows are spread too. State is dropped once no sample could still pair with it. Samples older
+    than the last one seen of their trace slice, and those behind the watermark, make no pairs here; the batch
+    derivation of the closed day has them.
     """
-    own = F.floor(F.col("ts_ms") / slice_ms)
-    near_end = F.col("ts_ms") >= (own + 1) * slice_ms - MAX_GAP_MS
-    homes = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
+    homes = slices_reached(F.col("ts_ms"), MAX_GAP_MS, slice_ms)
     spread = (
         samples.select(*TRACE_KEYS, *SAMPLE_ORDER, from_epoch_ms(F.col("ts_ms")).alias("sampled_at"), F.explode(homes).alias("slice"))
         .withColumn("home", F.col("slice") == F.floor(F.col("ts_ms") / slice_ms))
@@ -114,23 +120,26 @@ def hourly_counts(arrivals: DataFrame, offset_hours: int = LOCAL_OFFSET_HOURS) -
 def keep_hourly(arrivals: DataFrame, root: str, checkpoint: str, offset_hours: int = LOCAL_OFFSET_HOURS):
     """Stores arriving arrivals and recomputes the stop-hour table of the dates they touch.
 
-    Each batch owns its partition of the store, so a repeated batch changes nothing.
+    Each batch of a checkpoint owns its partition of the store, so a repeated batch changes nothing and
+    a stream started anew adds to what is there.
     """
     store = f"{root}/stream_arrivals"
+    columns = ["service_date", "route_id", "direction", "stop_id", "ts_ms", "delay_s"]
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        columns = ["service_date", "route_id", "direction", "stop_id", "ts_ms", "delay_s"]
+        own = f"b{checkpoint_id(spark, checkpoint)}-{batch_id}"
         (
-            batch.select(*columns, F.lit(batch_id).alias("batch"))
+            batch.select(*columns, F.lit(own).alias("batch"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("service_date", "batch").parquet(store)
         )
-        if not path_exists(spark, store):
-            return
-        touched = [r[0] for r in batch.select("service_date").distinct().collect()]
-        stored = spark.read.parquet(store).where(F.col("service_date").isin(*touched)) if touched else None
-        if stored is not None:
-            tables.write_table(stop_hourly(stored, offset_hours), root, "transit_stop_hourly", ["stop_id", "route_id"])
+        # The dates come from the folders just written, not from computing the batch again.
+        written = [p.getName() for p in folders_matching(spark, f"{store}/service_date=*/batch={own}", parent=True)]
+        touched = sorted(name.removeprefix("service_date=") for name in written)
+        if touched:
+            schema = batch.select(*columns).schema.add("batch", "string")
+            stored = spark.read.schema(schema).parquet(store).where(F.col("service_date").isin(*[dt.date.fromisoformat(d) for d in touched]))
+            tables.write_table(stop_hourly(stored, offset_hours), root, "transit_stop_hourly", ["stop_id", "route_id"], owned=touched)
 
     return arrivals.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)

@@ -55,6 +55,8 @@ def test_deletion(spark):
 def test_merge_keeps_what_is_not_supplied(spark):
     stored = spark.createDataFrame([("k1", "o1", 1.0), ("k2", "o2", 2.0)], "cadastral string, owner string, area double")
     new = spark.createDataFrame([("k1", 5.0, 1), ("k1", None, 2), ("k3", 7.0, 1)], "cadastral string, area double, seq int")
+    with pytest.raises(Exception, match="need an order"):
+        records.merge_records(stored, new.drop("seq"), "cadastral").collect()
     assert rows(records.merge_records(stored, new, "cadastral", "seq")) == [("k1", "o1", None), ("k2", "o2", 2.0), ("k3", None, 7.0)]
 
 
@@ -121,3 +123,10 @@ def test_long_texts(spark):
     assert len(permits.permit_details(df).first().nomenclature) == 5 * 200_000 - 1
     blank = "<p> &nbsp;" * 200_000 + "x"
     assert spark.createDataFrame([(blank,)], "b string").select(tx.plain_text(F.col("b"))).first()[0] == " x"
+
+
+def test_a_group_can_become_empty(spark):
+    stored = spark.createDataFrame([("k1", "a"), ("k1", "b"), ("k2", "c"), ("k3", "d")], "cadastral string, owner string")
+    new = spark.createDataFrame([("k2", "e")], "cadastral string, owner string")
+    gone = spark.createDataFrame([("k1",), ("k9",)], "cadastral string")
+    assert rows(records.replace_groups(stored, new, "cadastral", gone)) == [("k2", "e"), ("k3", "d")]

@@ -199,6 +199,66 @@ def test_a_day_without_files_leaves_no_ledger_row(spark, layout):
     assert tables.read_ledger(spark, layout.tables).count() == 2
 
 
+def test_a_rerun_without_arrivals_empties_the_day(spark, layout, tmp_path):
+    """The snapshot was wrong and is corrected: no stop is where it was, so the day has no arrivals any more."""
+    own = derive.Layout(layout.positions, str(tmp_path / "snapshots"), str(tmp_path / "tables"))
+    derive.derive_days(spark, derive.Layout(layout.positions, layout.snapshots, own.tables), [DAY, NEXT])
+    names = ["transit_stop_daily", "transit_stop_hourly", "transit_segment_weekly"]
+    assert all(tables.read_table(spark, own.tables, n).count() for n in names)
+    put(tmp_path / "snapshots" / "2026-07-10" / "stops.json.gz", json.dumps([{"id": "A", "lat": 1.0, "lon": 1.0, "name": "A"}]))
+    empty = [{"id": "R9", "detail": {"patterns": [{"patternSuffix": "0:01", "firstStop": {"id": "A"}}]}, "polyline": {"encodedValue": LINE},
+              "schedule": {"weekdaySchedules": [{"serviceDates": [], "stops": stop_times("AB", {})}]}}]
+    put(tmp_path / "snapshots" / "2026-07-10" / "routes.json.gz", json.dumps(empty))
+    derive.derive_days(spark, own, [DAY])
+    daily = tables.read_table(spark, own.tables, "transit_stop_daily")
+    assert {r.date for r in daily.select("date").distinct().collect()} == {NEXT}
+    assert {r.service_date for r in archive.read_arrivals_archive(spark, own.arrivals_archive).collect()} == {NEXT}
+    log = {r.date: r.arrivals for r in tables.read_ledger(spark, own.tables).collect()}
+    assert log[DAY] == 0 and log[NEXT] > 0
+    derive.derive_days(spark, own, [DAY, NEXT])
+    assert not any(tables.read_table(spark, own.tables, n).count() for n in names)
+    # A first run that finds nothing completes as well.
+    fresh = derive.Layout(layout.positions, own.snapshots, str(tmp_path / "fresh"))
+    derive.derive_days(spark, fresh, [DAY])
+    assert not any(tables.read_table(spark, fresh.tables, n).count() for n in names)
+
+
+def test_backfill_in_runs_goes_on_where_it_stopped(spark, layout, tmp_path, monkeypatch):
+    whole = derive.Layout(layout.positions, layout.snapshots, str(tmp_path / "whole"))
+    parts = derive.Layout(layout.positions, layout.snapshots, str(tmp_path / "parts"))
+    later = dt.date(2026, 7, 20)
+    assert derive.backfill(spark, whole, later, "merge") == [str(DAY), str(NEXT)]
+    once, runs = derive.derive_days, []
+
+    def failing(spark, layout, days, *rest):
+        runs.append(days)
+        if len(runs) == 2:
+            raise RuntimeError("lost")
+        once(spark, layout, days, *rest)
+
+    monkeypatch.setattr(derive, "derive_days", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        derive.backfill(spark, parts, later, "merge", days_per_job=1)
+    assert derive.backfill(spark, parts, later, "merge", days_per_job=1) == [str(NEXT)]
+    assert runs == [[str(DAY)], [str(NEXT)], [str(NEXT)]]
+    for name in ("transit_stop_daily", "transit_stop_hourly", "transit_segment_weekly"):
+        assert rows(tables.read_table(spark, parts.tables, name)) == rows(tables.read_table(spark, whole.tables, name))
+
+
+def test_a_route_listed_twice_is_its_last_entry_with_a_match(spark):
+    stop = "struct('A' as id, '' as arrivalTimes)"
+    row = "'2026-07-10' as snapshot_date, {pos} as pos, 'R' as id, array(struct('0:01' as patternSuffix, struct('{first}' as id) as firstStop, struct('Q' as id) as lastStop)) as patterns, " \
+          "array(struct(array('x') as serviceDates, array({stop}) as stops)) as sched_fwd, null as sched_rev, '{poly}' as poly_fwd, null as poly_rev"
+    text = " union all ".join("select " + row.format(pos=p, first=f, stop=stop, poly=poly) for p, f, poly in ((0, "A", "a"), (1, "A", LINE.replace("'", "")), (2, "Z", "b")))
+    routes = spark.sql(text.replace("null as sched_rev", "cast(null as array<struct<serviceDates:array<string>,stops:array<struct<id:string,arrivalTimes:string>>>>) as sched_rev").replace("null as poly_rev", "cast(null as string) as poly_rev"))
+    routes = routes.withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
+    days = spark.createDataFrame([(DAY, dt.date(2026, 7, 10))], "service_date date, snapshot_date date")
+    stops = spark.createDataFrame([(dt.date(2026, 7, 10), 0, "A", 41.7, 44.7)], "snapshot_date date, pos int, id string, lat double, lon double")
+    net = network.build_network(days, stops, routes)
+    assert [(r.pattern_suffix, r.direction) for r in net.patterns.collect()] == [("0:01", 1)]
+    assert net.vertices.count() == 14  # the line of the second entry
+
+
 def test_collected_cycle(spark, tmp_path):
     vehicle = {"vehicleId": "v", "lat": 41.7, "lon": 44.78, "nextStopId": "A"}
     data = [("R1", "1", dt.datetime(2026, 7, 12, 20, 30, tzinfo=dt.UTC), {"0:01": [vehicle, vehicle], "1:01": []}),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from dataclasses import replace
 
 import pytest
 from conftest import rows
@@ -248,7 +249,7 @@ def test_nearest_vertex_by_cells_equals_full_search(spark, cell):
         (41.7 + F.pmod(F.hash("id"), F.lit(4001)) / 100_000 - 0.02).alias("lat"),
         (44.78 + F.pmod(F.hash(F.col("id") + 7), F.lit(4001)) / 100_000 - 0.02).alias("lon"),
     )
-    got = {r.id: r.along_m for r in segments.locate_along(samples, net, cell).collect()}
+    got = {r.id: r.along_m for r in segments.locate_along(samples, replace(net, cell_deg=cell)).collect()}
     line = sorted((r.idx, r.lat, r.lon, r.cum_m) for r in vertices.collect())
     for r in samples.collect():
         best = min(line, key=lambda v: ((v[1] - r.lat) * (v[1] - r.lat) + (v[2] - r.lon) * (v[2] - r.lon), v[0]))
@@ -382,3 +383,82 @@ def test_hours_are_elapsed_time_in_any_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert got.s == 30 * 86_400
+
+
+@pytest.mark.parametrize("slice_ms", [1_000, 60_000, 120_000, 360_000, 3_600_000, 86_400_000])
+def test_pairs_for_every_slice_length(spark, slice_ms):
+    samples = spark.range(20).select(
+        F.lit(dt.date(2026, 7, 13)).alias("service_date"), F.lit("v").alias("vehicle_id"), F.lit("r").alias("route_id"), F.lit("p").alias("pattern_suffix"),
+        (F.col("id") * 300_000.0).alias("ts_ms"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.lit("A").alias("next_stop_id"),
+    )
+    assert sample_pairs(samples, slice_ms=slice_ms).count() == 19
+
+
+def test_polylines_with_long_and_negative_numbers(spark):
+    def encoded(numbers):
+        out = ""
+        for n in numbers:
+            n = ~(n << 1) if n < 0 else n << 1
+            while n >= 32:
+                out += chr((32 | (n & 31)) + 63)
+                n >>= 5
+            out += chr(n + 63)
+        return out
+
+    numbers = [(4_170_000, 4_478_000), (-250, 300), (123_456_789_012, -98_765_432_109), (-123_456_789_012, 98_765_432_109), (1, -1)]
+    text = encoded([x for p in numbers for x in p])
+    lines = spark.createDataFrame([("m", text), ("bad", text[:6] + "!" + text[6:]), ("none", None)], "model_id string, encoded string")
+    got = geo.polyline_vertices(lines, ["model_id"], "encoded").orderBy("idx").collect()
+    lat = lon = 0
+    for r, (a, b) in zip(got, numbers, strict=True):
+        lat, lon = lat + a, lon + b
+        assert r.model_id == "m" and (r.lat, r.lon) == (lat / 1e5, lon / 1e5)
+
+
+def test_one_misplaced_vertex_makes_few_cells(spark):
+    line = spark.createDataFrame([("m", 0, 41.7, 44.78, 0.0), ("m", 1, 0.0, 0.0, 1.0), ("m", 2, 41.701, 44.781, 2.0)], "model_id string, idx int, lat double, lon double, cum_m double")
+    cells = network.lookup_cells(line)
+    assert cells.count() < 60
+    net = network.Network(None, None, None, line, cells)
+    off = spark.createDataFrame([("m", 20.0, 22.0), ("m", 41.7, 44.78), ("none", 1.0, 1.0)], "model_id string, lat double, lon double")
+    assert sorted((r.lat, r.along_m) for r in segments.locate_along(off, net).collect()) == [(1.0, None), (20.0, 1.0), (41.7, 0.0)]
+
+
+def test_samples_on_a_cell_are_not_joined_with_lines(spark):
+    """No exchange on a key that is null for most samples, whatever the sizes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line = spark.range(5).selectExpr("'m' as model_id", "cast(id as int) as idx", "41.7 as lat", "44.78 + id / 1000 as lon", "double(id) as cum_m").selectExpr("model_id", "idx", "double(lat) as lat", "double(lon) as lon", "cum_m")
+        net = network.Network(None, None, None, line, network.lookup_cells(line))
+        plan = segments.locate_along(line.select("model_id", "lat", "lon"), net)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "stray" not in plan and "LeftAnti" in plan
+
+
+def test_timetable_text_with_bad_entries(spark):
+    texts = ["06:10,x", "06:10,7", "24:05,,06:1a,08:00", None, ""]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", cal.clock_list_seconds(F.col("t")).alias("s"), cal.bad_clock_entries(F.col("t")).alias("bad")
+    ).orderBy("i").collect()
+    assert [(list(r.s), r.bad) for r in found] == [([22200], 1), ([22200], 1), ([86700, 28800], 1), ([], 0), ([], 0)]
+
+
+def test_all_stops_are_ranked(spark):
+    stats = spark.createDataFrame([("A", 40, 40, 30, 5), ("B", 50, 50, 10, 5), ("C", 5, 5, 1, 1)], "stop_id string, n_obs int, n_matched int, on_time int, late int")
+    stats = stats.withColumns({"delay_med_s": F.lit(1.0), "headway_med_s": F.lit(1.0)})
+    every, one_of_them = history.worst_stops(stats), history.worst_stops(stats, 1)
+    assert every.schema == one_of_them.schema
+    assert [(r.stop_id, r.rank) for r in every.collect()] == [("B", 1), ("A", 2)]
+    assert [(r.stop_id, r.rank) for r in one_of_them.collect()] == [("B", 1)]
+
+
+def test_scratch_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from stopclock.session import scratch_root
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_root(cluster)

@@ -11,7 +11,7 @@ from stopclock.operators.stop_metrics import stop_hourly
 from stopclock.operators.traces import TRACE_KEYS, sample_pairs, valid_samples
 from stopclock.operators.usage import rate_limit_audit
 from stopclock.plans import adapters as ad
-from stopclock.sources import tables
+from stopclock.sources import archive, tables
 from stopclock.streaming import billing, positions, requests
 
 SF = str(TESTDATA / "sf0.001")
@@ -53,10 +53,38 @@ def test_subscription_state(spark, tmp_path):
     events = ad.billing_events(spark, SF)
     stream = replay(spark, events.withColumn("s", F.unix_seconds("received_at").cast("double")), "s", tmp_path / "in", 4)
     finish(billing.keep_state(stream, str(tmp_path / "state"), str(tmp_path / "cp"), kept_versions=2))
-    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["version=2", "version=3"]
+    assert sorted(p.name.split(".")[0] for p in (tmp_path / "state").iterdir()) == ["version=2", "version=3"]
     assert rows(billing.read_state(spark, str(tmp_path / "state"))) == rows(subs.fold_events(events))
 
 
+def test_subscription_state_goes_on_with_a_new_checkpoint(spark, tmp_path):
+    """Each half of the events through a checkpoint of its own; a batch that is repeated changes nothing."""
+    events = ad.billing_events(spark, SF)
+    marked = events.withColumn("s", F.unix_seconds("received_at").cast("double"))
+    halfway = marked.approxQuantile("s", [0.5], 0.0)[0]
+    for i, part in enumerate((marked.where(F.col("s") <= halfway), marked.where(F.col("s") > halfway))):
+        finish(billing.keep_state(replay(spark, part, "s", tmp_path / f"in{i}", 2), str(tmp_path / "state"), str(tmp_path / f"cp{i}")))
+    expected = rows(subs.fold_events(events))
+    assert rows(billing.read_state(spark, str(tmp_path / "state"))) == expected
+    names = sorted(p.name for p in (tmp_path / "state").iterdir())
+    commits = sorted((tmp_path / "cp1" / "commits").glob("[0-9]*"))
+    for path in [*commits[-1:], *(tmp_path / "cp1" / "commits").glob(f".{commits[-1].name}.crc")]:
+        path.unlink()
+    again = spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in1"))
+    finish(billing.keep_state(again, str(tmp_path / "state"), str(tmp_path / "cp1")))
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == names
+    assert rows(billing.read_state(spark, str(tmp_path / "state"))) == expected
+
+
+def test_hourly_table_goes_on_with_a_new_checkpoint(spark, tmp_path):
+    arrivals = ad.event_arrivals(spark, SF)
+    for i in range(2):
+        stream = replay(spark, arrivals.where(F.floor("ts_ms") % 2 == i), "ts_ms", tmp_path / f"in{i}")
+        finish(positions.keep_hourly(stream, str(tmp_path / "t"), str(tmp_path / f"cp{i}"), offset_hours=0))
+    expected = tables.conform(stop_hourly(arrivals, 0), tables.SCHEMAS["transit_stop_hourly"][0])
+    assert rows(tables.read_table(spark, str(tmp_path / "t"), "transit_stop_hourly")) == rows(expected)
+
+
 def test_hourly_table(spark, tmp_path):
     arrivals = ad.event_arrivals(spark, SF)
     stream = replay(spark, arrivals, "ts_ms", tmp_path / "in")
@@ -99,7 +127,19 @@ def test_collection(spark, tmp_path):
     one.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     finish(positions.collect_positions(stream, str(tmp_path / "p"), str(tmp_path / "cp")))
-    assert sorted(p.name for p in (tmp_path / "p").glob("service_date=2026-07-13/cycle=0/*.gz"))
+    assert sorted(p.name for p in (tmp_path / "p").glob("service_date=2026-07-13/cycle=*-0/*.gz"))
+
+
+def test_collection_with_two_checkpoints_keeps_all_samples(spark, tmp_path):
+    schema = "route_id string, short_name string, sampled_at timestamp, reply map<string,array<struct<vehicleId:string,lat:double,lon:double,nextStopId:string>>>"
+    at = F.lit("2026-07-13T05:00:00Z").cast("timestamp")
+    for vehicle in ("a", "b"):
+        found = F.create_map(F.lit("0:01"), F.array(F.struct(F.lit(vehicle).alias("vehicleId"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.lit("A").alias("nextStopId"))))
+        spark.range(1).select(F.lit("R1").alias("route_id"), F.lit("1").alias("short_name"), at.alias("sampled_at"), found.alias("reply")).write.parquet(str(tmp_path / f"in-{vehicle}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in-{vehicle}"))
+        finish(positions.collect_positions(stream, str(tmp_path / "p"), str(tmp_path / f"cp-{vehicle}")))
+    assert sorted(r.vehicle_id for r in archive.read_positions(spark, str(tmp_path / "p")).collect()) == ["a", "b"]
+    assert sorted(r.vehicle_id for r in archive.read_collected_positions(spark, str(tmp_path / "p")).collect()) == ["a", "b"]
 
 
 def test_archive_as_a_stream(spark, tmp_path):
