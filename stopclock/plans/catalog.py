@@ -147,6 +147,17 @@ def worst_stops(spark, sf):
     return history.worst_stops(_all_stats(spark, sf), 2).withColumn("on_time_share", half_up(F.col("on_time_share"), 6))
 
 
+def worst_stops_all(spark, sf):
+    return history.worst_stops(_all_stats(spark, sf)).withColumn("on_time_share", half_up(F.col("on_time_share"), 6))
+
+
+def report_routes(spark, sf):
+    """The routes of an area's report."""
+    daily, hourly = _stop_tables(spark, sf)
+    routes = history.area_report(daily, hourly, STOPS, *SPAN)["routes"]
+    return routes.withColumns({c: half_up(F.col(c), 6) for c in ("on_time_share", "obs_per_day")})
+
+
 def _routes(spark, sf):
     return history.route_measures(_stop_tables(spark, sf)[0], STOPS, *SPAN)
 
@@ -289,9 +300,26 @@ def flattened_replies(spark, sf):
 
 
 def collected_positions(spark, sf):
-    """Replies archived as gzipped lines by local day and minute, and read back as samples."""
+    """Replies archived as gzipped lines by local day, and read back as samples."""
     root = _fresh(spark, "collected")
-    archive.write_positions(archive.flatten_replies(ad.order_replies(spark, sf)), root)
+    archive.write_positions(archive.flatten_replies(ad.order_replies(spark, sf)), root, whole_days=True)
+    return _collected(spark, root)
+
+
+def collected_twice(spark, sf):
+    """The replies in two streams with checkpoints of their own on one archive, by local day and minute; none replaces the other's."""
+    root, replies = _fresh(spark, "collected"), _fresh(spark, "replies")
+    # Replies of few minutes, as every minute is a folder.
+    hourly = ad.order_replies(spark, sf).withColumn("sampled_at", F.date_trunc("hour", "sampled_at"))
+    for half in range(2):
+        path = f"{replies}/{half}"
+        hourly.where(F.length("route_id") % 2 == half).write.parquet(path)
+        writer = positions.collect_positions(spark.readStream.schema(hourly.schema).parquet(path), root, _fresh(spark, "collected-checkpoint"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return _collected(spark, root)
+
+
+def _collected(spark: SparkSession, root: str) -> DataFrame:
     samples = valid_samples(archive.read_collected_positions(spark, root))
     return samples.groupBy("service_date", "pattern_suffix").agg(
         F.count("*").alias("samples"), F.min("ts_ms").cast("long").alias("first_ms"), F.max("ts_ms").cast("long").alias("last_ms"),
@@ -348,7 +376,7 @@ def stored_ledger(spark, sf):
 def _derive_job(spark, sf, weekly_mode: str) -> Layout:
     """Positions archived as files, then the whole derivation job over them."""
     layout = Layout(_fresh(spark, "positions"), _fresh(spark, "snapshots"), _fresh(spark, "derived"))
-    archive.write_positions(ad.position_lines(ad.event_positions(spark, sf, days=3)), layout.positions)
+    archive.write_positions(ad.position_lines(ad.event_positions(spark, sf, days=3)), layout.positions, whole_days=True)
     days = [r[0] for r in archive.archived_days(spark, layout.positions).collect()]
     derive_days(spark, layout, days, weekly_mode, network=ad.line_network(spark, days=3))
     return layout
@@ -368,6 +396,14 @@ def derive_job_ledger(spark, sf):
     return ledger.select("*", weekly.scalar().alias("traversals"))
 
 
+def derive_job_rerun(spark, sf):
+    """The job run again over days it has derived: its tables stay as they were."""
+    layout = _derive_job(spark, sf, "last_day")
+    days = [r[0] for r in archive.archived_days(spark, layout.positions).collect()]
+    derive_days(spark, layout, days, "last_day", network=ad.line_network(spark, days=3))
+    return tables.read_table(spark, layout.tables, "transit_stop_daily").withColumn("direction", F.col("direction").cast("int"))
+
+
 def exported_features(spark, sf):
     """Stop results as GeoJSON lines, written, read back and taken apart."""
     root = _fresh(spark, "export")
@@ -407,6 +443,20 @@ def history_sql(spark, sf):
     """)
 
 
+def history_sql_hourly(spark, sf):
+    """The hourly SQL function."""
+    daily, hourly = _stop_tables(spark, sf)
+    sql.register(spark, daily, hourly, ad.event_arrivals(spark, sf).select(F.col("service_date").alias("date")).distinct())
+    return spark.sql("SELECT * FROM transit_history_hourly(array('S0', 'S1'), DATE'2024-01-03', DATE'2024-01-28', 'weekday')")
+
+
+def billing_files(spark, sf):
+    """Billing events written as JSON lines, read back and folded."""
+    root = _fresh(spark, "billing")
+    ad.billing_events(spark, sf).write.option("ignoreNullFields", "false").json(root)
+    return _state_columns(subs.fold_events(tables.read_billing_events(spark.read, root), None, "server"))
+
+
 # Streams: the whole input in the files available now
 
 def _streamed(spark, sf, table: str) -> DataFrame:
@@ -446,6 +496,27 @@ def stream_hourly_counts(spark, sf):
     return found.withColumnRenamed("service_date", "date")
 
 
+def stream_state_resumed(spark, sf):
+    """Earlier and later events through two checkpoints: the second stream goes on from the first one's state."""
+    root = _fresh(spark, "state")
+    events = ad.billing_of(_streamed(spark, sf, "events"))
+    halfway = F.lit("2024-01-16T00:00:00Z").cast("timestamp")
+    for part in (events.where(F.col("received_at") < halfway), events.where(F.col("received_at") >= halfway)):
+        writer = billing.keep_state(part, root, _fresh(spark, "state-checkpoint"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return _state_columns(billing.read_state(spark, root))
+
+
+def stream_hourly_medians(spark, sf):
+    """The stop-hour table with exact medians, kept up from a stream of arrivals."""
+    root = _fresh(spark, "hourly")
+    arrivals = ad.arrivals_of(_streamed(spark, sf, "events"))
+    writer = positions.keep_hourly(arrivals, root, _fresh(spark, "hourly-checkpoint"), offset_hours=0)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    table = tables.read_table(spark, root, "transit_stop_hourly")
+    return table.select(*[F.col(n).cast("int").alias(n) if t == "smallint" else F.col(n) for n, t in table.dtypes])
+
+
 def stream_subscription_state(spark, sf):
     root = _fresh(spark, "state")
     writer = billing.keep_state(ad.billing_of(_streamed(spark, sf, "events")), root, _fresh(spark, "state-checkpoint"))
@@ -570,6 +641,21 @@ def replace_groups(spark, sf):
     return records.replace_groups(existing, incoming, "cadastral")
 
 
+def emptied_groups(spark, sf):
+    """Customers of a segment replaced by that segment's rows above a balance; named segments become empty."""
+    customers = ad.load(spark, sf, "customer").select(F.col("c_mktsegment").alias("cadastral"), F.col("c_custkey").alias("owner_id"), "c_acctbal")
+    incoming = customers.where((F.col("cadastral") == "BUILDING") & (F.col("c_acctbal") > 5000))
+    gone = customers.where(F.col("cadastral") == "MACHINERY").select("cadastral").distinct()
+    return records.replace_groups(customers, incoming, "cadastral", gone).select("cadastral", "owner_id")
+
+
+def consented_profiles(spark, sf):
+    """Profiles with the consents of billing events applied."""
+    profiles = ad.customer_profiles(spark, sf)
+    profiles = profiles.withColumn("marketing_consent", F.lit(None).cast("boolean")) if "marketing_consent" not in profiles.columns else profiles
+    return subs.apply_consents(profiles, subs.marketing_consents(ad.billing_events(spark, sf))).select("id", "marketing_consent")
+
+
 def owner_batches(spark, sf):
     """Turns of conversations as batches: one full row, some malformed on purpose, then up to 119 short ones."""
     first = (
@@ -703,6 +789,8 @@ QUERIES: dict[str, Query] = {
     "area_medians": area_medians,
     "stop_measures": stop_measures,
     "worst_stops": worst_stops,
+    "worst_stops_all": worst_stops_all,
+    "report_routes": report_routes,
     "route_measures": route_measures,
     "worst_route": worst_route,
     "sample_pairs": sample_pair_rows,
@@ -719,6 +807,7 @@ QUERIES: dict[str, Query] = {
     "routes_with_patterns": routes_with_patterns,
     "flattened_replies": flattened_replies,
     "collected_positions": collected_positions,
+    "collected_twice": collected_twice,
     "arrivals_archive": arrivals_archive,
     "stored_history": stored_history,
     "stored_hourly": stored_hourly,
@@ -726,13 +815,18 @@ QUERIES: dict[str, Query] = {
     "stored_ledger": stored_ledger,
     "derive_job_daily": derive_job_daily,
     "derive_job_ledger": derive_job_ledger,
+    "derive_job_rerun": derive_job_rerun,
     "exported_features": exported_features,
     "exported_csv": exported_csv,
     "history_sql": history_sql,
+    "history_sql_hourly": history_sql_hourly,
+    "billing_files": billing_files,
     "stream_rate_limit": stream_rate_limit,
     "stream_sample_pairs": stream_sample_pairs,
     "stream_hourly_counts": stream_hourly_counts,
     "stream_subscription_state": stream_subscription_state,
+    "stream_state_resumed": stream_state_resumed,
+    "stream_hourly_medians": stream_hourly_medians,
     "snapshot_asof": snapshot_asof,
     "pending_days": pending,
     "subscription_state": _state("server"),
@@ -755,6 +849,8 @@ QUERIES: dict[str, Query] = {
     "purged_users": purged_users,
     "merge_records": merge_records,
     "replace_groups": replace_groups,
+    "emptied_groups": emptied_groups,
+    "consented_profiles": consented_profiles,
     "owner_batches": owner_batches,
     "parcel_checks": parcel_checks,
     "page_text": page_text,

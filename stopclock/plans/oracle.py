@@ -397,6 +397,19 @@ def oracle_sql() -> dict[str, str]:
         "collected_positions": f"""WITH {REPLIES}, local AS (SELECT *, sampled + INTERVAL 4 HOUR AS l, epoch_ms(sampled) AS ms FROM lines)
             SELECT CAST(CAST(l AS DATE) AS VARCHAR) AS service_date, p AS pattern_suffix, count(*) AS samples, min(ms) AS first_ms, max(ms) AS last_ms,
             count(DISTINCT vehicle) AS vehicles FROM local WHERE hour(l) >= 6 OR hour(l) < 1 GROUP BY ALL""",
+        "collected_twice": f"""WITH {REPLIES}, local AS (SELECT *, date_trunc('hour', sampled) + INTERVAL 4 HOUR AS l, epoch_ms(date_trunc('hour', sampled)) AS ms FROM lines)
+            SELECT CAST(CAST(l AS DATE) AS VARCHAR) AS service_date, p AS pattern_suffix, count(*) AS samples, min(ms) AS first_ms, max(ms) AS last_ms,
+            count(DISTINCT vehicle) AS vehicles FROM local WHERE hour(l) >= 6 OR hour(l) < 1 GROUP BY ALL""",
+        "derive_job_rerun": text_date(f"WITH {positions(3, True)}, {PAIRS}, {ARRIVALS}, {daily('arr')} SELECT * FROM daily", "date"),
+        "history_sql_hourly": f"WITH {ARR}, {hourly('arr')} {HOUR_PROFILE} {PICKED} AND isodow(date) <= 5 GROUP BY hour",
+        "billing_files": state("server"),
+        "stream_state_resumed": state("server"),
+        "stream_hourly_medians": text_date(f"WITH {ARR}, {hourly('arr')} SELECT * FROM hourly", "date"),
+        "report_routes": f"WITH {ARR}, {daily('arr')}, {ROUTES} SELECT * FROM routes",
+        "worst_stops_all": f"""{ALL_STATS}, {MEASURED} SELECT stop_id, n_matched, {half_up('on_time_share', 6)} AS on_time_share,
+            CAST(row_number() OVER (ORDER BY on_time_share, stop_id) AS INTEGER) AS rank FROM measured WHERE NOT insufficient""",
+        "emptied_groups": """SELECT c_mktsegment AS cadastral, c_custkey AS owner_id FROM customer
+            WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR (c_mktsegment = 'BUILDING' AND c_acctbal > 5000)""",
         "arrivals_archive": f"""WITH {ARR} SELECT CAST(service_date AS VARCHAR) AS service_date, stop_id AS stop, route_id AS route, direction AS dir,
             strftime(make_timestamp(CAST(ts_ms * 1000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, delay_s AS delay FROM arr""",
         "stored_history": history("all", "all"),

@@ -138,15 +138,17 @@ def flatten_replies(replies: DataFrame) -> DataFrame:
 
 
 def write_positions(
-    lines: DataFrame, root: str, offset_hours: int = LOCAL_OFFSET_HOURS, writer: str | None = None
+    lines: DataFrame, root: str, offset_hours: int = LOCAL_OFFSET_HOURS, writer: str | None = None, whole_days: bool = False
 ) -> None:
     """Archives collected lines under their local date and ``HHMM``, the key of a collection cycle.
 
     Lines outside service hours are not collected; nothing to collect writes no rows. Writing a cycle again
     replaces just that cycle. A cycle that several writers fill in parts, as the batches of a stream do, has
-    one folder per ``writer``, and each replaces its own only.
+    one folder per ``writer``, and each replaces its own only. ``whole_days`` is for loading an archive: each
+    local date is one cycle, which spares a folder per minute.
     """
     day, minute = local_key_parts(F.col("ts_ms"), offset_hours)
+    minute = F.lit("all") if whole_days else minute
     cycle = minute if writer is None else F.concat(minute, F.lit(f"-{writer}"))
     kept = lines.where(in_service_hours(local_hour(F.col("ts_ms"), offset_hours)))
     (
