@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopclock.llm.components import components
-from stopclock.llm.shared import checkpointed, id_back, id_of, key_bits, split_by_bits
+from stopclock.llm.shared import checkpointed, id_back, id_of, key_bits, map_batches, split_by_bits
 from stopclock.llm.words import SPACES, mix, rolling, words_of
 
 #: Values kept of each shingle set: its ``K`` least hashes.
 K = 48
-#: Members of one inverted list that are compared in one task, as one block with another.
+#: Members of one group of inverted lists that are compared in one task, as one block with another.
 BLOCK = 512
 #: Shingles of a block's members, about: a block of long texts has fewer members.
 BLOCK_SHINGLES = 400_000
@@ -113,7 +113,7 @@ def _maybe(sketch: np.ndarray, others: np.ndarray, owner: np.ndarray, sizes: np.
 
 
 def _candidates(percent: int):
-    """For one pair of blocks of an inverted list: the members that may be similar to a member of another class."""
+    """For one pair of blocks of a group of inverted lists: the members that may be similar to a member of another class."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sketches = [np.asarray(s, np.int64).view(np.uint64) for s in group["sketch"]]
@@ -128,7 +128,7 @@ def _candidates(percent: int):
                 if maybe.any():
                     wanted |= maybe
                     wanted[i] = True
-        return group.loc[wanted, ["v", "i", "j", "c", "label", "side"]]
+        return group.loc[wanted, ["g", "i", "j", "c", "label", "side"]]
 
     return run
 
@@ -209,33 +209,35 @@ def similar_links(rows: DataFrame, classes: DataFrame, percent: int, words: int)
     ends = pairs.select(F.col("a").alias("e")).union(pairs.select("b"))
     texts = checkpointed(_texts_of(rows, classes, ends, "e"))
     paired = _with_text(_with_text(pairs, "a", texts, "text_a"), "b", texts, "text_b")
-    first = checkpointed(paired.mapInArrow(_verified(percent, words), "a long, b long"))
+    first = checkpointed(map_batches(paired, _verified(percent, words), "a long, b long"))
 
-    # Then the lists that still hold several components, in pairs of blocks.
+    # Then the lists whose members are not one component yet, in pairs of blocks.
     labels = checkpointed(components(first))
     labelled = checkpointed(
         members.join(labels, F.col("c") == F.col("node"), "left").select("v", "c", "n", "head", F.coalesce("component", "c").alias("label"))
     )
     head_label = labelled.where("c = head").groupBy(F.col("v").alias("hv")).agg(F.min("label").alias("inner"))
-    placed = labelled.join(checkpointed(head_label), F.col("v") == F.col("hv")).select("v", "c", "n", "label", (F.col("label") != F.col("inner")).alias("out"))
+    # Lists with heads of one component are one group: they are mostly lists of the same copies of a text.
+    placed = labelled.join(checkpointed(head_label), F.col("v") == F.col("hv")).select(F.col("inner").alias("g"), "c", "n", "label", (F.col("label") != F.col("inner")).alias("out"))
+    placed = checkpointed(placed.distinct())
     count = lambda side: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(side.cast("int")) / BLOCK, F.sum(F.when(side, F.col("n"))) / BLOCK_SHINGLES))).cast("int")
-    several = placed.groupBy("v").agg(F.max("out").alias("more"), count(F.col("out")).alias("outer"), count(~F.col("out")).alias("inside")).where("more")
-    several = checkpointed(several.select(F.col("v").alias("sv"), "outer", "inside"))
+    several = placed.groupBy("g").agg(F.max("out").alias("more"), count(F.col("out")).alias("outer"), count(~F.col("out")).alias("inside")).where("more")
+    several = checkpointed(several.select(F.col("g").alias("sg"), "outer", "inside"))
     # Members of the head's component are one another's already: they meet the blocks of the others only.
     hashed = F.xxhash64("c")
     blocked = (
-        placed.join(several, F.col("v") == F.col("sv"))
+        placed.join(several, F.col("g") == F.col("sg"))
         .withColumn("block", F.when(F.col("out"), F.pmod(hashed, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hashed, F.col("inside"))).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("out"), F.col("outer") + F.col("inside")).otherwise(F.col("outer")) - 1)))
     )
     each = blocked.select(
-        "v", "c", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "g", "c", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     ).join(classes.select(F.col("c").alias("_c"), "n", "sketch"), F.col("c") == F.col("_c"))
-    asked = checkpointed(each.groupBy("v", "i", "j").applyInPandas(_candidates(percent), "v long, i int, j int, c long, label long, side int"))
+    asked = checkpointed(each.groupBy("g", "i", "j").applyInPandas(_candidates(percent), "g long, i int, j int, c long, label long, side int"))
     second_texts = _texts_of(rows, classes, asked, "c").select(F.col("d").alias("_d"), "text")
     second = (
-        asked.join(second_texts, F.col("c") == F.col("_d")).drop("_d").groupBy("v", "i", "j").applyInPandas(_links(percent, words), "a long, b long")
+        asked.join(second_texts, F.col("c") == F.col("_d")).drop("_d").groupBy("g", "i", "j").applyInPandas(_links(percent, words), "a long, b long")
     )
     return first.union(second)
 
@@ -255,7 +257,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 keep[i] = _maybe(sa, sb, np.zeros(len(sb), np.int64), np.array([len(sb)]), int(na[i]), nb[i : i + 1], percent)[0]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return map_batches(both, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,15 +271,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, id_col:
     hash function. Inverted lists hold, of every sketch, the rarest values, so many that similar sets share one;
     values that many unlike texts have in common are left out by this without losing a pair. The sketch of the union
     rules pairs out, and whole sets decide. Two rounds spare the pairs inside a group: first every member of a list is compared
-    with its most typical one and components are formed; then only lists with several components are
-    compared again, in pairs of bounded blocks that give back links, not pairs.
+    with its most typical one and components are formed; then lists that are not one component yet are
+    compared again, those of one head together, in pairs of bounded blocks that give back links, not pairs.
 
     Null, empty and blank texts have no shingles and are linked with nothing, not even each other; repeated rows
     have one class and each is kept if its id is the least. A null id counts as smaller than all others. An empty
     table gives no rows; other columns are ignored.
     """
     rows = docs.select(id_of(id_col).alias("d"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
-    made = checkpointed(rows.mapInArrow(_sketches(words), "d long, t long, n long, s1 long, s2 long, sketch array<long>"))
+    made = checkpointed(map_batches(rows, _sketches(words), "d long, t long, n long, s1 long, s2 long, sketch array<long>"))
     heads = made.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "t")).alias("h"))
     heads = checkpointed(heads.select(F.col("h.d").alias("c"), F.col("h.t").alias("ht"), F.col("n").alias("hn"), F.col("s1").alias("h1"), F.col("s2").alias("h2")))
     same = (F.col("n") == F.col("hn")) & (F.col("s1") == F.col("h1")) & (F.col("s2") == F.col("h2"))

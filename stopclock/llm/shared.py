@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stopclock.session import scratch_root
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 #: Stands for a null id inside the operators: it counts as smaller than every other id.
 NO_ID = -(1 << 63)
 
@@ -25,6 +31,18 @@ def id_back(column: Column) -> Column:
     return F.when(column != NO_ID, column)
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most about ``BATCH_BYTES``, so that long texts don't fill a worker.
+
+    The limit is a setting of the session and stays set; one that is lower already is kept.
+    """
+    conf = df.sparkSession.conf
+    now = re.fullmatch(r"(-?\d+)b?", conf.get(BATCH_SETTING))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files in the shared folder, which outlive lost executors."""
     context = df.sparkSession.sparkContext
