@@ -652,7 +652,6 @@ def emptied_groups(spark, sf):
 def consented_profiles(spark, sf):
     """Profiles with the consents of billing events applied."""
     profiles = ad.customer_profiles(spark, sf)
-    profiles = profiles.withColumn("marketing_consent", F.lit(None).cast("boolean")) if "marketing_consent" not in profiles.columns else profiles
     return subs.apply_consents(profiles, subs.marketing_consents(ad.billing_events(spark, sf))).select("id", "marketing_consent")
 
 

@@ -408,6 +408,10 @@ def oracle_sql() -> dict[str, str]:
         "report_routes": f"WITH {ARR}, {daily('arr')}, {ROUTES} SELECT * FROM routes",
         "worst_stops_all": f"""{ALL_STATS}, {MEASURED} SELECT stop_id, n_matched, {half_up('on_time_share', 6)} AS on_time_share,
             CAST(row_number() OVER (ORDER BY on_time_share, stop_id) AS INTEGER) AS rank FROM measured WHERE NOT insufficient""",
+        "consented_profiles": f"""WITH {BILLING}, given AS (SELECT user_id, arg_max(consent, (at_us, event_id)) AS given FROM ev
+            WHERE kind IN ('completed', 'activated') GROUP BY user_id)
+            SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(given, c_custkey % 2 = 0) AS marketing_consent
+            FROM customer LEFT JOIN given ON user_id = CAST(c_custkey AS VARCHAR)""",
         "emptied_groups": """SELECT c_mktsegment AS cadastral, c_custkey AS owner_id FROM customer
             WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR (c_mktsegment = 'BUILDING' AND c_acctbal > 5000)""",
         "arrivals_archive": f"""WITH {ARR} SELECT CAST(service_date AS VARCHAR) AS service_date, stop_id AS stop, route_id AS route, direction AS dir,
