@@ -42,6 +42,9 @@ HEADLINE = [
     "quota_status",
     "diversity_index",
     "relief_summary",
+    "derive_job_daily",
+    "history_sql",
+    "stream_sample_pairs",
 ]
 
 
