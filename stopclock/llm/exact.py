@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopclock.llm.shared import checkpointed
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
@@ -29,9 +31,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
     )
     whole = salted.groupBy("text_sha256", "_text").agg(F.max("_id").alias("_id"), F.sum("_n").alias("_n"))
+    # A written table: a join of two plain inputs, so a digest that many rows have can be split.
     winners = whole.groupBy(F.col("text_sha256").alias("_digest")).agg(
         F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"), F.count(F.lit(1)).alias("_texts")
     )
+    winners = checkpointed(winners)
     clash = F.raise_error(F.lit("two texts with one SHA-256 digest"))
     return (
         rows.drop("_text")

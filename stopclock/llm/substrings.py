@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopclock.llm.shared import checkpointed, id_back, id_of, key_bits, split_by_bits
+from stopclock.llm.shared import checkpointed, id_back, id_of, key_bits, map_batches, split_by_bits
 from stopclock.llm.words import SPACES, Step, rolling, words_of
 
 #: Words in the grams that the reference index is keyed by; every window of ``width`` words holds an indexed gram.
@@ -95,7 +95,7 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
 
     Only rows with such a window are listed, and rows with equal ``d`` and ``t`` once.
     """
-    index = rows.mapInArrow(_index_rows(width), "gram long, d long, t long, at int")
+    index = map_batches(rows, _index_rows(width), "gram long, d long, t long, at int")
     stats = index.groupBy("gram").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("n"))
     shared = checkpointed(stats.where("low < high").select(F.col("gram").alias("g"), "n"))
     places = (
@@ -108,14 +108,14 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
     places = checkpointed(places)
     some, _ = split_by_bits(rows, ["d", "t"], key_bits(places, ["pd", "pt"]))
     texts = some.dropDuplicates(["d", "t"]).join(places, (F.col("d") == F.col("pd")) & (F.col("t") == F.col("pt")))
-    windows = texts.select("d", "v", "text", "places", "counts").mapInArrow(_window_rows(width), "w1 long, w2 int, salt int, d long, v int, at int")
+    windows = map_batches(texts.select("d", "v", "text", "places", "counts"), _window_rows(width), "w1 long, w2 int, salt int, d long, v int, at int")
     before = Window.partitionBy("w1", "w2", "salt").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Within a salt the first row with the least id is decided by the other salts, if there are any.
     within = checkpointed(windows.withColumn("low", F.min("d").over(before)).where((F.col("low") < F.col("d")) | (F.col("salt") >= 0)))
     sure = within.where("low < d").select("d", "v", "at")
     across = within.where("low = d")
-    least = across.groupBy("w1", "w2").agg(F.min("d").alias("least"))
-    more = across.join(least, ["w1", "w2"]).where("least < d").select("d", "v", "at")
+    least = checkpointed(across.groupBy("w1", "w2").agg(F.min("d").alias("least")).select(F.col("w1").alias("l1"), F.col("w2").alias("l2"), "least"))
+    more = across.join(least, (F.col("w1") == F.col("l1")) & (F.col("w2") == F.col("l2"))).where("least < d").select("d", "v", "at")
     starts = sure.union(more).groupBy("d", "v").agg(F.collect_set("at").alias("starts"))
     names = places.select("pd", "pt", F.col("v").alias("pv"))
     return starts.join(names, (F.col("d") == F.col("pd")) & (F.col("v") == F.col("pv"))).select("d", F.col("pt").alias("t"), "starts")
@@ -184,7 +184,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     none = F.lit(None).cast("array<int>").alias("starts")
     schema = "d long, n_words long, n_removed long, kept_sha256 string, factors array<int>"
     hit = some.join(found, (F.col("d") == F.col("fd")) & (F.col("t") == F.col("ft")), "left").select("d", "text", "starts")
-    out = hit.mapInArrow(_report(width), schema).union(others.select("d", "text", none).mapInArrow(_report(width), schema))
+    out = map_batches(hit, _report(width), schema).union(map_batches(others.select("d", "text", none), _report(width), schema))
     return out.select(id_back(F.col("d")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "factors")
 
 
