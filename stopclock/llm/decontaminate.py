@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stopclock.llm.shared import map_batches
 from stopclock.llm.words import MARKS, Step, words_of
 
 #: Bytes of item text in one automaton. Larger benchmarks get several automata, and documents pass them in turn.
@@ -144,7 +145,8 @@ def _hashes(texts: list[str]) -> list[np.ndarray]:
 def automata(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[Automaton]:
     """One automaton per block of items; the driver holds one block's items at a time."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # An item longer than a block counts as one block.
+    total = items.agg(F.sum(F.least(F.octet_length("text"), F.lit(block_bytes)))).first()[0] or 0
     blocks = -(-total // block_bytes)
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()
@@ -154,8 +156,11 @@ def automata(benchmark: DataFrame, id_col: str, text_col: str, width: int, block
             yield Automaton(known, width)
 
 
-def _pass(automaton: Automaton | None):
-    """A map over batches of ``_text, _n, _spans, _items``, adding what one automaton finds."""
+def _pass(automaton: Automaton | None, most: float | None = None):
+    """A map over batches of ``_text, _n, _spans, _items``, adding what one automaton finds.
+
+    With ``most``, spans are cut out of the texts of which they cover no larger share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,16 +188,41 @@ def _pass(automaton: Automaton | None):
                             spans[at] = [v for pair in merged(both) for v in pair]
                             items[at] = sorted({*items[at], *(automaton.names[i] for i in which)})
                         x = stop
-            fresh = {"_n": pa.array(n, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string()))}
+            if most is not None and any(spans):
+                new = texts.to_pylist()
+                for step in words_of(texts, MARKS):
+                    for i in step.rows:
+                        own = spans[step.first_row + i]
+                        if own and sum(own[1::2]) - sum(own[::2]) <= most * n[step.first_row + i]:
+                            new[step.first_row + i] = _cut(step, i, own)
+                texts = pa.array(new, texts.type)
+            fresh = {"_text": texts, "_n": pa.array(n, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([fresh.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], names=batch.schema.names)
 
     return run
 
 
+def _scanned(
+    docs: DataFrame, benchmark: DataFrame, keep: list[Column], width: int, text_col: str,
+    item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, most: float | None = None,
+) -> DataFrame:
+    """The columns ``keep`` with ``_text, _n, _spans, _items`` after a pass through every automaton; the last one cuts."""
+    rows = docs.select(
+        *keep, F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("_n"),
+        F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items"),
+    )
+    schema, last = rows.schema, None
+    for automaton in automata(benchmark, item_id, item_text, width, block_bytes):
+        if last is not None:
+            rows = map_batches(rows, _pass(last), schema)
+        last = automaton
+    return map_batches(rows, _pass(last, most), schema)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, keep: list[Column], width: int = 10, text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
+) -> DataFrame:
     """The columns ``keep`` of every document with ``n_words``, ``spans`` and ``items``.
 
     Texts are lower-cased (A-Z) and cut into words of digits, letters and non-ASCII characters. A window is ``width``
@@ -207,16 +237,7 @@ def contamination(
     Null and empty texts have no words and no hits; items without words match nothing, null item ids are named
     ``null``, and items that share an id count once. Repeated rows are treated alike; an empty benchmark hits nothing.
     """
-    rows = docs.select(
-        *keep, F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("_n"),
-        F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items"),
-    )
-    schema = rows.schema
-    any_block = False
-    for automaton in automata(benchmark, item_id, item_text, width, block_bytes):
-        rows, any_block = rows.mapInArrow(_pass(automaton), schema), True
-    if not any_block:
-        rows = rows.mapInArrow(_pass(None), schema)
+    rows = _scanned(docs, benchmark, keep, width, text_col, item_id, item_text, block_bytes)
     return rows.select(*rows.columns[: len(keep)], F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 
 
@@ -244,28 +265,15 @@ def without_spans(
     Words of a span are removed with what stands between them; the rest of the text stays as it was. ``n_chars``, where
     present, follows the new text. Documents without a hit, and those without words, are returned unchanged.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    found = contamination(docs, benchmark, [row], width, text_col)
-    share = span_words(F.col("spans")) / F.greatest(F.col("n_words"), F.lit(1))
-    rows = found.where(share <= max_share).select("row", F.col("row")[text_col].cast("string").alias("text"), "spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            if any(spans):
-                texts = batch.column("text").to_pylist()
-                for step in words_of(batch.column("text"), MARKS):
-                    for i in step.rows:
-                        if spans[step.first_row + i]:
-                            texts[step.first_row + i] = _cut(step, i, spans[step.first_row + i])
-                batch = batch.set_column(1, batch.schema.field(1), pa.array(texts, batch.schema.field(1).type))
-            yield batch
-
-    cleaned = rows.mapInArrow(cut, rows.schema).withColumn("row", F.col("row").withField(text_col, F.col("text")))
-    if "n_chars" in docs.columns:
-        chars = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
-        cleaned = cleaned.withColumn("row", F.when(F.size("spans") > 0, F.col("row").withField("n_chars", chars)).otherwise(F.col("row")))
-    return cleaned.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text_col}
+    found = _scanned(docs, benchmark, [F.col(f"`{c}`").alias(own) for c, own in place.items()], width, text_col, most=max_share)
+    share = span_words(F.col("_spans")) / F.greatest(F.col("_n"), F.lit(1))
+    cleaned = found.where(share <= max_share).select(F.col("_text").alias("text"), F.col("_spans").alias("spans"), *place.values())
+    columns = {c: F.col(own) for c, own in place.items()} | {text_col: F.col("text").cast(docs.schema[text_col].dataType)}
+    if "n_chars" in place:
+        chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.size("spans") > 0, chars).otherwise(columns["n_chars"])
+    return cleaned.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def _cut(step: Step, row: int, spans: list[int]) -> str:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopclock.llm.shared import checkpointed
+from stopclock.llm.shared import checkpointed, map_batches
 from stopclock.llm.words import mix, powers, texts_of, word_bounds, word_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -19,7 +19,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PART = 32
 UNKNOWN = "und"
 #: Bytes of text whose words are scored together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 
 #: After lower-casing, words are runs of a-z and of all bytes of non-ASCII characters.
 OTHERS = np.ones(256, bool)
@@ -198,10 +198,10 @@ def fit(
             values = [data[a:b].tobytes() for a, b in zip(starts[word].tolist(), ends[word].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(key // (len(starts) + 1), pa.int64()), pa.array(values, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    words = checkpointed(sample.mapInArrow(count, "lang long, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = checkpointed(map_batches(sample, count, "lang long, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     chances = np.full((len(pieces), len(languages)), 1 / len(pieces))
     for _ in range(rounds):
-        summed = words.mapInArrow(_expect(pieces, chances), "lang long, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        summed = map_batches(words, _expect(pieces, chances), "lang long, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         uses = np.full(chances.shape, 0.01)
         np.add.at(uses, (summed["piece"].to_numpy(np.int64), summed["lang"].to_numpy(np.int64)), summed["n"].to_numpy())
         chances = uses / uses.sum(axis=0)
@@ -230,6 +230,12 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def _without_ascii_letter(texts: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """Those of the marked rows that hold no letter of ASCII."""
+    ascii_letter = pc.fill_null(pc.match_substring_regex(texts, "[A-Za-z]"), False).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(rows & ~ascii_letter)
+
+
 def classify(rows: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (the chance of that language given the text) to every row.
 
@@ -245,22 +251,23 @@ def classify(rows: DataFrame, model: Model | None, text_col: str = "text") -> Da
             score = np.zeros(batch.num_rows)
             if model is not None:
                 data, starts, ends, which, first = _distinct_words(texts)
-                logs = np.vstack([log_likelihoods(model.pieces, model.chances, data, starts, ends), np.zeros(len(model.languages))])
-                sums = np.cumsum(np.vstack([np.zeros(len(model.languages)), logs[which]]), axis=0)
-                own = sums[first[1:]] - sums[first[:-1]] + np.log(model.shares)
+                logs = log_likelihoods(model.pieces, model.chances, data, starts, ends)
+                own = np.tile(np.log(model.shares), (batch.num_rows, 1))
+                for k in range(len(model.languages)):
+                    sums = np.concatenate([[0.0], np.cumsum(logs[which, k])])
+                    own[:, k] += sums[first[1:]] - sums[first[:-1]]
                 chance = np.exp(own - own.max(axis=1, keepdims=True))
                 chance /= chance.sum(axis=1, keepdims=True)
                 best = chance.argmax(axis=1)
-                plain = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
-                offsets = texts_of(pc.utf8_lower(texts))[1]
-                sure = plain[offsets[1:]] > plain[offsets[:-1]]
-                for i in np.flatnonzero(~sure & (first[1:] > first[:-1])):
+                sure = first[1:] > first[:-1]
+                # Words of non-ASCII characters alone may be signs without a letter.
+                for i in _without_ascii_letter(texts, sure):
                     sure[i] = _has_letter(texts[int(i)].as_py())
                 languages[sure] = np.array(model.languages, object)[best[sure]]
                 score[sure] = chance[sure, best[sure]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def identify(docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -275,7 +282,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000,
 
 def known_language(docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000, least: float = 0.0) -> DataFrame:
     """The documents whose language was recognised with a score of ``least`` or more, with their columns unchanged."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("text").cast("string").alias("text"))
-    kept = classify(rows, fit(docs, path, per_language)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    found = classify(rows, fit(docs, path, per_language), f"c{docs.columns.index('text')}")
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from stopclock.session import scratch_root
 
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Stands for a null id inside the operators: it counts as smaller than every other id.
 NO_ID = -(1 << 63)
 

@@ -15,13 +15,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stopclock.llm.shared import checkpointed
+from stopclock.llm.shared import checkpointed, map_batches
 from stopclock.llm.words import mix, texts_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern of the vocabulary, and the id that is free for the end of a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
+#: Sequences that a task hands on together.
+_TOGETHER = 4096
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -70,25 +72,31 @@ def _sequences(ranks: dict[bytes, int], length: int, starts: dict[int, int], ord
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         at = starts[TaskContext.get().partitionId()]
+        places, owners, nth, sizes, records = [], [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            place = order(np.concatenate(places)) if places else np.zeros(0, np.int64)
+            columns = [pa.array(place), pa.array(place // per_shard), pa.array(owners, pa.int64()), pa.array(nth, pa.int64()), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())]
+            for some in (places, owners, nth, sizes, records):
+                some.clear()
+            return pa.RecordBatch.from_arrays(columns, ["place", "shard", "doc_id", "seq", "n_tokens", "record"])
+
         for batch in batches:
-            rooms, ids = _room(batch.column("text"), length), batch.column("d").to_pylist()
-            places, owners, nth, sizes, records = [], [], [], [], []
+            rooms, ids = _room(batch.column("text"), length), batch.column("d")
             for i, text in enumerate(batch.column("text")):
                 tokens = np.append(encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()), END).astype(dtype)
                 count = -(-len(tokens) // length)
                 places.append(np.arange(at, at + count))
                 at += int(rooms[i])
-                owners += [ids[i]] * count
+                owners += [ids[i].as_py()] * count
                 nth += range(count)
                 for k in range(0, len(tokens), length):
                     part = tokens[k : k + length]
                     sizes.append(len(part))
                     records.append(part.tobytes())
-            place = order(np.concatenate(places)) if places else np.zeros(0, np.int64)
-            columns = [pa.array(place), pa.array(place // per_shard), pa.array(owners, pa.int64()), pa.array(nth, pa.int64()), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())]
-            out = pa.RecordBatch.from_arrays(columns, ["place", "shard", "doc_id", "seq", "n_tokens", "record"])
-            for k in range(0, out.num_rows, 1 << 14):
-                yield out.slice(k, 1 << 14)
+                if len(records) >= _TOGETHER:
+                    yield flush()
+        yield flush()
 
     return run
 
@@ -154,7 +162,7 @@ def write_training_order(
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text"))
     if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
         rows = checkpointed(rows)
-    rooms = rows.select("text").mapInArrow(_rooms(length), "part long, room long").collect()
+    rooms = map_batches(rows.select("text"), _rooms(length), "part long, room long").collect()
     starts, total = {}, 0
     for part, room in sorted((r["part"], r["room"]) for r in rooms):
         starts[part], total = total, total + room
@@ -165,9 +173,9 @@ def write_training_order(
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
     shards = max(1, -(-total // per_shard))
-    dealt = rows.mapInArrow(_sequences(ranks, length, starts, Feistel(total, key), per_shard, dtype), "place long, shard long, doc_id long, seq long, n_tokens long, record binary")
+    dealt = map_batches(rows, _sequences(ranks, length, starts, Feistel(total, key), per_shard, dtype), "place long, shard long, doc_id long, seq long, n_tokens long, record binary")
     written = (
-        dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place").mapInArrow(_writer(folder, length * width), "shard long, row long, doc_id long, seq long, n_tokens long")
+        map_batches(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place"), _writer(folder, length * width), "shard long, row long, doc_id long, seq long, n_tokens long")
     )
     written.write.mode("overwrite").parquet(f"{path}/index")
     sizes = spark.read.schema("shard long, row long").parquet(f"{path}/index").groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
@@ -209,7 +217,7 @@ def read_records(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
                     rows = np.arange(a, a + n)
                     yield pa.RecordBatch.from_arrays([pa.array(rows + base.as_py()), pa.array(np.full(n, shard.as_py())), pa.array(rows), records], ["slot", "shard", "row", "record"])
 
-    return opened.select("shard", "base", "stride", "content").mapInArrow(run, "slot long, shard long, row long, record binary")
+    return map_batches(opened.select("shard", "base", "stride", "content"), run, "slot long, shard long, row long, record binary")
 
 
 def training_order(docs: DataFrame, path: str, **settings) -> DataFrame:
