@@ -407,7 +407,7 @@ def derive_job_rerun(spark, sf):
 def exported_features(spark, sf):
     """Stop results as GeoJSON lines, written, read back and taken apart."""
     root = _fresh(spark, "export")
-    stops = ad.load(spark, sf, "supplier").where(F.col("s_suppkey") < 2).select(
+    stops = ad.load(spark, sf, "supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("stop_id"),
         F.lit(41.7).alias("lat"), (F.col("s_suppkey") + 44.5).alias("lon"),
     )
