@@ -1,4 +1,4 @@
-"""Substring deduplication: documents parsed into factors of earlier documents."""
+"""Substring deduplication: windows of words that start in earlier documents, found by sampled grams."""
 
 from __future__ import annotations
 
@@ -165,11 +165,10 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of its text that also start in a text with a smaller id. ``factors`` lists the removed word ranges as start, end …;
     ``kept_sha256`` is the digest of the words kept, joined by one space.
 
-    Every text is parsed relative to all texts with smaller ids. The reference index holds sampled ten-word grams, at
-    least one in every window, split into blocks by their hash. A parse looks its grams up in the block they belong
-    to; text between grams that no other text holds can have no factor of ``width`` words and is passed over. What is
-    left is extended to whole windows, matched by a 96-bit hash, and runs of matched windows are the factors. As every
-    window is looked up by itself, those across the boundary of two factors are checked as well.
+    There is no Lempel-Ziv parse: matching of sampled grams and windows replaces it, as a parse against every block of
+    references would read every pair of blocks. Of every window the ten-word gram of least hash is an index key. Windows
+    whose gram only one text holds can't repeat and are passed over; all others are decided one by one, by a 96-bit hash of
+    their words. ``factors`` are the ranges that the matched windows cover, put together afterwards, so no window depends on them.
 
     Index keys are counted before the shuffle; windows under a key with more than 4,096 rows are dealt over salts,
     where all but the first are decided, and the first ones meet afterwards. Texts without a shared gram never move.
