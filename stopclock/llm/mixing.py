@@ -155,3 +155,19 @@ def limit_sources(docs: DataFrame, cap: float = 0.2, id_col: str = "doc_id", tex
         & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_g3")) & (source_key(source_col) == F.col("_g4"))
     )
     return docs.join(gone, same, "left_anti")
+
+
+def in_mixture_order(docs: DataFrame, cap: float = 0.2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """All documents with their columns, range-partitioned and sorted by their position in a mixture.
+
+    Target weights are the natural shares, lowered to ``cap`` where above; with too few sources for the cap they are the natural
+    shares. While all sources last, each is near its weight; later the others follow in proportion, and no row is dropped
+    or repeated. Rows alike in id, text and source share the first of their positions.
+    """
+    counts = source_counts(docs, source_col)
+    weights = capped(counts, cap)[0] if counts else {}
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), source_key(source_col))
+    plan = mix_sources(docs, weights, id_col, source_col, [key.alias("_of")])
+    places = checkpointed(plan.groupBy("_of").agg(F.min("position").alias("_position")))
+    placed = docs.withColumn("_row", key).join(places, F.col("_row") == F.col("_of"))
+    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
