@@ -426,7 +426,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT (SELECT count(DISTINCT service_date) FROM samples) AS days, (SELECT count(*) FROM samples) AS samples, count(*) AS arrivals,
             count(delay_s) AS matched, (SELECT CAST(sum(n) AS BIGINT) FROM week) AS traversals FROM arr""",
         "exported_features": f"""{ALL_STATS} SELECT 'Feature' AS type, 'Point' AS shape, CAST(44.5 + CAST(substr(stop_id, 2) AS INTEGER) AS DOUBLE) AS lon, stop_id, n_obs
-            FROM stats WHERE stop_id IN ('S0', 'S1')""",
+            FROM stats""",
         "exported_csv": f"{ALL_STATS} SELECT * FROM stats",
         "history_sql": f"""SELECT 'all' AS band, * FROM ({history('weekday', 'all')}) UNION ALL SELECT 'pm_peak', * FROM ({history('all', 'pm_peak')})
             UNION ALL (WITH {ARR} SELECT CAST(count(DISTINCT service_date) AS VARCHAR), CAST(min(service_date) AS VARCHAR), 0, 0, 0, 0, 0,
