@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stopclock.llm import decontaminate, exact, language, licences, lines, mixing, neardup, shards, substrings, tokens
+from stopclock.llm import decontaminate, exact, hardneg, language, licences, lines, mixing, neardup, shards, substrings, tokens, trie
 from stopclock.llm.shared import output_folder, read_documents
 
 
@@ -51,6 +52,16 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.training_order(read_documents(spark, sf_dir), output_folder(spark, "tokens"), key=20240229)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.branched(trie.turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
@@ -62,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_language": op9_language,
     "op10_tokens": op10_tokens,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _TEMPLATE_ROWS = ", ".join(f"('{name}', '{body}')" for name, body in licences.TEMPLATES)
@@ -90,6 +103,10 @@ LICENCE_SQL = rf"""
                CASE WHEN own.name IS NOT NULL THEN 'header' WHEN s.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS how
         FROM own LEFT JOIN (SELECT * FROM speaking WHERE r = 1) s ON own.folder = s.folder"""
 
+# CRC-32 of a short ASCII text, bit by bit.
+_CRC_STEP = "list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), {})"
+_CRC = f"xor(list_reduce(list_transform(string_split({{}}, ''), lambda b: CAST(ord(b) AS BIGINT)), lambda c, b: {_CRC_STEP.format('xor(c, b)')}, 4294967295), 4294967295)"
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -122,4 +139,35 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
     "op7_licences": LICENCE_SQL,
+    "op11_hard_negatives": """
+        WITH rows AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+                      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT a.r AS ar, a.id AS anchor, a.label AS al, b.r AS br, b.id AS other, b.label AS bl, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+                   FROM rows a, rows b WHERE a.id % 100 = 0),
+        pos AS (SELECT ar, anchor, al, br, other, score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, other) AS p
+                FROM scored WHERE al = bl AND ar <> br),
+        neg AS (SELECT pos.ar, pos.anchor, pos.br, pos.other AS positive, pos.score AS ps, s.other AS negative, s.score AS ns,
+                       row_number() OVER (PARTITION BY pos.ar, pos.br ORDER BY s.score DESC, s.other) AS rank
+                FROM pos JOIN scored s ON pos.ar = s.ar WHERE p <= 5 AND s.al <> s.bl AND 80 * pos.score <= 100 * s.score AND s.score <= pos.score)
+        SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score
+        FROM neg WHERE rank <= 5""",
+    "op13_conversation_trie": rf"""
+        WITH turns AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(octet_length(encode(role)) || ':' || role || text)) AS l FROM turns GROUP BY c),
+        cut AS (SELECT *, {_CRC.format("CAST(c AS VARCHAR)")} % 4 AS h FROM own),
+        whole AS (SELECT cut.c, list_concat(coalesce(b.l[:cut.h], []), cut.l[cut.h + 1 :]) AS l FROM cut LEFT JOIN own b ON b.c = cut.c - cut.c % 20),
+        steps AS (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM whole),
+        nodes AS (SELECT l[:d] AS p, d, min(c) AS conv_id, count(*) AS n, count(*) FILTER (len(l) = d) AS done,
+                         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(l) = d), '')) AS ends
+                  FROM steps GROUP BY ALL),
+        kids AS (SELECT p[: d - 1] AS q, d - 1 AS e, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+        own_part AS (SELECT p, d, CAST(done = n AS BIGINT) AS leaf,
+                            (n - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS tokens FROM nodes),
+        sums AS (SELECT p[:e] AS q, e, sum(leaf) AS leaves, sum(tokens) AS tokens FROM (SELECT *, unnest(range(d + 1)) AS e FROM own_part) GROUP BY ALL)
+        SELECT nodes.conv_id, nodes.d AS depth, up.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(k, 0) AS n_children,
+               CAST(leaves AS BIGINT) AS n_leaves, CAST(tokens AS BIGINT) AS saved_tokens, nodes.ends AS ends_sha256
+        FROM nodes LEFT JOIN nodes up ON nodes.d > 0 AND up.d = nodes.d - 1 AND up.p = nodes.p[: nodes.d - 1]
+        LEFT JOIN kids ON kids.e = nodes.d AND kids.q = nodes.p JOIN sums ON sums.e = nodes.d AND sums.q = nodes.p""",
 }
