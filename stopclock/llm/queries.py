@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopclock.llm import decontaminate, exact, hardneg, language, licences, lines, mixing, neardup, shards, substrings, tokens, trie
+from stopclock.llm import decontaminate, exact, hardneg, language, licences, lines, mixing, neardup, shards, substrings, tokens, toxicity, trie
 from stopclock.llm.shared import output_folder, read_documents
 
 
@@ -58,6 +58,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect_toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.branched(trie.turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_tokens": op10_tokens,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_toxicity": op12_toxicity,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
