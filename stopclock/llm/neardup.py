@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopclock.llm.components import components
-from stopclock.llm.shared import checkpointed, id_back, id_of, key_bits, map_batches, split_by_bits
+from stopclock.llm.shared import Scratch, id_back, id_of, key_bits, map_batches, own_names, plain_names, split_by_bits
 from stopclock.llm.words import SPACES, mix, rolling, words_of
 
 #: Values kept of each shingle set: its ``K`` least hashes.
@@ -21,8 +21,8 @@ K = 48
 BLOCK = 512
 #: Shingles of a block's members, about: a block of long texts has fewer members.
 BLOCK_SHINGLES = 400_000
-
-
+#: Members of one head that are compared with it in one run.
+LOT = 256
 
 
 def _prefix(n: Column, percent: int) -> Column:
@@ -72,19 +72,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verified(percent: int, words: int):
-    """Of rows ``a, b, text_a, text_b`` the pairs whose whole sets are similar."""
+    """Of rows ``b, a, text``, each lot's head (``a`` null) before its members, the pairs whose whole sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray | None] = (None, None)
+        head = np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            keep = np.zeros(len(a), bool)
-            heads = batch.column("text_b")
-            for i, values in shingle_sets(batch.column("text_a"), words):
-                if last[0] != b[i]:
-                    last = (b[i], next(shingle_sets(heads.slice(i, 1), words))[1])
-                keep[i] = similar(values, last[1], percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+            member, keep = batch.column("a").is_valid().to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+            for i, values in shingle_sets(batch.column("text"), words):
+                if member[i]:
+                    keep[i] = similar(values, head, percent)
+                else:
+                    head = values
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -165,9 +164,14 @@ def _links(percent: int, words: int):
     return run
 
 
-def _with_text(pairs: DataFrame, column: str, texts: DataFrame, name: str) -> DataFrame:
-    own = texts.select(F.col("d").alias("_d"), F.col("text").alias(name))
-    return pairs.join(own, F.col(column) == F.col("_d")).drop("_d")
+def _in_lots(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``b, lot, a, text``: members of every head in lots of about ``LOT``, each lot with its head's text once (``a`` null)."""
+    own = texts.select(F.col("d").alias("_d"), "text")
+    sizes = pairs.groupBy(F.col("b").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / LOT).alias("_lots"))
+    dealt = pairs.join(sizes, F.col("b") == F.col("_b")).withColumn("lot", F.pmod(F.xxhash64("a"), F.col("_lots"))).select("b", "lot", "a")
+    members = dealt.join(own, F.col("a") == F.col("_d")).select("b", "lot", "a", "text")
+    heads = dealt.select("b", "lot").distinct().join(own, F.col("b") == F.col("_d")).select("b", "lot", F.lit(None).cast("long").alias("a"), "text")
+    return members.union(heads).repartition("b", "lot").sortWithinPartitions("b", "lot", F.asc_nulls_first("a"))
 
 
 def _texts_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
@@ -177,13 +181,13 @@ def _texts_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, column: st
     return some.dropDuplicates(["d", "t"]).join(known, (F.col("d") == F.col("c")) & (F.col("t") == F.col("ct")), "left_semi").select("d", "text")
 
 
-def similar_links(rows: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
+def similar_links(rows: DataFrame, classes: DataFrame, percent: int, words: int, scratch: Scratch) -> DataFrame:
     """Links ``a, b`` between classes, enough to connect all that are connected by similar pairs.
 
     ``rows`` are ``d, t, text``; ``classes`` has one row ``c, t, n, sketch`` for each distinct non-empty set.
     """
     values = classes.select("c", "t", F.explode("sketch").alias("v"))
-    frequency = checkpointed(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("v", "fv"))
+    frequency = scratch.keep(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumnRenamed("v", "fv"))
     shared = values.join(frequency, F.col("v") == F.col("fv")).groupBy("c", "t").agg(
         F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"), F.sum(F.log("df")).alias("weight")
     )
@@ -194,35 +198,37 @@ def similar_links(rows: DataFrame, classes: DataFrame, percent: int, words: int)
         .where(places > 0)
         .select("c", "weight", "n", "sketch", F.slice("values", F.lit(1), F.greatest(F.lit(0), F.least(places, F.size("values")))).alias("values"))
     )
-    entries = checkpointed(lists.select("c", "n", "weight", F.explode("values.v").alias("v")))
+    entries = scratch.keep(lists.select("c", "n", "weight", F.explode("values.v").alias("v")))
     stats = entries.groupBy("v").agg(
         F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("sum"),
         F.bit_xor(F.xxhash64(F.col("c"), F.lit(1))).alias("xor"), F.max_by("c", F.struct("weight", "c")).alias("head"),
     )
     # Lists with the same members are one list.
-    stats = checkpointed(stats.where("size > 1").groupBy("size", "sum", "xor", "head").agg(F.min("v").alias("lv")).select("lv", "size", "head"))
-    members = entries.join(stats, F.col("v") == F.col("lv")).select("v", "c", "n", "head")
+    stats = scratch.keep_small(stats.where("size > 1").groupBy("size", "sum", "xor", "head").agg(F.min("v").alias("lv")).select("lv", "size", "head"))
+    members = scratch.keep(entries.join(stats, F.col("v") == F.col("lv")).select("v", "c", "n", "head"))
+    scratch.drop(frequency, entries, stats)
 
     # First every member with the most typical one of its lists: in a group of copies of one text that connects nearly all.
-    pairs = checkpointed(members.where("c != head").select(F.col("c").alias("a"), F.col("head").alias("b")).distinct())
-    pairs = checkpointed(_estimated(pairs, classes, percent))
+    met = scratch.keep_small(members.where("c != head").select(F.col("c").alias("a"), F.col("head").alias("b")).distinct())
+    pairs = scratch.keep(_estimated(met, classes, percent))
     ends = pairs.select(F.col("a").alias("e")).union(pairs.select("b"))
-    texts = checkpointed(_texts_of(rows, classes, ends, "e"))
-    paired = _with_text(_with_text(pairs, "a", texts, "text_a"), "b", texts, "text_b")
-    first = checkpointed(map_batches(paired, _verified(percent, words), "a long, b long"))
+    texts = scratch.keep(_texts_of(rows, classes, ends, "e"))
+    first = scratch.keep(map_batches(_in_lots(pairs, texts).select("a", "b", "text"), _verified(percent, words), "a long, b long"))
+    scratch.drop(met, pairs, texts)
 
     # Then the lists whose members are not one component yet, in pairs of blocks.
-    labels = checkpointed(components(first))
-    labelled = checkpointed(
+    labels = components(first, scratch)
+    labelled = scratch.keep(
         members.join(labels, F.col("c") == F.col("node"), "left").select("v", "c", "n", "head", F.coalesce("component", "c").alias("label"))
     )
     head_label = labelled.where("c = head").groupBy(F.col("v").alias("hv")).agg(F.min("label").alias("inner"))
     # Lists with heads of one component are one group: they are mostly lists of the same copies of a text.
-    placed = labelled.join(checkpointed(head_label), F.col("v") == F.col("hv")).select(F.col("inner").alias("g"), "c", "n", "label", (F.col("label") != F.col("inner")).alias("out"))
-    placed = checkpointed(placed.distinct())
+    placed = labelled.join(head_label, F.col("v") == F.col("hv")).select(F.col("inner").alias("g"), "c", "n", "label", (F.col("label") != F.col("inner")).alias("out"))
+    placed = scratch.keep(placed.distinct())
+    scratch.drop(members, labels, labelled)
     count = lambda side: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(side.cast("int")) / BLOCK, F.sum(F.when(side, F.col("n"))) / BLOCK_SHINGLES))).cast("int")
     several = placed.groupBy("g").agg(F.max("out").alias("more"), count(F.col("out")).alias("outer"), count(~F.col("out")).alias("inside")).where("more")
-    several = checkpointed(several.select(F.col("g").alias("sg"), "outer", "inside"))
+    several = scratch.keep_small(several.select(F.col("g").alias("sg"), "outer", "inside"))
     # Members of the head's component are one another's already: they meet the blocks of the others only.
     hashed = F.xxhash64("c")
     blocked = (
@@ -234,12 +240,12 @@ def similar_links(rows: DataFrame, classes: DataFrame, percent: int, words: int)
         "g", "c", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     ).join(classes.select(F.col("c").alias("_c"), "n", "sketch"), F.col("c") == F.col("_c"))
-    asked = checkpointed(each.groupBy("g", "i", "j").applyInPandas(_candidates(percent), "g long, i int, j int, c long, label long, side int"))
+    asked = scratch.keep(each.groupBy("g", "i", "j").applyInPandas(_candidates(percent), "g long, i int, j int, c long, label long, side int"))
     second_texts = _texts_of(rows, classes, asked, "c").select(F.col("d").alias("_d"), "text")
-    second = (
-        asked.join(second_texts, F.col("c") == F.col("_d")).drop("_d").groupBy("g", "i", "j").applyInPandas(_links(percent, words), "a long, b long")
-    )
-    return first.union(second)
+    second = asked.join(second_texts, F.col("c") == F.col("_d")).drop("_d").groupBy("g", "i", "j").applyInPandas(_links(percent, words), "a long, b long")
+    links = scratch.keep(first.union(second))
+    scratch.drop(first, placed, several, asked)
+    return links
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -275,26 +281,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 3, id_col:
     compared again, those of one head together, in pairs of bounded blocks that give back links, not pairs.
 
     Null, empty and blank texts have no shingles and are linked with nothing, not even each other; repeated rows
-    have one class and each is kept if its id is the least. A null id counts as smaller than all others. An empty
-    table gives no rows; other columns are ignored.
+    have one class and each is kept if its id is the least. A null id counts as smaller than all others. Very long texts are
+    compared whole, with blocks of fewer members. An empty table gives no rows; other columns are ignored.
+
+    Texts travel once for their own comparison with a head and once for each pair of blocks in which a sketch leaves them a
+    possible partner; tables between steps are deleted as soon as they are read for the last time.
     """
     rows = docs.select(id_of(id_col).alias("d"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
-    made = checkpointed(map_batches(rows, _sketches(words), "d long, t long, n long, s1 long, s2 long, sketch array<long>"))
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    made = scratch.keep(map_batches(rows, _sketches(words), "d long, t long, n long, s1 long, s2 long, sketch array<long>"))
     heads = made.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "t")).alias("h"))
-    heads = checkpointed(heads.select(F.col("h.d").alias("c"), F.col("h.t").alias("ht"), F.col("n").alias("hn"), F.col("s1").alias("h1"), F.col("s2").alias("h2")))
+    heads = scratch.keep(heads.select(F.col("h.d").alias("c"), F.col("h.t").alias("ht"), F.col("n").alias("hn"), F.col("s1").alias("h1"), F.col("s2").alias("h2")))
     same = (F.col("n") == F.col("hn")) & (F.col("s1") == F.col("h1")) & (F.col("s2") == F.col("h2"))
     classes = made.join(heads, same & (F.col("d") == F.col("c")) & (F.col("t") == F.col("ht")), "inner").dropDuplicates(["c", "ht"]).select("c", "t", "n", "sketch")
-    classes = checkpointed(classes)
-    links = similar_links(rows, classes, percent, words)
-    labels = checkpointed(components(links))
+    classes = scratch.keep(classes)
+    sets = scratch.keep(made.drop("sketch"))
+    links = similar_links(rows, classes, percent, words, scratch)
+    labels = components(links, scratch)
     named = heads.join(labels, F.col("c") == F.col("node"), "left").select("hn", "h1", "h2", F.coalesce("component", "c").alias("class"))
-    found = made.drop("sketch").join(checkpointed(named), same, "left").withColumn("component", F.coalesce("class", "d"))
+    named = scratch.keep(named)
+    scratch.drop(made, heads, classes, links, labels)
+    found = sets.join(named, same, "left").withColumn("component", F.coalesce("class", "d"))
     return found.select(
         id_back(F.col("d")).alias("doc_id"), F.col("n").alias("n_shingles"), id_back(F.col("component")).alias("component_id"), (F.col("d") == F.col("component")).alias("kept")
     )
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near-duplicates of a smaller id, with their columns unchanged."""
+    """The documents without near-duplicates of a smaller id, with their columns unchanged, whatever they are called."""
     kept = near_duplicates(docs, percent, words, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    own_id = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    return own_names(plain_names(docs).join(kept, own_id.eqNullSafe(F.col("_kept_id")), "left_semi"), docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stopclock.session import scratch_root
+from stopclock.session import hadoop_path, scratch_root
 
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
@@ -48,9 +48,62 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(df.sparkSession))
+        removed_at_exit(df.sparkSession, context.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
+def removed_at_exit(spark: SparkSession, folder: str) -> str:
+    """The folder, to be deleted when the driver ends: results that read it are lazy, so it can't go earlier."""
+    path, fs = hadoop_path(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+class Scratch:
+    """Tables between the steps of one operator, written to the shared folder and deleted when their last reader is done.
+
+    A table cuts the lineage and outlives lost executors like a checkpoint, is compressed, and has a known size. What a
+    lazy result still reads stays until the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._count = spark, 0
+        self._folder = removed_at_exit(spark, output_folder(spark, name))
+        self._paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/{self._count}"
+        self._count += 1
+        df.write.parquet(path)
+        found = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[id(found)] = path
+        return found
+
+    def keep_small(self, df: DataFrame) -> DataFrame:
+        """The same as a checkpoint, which is written and read faster where there is little in many partitions."""
+        found = checkpointed(df)
+        self._paths[id(found)] = found._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables, and lets Spark's cleaner know that shuffle files of finished steps can go."""
+        for table in tables:
+            path, fs = hadoop_path(self._spark, self._paths.pop(id(table)))
+            fs.delete(path, True)
+        self._spark.sparkContext._jvm.System.gc()
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """The columns as ``c0``, ``c1``, …, so that none clashes with a column an operator adds."""
+    return df.select(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def own_names(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``plain_names`` under their own names, others dropped."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def numbered(df: DataFrame, within: list[str], order: list[str], name: str, blocks: int = 256) -> DataFrame:
     """Adds ``name``: numbers from 0 without gaps inside each value of ``within``, in an order fixed by the data.
 
