@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopclock.llm.shared import checkpointed, numbered
+from stopclock.llm.shared import checkpointed, numbered, own_names, plain_names
 
-#: Slots of one period of the schedule, at least; weights are rounded to this grain.
-PERIOD = 4096
-#: Rows of a block.
+#: Rows of a block, at least.
 BLOCK_ROWS = 32
+#: Blocks of a whole run, about: the driver's schedule stays so long however many rows there are, as blocks grow.
+BLOCKS = 1 << 20
 
 
 def source_key(name: str) -> Column:
@@ -44,119 +47,86 @@ def capped(counts: dict[str, int], cap: float) -> tuple[dict[str, float], set[st
         lowered |= over
 
 
-def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period, by largest remainder; every source has one at least."""
-    if any(w <= 0 for w in weights.values()):
-        raise ValueError("every source needs a weight above 0")
-    period, total = max(period, 2 * len(weights)), sum(weights.values())
-    exact = {k: w / total * period for k, w in weights.items()}
-    slots = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(exact, key=lambda k: (slots[k] - exact[k], k))
-    for k in order[: max(0, period - sum(slots.values()))]:
-        slots[k] += 1
-    return slots
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The same proportions in whole numbers, exactly: a float is a fraction."""
+    if any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("every source needs a finite weight above 0")
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    common = math.lcm(*(x.denominator for x in exact.values())) if exact else 1
+    return {k: int(x * common) for k, x in exact.items()}
 
 
-def period_schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period: ``(source, n, slot, release, deadline)`` for the n-th block of each source.
+def pfair_schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """The whole run: ``(source, n, slot, release, deadline, phase)`` for the n-th block of each source, slot by slot.
 
-    The n-th of w blocks in a period of Q slots is released at floor(n Q / w) and due at ceil((n + 1) Q / w). Of the
-    blocks released, the one due first takes the slot. All deadlines are met, as the weights fill the period
-    exactly, so after any number of slots a source is less than one block from its share.
+    A phase lasts until a source has ended; then the others share all slots in proportion to their weights. In a phase of total
+    weight W, the n-th block that a source of weight w has in it is released at floor(n W / w) and due at ceil((n + 1) W / w),
+    counted from the phase's start, in whole numbers without rounding. Of the blocks released, the one due first takes the slot; as
+    the weights fill the slots exactly, all deadlines are met, and after any number of slots a source is less than one
+    block from its share, however long the run is.
     """
-    period = sum(slots.values())
-    releases = sorted((n * period // w, k, n) for k, w in slots.items() for n in range(w))
-    out, ready, at = [], [], 0
-    for slot in range(period):
-        while at < len(releases) and releases[at][0] <= slot:
-            release, k, n = releases[at]
-            heapq.heappush(ready, (-(-(n + 1) * period // slots[k]), k, n, release))
-            at += 1
-        due, k, n, release = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a deadline was missed")
-        out.append((k, n, slot, release, due))
-    return out
+    whole = whole_weights({k: weights[k] for k, n in blocks.items() if n})
+    done, slot, phase = dict.fromkeys(whole, 0), 0, 0
+    while done:
+        total, start = sum(whole[k] for k in done), slot
+        served = dict.fromkeys(done, 0)
+        waiting, ready = [(0, k) for k in sorted(done)], []
+        while True:
+            while waiting and waiting[0][0] <= slot - start:
+                release, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(served[k] + 1) * total // whole[k]), k, release))
+            due, k, release = heapq.heappop(ready)
+            yield k, done[k], slot, start + release, start + due, phase
+            slot, served[k] = slot + 1, served[k] + 1
+            done[k] += 1
+            if done[k] == blocks[k]:
+                del done[k]
+                phase += 1
+                break
+            heapq.heappush(waiting, (served[k] * total // whole[k], k))
 
 
 def mix_sources(
     docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source", extra: list[Column] | None = None,
-    block_rows: int = BLOCK_ROWS, period: int = PERIOD,
+    block_rows: int = BLOCK_ROWS, blocks: int = BLOCKS,
 ) -> DataFrame:
     """``doc_id, source, block, slot, release, deadline, position, in_mix`` for every row, with ``extra`` columns.
 
     ``weights`` are by source key (see ``source_key``). Rows of a source are numbered in the order of a hash of the id and
-    cut into blocks of ``block_rows``; blocks take the slots of an earliest-deadline-first Pfair schedule, so in any
-    first slots each source is less than one block from its share. The schedule has a period, so the driver computes one
-    period only. ``slot`` counts as if no source ended; a source that has ended leaves its slots empty, and the others keep
-    their proportions. ``position`` numbers all rows in slot order from 0 without gaps; ``in_mix`` is true up to the
-    slot where the first source has ended: there the weights hold exactly. No row is dropped or repeated.
+    cut into blocks; blocks take the slots of an earliest-deadline-first Pfair schedule (see ``pfair_schedule``). A block has
+    ``block_rows`` rows, or as many more as make about ``blocks`` blocks of all rows: that bounds the schedule, which the driver makes
+    and Spark joins. ``position`` numbers all rows in slot order from 0 without gaps; ``in_mix`` is true up to the
+    slot where the first source has ended: there the weights hold. No row is dropped or repeated.
 
     A null source is a source of its own; null and repeated ids are ordinary rows, repeated rows get different positions. An
-    empty table gives no rows. A source without a weight is an error.
+    empty table gives no rows. A source without a weight is an error, as is a weight that isn't above 0.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source_key(source_col).alias("_key"), *(extra or []))
-    rows = checkpointed(rows)
     spark = docs.sparkSession
     names = [c for c in rows.columns if c not in ("doc_id", "_key")]
-    place = numbered(rows.withColumn("_hash", F.xxhash64("doc_id")), ["_key"], ["_hash", "doc_id", *names], "_rank")
-    slots = whole_weights(weights, period) if weights else {}
-    size = sum(slots.values()) or 1
-    table = spark.createDataFrame([(k, slots[k], n, s) for k, n, s, _, _ in period_schedule(slots)], "_k string, _w long, _n long, _s long")
-    of_source = spark.createDataFrame(list(slots.items()), "_source string, _slots long")
-    unknown = F.raise_error(F.concat(F.lit("no weight for source "), F.col("_key"))).cast("long")
-    found = (
-        place.join(F.broadcast(of_source), F.col("_key") == F.col("_source"), "left")
-        .withColumn("_slots", F.coalesce("_slots", unknown))
-        .withColumn("block", F.floor(F.col("_rank") / block_rows))
-        .withColumn("_nth", F.col("block") % F.col("_slots"))
-        .withColumn("_period", F.floor(F.col("block") / F.col("_slots")))
-        .join(F.broadcast(table), (F.col("_key") == F.col("_k")) & (F.col("_nth") == F.col("_n")))
-        .withColumn("slot", F.col("_period") * size + F.col("_s"))
-        .withColumn("release", F.floor(F.col("block") * size / F.col("_slots")))
-        .withColumn("deadline", F.ceil((F.col("block") + 1) * size / F.col("_slots")))
-        .select("doc_id", "_key", *names, "_rank", "block", "slot", "release", "deadline", "_period")
-    )
-    found = checkpointed(found)
-    ends = found.groupBy("_key").agg(F.max("slot").alias("last")).agg(F.min("last")).first()[0]
-    ahead = Window.orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
-    periods = found.groupBy(F.col("_period").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    periods = periods.withColumnRenamed("_p", "_period").select(F.col("_period").alias("_p"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    # A period has a bounded number of rows: its slots times the rows of a block.
-    inside = F.row_number().over(Window.partitionBy("_period").orderBy("slot", "_rank"))
+    # Null ids have numbers of their own, so that no block of numbering is hot.
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id"))
+    rows = checkpointed(rows.withColumn("_spread", spread))
+    counts = {r["_key"]: r["n"] for r in rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if missing := sorted(counts.keys() - weights.keys()):
+        raise ValueError(f"no weight for source {missing[0]}")
+    size = max(block_rows, -(-sum(counts.values()) // blocks))
+    table, ahead = [], 0
+    for k, n, slot, release, due, phase in pfair_schedule({k: -(-n // size) for k, n in counts.items()}, weights):
+        table.append((k, n, slot, release, due, ahead, phase == 0))
+        ahead += min(size, counts[k] - n * size)
+    schedule = spark.createDataFrame(table, "_k string, _n long, slot long, release long, deadline long, _ahead long, in_mix boolean")
+    place = numbered(rows, ["_key"], ["_spread", "doc_id", *names], "_rank")
     return (
-        found.withColumn("_row", inside)
-        .join(periods, F.col("_period") == F.col("_p"))
+        place.withColumn("block", F.floor(F.col("_rank") / size))
+        .join(schedule, (F.col("_key") == F.col("_k")) & (F.col("block") == F.col("_n")))
         .select(
             "doc_id", F.when(F.col("_key") != "null", F.substring("_key", 2, 1 << 30)).alias("source"), *names, "block", "slot", "release", "deadline",
-            (F.col("_before") + F.col("_row") - 1).alias("position"), (F.col("slot") <= F.lit(ends if ends is not None else -1)).alias("in_mix"),
+            (F.col("_ahead") + F.col("_rank") % size).alias("position"), "in_mix",
         )
     )
 
 
-def limit_sources(docs: DataFrame, cap: float = 0.2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of a mixture in which no source has more than about ``cap`` of the slots, with their columns unchanged.
-
-    Target weights are the natural shares, lowered to ``cap`` where above. The mixture goes on until every source that
-    isn't lowered has ended, so only lowered sources lose documents: those scheduled later. With too few
-    sources for the cap, all documents stay. Repeated rows stay or go together.
-    """
-    counts = source_counts(docs, source_col)
-    weights, lowered = capped(counts, cap) if counts else ({}, set())
-    if not lowered:
-        return docs
-    text = F.xxhash64(F.col(text_col).cast("string")).alias("_text")
-    plan = checkpointed(mix_sources(docs, weights, id_col, source_col, [text, source_key(source_col).alias("_own")]))
-    last = plan.where(~F.col("_own").isin(list(lowered))).agg(F.max("slot")).first()[0]
-    gone = plan.where(F.col("_own").isin(list(lowered)) & (F.col("slot") > last))
-    gone = gone.select(F.coalesce("doc_id", F.lit(0)).alias("_g1"), F.col("doc_id").isNull().alias("_g2"), F.col("_text").alias("_g3"), F.col("_own").alias("_g4")).distinct()
-    same = (
-        (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.col("_g1")) & (F.col(id_col).isNull() == F.col("_g2"))
-        & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_g3")) & (source_key(source_col) == F.col("_g4"))
-    )
-    return docs.join(gone, same, "left_anti")
-
-
 def in_mixture_order(docs: DataFrame, cap: float = 0.2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All documents with their columns, range-partitioned and sorted by their position in a mixture.
 
@@ -169,5 +139,7 @@ def in_mixture_order(docs: DataFrame, cap: float = 0.2, id_col: str = "doc_id",
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), source_key(source_col))
     plan = mix_sources(docs, weights, id_col, source_col, [key.alias("_of")])
     places = checkpointed(plan.groupBy("_of").agg(F.min("position").alias("_position")))
-    placed = docs.withColumn("_row", key).join(places, F.col("_row") == F.col("_of"))
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    own = {c: F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col)}
+    source = F.coalesce(F.concat(F.lit("="), F.col(f"c{docs.columns.index(source_col)}").cast("string")), F.lit("null"))
+    placed = plain_names(docs).withColumn("_row", F.xxhash64(own[id_col].cast("string"), own[text_col].cast("string"), source)).join(places, F.col("_row") == F.col("_of"))
+    return own_names(placed.repartitionByRange("_position").sortWithinPartitions("_position"), docs.columns)
