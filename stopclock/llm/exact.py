@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopclock.llm.shared import checkpointed
+from stopclock.llm.shared import checkpointed, own_names, plain_names
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -53,5 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns; repeated rows all stay where their id wins."""
     decided = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    return docs.join(decided, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
+    own_id, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    digest = F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+    kept = plain_names(docs).join(decided, own_id.cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
+    return own_names(kept, docs.columns)

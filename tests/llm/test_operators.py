@@ -5,7 +5,10 @@ from __future__ import annotations
 import collections
 import hashlib
 import heapq
+import itertools
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -16,7 +19,7 @@ from conftest import TESTDATA
 from llm import messy
 from stopclock.llm import decontaminate, exact, language, licences, lines, mixing, neardup, shards, substrings, tokens
 from stopclock.llm.components import components
-from stopclock.llm.shared import numbered, output_folder
+from stopclock.llm.shared import Scratch, numbered, output_folder
 from stopclock.llm.words import SPACES, words_of
 
 SF = str(TESTDATA / "sf0.001")
@@ -92,44 +95,57 @@ def test_one_of_each_keeps_columns(docs):
 
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7)]
-    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test")).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100} | {200 + i: 100 for i in range(50)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
 
 
 def test_mixing_follows_a_plain_simulation(docs, pairs):
-    weights = {"=hot": 5.0, "=s0": 2.0, "=s3": 1.0, "null": 1.0, "=s1": 0.5, "=s2": 0.5, "=s4": 0.5}
-    found = mixing.mix_sources(docs, weights, block_rows=2, period=64).collect()
+    weights = {"=hot": 5.0, "=s0": 2.0, "=s3": 1.0, "null": 1.0, "=s1": 0.1, "=s2": 0.5, "=s4": 1 / 3}
+    found = mixing.mix_sources(docs, weights, block_rows=2).collect()
     assert sorted(r["position"] for r in found) == list(range(len(pairs)))
-    slots = mixing.whole_weights(weights, 64)
-    total = sum(slots.values())
     order = sorted(found, key=lambda r: r["position"])
     assert [r["slot"] for r in order] == sorted(r["slot"] for r in found)
+    used = collections.defaultdict(set)
     for r in found:
-        w = slots["null" if r["source"] is None else "=" + r["source"]]
-        assert r["release"] == r["block"] * total // w <= r["slot"] < r["deadline"] == -(-(r["block"] + 1) * total // w)
-    used = {(r["source"], r["block"]): r["slot"] for r in found}
-    assert len(set(used.values())) == len(used)
-    assert collections.Counter(r["source"] for r in found) == collections.Counter(r["source"] for r in docs.select("source").collect())
-
-
-@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 1, "b": 1e-9}, {"a": 3, "b": 2, "c": 1}, {str(i): i + 1.0 for i in range(50)}])
-def test_period_deviates_by_less_than_a_block(weights):
-    slots = mixing.whole_weights(weights, 120)
-    done = collections.Counter()
-    for source, _, slot, _, _ in mixing.period_schedule(slots):
+        used[r["slot"]].add((r["source"], r["block"], r["release"], r["deadline"], r["in_mix"]))
+        assert r["release"] <= r["slot"] < r["deadline"]
+    assert all(len(u) == 1 for u in used.values()) and sorted(used) == list(range(len(used)))
+    counts = collections.Counter("null" if r["source"] is None else "=" + r["source"] for r in found)
+    assert counts == collections.Counter("null" if r["source"] is None else "=" + r["source"] for r in docs.select("source").collect())
+    # Blocks slot by slot against fluid shares, in whole fractions.
+    left = {k: -(-n // 2) for k, n in counts.items()}
+    done, fluid = dict.fromkeys(left, 0), dict.fromkeys(left, Fraction(0))
+    for slot in range(len(used)):
+        total = sum(Fraction(weights[k]) for k in left)
+        for k in left:
+            fluid[k] += Fraction(weights[k]) / total
+        source = next(iter(used[slot]))[0]
+        source = "null" if source is None else "=" + source
         done[source] += 1
-        assert all(abs(done[k] - (slot + 1) * w / sum(slots.values())) < 1 for k, w in slots.items())
-    assert done == slots
+        assert all(abs(done[k] - fluid[k]) < 1 for k in left)
+        left[source] -= 1
+        if not left[source]:
+            del left[source]
+            fluid = {k: Fraction(done[k]) for k in left}
+
+
+@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 1, "b": 1e-9}, {"a": 1.0, "b": 1 / 3, "c": math.pi / 10, "d": 0.0001}, {str(i): i**0.5 + 1.0 for i in range(50)}])
+def test_mixture_stays_within_a_block_of_the_targets(weights):
+    total = sum(Fraction(w) for w in weights.values())
+    done, slots = collections.Counter(), 100 * 4096 if len(weights) < 9 else 20_000
+    endless = dict.fromkeys(weights, 10**9)
+    for source, n, slot, release, due, phase in itertools.islice(mixing.pfair_schedule(endless, weights), slots):
+        assert n == done[source] and release <= slot < due and phase == 0
+        done[source] += 1
+        if slot % 97 == 0 or slot > slots - 50:
+            assert all(abs(done[k] - (slot + 1) * Fraction(w) / total) < 1 for k, w in weights.items())
 
 
-def test_capped_sources_lose_only_what_is_above_the_cap(spark):
-    rows = [(i, f"text {i}", "hot" if i % 2 else f"s{i % 10}") for i in range(2000)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    left = collections.Counter(r["source"] for r in mixing.limit_sources(table, 0.3).collect())
-    assert all(left[f"s{k}"] == 200 for k in range(0, 10, 2))
-    assert abs(left["hot"] / sum(left.values()) - 0.3) < 0.05
-    assert mixing.limit_sources(table.where("source != 's0'"), 0.1).count() == 1800
+def test_blocks_grow_so_that_the_schedule_stays_short(spark):
+    table = spark.range(5000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 5)) as source")
+    found = mixing.mix_sources(table, mixing.tempered(mixing.source_counts(table)), blocks=50).collect()
+    assert sorted(r["position"] for r in found) == list(range(5000)) and 50 <= max(r["slot"] for r in found) + 1 <= 56
 
 
 def test_mixing_without_a_weight_fails(docs):
@@ -153,15 +169,33 @@ def test_shards_hold_groups_together_and_are_even(docs, pairs):
         assert slots == list(range(len(slots)))
 
 
-def test_least_loaded_is_longest_processing_time():
-    rng = np.random.default_rng(4)
-    items = [(int(s), i) for i, s in enumerate(rng.integers(1, 1000, 200))]
-    placed, heap, expected = shards.least_loaded(items, 8), [(0, k) for k in range(8)], {}
-    for size, key in sorted(items, key=lambda x: (-x[0], str(x[1]))):
+@pytest.mark.parametrize("largest, count, shards_", [(1000, 200, 8), (3, 5000, 7), (10**9, 40, 3), (5, 6, 1), (2, 3, 9)])
+def test_sizes_are_placed_as_by_a_plain_heap(largest, count, shards_):
+    rng = np.random.default_rng(largest)
+    sizes = rng.integers(1, largest, count, endpoint=True).tolist()
+    heap, expected = [(0, k) for k in range(shards_)], collections.Counter()
+    for size in sorted(sizes, reverse=True):
+        load, k = heapq.heappop(heap)
+        expected[size, k] += 1
+        heapq.heappush(heap, (load + size, k))
+    runs = sorted(collections.Counter(sizes).items(), reverse=True)
+    found = {(size, k): n for size, taken in shards.longest_first(runs, shards_) for k, n in enumerate(taken) if n}
+    assert found == expected
+
+
+def test_documents_go_where_a_plain_heap_puts_their_sizes(docs, pairs):
+    sizes = collections.Counter()
+    for _, text in pairs:
+        sizes[text] += len((text or "").encode()) + 1
+    heap, expected = [(0, k) for k in range(3)], collections.Counter()
+    for size in sorted(sizes.values(), reverse=True):
         load, k = heapq.heappop(heap)
-        expected[key] = k
+        expected[k, size] += 1
         heapq.heappush(heap, (load + size, k))
-    assert placed == expected
+    text, found = dict(pairs), set()
+    for r in shards.shard_documents(docs, shards=3).collect():
+        found.add((r["shard"], text[r["doc_id"]]))
+    assert collections.Counter((k, sizes[t]) for k, t in found) == expected
 
 
 def test_shards_of_a_larger_table_differ_little(spark):
@@ -171,10 +205,12 @@ def test_shards_of_a_larger_table_differ_little(spark):
 
 
 def test_written_shards_hold_all_rows(spark, docs):
-    path = output_folder(spark, "shards")
-    shards.write_shards(docs, path, shards=3)
-    back = spark.read.parquet(path)
-    assert back.count() == docs.count() and set(docs.columns) < set(back.columns)
+    for table in (docs, docs.withColumnRenamed("label", "Shard").withColumnRenamed("d", "_group").withColumnRenamed("t", "_size")):
+        path = output_folder(spark, "shards")
+        name = shards.write_shards(table, path, shards=3)
+        assert name == ("shard" if table is docs else "_shard")
+        back = spark.read.parquet(path)
+        assert sorted(map(repr, back.select(*table.columns).collect())) == sorted(map(repr, table.collect()))
 
 
 def test_exact_dedup(docs, pairs):
@@ -349,10 +385,24 @@ def test_numbers_have_no_gaps(spark):
         assert own == list(range(len(own))) and own
 
 
+CLASHES = "_id _digest _kept_id _row _of _position _key _rank _spread _group _size _at _ranges shard c0 c1 c2 d t b".split()
+
+
+@pytest.mark.parametrize("keep", [exact.kept_documents, neardup.one_of_each, mixing.in_mixture_order, language.known_language, lambda d: decontaminate.without_spans(d, d.selectExpr("doc_id as item_id", "text").limit(0))])
+def test_documents_keep_columns_with_the_names_of_internal_ones(spark, keep):
+    rows = [(i, f"a few words of text {i} and then some" if i % 3 else "the same words each time", "s", *(f"{c}{i}" for c in CLASHES)) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES)).withColumn("lang", F.lit("en"))
+    found = keep(table)
+    assert found.columns == table.columns
+    whole = {r["doc_id"]: r for r in table.collect()}
+    kept = found.collect()
+    assert len(kept) >= 10 and all(r == whole[r["doc_id"]] for r in kept)
+
+
 @pytest.mark.parametrize(
     "run",
     [
-        neardup.near_duplicates, neardup.one_of_each, lambda d: mixing.mix_sources(d, mixing.tempered(mixing.source_counts(d))), mixing.limit_sources, shards.shard_documents,
+        neardup.near_duplicates, neardup.one_of_each, lambda d: mixing.mix_sources(d, mixing.tempered(mixing.source_counts(d))), mixing.in_mixture_order, shards.shard_documents,
         exact.exact_dedup, exact.kept_documents, lambda d: decontaminate.contamination_report(d, d.selectExpr("doc_id as item_id", "text")),
         lambda d: decontaminate.without_spans(d, d.selectExpr("doc_id as item_id", "text")), lines.line_report,
         lambda d: licences.scan_licences(d, F.col("source")), substrings.substring_report, language.identify, language.known_language,
