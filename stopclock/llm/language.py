@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +12,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopclock.llm.shared import checkpointed, map_batches
+from stopclock.llm.shared import checkpointed, map_batches, own_names, plain_names
 from stopclock.llm.words import mix, powers, texts_of, word_bounds, word_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: A word is scored in parts of at most so many bytes, which keeps its probability above the least double.
+#: Pieces of more bytes aren't used, and the fit counts longer words in parts of so many bytes; scores are of whole words.
 PART = 32
+#: Longer words are summed one by one.
+LONG = 256
+#: Bytes after which sums are scaled, so that they stay above the least double.
+SCALED = 16
 UNKNOWN = "und"
+#: Words of a text that counts for the floor of its language; how far below it a text must lie to be in none of the
+#: learned languages, in nats a byte, and how much further a text of n words, in parts of the square root of n.
+FULL_TEXT, BELOW, BELOW_SHORT = 20, 0.5, 3.0
 #: Bytes of text whose words are scored together.
 TOGETHER = 2 << 20
 
@@ -55,21 +63,42 @@ class Pieces:
     def __len__(self) -> int:
         return len(self.pieces)
 
-    def tables(self, words: np.ndarray) -> list[list[np.ndarray]]:
-        """For words of one length (rows of bytes): ``out[i][l-1]``, the piece of ``l`` bytes that ends at ``i + 1``, or -1."""
+    def named(self, hashes: np.ndarray) -> np.ndarray:
+        """The pieces with these hashes, or -1."""
+        key = mix(hashes)
+        at = np.minimum(np.searchsorted(self._sorted, key), len(self._sorted) - 1)
+        return np.where(self._sorted[at] == key, self._order[at], -1)
+
+    def tables(self, words: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """For words of one length (rows of bytes), end by end: the piece of each size that ends there, or -1."""
         n = words.shape[1]
         values = _BASES[words]
-        out: list[list[np.ndarray]] = []
         for end in range(n):
             h = np.zeros(len(words), np.uint64)
             found = []
             for size in range(1, min(end + 1, self.longest) + 1):
                 h = h + values[:, end + 1 - size] * self._powers[size - 1]
-                key = mix(h)
-                at = np.minimum(np.searchsorted(self._sorted, key), len(self._sorted) - 1)
-                found.append(np.where(self._sorted[at] == key, self._order[at], -1))
-            out.append(found)
-        return out
+                found.append(self.named(h))
+            yield found
+
+    def along(self, word: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+        """For one long word, end by end: ``(size, piece)`` of all pieces that end there."""
+        for a in range(0, len(word), 1 << 14):
+            b = min(len(word), a + (1 << 14))
+            values = _BASES[word[max(0, a - self.longest) : b]]
+            before = len(values) - (b - a)
+            ends: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
+            h = np.zeros(b - a, np.uint64)
+            for size in range(1, self.longest + 1):
+                start = before + 1 - size
+                skip = max(0, -start)  # ends with fewer bytes before them
+                if skip >= b - a:
+                    break
+                h[skip:] += values[start + skip : start + b - a] * self._powers[size - 1]
+                found = self.named(h)
+                for i in (np.flatnonzero(found[skip:] >= 0) + skip).tolist():
+                    ends[i].append((size, int(found[i])))
+            yield from ends
 
 
 def load_pieces(path: str = VOCABULARY) -> Pieces:
@@ -94,29 +123,70 @@ def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterat
             yield rows, word[some]
 
 
+def _whole_by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words as rows of bytes of one length, with a space in front, and their indexes."""
+    sizes = ends - starts + 1
+    for n in np.unique(sizes):
+        chosen = np.flatnonzero(sizes == n)
+        for some in np.array_split(chosen, max(1, len(chosen) * int(n) // (1 << 19) + 1)):
+            rows = data[np.maximum(starts[some, None] - 1 + np.arange(n), 0)]
+            rows[:, 0] = _SPACE
+            yield rows, some
+
+
 def log_likelihoods(pieces: Pieces, chances: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Forward algorithm: for each word the log of its chance in each language, over all segmentations into pieces."""
+    """Forward algorithm: for each word the log of its chance in each language, over all segmentations into pieces.
+
+    Sums are scaled every few bytes, so words of any length are summed whole.
+    """
     out = np.zeros((len(starts), chances.shape[1]))
     padded = np.vstack([chances, np.zeros(chances.shape[1])])  # piece -1 has no chance
-    for rows, word in _by_length(data, starts, ends):
-        table = pieces.tables(rows)
-        sums = [np.ones((len(rows), chances.shape[1]))]
-        for end, found in enumerate(table):
+    short = np.flatnonzero(ends - starts < LONG)
+    for rows, word in _whole_by_length(data, starts[short], ends[short]):
+        sums, logs = [np.ones((len(rows), chances.shape[1]))], np.zeros((len(rows), chances.shape[1]))
+        for end, found in enumerate(pieces.tables(rows), 1):
             total = np.zeros_like(sums[0])
             for size, piece in enumerate(found, 1):
                 hit = np.flatnonzero(piece >= 0)
                 if len(hit):
-                    total[hit] += sums[end + 1 - size][hit] * padded[piece[hit]]
-            sums.append(total)
-        np.add.at(out, word, np.log(sums[-1]))
+                    total[hit] += sums[-size][hit] * padded[piece[hit]]
+            sums = [*sums[-pieces.longest + 1 :], total]
+            if end % SCALED == 0:
+                logs += np.log(total)
+                sums = [x / total for x in sums]
+        out[short[word]] = logs + np.log(sums[-1])
+    for i in np.flatnonzero(ends - starts >= LONG):
+        out[i] = _long_word(pieces, chances, np.concatenate([[_SPACE], data[starts[i] : ends[i]]]))
     return out
 
 
+def _long_word(pieces: Pieces, chances: np.ndarray, word: np.ndarray) -> list[float]:
+    """The same sums for one word, byte by byte."""
+    languages, known = range(chances.shape[1]), {}
+    sums, logs = [[1.0] * len(languages)], [0.0] * len(languages)
+    for end, found in enumerate(pieces.along(word), 1):
+        total = [0.0] * len(languages)
+        for size, piece in found:
+            chance = known.get(piece)
+            if chance is None:
+                chance = known[piece] = chances[piece].tolist()
+            for k in languages:
+                total[k] += sums[-size][k] * chance[k]
+        if end % SCALED == 0:
+            logs = [x + math.log(t) for x, t in zip(logs, total, strict=True)]
+            sums = [[x / t for x, t in zip(row, total, strict=True)] for row in sums[-pieces.longest + 1 :]]
+            total = [1.0] * len(languages)
+        sums.append(total)
+        if len(sums) > 4 * pieces.longest:
+            del sums[: -pieces.longest]
+    return [x + math.log(t) for x, t in zip(logs, sums[-1], strict=True)]
+
+
 def expected_counts(pieces: Pieces, chances: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in one language, words weighted by ``weight`` (one forward-backward pass)."""
     out = np.zeros(len(pieces))
     for rows, word in _by_length(data, starts, ends):
-        table, n = pieces.tables(rows), rows.shape[1]
+        table, n = list(pieces.tables(rows)), rows.shape[1]
         ahead = [np.ones(len(rows))]
         for end, found in enumerate(table):
             total = np.zeros(len(rows))
@@ -153,7 +223,12 @@ def _distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Model:
-    """Piece chances per language (pieces × languages) and the share of each language."""
+    """Piece chances per language (pieces × languages) and the share of each language.
+
+    ``floor`` is the least log-chance a byte that a text of the fit has in its own language, where it was asked for.
+    """
+
+    floor: np.ndarray | None = None
 
     def __init__(self, pieces: Pieces, languages: list[str], chances: np.ndarray, shares: np.ndarray):
         self.pieces, self.languages, self.chances, self.shares = pieces, languages, chances, shares
@@ -165,7 +240,7 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 def fit(
     docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000, rounds: int = 2,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_floor: bool = False,
 ) -> Model | None:
     """Fits the piece chances by expectation maximisation on labelled documents that are not held out.
 
@@ -206,7 +281,33 @@ def fit(
         np.add.at(uses, (summed["piece"].to_numpy(np.int64), summed["lang"].to_numpy(np.int64)), summed["n"].to_numpy())
         chances = uses / uses.sum(axis=0)
     total = sum(counts.values())
-    return Model(pieces, languages, chances, np.array([counts[k] / total for k in languages]))
+    model = Model(pieces, languages, chances, np.array([counts[k] / total for k in languages]))
+    if with_floor:
+
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            floor = np.full(len(languages), np.inf)
+            for batch in (part for whole in batches for part in _slices(whole, "text")):
+                rate, words = _rates(model, batch.column("text"))
+                lang = pc.index_in(batch.column("lang"), pa.array(languages)).to_numpy(zero_copy_only=False).astype(np.int64)
+                full = words >= FULL_TEXT
+                np.minimum.at(floor, lang[full], rate[full, lang[full]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages))), pa.array(floor)], ["lang", "floor"])
+
+        found = map_batches(sample, least, "lang long, floor double").groupBy("lang").agg(F.min("floor").alias("floor")).collect()
+        # A language without a full text has a floor that no text is below.
+        floor = {r["lang"]: r["floor"] for r in found}
+        model.floor = np.array([floor[k] if floor.get(k, np.inf) < np.inf else -np.inf for k in range(len(languages))])
+    return model
+
+
+def _rates(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's log-chance a byte of its words in every language, and its words."""
+    data, starts, ends, which, first = _distinct_words(texts)
+    logs = log_likelihoods(model.pieces, model.chances, data, starts, ends)
+    summed = np.vstack([np.zeros(logs.shape[1]), np.cumsum(logs[which], axis=0)])
+    size = np.concatenate([[0], np.cumsum((ends - starts + 1)[which])])
+    taken = np.maximum(1, size[first[1:]] - size[first[:-1]])
+    return (summed[first[1:]] - summed[first[:-1]]) / taken[:, None], np.diff(first)
 
 
 def _expect(pieces: Pieces, chances: np.ndarray):
@@ -280,9 +381,26 @@ def identify(docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000,
     return classify(rows, fit(docs, path, per_language, id_col=id_col, text_col=text_col, lang_col=lang_col)).drop("text")
 
 
-def known_language(docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000, least: float = 0.0) -> DataFrame:
-    """The documents whose language was recognised with a score of ``least`` or more, with their columns unchanged."""
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    found = classify(rows, fit(docs, path, per_language), f"c{docs.columns.index('text')}")
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+def known_language(docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000) -> DataFrame:
+    """The documents in a learned language, with their columns unchanged, whatever they are called.
+
+    The model decides: a text goes if in every language its likelihood a byte lies far below that of all texts which the language
+    was learned from (see ``BELOW``), or if it is null or without a letter. So all texts of the fit stay, and text of other languages
+    or garbage goes when it is long enough to tell. Without a labelled text there is no model, and all documents go.
+    """
+    model = fit(docs, path, per_language, with_floor=True)
+    rows = plain_names(docs)
+    text = f"c{docs.columns.index('text')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _slices(whole, text)):
+            texts = batch.column(batch.schema.get_field_index(text))
+            rate, words = _rates(model, texts)
+            keep = words > 0
+            margin = BELOW + BELOW_SHORT / np.sqrt(np.maximum(1, words))
+            keep &= (rate >= model.floor - margin[:, None]).any(axis=1)
+            for i in _without_ascii_letter(texts, keep):
+                keep[i] = _has_letter(texts[int(i)].as_py())
+            yield batch.filter(pa.array(keep))
+
+    return own_names(map_batches(rows, run, rows.schema) if model else rows.limit(0), docs.columns)
