@@ -43,3 +43,23 @@ def test_few_sources_are_scheduled_too(spark):
 def test_no_documents(spark):
     docs = table(spark, ["a"]).where("false")
     assert mixed(spark, docs).columns == docs.columns and mixed(spark, docs).count() == 0
+
+
+def test_shares_hold_in_the_shards(spark):
+    """The token stage reads the mixture's files and keeps its order in the large."""
+    from stopclock.llm import tokens
+    from stopclock.llm.shared import output_folder
+
+    sources = ["hot" if i % 2 else f"s{i // 2 % 10}" for i in range(20_000)]
+    path = output_folder(spark, "mixed")
+    mixed(spark, table(spark, sources)).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert tokens.file_order(docs) and tokens.file_order(docs.limit(5).union(docs.limit(5))) is None
+    out = tokens.training_order(docs, output_folder(spark, "tokens"), key=1, order=tokens.file_order(docs), window=500, per_shard=1000)
+    source = {i: s for i, s in enumerate(sources)}
+    shards = collections.defaultdict(collections.Counter)
+    for r in out.collect():
+        shards[r["shard"]][source.get(r["doc_id"])] += 1
+    for k in range(8):
+        assert abs(shards[k]["hot"] / 1000 - corpus_pipeline.SOURCE_CAP) < 0.03, k
+        assert all(abs(shards[k][f"s{s}"] / 1000 - 0.08) < 0.03 for s in range(10))

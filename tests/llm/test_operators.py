@@ -331,6 +331,41 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(found[i], [np.log(total(word, k)) for k in range(2)])
 
 
+@pytest.mark.parametrize("limit", [language.LONG, 4])
+def test_long_words_are_summed_whole(monkeypatch, limit):
+    monkeypatch.setattr(language, "LONG", limit)
+    pieces = language.load_pieces()
+    rng = np.random.default_rng(3)
+    chances = rng.random((len(pieces), 2)) / len(pieces)
+    number = {p: i for i, p in enumerate(pieces.pieces)}
+    words = [b"donaudampfschifffahrtsgesellschaftskapitaen" * 3, "\u0434\u043e\u0441\u0442\u043e\u043f\u0440\u0438\u043c\u0435\u0447\u0430\u0442\u0435\u043b\u044c\u043d\u043e\u0441\u0442\u044c".encode(), b"x" * 200, b"a"]
+    data = np.frombuffer(b" " + b" ".join(words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = ends - [len(w) for w in words]
+    found = language.log_likelihoods(pieces, chances, data, starts, ends)
+    for word, logs in zip(words, found, strict=True):
+        whole = b" " + word
+        for k in range(2):
+            sums = [Fraction(1)]
+            for end in range(1, len(whole) + 1):
+                sums.append(sum((sums[a] * Fraction(chances[number[whole[a:end]], k]) for a in range(max(0, end - pieces.longest), end) if whole[a:end] in number), Fraction(0)))
+            exact = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert abs(exact - logs[k]) < 1e-9 * abs(exact)
+
+
+def test_text_of_no_learned_language_goes(spark):
+    table = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    rng = np.random.default_rng(1)
+    strange = [
+        "".join(chr(c) for c in rng.choice(list(range(0x430, 0x450)) + [32] * 6, 600)), " ".join("".join(chr(c) for c in rng.integers(97, 123, 9)) for _ in range(60)),
+        " ".join(["zzxqj qqkzw xjjqv wvvxz"] * 20),
+    ]
+    more = spark.createDataFrame([(10**6 + i, t, None, "odd", len(t)) for i, t in enumerate(strange)], table.schema)
+    left = {r["doc_id"] for r in language.known_language(table.union(more)).select("doc_id").collect()}
+    assert not {10**6 + i for i in range(len(strange))} & left
+    assert {r["doc_id"] for r in table.collect() if r["text"] and any(map(str.isalpha, r["text"]))} <= left
+
+
 def test_training_order_round_trip(spark, docs, pairs):
     path = output_folder(spark, "tokens")
     tokens.write_training_order(docs, path, key=9, length=64, per_shard=512)
@@ -353,6 +388,29 @@ def test_training_order_round_trip(spark, docs, pairs):
     assert sorted(tokens.read_records(spark, path, start).toPandas()["slot"]) == list(range(start, len(index)))
 
 
+def test_training_order_depends_on_key_and_data_alone(spark, docs):
+    path = output_folder(spark, "whole-table")
+    docs.where("doc_id is null or doc_id < 40").write.parquet(path)
+    found = []
+    for size, parts, key in (("60k", None, 4), ("128m", None, 4), ("128m", 7, 4), ("128m", None, 5)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        table = spark.read.parquet(path)
+        out = tokens.training_order(table.repartition(parts, F.rand(1)) if parts else table, output_folder(spark, "tokens"), key=key, length=32, per_shard=100)
+        found.append(sorted(map(tuple, out.collect())))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == found[2] and found[0] != found[3]
+
+
+def test_windows_keep_the_given_order_in_the_large(spark):
+    table = spark.range(1000).selectExpr("999 - id as doc_id", "cast(id as string) as text", "id as place")
+    out = tokens.training_order(table, output_folder(spark, "tokens"), key=3, per_shard=128, order=[F.col("place")], window=50).collect()
+    place = {r["slot"]: 999 - r["doc_id"] for r in out}
+    assert sorted(place.values()) == list(range(1000)) and all(place[s] // 50 == s // 50 for s in place)
+    assert sum(place[s] == s for s in place) < 100
+    # Every record's slot is its place in the files.
+    assert all(r["slot"] == r["shard"] * 128 + r["row"] for r in out)
+
+
 def test_feistel_is_a_keyed_permutation():
     for size in (1, 2, 3, 17, 1000, 4097):
         a, b = (tokens.Feistel(size, key)(np.arange(size)) for key in (1, 2))
