@@ -20,9 +20,10 @@ from stopclock.operators.arrivals import derive_arrivals
 from stopclock.operators.quantiles import histogram, rounded_quantiles
 from stopclock.operators.traces import assign_model, sample_pairs, valid_samples
 from stopclock.plans import adapters as ad
-from stopclock.plans.derive import Layout, day_metrics, derive_days, located_pairs, pending_days
+from stopclock.plans.derive import SPEED_HISTOGRAMS, Layout, day_metrics, derive_days, located_pairs, pending_days
 from stopclock.session import scratch_root
 from stopclock.sources import archive, tables
+from stopclock.sources.publish import Publication, read_published
 from stopclock.streaming import billing, positions
 from stopclock.streaming.requests import rate_limit_stream
 
@@ -329,7 +330,9 @@ def _collected(spark: SparkSession, root: str) -> DataFrame:
 
 def arrivals_archive(spark, sf):
     root = _fresh(spark, "arrivals")
-    archive.write_arrivals_archive(ad.event_arrivals(spark, sf), root)
+    with Publication(spark, root) as out:
+        archive.stage_arrivals_archive(out, ad.event_arrivals(spark, sf))
+        out.commit()
     return archive.read_arrivals_archive(spark, root)
 
 
@@ -352,8 +355,10 @@ def stored_weekly(spark, sf):
     """Daily speed histograms stored, the week rebuilt from the stored days."""
     root = _fresh(spark, "speeds")
     hist = segments.speed_histogram(segments.traversals(_line_pairs(spark, sf, days=3)))
-    tables.overwrite_partitions(hist, f"{root}/daily", "service_date", ["route_id", "bin_idx"])
-    weekly = segments.segment_weekly(spark.read.parquet(f"{root}/daily"), "merge")
+    with Publication(spark, root) as out:
+        out.stage(hist, SPEED_HISTOGRAMS, "service_date", ["route_id", "bin_idx"])
+        out.commit()
+    weekly = segments.segment_weekly(read_published(spark, root, SPEED_HISTOGRAMS, hist.schema), "merge")
     tables.write_table(weekly, root, "transit_segment_weekly", ["route_id", "direction", "bin_idx"])
     stored = tables.read_table(spark, root, "transit_segment_weekly")
     return stored.select("iso_week", F.col("direction").cast("int"), "bin_idx", "band", F.col("n").cast("long"), *[
@@ -486,8 +491,13 @@ def stream_rate_limit(spark, sf):
 
 
 def stream_sample_pairs(spark, sf):
+    """All pairs of the stream; a heartbeat long after the last sample moves the watermark past it."""
     samples = valid_samples(ad.positions_of(_streamed(spark, sf, "events")))
-    return _pair_columns(_run(positions.pair_stream(samples), "append", "pairs"))
+    beat = spark.range(1).select(*[(F.lit("heartbeat") if f.name == "vehicle_id" else F.lit(4e12) if f.name == "ts_ms" else F.lit(None)).cast(f.dataType).alias(f.name) for f in samples.schema])
+    path = _fresh(spark, "heartbeat")
+    beat.write.parquet(path)
+    whole = samples.unionByName(spark.readStream.schema(beat.schema).parquet(path))
+    return _pair_columns(_run(positions.pair_stream(whole), "append", "pairs"))
 
 
 def stream_hourly_counts(spark, sf):

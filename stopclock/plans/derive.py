@@ -7,9 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, iso_week
+from stopclock.functions.calendar import LOCAL_OFFSET_HOURS
 from stopclock.operators.arrivals import derive_arrivals
 from stopclock.operators.network import Network, build_network, scheduled_headways, snapshot_for_days
 from stopclock.operators.segments import GROUP_KEYS, locate_along, segment_weekly, speed_histogram, traversals
@@ -17,9 +16,13 @@ from stopclock.operators.stop_metrics import stop_daily, stop_hourly
 from stopclock.operators.traces import assign_model, sample_pairs, valid_samples
 from stopclock.session import Staging
 from stopclock.sources import archive, tables
+from stopclock.sources.publish import Publication, read_published
 
 DERIVED_ARRIVALS = "derived_arrivals"
 SPEED_HISTOGRAMS = "segment_speed_daily"
+HISTOGRAM = (
+    "service_date date, iso_week string, route_id string, direction int, bin_idx long, band string, bucket long, n long, low double, high double"
+)
 
 
 @dataclass(frozen=True)
@@ -30,18 +33,6 @@ class Layout:
     snapshots: str
     tables: str
 
-    @property
-    def arrivals(self) -> str:
-        return f"{self.tables}/{DERIVED_ARRIVALS}"
-
-    @property
-    def arrivals_archive(self) -> str:
-        return f"{self.tables}/arrivals_archive"
-
-    @property
-    def histograms(self) -> str:
-        return f"{self.tables}/{SPEED_HISTOGRAMS}"
-
 
 def located_pairs(samples: DataFrame, network: Network) -> DataFrame:
     """Sample pairs with direction, model and place along the line."""
@@ -110,8 +101,9 @@ def derive_days(
 
     The network comes from the snapshots unless one is given.
 
-    The ledger is written last, so an interrupted run is simply repeated. Arrivals and speed
-    histograms are stored first and everything else is built from the stored tables.
+    All tables and the ledger are published in one step at the end: readers see the old results until then, and an
+    interrupted run changes nothing and is simply repeated. Arrivals and speed histograms are staged first and
+    everything else is built from them.
     """
     present = archive.present_days(spark, layout.positions, days)
     if not present:
@@ -132,41 +124,40 @@ def _derive(
     )
     pairs = staging.stage(located_pairs(samples, network), "pairs")
 
-    fresh = derive_arrivals(pairs, network, offset_hours)
-    # Every output owns the days asked for: a day that has no rows any more is emptied, not left as it was.
-    tables.overwrite_partitions(fresh, layout.arrivals, "service_date", ["stop_id", "ts_ms"], owned=days)
-    own_days = [dt.date.fromisoformat(d) for d in days]
-    arrivals = spark.read.schema(fresh.schema).parquet(layout.arrivals).where(F.col("service_date").isin(*own_days))
-    speeds = speed_histogram(traversals(pairs, offset_hours))
-    tables.overwrite_partitions(speeds, layout.histograms, "service_date", ["route_id", "bin_idx"], owned=days)
-
-    daily = stop_daily(arrivals, scheduled_headways(network))
-    tables.write_table(daily, layout.tables, "transit_stop_daily", ["stop_id", "route_id"], owned=days)
-    tables.write_table(stop_hourly(arrivals, offset_hours), layout.tables, "transit_stop_hourly", ["stop_id", "route_id"], owned=days)
-    write_weeks(spark, layout, days, weekly_mode, speeds.schema)
-    archive.write_arrivals_archive(arrivals, layout.arrivals_archive, owned=days)
-    files = archive.archived_files(spark, layout.positions, days)
-    tables.append_ledger(day_metrics(files, samples, arrivals), layout.tables)
-
-
-def write_weeks(spark: SparkSession, layout: Layout, days: list[str], mode: str, schema: StructType | None = None) -> None:
-    """Rebuilds the weeks the given days fall in from every stored day of those weeks; a week may become empty."""
-    weeks = spark.createDataFrame([(d,) for d in days], "d string").select(
-        iso_week(F.col("d").cast("date")).alias("iso_week")
-    ).distinct()
-    reader = spark.read.schema(schema) if schema else spark.read
-    stored = reader.parquet(layout.histograms)
-    first, last = min(days), max(days)
-    near = stored.where(
-        F.col("service_date").between(
-            F.date_sub(F.lit(first).cast("date"), 6), F.date_add(F.lit(last).cast("date"), 6)
-        )
-    )
-    touched = near.join(weeks, "iso_week", "left_semi").select("service_date", *GROUP_KEYS, "bucket", "n", "low", "high")
-    tables.write_table(
-        segment_weekly(touched, mode), layout.tables, "transit_segment_weekly", ["route_id", "direction", "bin_idx"],
-        owned=[r[0] for r in weeks.collect()],
-    )
+    with Publication(spark, layout.tables) as out:
+        # Every output owns the days asked for: a day that has no rows any more is emptied, not left as it was.
+        fresh = derive_arrivals(pairs, network, offset_hours)
+        out.stage(fresh, DERIVED_ARRIVALS, "service_date", ["stop_id", "ts_ms"], days)
+        arrivals = out.read(DERIVED_ARRIVALS, fresh.schema, names={f"service_date={d}" for d in days})
+        out.stage(speed_histogram(traversals(pairs, offset_hours)), SPEED_HISTOGRAMS, "service_date", ["route_id", "bin_idx"], days)
+
+        tables.stage_table(out, stop_daily(arrivals, scheduled_headways(network)), "transit_stop_daily", ["stop_id", "route_id"], days)
+        tables.stage_table(out, stop_hourly(arrivals, offset_hours), "transit_stop_hourly", ["stop_id", "route_id"], days)
+        _stage_weeks(out, days, weekly_mode)
+        archive.stage_arrivals_archive(out, arrivals, days)
+        files = archive.archived_files(spark, layout.positions, days)
+        tables.stage_ledger(out, day_metrics(files, samples, arrivals))
+        out.commit()
+
+
+def _stage_weeks(out: Publication, days: list[str], mode: str) -> None:
+    """The weeks the given days fall in, from every stored day of those weeks; a week may become empty."""
+    weeks = {"{}-W{:02d}".format(*dt.date.fromisoformat(d).isocalendar()[:2]) for d in days}
+    whole = {dt.date.fromisocalendar(int(w[:4]), int(w[6:]), k) for w in weeks for k in range(1, 8)}
+    stored = out.read(SPEED_HISTOGRAMS, HISTOGRAM, names={f"service_date={d}" for d in whole})
+    weekly = segment_weekly(stored.select("service_date", *GROUP_KEYS, "bucket", "n", "low", "high"), mode)
+    tables.stage_table(out, weekly, "transit_segment_weekly", ["route_id", "direction", "bin_idx"], sorted(weeks))
+
+
+def write_weeks(spark: SparkSession, layout: Layout, days: list[str], mode: str) -> None:
+    """Rebuilds the weeks the given days fall in."""
+    with Publication(spark, layout.tables) as out:
+        _stage_weeks(out, days, mode)
+        out.commit()
+
+
+def read_histograms(spark: SparkSession, layout: Layout) -> DataFrame:
+    return read_published(spark, layout.tables, SPEED_HISTOGRAMS, HISTOGRAM)
 
 
 def backfill(
@@ -175,8 +166,8 @@ def backfill(
 ) -> list[str]:
     """Derives every closed day that is not in the ledger, and returns these days.
 
-    Days go in runs of ``days_per_job``, oldest first. Each run ends with its ledger rows, so what was derived
-    before an interruption is not derived again.
+    Days go in runs of ``days_per_job``, oldest first. Each run publishes its tables and ledger rows together, so what was
+    derived before an interruption is not derived again, and nothing of an interrupted run shows.
     """
     waiting = pending_days(
         archive.archived_days(spark, layout.positions), tables.read_ledger(spark, layout.tables), today

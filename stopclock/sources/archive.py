@@ -12,7 +12,7 @@ from stopclock.functions.calendar import (
 )
 from stopclock.session import hadoop_path, path_exists
 from stopclock.sources import schemas
-from stopclock.sources.tables import clear_partitions
+from stopclock.sources.publish import Publication, read_published
 
 # A day's folder is named by its date alone, or as Spark names partitions; collection cycles lie below it.
 _FOLDER_DATE = r"/(?:service_date=)?(\d{4}-\d{2}-\d{2})/(?:cycle=[^/]+/)?[^/]*$"
@@ -174,24 +174,21 @@ def read_collected_positions(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def write_arrivals_archive(arrivals: DataFrame, root: str, owned: list | None = None) -> None:
+ARRIVALS_ARCHIVE = "arrivals_archive"
+
+
+def stage_arrivals_archive(out: Publication, arrivals: DataFrame, owned: list | None = None) -> None:
     """Arrivals as gzipped JSON lines per service day, instants as ISO text cut to milliseconds.
 
     Days of ``owned`` without arrivals become empty.
     """
-    if owned is not None:
-        clear_partitions(arrivals.sparkSession, root, "service_date", owned)
     stamp = iso_text(from_epoch_ms(F.col("ts_ms")))
-    (
-        arrivals.select(
-            "service_date", F.col("stop_id").alias("stop"), F.col("route_id").alias("route"),
-            F.col("direction").alias("dir"), stamp.alias("ts"), F.col("delay_s").alias("delay"),
-        )
-        .hint("rebalance", F.col("service_date"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("service_date").option("compression", "gzip").option("ignoreNullFields", "false").json(root)
+    lines = arrivals.select(
+        "service_date", F.col("stop_id").alias("stop"), F.col("route_id").alias("route"),
+        F.col("direction").alias("dir"), stamp.alias("ts"), F.col("delay_s").alias("delay"),
     )
+    out.stage(lines, ARRIVALS_ARCHIVE, "service_date", [], owned, "json", compression="gzip", ignoreNullFields="false")
 
 
 def read_arrivals_archive(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(schemas.ARRIVAL_LINE + ", service_date date").json(root)
+    return read_published(spark, root, ARRIVALS_ARCHIVE, schemas.ARRIVAL_LINE + ", service_date date", "json")

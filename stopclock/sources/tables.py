@@ -1,4 +1,4 @@
-"""The stored tables: partitioned Parquet, overwritten partition by partition."""
+"""The stored tables: partitioned Parquet, replaced partition by partition (see ``publish``)."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stopclock.session import hadoop_path, path_exists
 from stopclock.sources import schemas
+from stopclock.sources.publish import Publication, read_published
 
 SCHEMAS = {
     "transit_stop_daily": (schemas.STOP_DAILY, "date"),
@@ -22,56 +22,40 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target])
 
 
-def clear_partitions(spark: SparkSession, path: str, partition: str, values: list) -> None:
-    """Removes the folders of the given partition values, and makes sure that the table's folder exists."""
-    root, fs = hadoop_path(spark, path)
-    fs.mkdirs(root)
-    for value in values:
-        fs.delete(hadoop_path(spark, f"{path}/{partition}={value}")[0], True)
-
-
-def overwrite_partitions(
-    df: DataFrame, path: str, partition: str, sort_by: list[str], owned: list | None = None
-) -> None:
-    """Replaces the partitions present in ``df``, so a rerun leaves no stale keys.
-
-    With ``owned``, all partitions of these values are replaced: those without rows become empty. ``df``
-    must not read what it replaces.
-
-    Rows are gathered by partition, and the adaptive planner then splits large partitions over
-    tasks and joins small ones, so neither one huge day nor many tiny files arise. Sorting within
-    files makes their statistics useful.
-    """
-    if owned is not None:
-        clear_partitions(df.sparkSession, path, partition, owned)
-    (
-        df.hint("rebalance", F.col(partition))
-        .sortWithinPartitions(partition, *sort_by)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    )
+def stage_table(out: Publication, df: DataFrame, name: str, sort_by: list[str], owned: list | None = None) -> None:
+    schema, partition = SCHEMAS[name]
+    out.stage(conform(df, schema), name, partition, sort_by, owned)
 
 
 def write_table(df: DataFrame, root: str, name: str, sort_by: list[str], owned: list | None = None) -> None:
-    schema, partition = SCHEMAS[name]
-    overwrite_partitions(conform(df, schema), f"{root}/{name}", partition, sort_by, owned)
+    """Replaces the partitions present in ``df``, and all of ``owned``, in one step. Readers see old or new rows; a failed write changes nothing."""
+    with Publication(df.sparkSession, root) as out:
+        stage_table(out, df, name, sort_by, owned)
+        out.commit()
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    schema, _ = SCHEMAS[name]
-    names = [f.name for f in StructType.fromDDL(schema)]
-    return spark.read.schema(schema).parquet(f"{root}/{name}").select(*names)
+    """A stored table as last published; one that was never published is empty."""
+    return read_published(spark, root, name, SCHEMAS[name][0])
+
+
+LEDGER_TABLE = "transit_derive_log"
+
+
+def stage_ledger(out: Publication, rows: DataFrame) -> None:
+    """Each job's ledger rows are a partition of their own, so jobs never replace one another's."""
+    out.stage(conform(rows, schemas.LEDGER).withColumn("run", F.lit(f"r{out.job}")), LEDGER_TABLE, "run", ["date"])
 
 
 def append_ledger(rows: DataFrame, root: str) -> None:
-    conform(rows, schemas.LEDGER).write.mode("append").parquet(f"{root}/transit_derive_log")
+    with Publication(rows.sparkSession, root) as out:
+        stage_ledger(out, rows)
+        out.commit()
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     """One row per derived day, the one processed last; an absent ledger is empty."""
-    path = f"{root}/transit_derive_log"
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schemas.LEDGER)
-    rows = spark.read.schema(schemas.LEDGER).parquet(path)
+    rows = read_published(spark, root, LEDGER_TABLE, f"{schemas.LEDGER}, run string").drop("run")
     names = [f.name for f in rows.schema if f.name != "date"]
     return (
         rows.groupBy("date").agg(F.max_by(F.struct(*names), "processed_at").alias("last")).select("date", "last.*")

@@ -2,48 +2,58 @@
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from stopclock.operators.subscriptions import STATE_COLUMNS, fold_events, usable_events
+from stopclock.session import checkpoint_id
+from stopclock.sources.publish import Publication, newest, read_published, vacuum
 
-from stopclock.operators.subscriptions import fold_events
-from stopclock.session import checkpoint_id, folders_matching, hadoop_path, path_exists
+STATE = "subscription_state"
+BUCKETS = 256
+_SCHEMA = "user_id string, " + ", ".join(f"{name} {kind}" for name, kind in STATE_COLUMNS.items()) + ", bucket int"
 
 
-def _versions(spark: SparkSession, root: str) -> dict[int, tuple[str, str]]:
-    """Versions written completely: their number, the batch that made them and their folder."""
-    names = [path.getName() for path in folders_matching(spark, f"{root}/version=*")]
-    found = [re.fullmatch(r"version=(\d+)\.(\w+\.\d+)", name) for name in names]
-    return {int(m.group(1)): (m.group(2), f"{root}/{m.string}") for m in found if m and path_exists(spark, f"{root}/{m.string}/_SUCCESS")}
+def _bucket(user: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
 
 
-def read_state(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest complete version."""
-    versions = _versions(spark, root)
-    return spark.read.parquet(versions[max(versions)][1]) if versions else None
+def read_state(spark: SparkSession, root: str) -> DataFrame:
+    """The state as last published; empty before the first batch."""
+    return read_published(spark, root, STATE, _SCHEMA).drop("bucket")
 
 
-def keep_state(events: DataFrame, root: str, checkpoint: str, policy: str = "server", kept_versions: int = 10):
-    """Folds each batch into the newest state and writes the result as the next version.
+def keep_state(
+    events: DataFrame, root: str, checkpoint: str, policy: str = "server", buckets: int = BUCKETS, kept_versions: int = 10, kept_hours: float = 48.0,
+):
+    """Folds each batch into the state of the users it names.
 
-    A version is named by its number and by the checkpoint and batch that made it. A repeated batch that has
-    its version already changes nothing, and a stream started anew goes on from the newest version.
-    Events are folded in order within a batch; batches apply in the order they arrive. Of the versions
-    only the last ``kept_versions`` stay; all but the newest are copies that nothing reads.
+    Users lie in hash buckets, each a partition with a version of its own: a batch reads and writes only the buckets its
+    events fall in, and publishes them in one step together with its number. A batch repeated after a failure finds
+    its number and changes nothing; a stream started anew, with a checkpoint of its own, goes on from the
+    state that is there. Events are folded in order within a batch; batches apply in the order they arrive.
+    The number of ``buckets`` must stay that of the first batch. Replaced versions stay for ``kept_versions`` batches and ``kept_hours``, for readers.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        versions = _versions(spark, root)
-        own = f"{checkpoint_id(spark, checkpoint)}.{batch_id}"
-        if own in {maker for maker, _ in versions.values()}:
+        stream = checkpoint_id(spark, checkpoint)
+        before = newest(spark, root)
+        if before.marks.get(stream, -1) >= batch_id:
             return
-        number = max(versions, default=-1) + 1
-        current = spark.read.parquet(versions[number - 1][1]) if versions else None
-        fold_events(batch, current, policy).write.mode("overwrite").parquet(f"{root}/version={number}.{own}")
-        for old, (_, folder) in versions.items():
-            if old <= number - kept_versions:
-                path, fs = hadoop_path(spark, folder)
-                fs.delete(path, True)
+        if before.marks.get("buckets", buckets) != buckets:
+            raise ValueError(f"this state has {before.marks['buckets']} buckets, not {buckets}")
+        batch.persist()
+        try:
+            touched = [r[0] for r in usable_events(batch).select(_bucket(F.col("user_id"), buckets)).distinct().collect()]
+            with Publication(spark, root) as out:
+                if touched:
+                    current = out.read(STATE, _SCHEMA, names={f"bucket={b}" for b in touched}).drop("bucket")
+                    state = fold_events(batch, current, policy)
+                    out.stage(state.withColumn("bucket", _bucket(F.col("user_id"), buckets)), STATE, "bucket", ["user_id"], touched)
+                out.commit({stream: batch_id, "buckets": buckets})
+        finally:
+            batch.unpersist()
+        vacuum(spark, root, kept_versions, kept_hours)
 
     return events.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)

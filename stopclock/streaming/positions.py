@@ -5,30 +5,19 @@ Stream results are provisional. The batch derivation of a closed day stays the a
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, from_epoch_ms
-from stopclock.operators.stop_metrics import stop_hourly
+from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, from_epoch_ms, local_hour
+from stopclock.functions.numbers import half_up
+from stopclock.operators.stop_metrics import HOURLY_COLUMNS
 from stopclock.operators.traces import MAX_GAP_MS, SAMPLE_ORDER, SLICE_MS, TRACE_KEYS, slices_reached
-from stopclock.session import checkpoint_id, folders_matching
+from stopclock.session import checkpoint_id
 from stopclock.sources import archive, tables
+from stopclock.sources.publish import Publication, newest, vacuum
 
 WATERMARK = "10 minutes"
 
-_POINT = "ts_ms double, lat double, lon double, next_stop_id string"
-_PAIR_FIELDS = [f"{side}_{name}" for side in ("a", "b") for name in SAMPLE_ORDER]
-PAIR_SCHEMA = (
-    "service_date date, vehicle_id string, route_id string, pattern_suffix string, "
-    "a_ts_ms double, a_lat double, a_lon double, a_next_stop_id string, "
-    "b_ts_ms double, b_lat double, b_lon double, b_next_stop_id string, dt_ms double"
-)
-
 
 def position_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
     """Samples from archive objects as they arrive."""
@@ -52,49 +41,32 @@ def collect_positions(replies: DataFrame, root: str, checkpoint: str, offset_hou
     return replies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def _pair_up(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Pairs a trace slice's new samples with one another and with the last one seen."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(chunks), ignore_index=True).sort_values(SAMPLE_ORDER, kind="stable", na_position="first")
-    points = rows[[*SAMPLE_ORDER, "home"]]
-    if state.exists:
-        last = dict(zip(SAMPLE_ORDER, state.get, strict=True))
-        points = points[points["ts_ms"] >= last["ts_ms"]]
-        seen = pd.DataFrame([{**last, "home": False}])
-        points = pd.concat([seen, points], ignore_index=True) if len(points) else seen
-    newest = points.iloc[-1]
-    state.update(tuple(None if pd.isna(newest[c]) else newest[c] for c in SAMPLE_ORDER))
-    expiry = int(newest["ts_ms"]) + MAX_GAP_MS + 1
-    state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-
-    before = points[SAMPLE_ORDER].shift(1).add_prefix("a_")
-    pairs = pd.concat([before, points[SAMPLE_ORDER].add_prefix("b_")], axis=1)
-    pairs["dt_ms"] = pairs["b_ts_ms"] - pairs["a_ts_ms"]
-    kept = pairs[(pairs["dt_ms"] > 0) & (pairs["dt_ms"] <= MAX_GAP_MS) & points["home"].astype(bool)]
-    if len(kept):
-        for name, value in zip(TRACE_KEYS, key, strict=False):
-            kept = kept.assign(**{name: value})
-        yield kept[[*TRACE_KEYS, *_PAIR_FIELDS, "dt_ms"]]
-
-
-def pair_stream(samples: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
-    """Sample pairs of a stream of valid samples, equal to the batch pairs on in-order input.
-
-    Traces are cut into the same overlapping time slices as in the batch, so a hot vehicle's
-    state and rows are spread too. State is dropped once no sample could still pair with it. Samples older
-    than the last one seen of their trace slice, and those behind the watermark, make no pairs here; the batch
-    derivation of the closed day has them.
+def pair_stream(samples: DataFrame, slice_ms: int = SLICE_MS, watermark: str = WATERMARK) -> DataFrame:
+    """Sample pairs of a stream of valid samples, equal to the batch pairs for all samples that the watermark lets in.
+
+    The stream is joined with itself on trace and time slice, within the greatest gap of a pair; of the earlier samples that a
+    sample meets, the last one is its partner. Everything runs in the JVM. A pair comes out once the watermark has
+    passed its later sample, so samples may arrive in any order within it, and the last pairs wait for a later sample of any
+    vehicle. State is dropped when no sample could pair with it any more.
+
+    Traces are cut into the same overlapping time slices as in the batch: a hot vehicle's state is spread over tasks.
     """
-    homes = slices_reached(F.col("ts_ms"), MAX_GAP_MS, slice_ms)
-    spread = (
-        samples.select(*TRACE_KEYS, *SAMPLE_ORDER, from_epoch_ms(F.col("ts_ms")).alias("sampled_at"), F.explode(homes).alias("slice"))
-        .withColumn("home", F.col("slice") == F.floor(F.col("ts_ms") / slice_ms))
-        .withWatermark("sampled_at", WATERMARK)
-    )
-    return spread.groupBy(*TRACE_KEYS, "slice").applyInPandasWithState(
-        _pair_up, PAIR_SCHEMA, _POINT, "append", GroupStateTimeout.EventTimeTimeout
+    placed = samples.select(*TRACE_KEYS, *SAMPLE_ORDER, from_epoch_ms(F.col("ts_ms")).alias("at")).withWatermark("at", watermark)
+    reached = F.explode(slices_reached(F.col("ts_ms"), MAX_GAP_MS, slice_ms))
+    earlier = placed.select(*[F.col(c).alias(f"_{c}") for c in TRACE_KEYS], *[F.col(c).alias(f"a_{c}") for c in SAMPLE_ORDER], F.col("at").alias("a_at"), reached.alias("_slice"))
+    own = F.floor(F.col("ts_ms") / slice_ms)
+    later = placed.select(*TRACE_KEYS, *[F.col(c).alias(f"b_{c}") for c in SAMPLE_ORDER], F.col("at").alias("b_at"), own.alias("slice"))
+    same = F.col("slice") == F.col("_slice")
+    for c in TRACE_KEYS:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # One millisecond more, as instants are cut to it; the exact gap is tested below.
+    near = (F.col("a_at") <= F.col("b_at")) & (F.col("b_at") <= F.col("a_at") + F.expr(f"INTERVAL {MAX_GAP_MS + 1} MILLISECOND"))
+    a, b = (F.struct(*[F.col(f"{side}_{c}").alias(c) for c in SAMPLE_ORDER]) for side in ("a", "b"))
+    met = later.join(earlier, same & near & (a < b))
+    gap = F.col("b_ts_ms") - F.col("a.ts_ms")
+    last = met.groupBy(*TRACE_KEYS, *[f"b_{c}" for c in SAMPLE_ORDER], "b_at").agg(F.max_by(a, a).alias("a"))
+    return last.where((gap > 0) & (gap <= MAX_GAP_MS)).select(
+        *TRACE_KEYS, *[F.col(f"a.{c}").alias(f"a_{c}") for c in SAMPLE_ORDER], *[f"b_{c}" for c in SAMPLE_ORDER], gap.alias("dt_ms")
     )
 
 
@@ -117,29 +89,61 @@ def hourly_counts(arrivals: DataFrame, offset_hours: int = LOCAL_OFFSET_HOURS) -
     )
 
 
-def keep_hourly(arrivals: DataFrame, root: str, checkpoint: str, offset_hours: int = LOCAL_OFFSET_HOURS):
-    """Stores arriving arrivals and recomputes the stop-hour table of the dates they touch.
+DELAYS = "stop_hour_delays"
+_DELAY_KEYS = ["service_date", "stop_id", "route_id", "direction", "hour", "delay_s"]
+_DELAYS = "stop_id string, route_id string, direction int, hour int, delay_s int, n long, service_date date"
+
+
+def delay_counts(arrivals: DataFrame, offset_hours: int = LOCAL_OFFSET_HOURS) -> DataFrame:
+    """How many arrivals of a stop and hour have each delay, to the second; null is a delay of its own."""
+    return arrivals.withColumn("hour", local_hour(F.col("ts_ms"), offset_hours)).groupBy(*_DELAY_KEYS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hourly_of_counts(counts: DataFrame) -> DataFrame:
+    """The stop-hour table from :func:`delay_counts`, the same as from the arrivals themselves."""
+    delay, n = F.col("delay_s"), F.col("n")
+    those = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+    return (
+        counts.groupBy("service_date", "stop_id", "route_id", "direction", "hour")
+        .agg(
+            F.sum(n).alias("n_obs"), those(delay.isNotNull()).alias("n_matched"), those(delay.between(-60, 300)).alias("on_time"),
+            those(delay > 300).alias("late"), those(delay < -60).alias("early"),
+            half_up(F.percentile(delay, 0.5, n)).cast("int").alias("delay_med_s"),
+        )
+        .withColumnRenamed("service_date", "date")
+        .select(*HOURLY_COLUMNS)
+    )
+
+
+def keep_hourly(arrivals: DataFrame, root: str, checkpoint: str, offset_hours: int = LOCAL_OFFSET_HOURS, kept_versions: int = 10, kept_hours: float = 48.0):
+    """Keeps the stop-hour table, exact medians included, by increments.
 
-    Each batch of a checkpoint owns its partition of the store, so a repeated batch changes nothing and
-    a stream started anew adds to what is there.
+    What is stored of the arrivals is a counter for each delay of a stop and hour. A batch adds its counts to those of the dates it
+    touches and rebuilds their stop-hours from the counters: work grows with stops and delays of these dates, not with the arrivals
+    there were. Counters, table and the batch's number are published in one step, so a repeated batch changes nothing, and a
+    stream started anew adds to what is there.
     """
-    store = f"{root}/stream_arrivals"
-    columns = ["service_date", "route_id", "direction", "stop_id", "ts_ms", "delay_s"]
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        own = f"b{checkpoint_id(spark, checkpoint)}-{batch_id}"
-        (
-            batch.select(*columns, F.lit(own).alias("batch"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("service_date", "batch").parquet(store)
-        )
-        # The dates come from the folders just written, not from computing the batch again.
-        written = [p.getName() for p in folders_matching(spark, f"{store}/service_date=*/batch={own}", parent=True)]
-        touched = sorted(name.removeprefix("service_date=") for name in written)
-        if touched:
-            schema = batch.select(*columns).schema.add("batch", "string")
-            stored = spark.read.schema(schema).parquet(store).where(F.col("service_date").isin(*[dt.date.fromisoformat(d) for d in touched]))
-            tables.write_table(stop_hourly(stored, offset_hours), root, "transit_stop_hourly", ["stop_id", "route_id"], owned=touched)
+        stream = checkpoint_id(spark, checkpoint)
+        if newest(spark, root).marks.get(stream, -1) >= batch_id:
+            return
+        fresh = delay_counts(batch, offset_hours).persist()
+        try:
+            touched = [str(r[0]) for r in fresh.select("service_date").distinct().collect()]
+            with Publication(spark, root) as out:
+                if touched:
+                    names = {f"service_date={d}" for d in touched}
+                    columns = [*_DELAY_KEYS, "n"]
+                    merged = out.read(DELAYS, _DELAYS, names=names).select(*columns).union(fresh.select(*columns))
+                    merged = merged.groupBy(*_DELAY_KEYS).agg(F.sum("n").alias("n"))
+                    out.stage(merged, DELAYS, "service_date", ["stop_id", "hour"], touched)
+                    counts = out.read(DELAYS, _DELAYS, names=names)
+                    tables.stage_table(out, hourly_of_counts(counts), "transit_stop_hourly", ["stop_id", "route_id"], touched)
+                out.commit({stream: batch_id})
+        finally:
+            fresh.unpersist()
+        vacuum(spark, root, kept_versions, kept_hours)
 
     return arrivals.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)

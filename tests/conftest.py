@@ -25,7 +25,6 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
-            "spark.sql.streaming.noDataMicroBatches.enabled": "false",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -164,7 +164,7 @@ def test_next_day_and_weekly_modes(spark, layout):
     assert {r.n for r in tables.read_table(spark, layout.tables, "transit_segment_weekly").collect()} == {3}
     derive.write_weeks(spark, layout, [str(DAY)], "merge")
     assert {r.n for r in tables.read_table(spark, layout.tables, "transit_segment_weekly").collect()} == {7}
-    stored = spark.read.parquet(layout.histograms)
+    stored = derive.read_histograms(spark, layout)
     assert merge_histograms(stored, ["bin_idx"]).agg(F.sum("n")).first()[0] == 7 * 6
 
 
@@ -172,7 +172,7 @@ def test_rerun_changes_nothing_and_leaves_no_stale_keys(spark, layout):
     daily = tables.read_table(spark, layout.tables, "transit_stop_daily")
     before = rows(daily)
     stale = daily.where(F.col("date") == F.lit(DAY)).limit(1).withColumn("stop_id", F.lit("GONE"))
-    tables.conform(stale, tables.SCHEMAS["transit_stop_daily"][0]).write.mode("append").partitionBy("date").parquet(f"{layout.tables}/transit_stop_daily")
+    tables.write_table(daily.union(stale), layout.tables, "transit_stop_daily", ["stop_id"])
     assert len(rows(tables.read_table(spark, layout.tables, "transit_stop_daily"))) == len(before) + 1
     derive.derive_days(spark, layout, [DAY])
     assert rows(tables.read_table(spark, layout.tables, "transit_stop_daily")) == before
@@ -188,7 +188,7 @@ def test_stored_tables_are_consistent(spark, layout):
 
 
 def test_arrivals_archive(spark, layout):
-    found = archive.read_arrivals_archive(spark, layout.arrivals_archive).where(F.col("service_date") == F.lit(DAY))
+    found = archive.read_arrivals_archive(spark, layout.tables).where(F.col("service_date") == F.lit(DAY))
     first = found.orderBy("ts").first()
     assert (first.stop, first.route, first.dir, first.delay) == ("A", "R1", 1, 24)
     assert first.ts.startswith("2026-07-13T04:00:2") and first.ts.endswith("Z")
@@ -212,7 +212,7 @@ def test_a_rerun_without_arrivals_empties_the_day(spark, layout, tmp_path):
     derive.derive_days(spark, own, [DAY])
     daily = tables.read_table(spark, own.tables, "transit_stop_daily")
     assert {r.date for r in daily.select("date").distinct().collect()} == {NEXT}
-    assert {r.service_date for r in archive.read_arrivals_archive(spark, own.arrivals_archive).collect()} == {NEXT}
+    assert {r.service_date for r in archive.read_arrivals_archive(spark, own.tables).collect()} == {NEXT}
     log = {r.date: r.arrivals for r in tables.read_ledger(spark, own.tables).collect()}
     assert log[DAY] == 0 and log[NEXT] > 0
     derive.derive_days(spark, own, [DAY, NEXT])

@@ -11,7 +11,7 @@ from stopclock.operators.stop_metrics import stop_hourly
 from stopclock.operators.traces import TRACE_KEYS, sample_pairs, valid_samples
 from stopclock.operators.usage import rate_limit_audit
 from stopclock.plans import adapters as ad
-from stopclock.sources import archive, tables
+from stopclock.sources import archive, publish, tables
 from stopclock.streaming import billing, positions, requests
 
 SF = str(TESTDATA / "sf0.001")
@@ -35,25 +35,71 @@ def finish(writer):
     assert not query.isActive and query.exception() is None
 
 
-def test_pairs(spark, tmp_path):
-    samples = valid_samples(ad.event_positions(spark, SF)).where(F.col("vehicle_id") < "2")
-    stream = replay(spark, samples, "ts_ms", tmp_path / "in")
+COLUMNS = [*TRACE_KEYS, "a_ts_ms", "b_ts_ms", "a_next_stop_id", "b_next_stop_id", "dt_ms"]
+
 
+def paired(spark, stream, tmp_path, **settings):
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={batch_id}"))
 
-    finish(positions.pair_stream(stream).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")))
-    columns = [*TRACE_KEYS, "a_ts_ms", "b_ts_ms", "a_next_stop_id", "b_next_stop_id", "dt_ms"]
-    got = spark.read.parquet(str(tmp_path / "out")).select(*columns)
-    assert rows(got) == rows(sample_pairs(samples).select(*columns))
+    finish(positions.pair_stream(stream, **settings).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")))
+    return spark.read.parquet(str(tmp_path / "out")).select(*COLUMNS)
+
+
+def with_heartbeat(spark, samples, after_ms=3_600_000):
+    """A sample of no vehicle later than all others, which moves the watermark past them."""
+    last = samples.agg(F.max("ts_ms")).first()[0]
+    names = samples.columns
+    beat = samples.limit(1).withColumns({"vehicle_id": F.lit("heartbeat"), "ts_ms": F.lit(last + after_ms)})
+    return samples.unionByName(beat.select(*names))
+
+
+@pytest.mark.parametrize("slice_ms", [3_600_000, 120_000])
+def test_pairs(spark, tmp_path, slice_ms):
+    samples = valid_samples(ad.event_positions(spark, SF)).where(F.col("vehicle_id") < "2")
+    stream = replay(spark, with_heartbeat(spark, samples), "ts_ms", tmp_path / "in")
+    got = paired(spark, stream, tmp_path, slice_ms=slice_ms)
+    assert rows(got) == rows(sample_pairs(samples).select(*COLUMNS))
     assert got.count() > 100
 
 
+def test_pairs_of_ties_and_late_samples(spark, tmp_path):
+    """Equal instants, repeated samples and a sample that comes a batch late but before the watermark; then one that is too late."""
+    start = 1_783_900_800_000.0
+    names = "service_date string, vehicle_id string, route_id string, pattern_suffix string, ts_ms double, lat double, lon double, next_stop_id string"
+
+    def sample(second, lat=1.0, stop="A", vehicle="v", suffix="0"):
+        return ("2026-07-13", vehicle, "R", suffix, start + 1000 * second, lat, 2.0, stop)
+
+    first = [sample(0), sample(0), sample(0, 2.0), sample(60), sample(60, stop=None), sample(200), sample(700), sample(0, vehicle="w", suffix=None), sample(10, vehicle="w", suffix=None)]
+    second = [sample(130), sample(900), sample(260, vehicle="heartbeat")]
+    late = [sample(3, vehicle="late"), sample(4, vehicle="late"), sample(90_000, vehicle="heartbeat")]
+    for i, part in enumerate((first, second, [sample(7200, vehicle="heartbeat")], late)):
+        frame = spark.createDataFrame(part, names).withColumn("service_date", F.col("service_date").cast("date"))
+        frame.coalesce(1).write.parquet(str(tmp_path / f"in/piece={i}"))
+    schema = frame.schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = paired(spark, stream, tmp_path)
+    whole = spark.createDataFrame(first + second, names).withColumn("service_date", F.col("service_date").cast("date"))
+    assert rows(got) == rows(sample_pairs(whole).select(*COLUMNS))
+
+
+def test_state_of_pairs_expires(spark, tmp_path):
+    """Samples that nothing can pair with any more leave the state."""
+    samples = valid_samples(ad.event_positions(spark, SF)).where(F.col("vehicle_id") < "2")
+    stream = replay(spark, with_heartbeat(spark, samples, 30 * 86_400_000), "ts_ms", tmp_path / "in")
+    found = positions.pair_stream(stream).writeStream.foreachBatch(lambda batch, _: batch.write.format("noop").mode("overwrite").save())
+    query = found.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    left = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+    assert max(left) > 100 and left[-1] <= 3
+
+
 def test_subscription_state(spark, tmp_path):
     events = ad.billing_events(spark, SF)
     stream = replay(spark, events.withColumn("s", F.unix_seconds("received_at").cast("double")), "s", tmp_path / "in", 4)
-    finish(billing.keep_state(stream, str(tmp_path / "state"), str(tmp_path / "cp"), kept_versions=2))
-    assert sorted(p.name.split(".")[0] for p in (tmp_path / "state").iterdir()) == ["version=2", "version=3"]
+    finish(billing.keep_state(stream, str(tmp_path / "state"), str(tmp_path / "cp"), kept_versions=2, kept_hours=0))
+    assert sorted(p.name for p in (tmp_path / "state/_published").glob("0*.json")) == ["000000000003.json", "000000000004.json"]
     assert rows(billing.read_state(spark, str(tmp_path / "state"))) == rows(subs.fold_events(events))
 
 
@@ -66,16 +112,64 @@ def test_subscription_state_goes_on_with_a_new_checkpoint(spark, tmp_path):
         finish(billing.keep_state(replay(spark, part, "s", tmp_path / f"in{i}", 2), str(tmp_path / "state"), str(tmp_path / f"cp{i}")))
     expected = rows(subs.fold_events(events))
     assert rows(billing.read_state(spark, str(tmp_path / "state"))) == expected
-    names = sorted(p.name for p in (tmp_path / "state").iterdir())
+    names = sorted(map(str, (tmp_path / "state").rglob("*")))
     commits = sorted((tmp_path / "cp1" / "commits").glob("[0-9]*"))
     for path in [*commits[-1:], *(tmp_path / "cp1" / "commits").glob(f".{commits[-1].name}.crc")]:
         path.unlink()
     again = spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in1"))
     finish(billing.keep_state(again, str(tmp_path / "state"), str(tmp_path / "cp1")))
-    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == names
+    assert sorted(map(str, (tmp_path / "state").rglob("*"))) == names
     assert rows(billing.read_state(spark, str(tmp_path / "state"))) == expected
 
 
+def test_only_touched_buckets_of_the_state_are_written(spark, tmp_path):
+    events = ad.billing_events(spark, SF)
+    root = tmp_path / "state"
+    some = [r[0] for r in events.select("data.custom_data.user_id").where("user_id is not null").distinct().orderBy("user_id").limit(3).collect()]
+    few = events.where(F.col("data.custom_data.user_id").isin(some))
+    for i, part in enumerate((events, few)):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+        before = {str(p) for p in root.rglob("*.parquet")}
+        versions = publish.newest(spark, str(root)).partitions(billing.STATE)
+        stream = spark.readStream.schema(part.schema).parquet(str(tmp_path / f"in{i}"))
+        finish(billing.keep_state(stream, str(root), str(tmp_path / f"cp{i}"), buckets=16))
+    after = publish.newest(spark, str(root)).partitions(billing.STATE)
+    changed = {n for n in after if after[n] != versions[n]}
+    assert len(after) > 5 and 1 <= len(changed) <= 3
+    # Files of other buckets are those of the batch before, untouched.
+    fresh = {str(p) for p in root.rglob("*.parquet")} - before
+    assert fresh and {p.split("/")[-2] for p in fresh} == changed
+    whole = subs.fold_events(events)
+    assert rows(billing.read_state(spark, str(root)).where(~F.col("user_id").isin(some))) == rows(whole.where(~F.col("user_id").isin(some)))
+    with pytest.raises(Exception, match="buckets"):
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in0"))
+        finish(billing.keep_state(stream, str(root), str(tmp_path / "cp9"), buckets=8))
+
+
+def test_a_batch_that_fails_before_its_commit_is_repeated_once(spark, tmp_path, monkeypatch):
+    events = ad.billing_events(spark, SF)
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    commit, calls = publish.Publication.commit, []
+
+    def failing(self, marks=None):
+        calls.append(marks)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+        commit(self, marks)
+
+    monkeypatch.setattr(publish.Publication, "commit", failing)
+    for attempt in range(2):
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        query = billing.keep_state(stream, str(tmp_path / "state"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+        if attempt == 0:
+            with pytest.raises(Exception, match="lost"):
+                query.awaitTermination(100)
+            assert billing.read_state(spark, str(tmp_path / "state")).count() == 0
+        else:
+            query.awaitTermination(100)
+    assert rows(billing.read_state(spark, str(tmp_path / "state"))) == rows(subs.fold_events(events))
+
+
 def test_hourly_table_goes_on_with_a_new_checkpoint(spark, tmp_path):
     arrivals = ad.event_arrivals(spark, SF)
     for i in range(2):
