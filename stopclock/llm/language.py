@@ -27,7 +27,7 @@ UNKNOWN = "und"
 #: learned languages, in nats a byte, and how much further a text of n words, in parts of the square root of n.
 FULL_TEXT, BELOW, BELOW_SHORT = 20, 0.5, 3.0
 #: Bytes of text whose words are scored together.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 
 #: After lower-casing, words are runs of a-z and of all bytes of non-ASCII characters.
 OTHERS = np.ones(256, bool)
@@ -116,7 +116,7 @@ def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterat
     size = np.minimum(sizes[word] - begin, PART)
     for n in np.unique(size):
         chosen = np.flatnonzero(size == n)
-        for some in np.array_split(chosen, max(1, len(chosen) * int(n) // (1 << 19) + 1)):
+        for some in np.array_split(chosen, max(1, len(chosen) * int(n) // (1 << 18) + 1)):
             at = starts[word[some], None] - 1 + begin[some, None] + np.arange(n)
             rows = data[np.maximum(at, 0)]
             rows[begin[some] == 0, 0] = _SPACE
@@ -128,7 +128,7 @@ def _whole_by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     sizes = ends - starts + 1
     for n in np.unique(sizes):
         chosen = np.flatnonzero(sizes == n)
-        for some in np.array_split(chosen, max(1, len(chosen) * int(n) // (1 << 19) + 1)):
+        for some in np.array_split(chosen, max(1, len(chosen) * int(n) // (1 << 18) + 1)):
             rows = data[np.maximum(starts[some, None] - 1 + np.arange(n), 0)]
             rows[:, 0] = _SPACE
             yield rows, some

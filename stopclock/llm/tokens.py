@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 import tiktoken
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopclock.llm.shared import Scratch, map_batches
@@ -57,65 +57,46 @@ class Feistel:
         return out.astype(np.int64)
 
 
-def _tokenised(ranks: dict[bytes, int], length: int, dtype: str):
-    """Rows ``o1, o2, d, text`` as ``o1, o2, d, count, ids``: all ids of a text in one piece, and its number of sequences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        for batch in batches:
-            counts, ids = [], []
-            for text in batch.column("text"):
-                tokens = np.append(encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()), END).astype(dtype)
-                counts.append(-(-len(tokens) // length))
-                ids.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("o1", "o2", "d")), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["o1", "o2", "d", "count", "ids"])
-
-    return run
-
-
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the range's number and how many sequences come before in it."""
-    part, total = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        counts = batch.column("count").to_numpy()
-        before = total + np.cumsum(counts) - counts
-        total += int(counts.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part)), pa.array(before), *(batch.column(c) for c in ("d", "count", "ids"))], ["part", "before", "d", "count", "ids"])
-
-
-def _slots(numbers: np.ndarray, total: int, key: int, window: int | None) -> np.ndarray:
-    """The slots of sequence numbers: permuted over the whole run, or inside each ``window`` of it."""
-    if window is None or window >= total:
-        return Feistel(total, key)(numbers)
-    out = np.empty_like(numbers)
-    of = numbers // window
+def _places(numbers: np.ndarray, room: int, count: int, key: int, window: int | None) -> np.ndarray:
+    """Permuted numbers: over the room of all documents, or inside that of each ``window`` documents."""
+    if window is None or window >= count:
+        return Feistel(count * room, key)(numbers)
+    out, wide = np.empty_like(numbers), window * room
+    of = numbers // wide
     for w in np.unique(of):
-        own, base = of == w, int(w) * window
-        out[own] = base + Feistel(min(window, total - base), key + int(w) * 0x9E37)(numbers[own] - base)
+        own = of == w
+        out[own] = int(w) * wide + Feistel(wide, key + int(w) * 0x9E37)(numbers[own] - int(w) * wide)
     return out
 
 
-def _sequences(length: int, width: int, starts: dict[int, int], total: int, key: int, window: int | None, per_shard: int):
-    """Ids cut into sequences, each with its slot and shard."""
+def _sequences(ranks: dict[bytes, int], length: int, dtype: str, room: int, count: int, key: int, window: int | None, per_shard: int):
+    """Rows ``pos, d, text`` as sequences of ids, each with its permuted number and its shard, a range of these numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        numbers, owners, nth, sizes, records = [], [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            place = _places(np.concatenate(numbers), room, count, key, window) if numbers else np.zeros(0, np.int64)
+            columns = [pa.array(place), pa.array(place // per_shard), pa.array(owners, pa.int64()), pa.array(nth, pa.int64()), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())]
+            for some in (numbers, owners, nth, sizes, records):
+                some.clear()
+            return pa.RecordBatch.from_arrays(columns, ["place", "shard", "doc_id", "seq", "n_tokens", "record"])
+
         for batch in batches:
-            counts = batch.column("count").to_numpy()
-            first = np.array([starts[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("before").to_numpy()
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(np.cumsum(counts[a:]), _TOGETHER, "right")) + a)
-                some, step = counts[a:b], length * width
-                nth = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
-                slot = _slots(np.repeat(first[a:b], some) + nth, total, key, window)
-                records = [ids.as_buffer()[k : k + step].to_pybytes() for ids in batch.column("ids").slice(a, b - a) for k in range(0, ids.as_buffer().size, step)]
-                sizes = [len(r) // width for r in records]
-                owners = batch.column("d").slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), some)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(slot // per_shard), owners, pa.array(nth), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())],
-                    ["slot", "shard", "doc_id", "seq", "n_tokens", "record"],
-                )
-                a = b
+            for pos, owner, text in zip(batch.column("pos").to_pylist(), batch.column("d").to_pylist(), batch.column("text"), strict=True):
+                tokens = np.append(encoding.encode_to_numpy(text.as_py() or "", disallowed_special=()), END).astype(dtype)
+                own = -(-len(tokens) // length)
+                numbers.append(np.arange(pos * room, pos * room + own))
+                owners += [owner] * own
+                nth += range(own)
+                for k in range(0, len(tokens), length):
+                    part = tokens[k : k + length]
+                    sizes.append(len(part))
+                    records.append(part.tobytes())
+                if len(records) >= _TOGETHER:
+                    yield flush()
+        yield flush()
 
     return run
 
@@ -131,7 +112,7 @@ def _shard_name(shard: int) -> str:
 
 
 def _writer(folder: str, private: str, stride: int):
-    """Writes rows that come sorted by slot; a shard appears in ``folder`` when it is whole, until then it grows in ``private``."""
+    """Writes rows that come sorted by shard and place; a shard appears in ``folder`` when it is whole, until then it grows in ``private``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
@@ -159,66 +140,79 @@ def _writer(folder: str, private: str, stride: int):
     return run
 
 
-def file_order(docs: DataFrame) -> list[Column] | None:
-    """Columns for the order in which documents lie in the files they were read from; none for rows that aren't read from files."""
+def _from_files(docs: DataFrame) -> bool:
     try:
-        docs.select("_metadata.file_name", "_metadata.row_index")
+        docs.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
-        return None
-    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+        return False
+    return True
+
+
+def placed_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pos, d, text``: documents with their places from 0 in the order of their files and of the rows in them.
+
+    That order doesn't depend on how Spark cuts the files. Documents that aren't read from files are written to
+    some first, sorted by id and text.
+    """
+    text = F.col(text_col).cast("string")
+    if _from_files(docs):
+        rows = docs.select(F.col(id_col).cast("long").alias("d"), text.alias("text"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    else:
+        plain = docs.select(F.col(id_col).cast("long").alias("d"), text.alias("text"))
+        written = scratch.keep(plain.repartitionByRange(F.col("d"), F.xxhash64("text")).sortWithinPartitions("d", "text"))
+        rows = written.select("d", "text", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    # One row per file; no text is read for it.
+    bases, total = [], 0
+    for found in sorted(rows.groupBy("f").agg((F.max("r") + 1).alias("n")).collect()):
+        bases.append((found["f"], total))
+        total += found["n"]
+    table = docs.sparkSession.createDataFrame(bases, "_f string, _base long")
+    return rows.join(table, F.col("f") == F.col("_f")).select((F.col("_base") + F.col("r")).alias("pos"), "d", "text")
 
 
 def write_training_order(
     docs: DataFrame, path: str, key: int = 0, length: int = 256, per_shard: int = 1 << 16, vocabulary: str = VOCABULARY,
-    id_col: str = "doc_id", text_col: str = "text", order: list[Column] | None = None, window: int | None = None,
+    id_col: str = "doc_id", text_col: str = "text", window: int | None = None,
 ) -> None:
     """Writes every text's token ids as sequences of ``length`` in an order that ``key`` and the data fix.
 
     Under ``path``: ``shards`` with raw binary files of records, each ``length`` ids of two bytes (four for
     vocabularies above 65,535), the last of a text filled up with 0xff; ``index`` (Parquet: shard, row, doc_id, seq, n_tokens);
-    ``manifest`` (Parquet: shard, base, rows, stride, width). A shard has ``per_shard`` records, the last one what is left: a
-    record's global slot is its shard's base plus its row, slots have no gaps, and reading from any slot on is a seek and a sequential read.
+    ``manifest`` (Parquet: shard, base, rows, stride, width). A record's global slot is its shard's base plus its row, so slots
+    have no gaps, and reading from any slot on is a seek and a sequential read.
 
-    Every text ends with an end marker, so null and empty texts are one sequence of one token. Texts are tokenised once,
-    range-partitioned and sorted by ``order`` (one or two columns; by id and a hash of the text unless given), and their sequences numbered in that
-    order: each range counts its own, and the driver adds up one number per range. The slot of a sequence is a Feistel permutation of
-    its number, with cycle-walking, over all sequences, or over each ``window`` of them, which keeps an order that the
-    documents have in the large. Nothing depends on how Spark cuts the input. Shards are ranges of slots: one task sorts one shard's records and
-    writes them. A lost task writes its shard again under a private name first, in a folder that is removed at the end.
+    Every text ends with an end marker, so null and empty texts are one sequence of one token. A document's place in its files
+    (see ``placed_documents``) and a room that is the same for all, enough for the longest text, number the sequences before texts are
+    tokenised, which happens once. A Feistel permutation with cycle-walking over all that room orders them, or over the room of each
+    ``window`` documents, which keeps an order that the documents have in the large; slots are the ranks. Nothing depends on how Spark cuts the
+    input. Shards are ranges of permuted numbers, of ``per_shard`` records at most and about a third of it for ordinary text: one task sorts one
+    shard's records and writes them. A lost task writes its shard again under a private name first, in a folder that is removed at the end.
 
-    Repeated rows have sequences of their own; very long texts are many. A null id comes first. An empty table writes no shards.
+    Repeated rows have sequences of their own; very long texts are many. An empty table writes no shards.
     """
     spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    places = [*(order or [F.col(id_col).cast("long"), F.xxhash64(text)]), F.lit(0)][:2]
-    rows = docs.select(*(c.alias(f"o{i}") for i, c in enumerate(places, 1)), F.col(id_col).cast("long").alias("d"), text.alias("text"))
     ranks = read_ranks(vocabulary)
     dtype = "<u2" if max(max(ranks.values()), END) < (1 << 16) - 1 else "<u4"
     width = int(dtype[-1])
     scratch = Scratch(spark, "token-order")
-    kinds = [rows.schema[c].dataType.simpleString() for c in ("o1", "o2")]
-    tokenised = scratch.keep(map_batches(rows, _tokenised(ranks, length, dtype), f"o1 {kinds[0]}, o2 {kinds[1]}, d long, count long, ids binary"))
-    sorted_ = tokenised.repartitionByRange("o1", "o2").sortWithinPartitions("o1", "o2", "d", "ids")
-    numbered = scratch.keep(map_batches(sorted_, _running, "part long, before long, d long, count long, ids binary"))
-    scratch.drop(tokenised)
-    starts, total = {}, 0
-    for r in sorted(numbered.groupBy("part").agg(F.sum("count").alias("n")).collect(), key=lambda r: r["part"]):
-        starts[r["part"]], total = total, total + r["n"]
+    rows = placed_documents(docs, scratch, id_col, text_col)
+    # A token has one byte at least, and one more ends the text.
+    room = F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / length)
+    bound = rows.agg(F.max("pos"), F.max(room), F.sum(room)).first()
+    count, most, total = (0 if bound[0] is None else bound[0] + 1), bound[1] or 1, bound[2] or 0
     folder, private = f"{path}/shards", f"{path}/_attempts"
     for name in (folder, private):
         target, fs = hadoop_path(spark, name)
         fs.mkdirs(target)
     shards = max(1, -(-total // per_shard))
-    dealt = map_batches(numbered, _sequences(length, width, starts, total, key, window, per_shard), "slot long, shard long, doc_id long, seq long, n_tokens long, record binary")
-    dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    wide = max(1, -(-count * most // shards))
+    dealt = map_batches(rows, _sequences(ranks, length, dtype, most, count, key, window, wide), "place long, shard long, doc_id long, seq long, n_tokens long, record binary")
+    dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "place")
     map_batches(dealt, _writer(folder, private, length * width), "shard long, row long, doc_id long, seq long, n_tokens long").write.mode("overwrite").parquet(f"{path}/index")
-    scratch.drop(numbered)
     fs.delete(target, True)
-    base = F.col("id") * per_shard
-    manifest = spark.range(shards if total else 0).select(
-        F.col("id").alias("shard"), base.alias("base"), F.least(F.lit(per_shard), F.lit(total) - base).alias("rows"), F.lit(length * width).alias("stride"), F.lit(width).alias("width")
-    )
-    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    sizes = spark.read.schema("shard long, row long").parquet(f"{path}/index").groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes.select("shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"), "rows", F.lit(length * width).alias("stride"), F.lit(width).alias("width")).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 _MANIFEST = "shard long, base long, rows long, stride int, width int"

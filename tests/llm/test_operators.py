@@ -401,14 +401,14 @@ def test_training_order_depends_on_key_and_data_alone(spark, docs):
     assert found[0] == found[1] == found[2] and found[0] != found[3]
 
 
-def test_windows_keep_the_given_order_in_the_large(spark):
-    table = spark.range(1000).selectExpr("999 - id as doc_id", "cast(id as string) as text", "id as place")
-    out = tokens.training_order(table, output_folder(spark, "tokens"), key=3, per_shard=128, order=[F.col("place")], window=50).collect()
-    place = {r["slot"]: 999 - r["doc_id"] for r in out}
-    assert sorted(place.values()) == list(range(1000)) and all(place[s] // 50 == s // 50 for s in place)
-    assert sum(place[s] == s for s in place) < 100
-    # Every record's slot is its place in the files.
-    assert all(r["slot"] == r["shard"] * 128 + r["row"] for r in out)
+def test_windows_keep_the_order_of_the_files_in_the_large(spark):
+    path = output_folder(spark, "files")
+    spark.range(1000).selectExpr("999 - id as doc_id", "repeat(concat('word ', id, ' '), id % 7) as text").repartitionByRange(4, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")).write.parquet(path)
+    out = tokens.training_order(spark.read.parquet(path), output_folder(spark, "tokens"), key=3, length=8, per_shard=128, window=50).collect()
+    order = [(999 - r["doc_id"]) // 50 for r in sorted(out, key=lambda r: r["slot"])]
+    assert order == sorted(order) and set(order) == set(range(20))
+    inside = [(r["doc_id"], r["seq"]) for r in sorted(out, key=lambda r: r["slot"])][:100]
+    assert inside != sorted(inside, reverse=True)
 
 
 def test_feistel_is_a_keyed_permutation():
