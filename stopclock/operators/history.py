@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopclock.functions.calendar import in_band, matches_day_type
 from stopclock.functions.numbers import median
+from stopclock.session import hadoop_path, scratch_root
 
 # Fixed values
 GRADES = ((0.8, "A"), (0.7, "B"), (0.6, "C"), (0.5, "D"), (0.4, "E"))
@@ -144,12 +146,35 @@ def stop_measures(stats: DataFrame) -> DataFrame:
 def worst_stops(stats: DataFrame, k: int | None = None) -> DataFrame:
     """Stops with enough data and their rank from least to most reliable, or the first ``k`` of them.
 
-    The ranking sorts one narrow row per stop; with ``k`` it numbers those ``k`` rows only.
+    With ``k`` the sort keeps ``k`` rows only; without, all stops are ranked by :func:`global_rank`.
     """
-    measured = stop_measures(stats).where(~F.col("insufficient"))
-    ordered = measured.select("stop_id", "n_matched", "on_time_share").orderBy("on_time_share", "stop_id")
-    place = F.row_number().over(Window.orderBy("on_time_share", "stop_id"))
-    return (ordered if k is None else ordered.limit(k)).withColumn("rank", place)
+    measured = stop_measures(stats).where(~F.col("insufficient")).select("stop_id", "n_matched", "on_time_share")
+    order = ["on_time_share", "stop_id"]
+    if k is None:
+        return global_rank(measured, order, "rank")
+    return measured.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the place from 1 of every row in a total order, without sorting all rows in one task.
+
+    Rows are range-partitioned and sorted in their ranges; a range begins where the earlier ones end, which takes one number per
+    range. The sorted rows are staged in the shared folder, where the result reads them, until the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/stopclock/rank-{uuid.uuid4().hex}"
+    folder, fs = hadoop_path(spark, path)
+    # The id holds the range's number above 33 bits, and below them the row's place in it.
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    fs.deleteOnExit(folder)
+    schema = df.schema.add("_at", "long")
+    placed = spark.read.schema(schema).parquet(path).withColumn("_range", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND((1 << 33) - 1))
+    starts, total = [], 0
+    for r in sorted(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r["_range"], total))
+        total += r["n"]
+    offsets = spark.createDataFrame(starts, "_r long, _start long")
+    return placed.join(offsets, F.col("_range") == F.col("_r")).select(*df.columns, (F.col("_start") + F.col("_place") + 1).cast("int").alias(name))
 
 
 def route_measures(daily: DataFrame, stops: Stops, start: Day, end: Day, day_type: str | None = "all") -> DataFrame:
