@@ -90,21 +90,34 @@ def interpolate_arrivals(changes: DataFrame) -> DataFrame:
     )
 
 
+def _within_reach(timetable: DataFrame) -> DataFrame:
+    """``model_id, stop_id, span, entries``: for each span of ``MATCH_WINDOW_S`` seconds the timetable entries that an arrival in it can match.
+
+    Those are the entries of the span and of its two neighbours, each time once, with its first place in the list.
+    """
+    listed = timetable.select("model_id", "stop_id", F.posexplode("times").alias("pos", "entry")).where(F.col("entry").isNotNull())
+    first = listed.groupBy("model_id", "stop_id", "entry").agg(F.min("pos").alias("pos"))
+    own = F.floor(F.col("entry") / MATCH_WINDOW_S)
+    spread = first.select("model_id", "stop_id", F.struct("entry", "pos").alias("e"), F.explode(F.sequence(own - 1, own + 1)).alias("span"))
+    return spread.groupBy("model_id", "stop_id", "span").agg(F.collect_list("e").alias("entries"))
+
+
 def match_schedule(
     arrivals: DataFrame, timetable: DataFrame, offset_hours: int = LOCAL_OFFSET_HOURS
 ) -> DataFrame:
     """Signed delay against the nearest timetable entry within 20 minutes, else null.
 
-    Equally near entries go to the one listed first. The match is not one-to-one.
+    Equally near entries go to the one listed first. The match is not one-to-one. An arrival looks at the entries of its own
+    and the neighbouring time spans only, however long the timetable is.
     """
     at = service_seconds(F.col("ts_ms"), F.col("service_date"), offset_hours)
-    listed = timetable.select("model_id", "stop_id", "times")
     nearest = F.array_min(
-        F.transform("times", lambda t, i: F.struct(F.abs(F.col("at_s") - t).alias("off"), i.alias("pos"), t.alias("entry")))
+        F.transform("entries", lambda e: F.struct(F.abs(F.col("at_s") - e["entry"]).alias("off"), e["pos"].alias("pos"), e["entry"].alias("entry")))
     )
     return (
         arrivals.withColumn("at_s", at)
-        .join(listed, ["model_id", "stop_id"], "left")
+        .withColumn("span", F.floor(F.col("at_s") / MATCH_WINDOW_S))
+        .join(_within_reach(timetable), ["model_id", "stop_id", "span"], "left")
         .withColumn("nearest", nearest)
         .withColumn(
             "delay_s",

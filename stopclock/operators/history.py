@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stopclock.functions.calendar import in_band, matches_day_type
 from stopclock.functions.numbers import median
@@ -151,7 +152,7 @@ def worst_stops(stats: DataFrame, k: int | None = None) -> DataFrame:
     measured = stop_measures(stats).where(~F.col("insufficient")).select("stop_id", "n_matched", "on_time_share")
     order = ["on_time_share", "stop_id"]
     if k is None:
-        return global_rank(measured, order, "rank")
+        return global_rank(measured, order, "rank").orderBy("rank")
     return measured.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -167,14 +168,14 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     # The id holds the range's number above 33 bits, and below them the row's place in it.
     df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
     fs.deleteOnExit(folder)
-    schema = df.schema.add("_at", "long")
-    placed = spark.read.schema(schema).parquet(path).withColumn("_range", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND((1 << 33) - 1))
+    columns = df.columns
+    placed = spark.read.schema(StructType([*df.schema, StructField("_at", LongType())])).parquet(path).withColumn("_range", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND((1 << 33) - 1))
     starts, total = [], 0
     for r in sorted(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()):
         starts.append((r["_range"], total))
         total += r["n"]
     offsets = spark.createDataFrame(starts, "_r long, _start long")
-    return placed.join(offsets, F.col("_range") == F.col("_r")).select(*df.columns, (F.col("_start") + F.col("_place") + 1).cast("int").alias(name))
+    return placed.join(offsets, F.col("_range") == F.col("_r")).select(*columns, F.coalesce((F.col("_start") + F.col("_place") + 1).cast("int"), F.lit(0)).alias(name))
 
 
 def route_measures(daily: DataFrame, stops: Stops, start: Day, end: Day, day_type: str | None = "all") -> DataFrame:

@@ -101,7 +101,10 @@ def timetable_headways(timetable: DataFrame) -> DataFrame:
 
 
 def _touched_cells(vertices: DataFrame, cell_deg: float) -> DataFrame:
-    """Cells met when walking along the line in steps no longer than a cell; of very long edges only the ends' cells."""
+    """``model_id, x, y, bound``: cells met when walking along the line in steps no longer than a cell; of very long edges only the ends' cells.
+
+    ``bound`` is no less than the distance from a point of the cell to the nearest end of an edge that the cell lies on.
+    """
     ahead = Window.partitionBy("model_id").orderBy("idx")
     d_lat = F.coalesce(F.lead("lat").over(ahead) - F.col("lat"), F.lit(0.0))
     d_lon = F.coalesce(F.lead("lon").over(ahead) - F.col("lon"), F.lit(0.0))
@@ -112,42 +115,51 @@ def _touched_cells(vertices: DataFrame, cell_deg: float) -> DataFrame:
     )
     walked = edges.withColumn("steps", steps.cast("long")).select("*", F.explode(stops).alias("k"))
     share = F.col("k") / F.col("steps")
+    length = F.sqrt(F.col("d_lat") * F.col("d_lat") + F.col("d_lon") * F.col("d_lon"))
     return walked.select(
         "model_id",
         F.floor((F.col("lon") + F.col("d_lon") * share) / cell_deg).alias("x"),
         F.floor((F.col("lat") + F.col("d_lat") * share) / cell_deg).alias("y"),
-    ).distinct()
+        (length * F.least(share, 1 - share)).alias("bound"),
+    ).groupBy("model_id", "x", "y").agg(F.min("bound").alias("bound"))
 
 
 def lookup_cells(vertices: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
     """For cells along a line: every vertex that can be nearest to some point of the cell.
 
     With the centre's nearest vertex at distance ``d``, no vertex further than ``d`` plus the
-    cell's diagonal can be nearest to a point inside, so dropping those loses nothing.
+    cell's diagonal can be nearest to a point inside, so dropping those loses nothing. How far ``d`` can be is known
+    from the walk along the edges; vertices are looked for in squares at least so wide around the cell, of sides that
+    are powers of two of a cell's. A cell so meets the vertices near it, not its whole line.
     """
-    lines = vertices.groupBy("model_id").agg(
-        F.sort_array(F.collect_list(F.struct("idx", "lat", "lon", "cum_m"))).alias("line")
-    )
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    cells = (
-        _touched_cells(vertices, cell_deg)
-        .select("model_id", "y", F.explode(F.transform(around, lambda d: F.col("x") + d)).alias("cell_x"))
-        .select("model_id", "cell_x", F.explode(F.transform(around, lambda d: F.col("y") + d)).alias("cell_y"))
-        .distinct()
-    )
-    centre_lat = (F.col("cell_y") + 0.5) * cell_deg
-    centre_lon = (F.col("cell_x") + 0.5) * cell_deg
-    reach = cell_deg * 2**0.5 + 1e-9
+    around = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
 
-    def distance(v):
-        return F.sqrt(squared_degrees(v["lat"], v["lon"], centre_lat, centre_lon))
+    def beside(df: DataFrame, x: str, y: str) -> DataFrame:
+        """Every row in the nine squares around its own."""
+        rest = [c for c in df.columns if c not in (x, y)]
+        wide = df.select(*rest, y, F.explode(F.transform(around, lambda d: F.col(x) + d)).alias(x))
+        return wide.select(*rest, x, F.explode(F.transform(around, lambda d: F.col(y) + d)).alias(y))
 
-    # The one-element array binds the closest distance, which is then not worked out per vertex.
-    closest = F.array(F.array_min(F.transform("line", distance)))
-    near = F.get(
-        F.transform(closest, lambda d: F.filter("line", lambda v: distance(v) <= d + reach)), F.lit(0)
+    cells = beside(_touched_cells(vertices, cell_deg), "x", "y").groupBy("model_id", "x", "y").agg(F.min("bound").alias("bound"))
+    reach = cell_deg * 2**0.5 + 1e-9
+    # A neighbour's centre is up to two diagonals and a half from the point of the walk.
+    radius = F.col("bound") + 2.5 * reach + reach
+    level = F.greatest(F.lit(0), F.ceil(F.log2(radius / cell_deg))).cast("int")
+    side = F.pow(F.lit(2.0), F.col("level"))
+    leveled = cells.withColumn("level", level).withColumn("sx", F.floor(F.col("x") / side)).withColumn("sy", F.floor(F.col("y") / side))
+    wanted = beside(leveled, "sx", "sy")
+    levels = leveled.select(F.col("model_id").alias("_model"), F.col("level").alias("_level")).distinct()
+    squares = vertices.join(levels, F.col("model_id") == F.col("_model")).select(
+        F.col("model_id").alias("_m"), F.col("_level").alias("_l"), F.struct("idx", "lat", "lon", "cum_m").alias("v"),
+        F.floor(F.floor(F.col("lon") / cell_deg) / F.pow(F.lit(2.0), F.col("_level"))).alias("_sx"),
+        F.floor(F.floor(F.col("lat") / cell_deg) / F.pow(F.lit(2.0), F.col("_level"))).alias("_sy"),
     )
-    return cells.join(lines, "model_id").select("model_id", "cell_x", "cell_y", near.alias("near"))
+    same = (F.col("model_id") == F.col("_m")) & (F.col("level") == F.col("_l")) & (F.col("sx") == F.col("_sx")) & (F.col("sy") == F.col("_sy"))
+    distance = F.sqrt(squared_degrees(F.col("v.lat"), F.col("v.lon"), (F.col("y") + 0.5) * cell_deg, (F.col("x") + 0.5) * cell_deg))
+    met = wanted.join(squares, same).withColumn("d", distance).where(F.col("d") <= radius)
+    found = met.groupBy("model_id", "x", "y").agg(F.min("d").alias("closest"), F.sort_array(F.collect_list(F.struct("v.idx", "v.lat", "v.lon", "v.cum_m", "d"))).alias("all"))
+    near = F.transform(F.filter("all", lambda v: v["d"] <= F.col("closest") + reach), lambda v: F.struct(v["idx"].alias("idx"), v["lat"].alias("lat"), v["lon"].alias("lon"), v["cum_m"].alias("cum_m")))
+    return found.select("model_id", F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), near.alias("near"))
 
 
 def _pick_block(blocks: Column, day: Column) -> Column:
