@@ -348,6 +348,49 @@ def customer_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.select(F.explode(F.array(*[F.lit(d).cast("date") for d in SNAPSHOT_DAYS])).alias("snapshot_date"), "*")
 
 
+def line_route(spark: SparkSession) -> DataFrame:
+    """The line of ``line_network`` as a snapshot's route; the reverse direction has one stop more in front, by which its pattern is told."""
+    names = F.transform(F.sequence(F.lit(0), F.lit(STOP_COUNT - 1)), lambda i: _stop_name(i))
+    times = ",".join(f"{s // 3600:02d}:{s % 3600 // 60:02d}" for s in range(FIRST_DEPARTURE_S, LAST_DEPARTURE_S + 1, HEADWAY_S))
+
+    def stops(ids: Column) -> Column:
+        # The stop in front has a timetable without a clock time.
+        listed = F.transform(ids, lambda s: F.struct(s.alias("id"), F.when(s == "T", "soon,7").otherwise(times).alias("arrivalTimes")))
+        return F.array(F.struct(F.array().cast("array<string>").alias("serviceDates"), listed.alias("stops")))
+
+    def pattern(suffix: str, first: str) -> Column:
+        last = F.lit(f"S{STOP_COUNT - 1}")
+        return F.struct(F.lit(suffix).alias("patternSuffix"), F.struct(F.lit(first).alias("id")).alias("firstStop"), F.struct(last.alias("id")).alias("lastStop"))
+
+    return spark.range(1).select(
+        F.lit(1 << 40).alias("pos"), F.lit("R1").alias("id"), F.array(pattern("0:01", "S0"), pattern("1:01", "T")).alias("patterns"),
+        stops(names).alias("sched_fwd"), stops(F.concat(F.array(F.lit("T")), names)).alias("sched_rev"),
+        F.lit(None).cast("string").alias("poly_fwd"), F.lit(None).cast("string").alias("poly_rev"),
+    )
+
+
+def line_stops(spark: SparkSession) -> DataFrame:
+    i = F.col("id")
+    return spark.range(STOP_COUNT).select(
+        (F.lit(1 << 40) + i).alias("pos"), _stop_name(i).alias("id"), F.lit(LINE_LAT).alias("lat"),
+        (LINE_LON + i * float(STOP_SPACING_M) / METRES_PER_DEGREE).alias("lon"),
+    )
+
+
+def route_entries(routes: DataFrame) -> DataFrame:
+    """Routes as entries of a snapshot: with a reverse direction in the newer form, without one in the older."""
+    newer = F.col("sched_rev").isNotNull()
+    lists = lambda name: F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("weekdaySchedules")))
+    line = lambda name: F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("encodedValue")))
+    return routes.select(
+        "pos", "id", F.struct("patterns").alias("detail"),
+        F.struct(F.when(newer, line("poly_fwd")).alias("fwd"), F.when(newer, line("poly_rev")).alias("rev"), F.when(~newer, F.col("poly_fwd")).alias("encodedValue")).alias("polyline"),
+        F.struct(
+            F.when(newer, lists("sched_fwd")).alias("fwd"), F.when(newer, lists("sched_rev")).alias("rev"), F.when(~newer, F.col("sched_fwd")).alias("weekdaySchedules")
+        ).alias("schedule"),
+    )
+
+
 def customer_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop points named many times over; the last customer of a name places it. ``S43`` has none."""
     k = F.col("c_custkey")

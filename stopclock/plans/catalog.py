@@ -20,7 +20,7 @@ from stopclock.operators.arrivals import derive_arrivals
 from stopclock.operators.quantiles import histogram, rounded_quantiles
 from stopclock.operators.traces import assign_model, sample_pairs, valid_samples
 from stopclock.plans import adapters as ad
-from stopclock.plans.derive import SPEED_HISTOGRAMS, Layout, day_metrics, derive_days, located_pairs, pending_days
+from stopclock.plans.derive import SPEED_HISTOGRAMS, Layout, backfill, day_metrics, derive_days, located_pairs, pending_days
 from stopclock.session import scratch_root
 from stopclock.sources import archive, tables
 from stopclock.sources.publish import Publication, read_published
@@ -409,6 +409,43 @@ def derive_job_rerun(spark, sf):
     return tables.read_table(spark, layout.tables, "transit_stop_daily").withColumn("direction", F.col("direction").cast("int"))
 
 
+def _write_snapshots(spark, sf, root: str) -> None:
+    """Customers' routes as a snapshot of both generations, the line of the positions as its last route, and the stops of both."""
+    day = min(ad.SNAPSHOT_DAYS)
+    routes = ad.customer_routes(spark, sf).where(F.col("snapshot_date") == F.lit(day)).drop("snapshot_date")
+    routes = ad.route_entries(routes.unionByName(ad.line_route(spark)))
+    stops = ad.customer_stops(spark, sf).where(F.col("snapshot_date") == F.lit(day)).drop("snapshot_date")
+    archive.write_snapshot(stops.unionByName(ad.line_stops(spark)).withColumn("name", F.col("id")), root, day, "stops")
+    archive.write_snapshot(routes, root, day, "routes")
+
+
+def snapshot_routes(spark, sf):
+    """Routes written as snapshot files and read back from both generations, with the faults of their timetables."""
+    root = _fresh(spark, "snapshots")
+    _write_snapshots(spark, sf, root)
+    routes = archive.read_routes(spark, root)
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
+    shapes = routes.select("snapshot_date", "pos", "id", *[size(c).alias(f"n_{c}") for c in ("patterns", "sched_fwd", "sched_rev")], F.length("poly_fwd").alias("n_poly"))
+    faults = archive.timetable_faults(routes)
+    return shapes.groupBy("snapshot_date", "id").agg(*[F.max_by(c, "pos").alias(c) for c in shapes.columns if c.startswith("n_")]).join(faults, ["snapshot_date", "id"])
+
+
+def backfill_daily(spark, sf):
+    """Positions and snapshots as files, and every closed day backfilled from them."""
+    layout = Layout(_fresh(spark, "positions"), _fresh(spark, "snapshots"), _fresh(spark, "derived"))
+    archive.write_positions(ad.position_lines(ad.event_positions(spark, sf, days=3)), layout.positions, whole_days=True)
+    _write_snapshots(spark, sf, layout.snapshots)
+    backfill(spark, layout, dt.date(2024, 2, 1), days_per_job=2)
+    return tables.read_table(spark, layout.tables, "transit_stop_daily").withColumn("direction", F.col("direction").cast("int"))
+
+
+def document_files(spark, sf):
+    """Permit documents as one file each, read back and searched for their decisions."""
+    root = _fresh(spark, "documents")
+    tables.write_documents(ad.page_documents(spark, sf), root)
+    return permits.permit_decisions(tables.read_documents(spark, f"{root}/*"))
+
+
 def exported_features(spark, sf):
     """Stop results as GeoJSON lines, written, read back and taken apart."""
     root = _fresh(spark, "export")
@@ -500,6 +537,24 @@ def stream_sample_pairs(spark, sf):
     return _pair_columns(_run(positions.pair_stream(whole), "append", "pairs"))
 
 
+def stream_positions(spark, sf):
+    """Archive files as a stream, followed in three passes as days are archived; only open days are listed."""
+    root, out, checkpoint = _fresh(spark, "positions"), _fresh(spark, "followed"), _fresh(spark, "follow-checkpoint")
+    lines = ad.position_lines(ad.event_positions(spark, sf, days=3))
+    for day in range(3):
+        own = F.floor(F.col("ts_ms") / cal.DAY_MS) % 3 == day
+        archive.write_positions(lines.where(own), root, writer=f"w{day}", whole_days=True)
+
+        def keep(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+        positions.follow_positions(spark, root, keep, checkpoint)
+    samples = valid_samples(spark.read.parquet(out))
+    return samples.groupBy("service_date", "pattern_suffix").agg(
+        F.count("*").alias("samples"), F.min("ts_ms").cast("long").alias("first_ms"), F.max("ts_ms").cast("long").alias("last_ms"), F.count_distinct("vehicle_id").alias("vehicles")
+    )
+
+
 def stream_hourly_counts(spark, sf):
     arrivals = ad.arrivals_of(_streamed(spark, sf, "events")).withColumn("arrived_at", cal.from_epoch_ms(F.col("ts_ms")))
     found = _run(positions.hourly_counts(arrivals, offset_hours=0), "complete", "hourly")
@@ -825,6 +880,10 @@ QUERIES: dict[str, Query] = {
     "derive_job_daily": derive_job_daily,
     "derive_job_ledger": derive_job_ledger,
     "derive_job_rerun": derive_job_rerun,
+    "snapshot_routes": snapshot_routes,
+    "backfill_daily": backfill_daily,
+    "document_files": document_files,
+    "stream_positions": stream_positions,
     "exported_features": exported_features,
     "exported_csv": exported_csv,
     "history_sql": history_sql,

@@ -318,6 +318,12 @@ def oracle_sql() -> dict[str, str]:
     def dated(label: str) -> str:
         return f"replace(regexp_extract(plain, '{label}[^0-9]{{0,20}}([0-9]{{1,2}}[/.][0-9]{{1,2}}[/.][0-9]{{4}})', 1), '.', '/')"
 
+    decisions = f"""WITH b AS (SELECT page_id, page_id % 6 = 5 AS pdf, {labelled} AS body, url FROM pages),
+            p AS (SELECT *, {plain_text('body')} AS plain FROM b)
+            SELECT CAST(page_id AS VARCHAR) AS doc_id, CASE WHEN pdf THEN 'pdf' ELSE 'html' END AS format,
+            CASE WHEN NOT pdf THEN {dated(tx.LABEL_REGISTERED)} END AS registered, CASE WHEN NOT pdf THEN {dated(tx.LABEL_ISSUED)} END AS issued,
+            CASE WHEN NOT pdf THEN regexp_extract(plain, '{tx.LABEL_RESULT}{SPACE}*:?{SPACE}*([ა-ჰ]+)', 1) END AS result,
+            CASE WHEN pdf THEN to_base64(encode('%PDF-1.7 ' || url)) END AS base64 FROM p"""
     return {
         "stop_daily": text_date(f"WITH {ARR}, {daily('arr')} SELECT * FROM daily", "date"),
         "stop_hourly": text_date(f"WITH {ARR}, {hourly('arr')} SELECT * FROM hourly", "date"),
@@ -400,6 +406,13 @@ def oracle_sql() -> dict[str, str]:
         "collected_twice": f"""WITH {REPLIES}, local AS (SELECT *, date_trunc('hour', sampled) + INTERVAL 4 HOUR AS l, epoch_ms(date_trunc('hour', sampled)) AS ms FROM lines)
             SELECT CAST(CAST(l AS DATE) AS VARCHAR) AS service_date, p AS pattern_suffix, count(*) AS samples, min(ms) AS first_ms, max(ms) AS last_ms,
             count(DISTINCT vehicle) AS vehicles FROM local WHERE hour(l) >= 6 OR hour(l) < 1 GROUP BY ALL""",
+        "backfill_daily": text_date(f"WITH {positions(3, True)}, {PAIRS}, {ARRIVALS}, {daily('arr')} SELECT * FROM daily", "date"),
+        "stream_positions": f"""WITH {positions(3, True)} SELECT CAST(service_date AS VARCHAR) AS service_date, pattern_suffix, count(*) AS samples,
+            CAST(min(ts_ms) AS BIGINT) AS first_ms, CAST(max(ts_ms) AS BIGINT) AS last_ms, count(DISTINCT vehicle_id) AS vehicles FROM samples GROUP BY ALL""",
+        "snapshot_routes": """SELECT '2024-01-01' AS snapshot_date, 'R' || c_custkey AS id, CASE WHEN c_custkey = 1 THEN 2 ELSE 4 END AS n_patterns,
+            CASE WHEN c_custkey = 1 THEN 1 ELSE 2 END AS n_sched_fwd, CAST(c_custkey = 1 OR c_custkey % 3 <> 0 AS INTEGER) AS n_sched_rev,
+            CASE WHEN c_custkey <> 1 THEN 24 END AS n_poly, CASE WHEN c_custkey = 1 THEN 378 WHEN c_custkey % 3 <> 0 THEN 40 ELSE 35 END AS entries,
+            CASE WHEN c_custkey = 1 THEN 2 ELSE 0 END AS bad FROM customer""",
         "derive_job_rerun": text_date(f"WITH {positions(3, True)}, {PAIRS}, {ARRIVALS}, {daily('arr')} SELECT * FROM daily", "date"),
         "history_sql_hourly": f"WITH {ARR}, {hourly('arr')} {HOUR_PROFILE} {PICKED} AND isodow(date) <= 5 GROUP BY hour",
         "billing_files": state("server"),
@@ -501,12 +514,8 @@ def oracle_sql() -> dict[str, str]:
             found AS (SELECT page_id, regexp_extract_all(c || ' ' || html || ' ' || o || ' ' || c,
               '[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{3}}[.][0-9]{{3}}') AS l FROM body)
             SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS codes FROM found""",
-        "permit_decisions": f"""WITH b AS (SELECT page_id, page_id % 6 = 5 AS pdf, {labelled} AS body, url FROM pages),
-            p AS (SELECT *, {plain_text('body')} AS plain FROM b)
-            SELECT CAST(page_id AS VARCHAR) AS doc_id, CASE WHEN pdf THEN 'pdf' ELSE 'html' END AS format,
-            CASE WHEN NOT pdf THEN {dated(tx.LABEL_REGISTERED)} END AS registered, CASE WHEN NOT pdf THEN {dated(tx.LABEL_ISSUED)} END AS issued,
-            CASE WHEN NOT pdf THEN regexp_extract(plain, '{tx.LABEL_RESULT}{SPACE}*:?{SPACE}*([ა-ჰ]+)', 1) END AS result,
-            CASE WHEN pdf THEN to_base64(encode('%PDF-1.7 ' || url)) END AS base64 FROM p""",
+        "permit_decisions": decisions,
+        "document_files": decisions,
         "permit_details": f"""WITH b AS (SELECT page_id, replace(CASE WHEN page_id % 4 = 3 THEN regexp_replace(html, '(?i)</?li>', '', 'g') ELSE html END,
               chr(10), ' ') AS markup, {_code('page_id % 97', 'page_id % 13', 'page_id % 7', 'page_id % 501', 'page_id % 333')} AS code FROM pages),
             f AS (SELECT *, list_filter(list_transform(regexp_extract_all(markup, '(?i)<li>([^\\n\\r\\x{{2028}}\\x{{2029}}]*?)</li>', 1),

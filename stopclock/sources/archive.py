@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopclock.functions.calendar import (
-    LOCAL_OFFSET_HOURS, epoch_ms, from_epoch_ms, in_service_hours, iso_text, local_hour, local_key_parts,
+    LOCAL_OFFSET_HOURS, bad_clock_entries, epoch_ms, from_epoch_ms, in_service_hours, iso_text, local_hour, local_key_parts,
 )
 from stopclock.session import hadoop_path, path_exists
 from stopclock.sources import schemas
@@ -115,6 +116,37 @@ def read_routes(spark: SparkSession, root: str, dates: list[dt.date | str] | Non
     )
 
 
+def write_snapshot(rows: DataFrame, root: str, day: dt.date | str, name: str, position: str = "pos") -> None:
+    """Writes rows as the gzipped JSON array ``root/day/name.json.gz``, in the order of ``position``, replacing what is there.
+
+    A snapshot is one file with one array, so one task writes it: it describes a network, and doesn't grow with the
+    archive. The file appears under its name when it is whole. Null fields are left out.
+    """
+    spark = rows.sparkSession
+    entry = F.to_json(F.struct(*[c for c in rows.columns if c != position]))
+    first = F.row_number().over(Window.orderBy(position)) == 1
+    lines = rows.select(F.lit(1).alias("part"), F.col(position).cast("long").alias("at"), F.concat(F.when(first, "").otherwise(","), entry).alias("value"))
+    edges = spark.createDataFrame([(0, 0, "["), (2, 0, "]")], "part int, at long, value string")
+    aside = f"{root}/.{day}-{name}-{uuid.uuid4().hex}"
+    whole = lines.union(edges).coalesce(1).sortWithinPartitions("part", "at").select("value")
+    whole.write.option("compression", "gzip").text(aside)
+    target, fs = hadoop_path(spark, f"{root}/{day}/{name}.json.gz")
+    written = [s.getPath() for s in fs.listStatus(hadoop_path(spark, aside)[0]) if s.getPath().getName().startswith("part-")]
+    fs.mkdirs(target.getParent())
+    fs.delete(target, False)
+    if not fs.rename(written[0], target):
+        raise OSError(f"{target} could not be written")
+    fs.delete(hadoop_path(spark, aside)[0], True)
+
+
+def timetable_faults(routes: DataFrame) -> DataFrame:
+    """``snapshot_date, id, entries, bad``: timetable entries of a route and how many of them are no clock times."""
+    blocks = F.concat(*[F.coalesce(c, F.array().cast(routes.schema["sched_fwd"].dataType)) for c in ("sched_fwd", "sched_rev")])
+    texts = routes.select("snapshot_date", "id", F.explode(blocks).alias("b")).select("snapshot_date", "id", F.explode("b.stops.arrivalTimes").alias("text"))
+    listed = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), ","), lambda t: F.trim(t) != ""))
+    return texts.groupBy("snapshot_date", "id").agg(F.sum(listed).alias("entries"), F.sum(F.coalesce(bad_clock_entries(F.col("text")), F.lit(0))).alias("bad"))
+
+
 def routes_with_patterns(catalog: DataFrame) -> DataFrame:
     """Catalogue routes (``id, short_name, suffixes``) with at least one non-empty pattern suffix."""
     kept = F.filter("suffixes", lambda s: F.coalesce(s != "", F.lit(False)))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from stopclock.session import hadoop_path
 from stopclock.sources import schemas
 from stopclock.sources.publish import Publication, read_published
 
@@ -67,6 +75,32 @@ def read_billing_events(reader, path: str) -> DataFrame:
     return reader.schema(schemas.BILLING_EVENT).json(path)
 
 
+def write_documents(documents: DataFrame, path: str, folders: int = 64) -> None:
+    """One file per document (``doc_id, body``), named by its id, in folders of a hash of the id.
+
+    Spark has no writer of single files, so tasks write through Arrow's file systems; a file appears under its name when it is
+    whole, and a task that is run again replaces it.
+    """
+    spark = documents.sparkSession
+    for k in range(folders):
+        folder, fs = hadoop_path(spark, f"{path}/{k}")
+        fs.mkdirs(folder)
+    rows = documents.select(F.col("doc_id").cast("string").alias("name"), F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("k"), F.col("body").cast("binary").alias("body"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path))
+        fs, root = pafs.FileSystem.from_uri(uri) if ":" in uri else (pafs.LocalFileSystem(), uri)
+        for batch in batches:
+            for name, k, body in zip(*(batch.column(c) for c in ("name", "k", "body")), strict=True):
+                aside = f"{root}/{k}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(aside) as out:
+                    out.write(body.as_buffer() if body.is_valid else b"")
+                fs.move(aside, f"{root}/{k}/{quote(name.as_py() or '', safe='')}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One document per file, its id from the digits of the file name."""
     files = spark.read.format("binaryFile").load(path)

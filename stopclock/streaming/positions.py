@@ -5,6 +5,8 @@ Stream results are provisional. The batch derivation of a closed day stays the a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +14,49 @@ from stopclock.functions.calendar import LOCAL_OFFSET_HOURS, from_epoch_ms, loca
 from stopclock.functions.numbers import half_up
 from stopclock.operators.stop_metrics import HOURLY_COLUMNS
 from stopclock.operators.traces import MAX_GAP_MS, SAMPLE_ORDER, SLICE_MS, TRACE_KEYS, slices_reached
-from stopclock.session import checkpoint_id
+from stopclock.session import checkpoint_id, hadoop_path
 from stopclock.sources import archive, tables
 from stopclock.sources.publish import Publication, newest, vacuum
 
 WATERMARK = "10 minutes"
 
 
-def position_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """Samples from archive objects as they arrive."""
+def position_stream(spark: SparkSession, root: str, files_per_batch: int | None = None, days: list[str] | None = None) -> DataFrame:
+    """Samples from archive objects as they arrive: of the given days, or of all."""
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return archive.project_positions(archive.position_lines(reader, archive.day_paths(root, None)[0]))
+    path = f"{root}/{{,service_date=}}{{{','.join(days)}}}/{{,cycle=*/}}*.gz" if days else archive.day_paths(root, None)[0]
+    return archive.project_positions(archive.position_lines(reader, path))
+
+
+def follow_positions(
+    spark: SparkSession, root: str, handle: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 256, late_days: int = 1,
+) -> list[str]:
+    """One pass of a stream over the archive's open days: hands on every batch of new samples, and returns the days looked at.
+
+    The archive grows by a folder a day, and listing all of it at every trigger would take longer and longer. A pass lists the folders'
+    names once and the files of open days only: those not more than ``late_days`` before the newest day that earlier passes have
+    seen. Later files of older days are not followed; the batch derivation has them. Where to begin is kept beside the stream's
+    checkpoint and moves on only after a whole pass, so an interrupted pass is repeated, and the checkpoint
+    keeps files from being read twice.
+    """
+    start_file, fs = hadoop_path(spark, f"{checkpoint}-open-from")
+    start = spark.read.text(str(start_file)).first()[0] if fs.exists(start_file) else ""
+    days = sorted(str(r[0]) for r in archive.archived_days(spark, root).collect())
+    opened = [d for d in days if d >= start]
+    if not opened:
+        return []
+    stream = position_stream(spark, root, files_per_batch, opened)
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    later = max(opened[max(0, len(opened) - 1 - late_days)], start)
+    out = fs.create(start_file, True)
+    try:
+        out.write(bytearray(later.encode()))
+    finally:
+        out.close()
+    return opened
 
 
 def collect_positions(replies: DataFrame, root: str, checkpoint: str, offset_hours: int = LOCAL_OFFSET_HOURS):
