@@ -120,8 +120,7 @@ def derive_ledger(spark, sf):
     arrivals = ad.event_arrivals(spark, sf)
     hour = F.floor(F.col("ts_ms") / cal.HOUR_MS).cast("string")
     files = arrivals.select("service_date", hour.alias("file_path"))
-    samples = arrivals.where(F.col("route_id") == "R1")
-    return day_metrics(files, samples, arrivals).select("date", "files", "samples", "arrivals", "matched")
+    return day_metrics(files, arrivals, arrivals).select("date", "files", "samples", "arrivals", "matched")
 
 
 def _all_stats(spark, sf):
@@ -238,9 +237,7 @@ def _weekly(mode: str) -> Query:
 def snapshot_asof(spark, sf):
     """Newest order date divisible by five days as the snapshot of every event day."""
     days = ad.event_arrivals(spark, sf).select("service_date").distinct()
-    snaps = ad.event_arrivals(spark, sf).where(
-        (F.dayofmonth("service_date") % 5 == 0) & (F.col("route_id") == "R1")
-    ).select(F.col("service_date").alias("snapshot_date")).distinct()
+    snaps = ad.event_arrivals(spark, sf).where(F.dayofmonth("service_date") % 5 == 0).select(F.col("service_date").alias("snapshot_date")).distinct()
     return network.snapshot_for_days(days, snaps)
 
 
@@ -310,8 +307,8 @@ def collected_positions(spark, sf):
 def collected_twice(spark, sf):
     """The replies in two streams with checkpoints of their own on one archive, by local day and minute; none replaces the other's."""
     root, replies = _fresh(spark, "collected"), _fresh(spark, "replies")
-    # Replies of few minutes, as every minute is a folder.
-    hourly = ad.order_replies(spark, sf).withColumn("sampled_at", F.date_trunc("hour", "sampled_at"))
+    # A collection cycle every ten minutes, as every minute is a folder.
+    hourly = _cycles(spark, sf)
     for half in range(2):
         path = f"{replies}/{half}"
         hourly.where(F.length("route_id") % 2 == half).write.parquet(path)
@@ -320,6 +317,19 @@ def collected_twice(spark, sf):
     return _collected(spark, root)
 
 
+def _cycles(spark, sf) -> DataFrame:
+    """The replies in collection cycles of ten minutes."""
+    return ad.order_replies(spark, sf).withColumn("sampled_at", F.timestamp_seconds(F.floor(F.unix_seconds("sampled_at") / 600) * 600))
+
+
+def compacted_positions(spark, sf):
+    """Replies archived by local day and minute, and every day compacted to few files."""
+    root = _fresh(spark, "collected")
+    archive.write_positions(archive.flatten_replies(_cycles(spark, sf)), root)
+    archive.compact_days(spark, root, [r[0] for r in archive.archived_days(spark, root).collect()])
+    return _collected(spark, root)
+
+
 def _collected(spark: SparkSession, root: str) -> DataFrame:
     samples = valid_samples(archive.read_collected_positions(spark, root))
     return samples.groupBy("service_date", "pattern_suffix").agg(
@@ -872,6 +882,7 @@ QUERIES: dict[str, Query] = {
     "flattened_replies": flattened_replies,
     "collected_positions": collected_positions,
     "collected_twice": collected_twice,
+    "compacted_positions": compacted_positions,
     "arrivals_archive": arrivals_archive,
     "stored_history": stored_history,
     "stored_hourly": stored_hourly,

@@ -296,7 +296,7 @@ RATE = """WITH w AS (SELECT CAST(user_id AS VARCHAR) AS client, epoch_us(ts) //
   SELECT client, window_s, count(*) AS n, count(*) - 1 AS rejected FROM w GROUP BY ALL HAVING count(*) > 1"""
 
 LEDGER = f"""WITH {ARR}, ledger AS (SELECT service_date AS date, count(DISTINCT floor(ts_ms / 3600000)) AS files,
-  count(*) FILTER (WHERE route_id = 'R1') AS samples, count(*) AS arrivals, count(delay_s) AS matched FROM arr GROUP BY service_date)"""
+  count(*) AS samples, count(*) AS arrivals, count(delay_s) AS matched FROM arr GROUP BY service_date)"""
 
 ROUTE_MODELS = """k AS (SELECT c_custkey AS k FROM customer),
 days(d, snap, blk) AS (VALUES (DATE '2024-01-15', '2024-01-01', 0), (DATE '2024-01-17', '2024-01-16', 1)),
@@ -403,7 +403,10 @@ def oracle_sql() -> dict[str, str]:
         "collected_positions": f"""WITH {REPLIES}, local AS (SELECT *, sampled + INTERVAL 4 HOUR AS l, epoch_ms(sampled) AS ms FROM lines)
             SELECT CAST(CAST(l AS DATE) AS VARCHAR) AS service_date, p AS pattern_suffix, count(*) AS samples, min(ms) AS first_ms, max(ms) AS last_ms,
             count(DISTINCT vehicle) AS vehicles FROM local WHERE hour(l) >= 6 OR hour(l) < 1 GROUP BY ALL""",
-        "collected_twice": f"""WITH {REPLIES}, local AS (SELECT *, date_trunc('hour', sampled) + INTERVAL 4 HOUR AS l, epoch_ms(date_trunc('hour', sampled)) AS ms FROM lines)
+        "collected_twice": f"""WITH {REPLIES}, local AS (SELECT *, time_bucket(INTERVAL 10 MINUTE, sampled) + INTERVAL 4 HOUR AS l, epoch_ms(time_bucket(INTERVAL 10 MINUTE, sampled)) AS ms FROM lines)
+            SELECT CAST(CAST(l AS DATE) AS VARCHAR) AS service_date, p AS pattern_suffix, count(*) AS samples, min(ms) AS first_ms, max(ms) AS last_ms,
+            count(DISTINCT vehicle) AS vehicles FROM local WHERE hour(l) >= 6 OR hour(l) < 1 GROUP BY ALL""",
+        "compacted_positions": f"""WITH {REPLIES}, local AS (SELECT *, time_bucket(INTERVAL 10 MINUTE, sampled) + INTERVAL 4 HOUR AS l, epoch_ms(time_bucket(INTERVAL 10 MINUTE, sampled)) AS ms FROM lines)
             SELECT CAST(CAST(l AS DATE) AS VARCHAR) AS service_date, p AS pattern_suffix, count(*) AS samples, min(ms) AS first_ms, max(ms) AS last_ms,
             count(DISTINCT vehicle) AS vehicles FROM local WHERE hour(l) >= 6 OR hour(l) < 1 GROUP BY ALL""",
         "backfill_daily": text_date(f"WITH {positions(3, True)}, {PAIRS}, {ARRIVALS}, {daily('arr')} SELECT * FROM daily", "date"),
@@ -449,7 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_hourly_counts": text_date(f"WITH {ARR}, {hourly('arr')} SELECT * EXCLUDE (delay_med_s) FROM hourly", "date"),
         "stream_subscription_state": state("server"),
         "snapshot_asof": f"""WITH {ARR}, days AS (SELECT DISTINCT service_date FROM arr),
-            snaps AS (SELECT DISTINCT service_date AS s FROM arr WHERE day(service_date) % 5 = 0 AND route_id = 'R1')
+            snaps AS (SELECT DISTINCT service_date AS s FROM arr WHERE day(service_date) % 5 = 0)
             SELECT CAST(service_date AS VARCHAR) AS service_date, CAST(max(s) AS VARCHAR) AS snapshot_date
             FROM days JOIN snaps ON s <= service_date GROUP BY service_date""",
         "pending_days": f"""WITH {ARR} SELECT DISTINCT CAST(service_date AS VARCHAR) AS service_date FROM arr

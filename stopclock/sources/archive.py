@@ -192,6 +192,54 @@ def write_positions(
     )
 
 
+def compact_days(spark: SparkSession, root: str, days: list[dt.date | str], file_bytes: int = 128 << 20) -> list[str]:
+    """Replaces the cycles of closed days by few files of about ``file_bytes``, and returns the days that were replaced.
+
+    A day of two-minute cycles and several writers is thousands of small gzip files, which cost more to list and open than
+    to read. Lines are copied as they are into a new folder beside the day's; then the folders are exchanged by two renames. A
+    job that dies before loses nothing, and one that dies between the renames leaves the old folder under a name that
+    tells the day: the next call, or :func:`finish_exchanges`, completes it. A day that is compacted already stays as it is.
+    """
+    finish_exchanges(spark, root)
+    done = []
+    for day in days:
+        folder, fs = hadoop_path(spark, f"{root}/service_date={day}")
+        if not fs.exists(folder):
+            continue
+        cycles = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+        if not cycles or all(c == _COMPACTED for c in cycles):
+            continue
+        fresh, _ = hadoop_path(spark, f"{root}/.new-{day}-{uuid.uuid4().hex}")
+        files = max(1, -(-fs.getContentSummary(folder).getLength() // file_bytes))
+        lines = spark.read.schema("value string").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).text(str(folder))
+        lines.repartition(files).write.option("compression", "gzip").text(f"{fresh}/{_COMPACTED}")
+        old, _ = hadoop_path(spark, f"{root}/.old-{day}-{fresh.getName().rsplit('-', 1)[1]}")
+        _exchange(fs, folder, old, fresh)
+        done.append(str(day))
+    return done
+
+
+_COMPACTED = "cycle=compacted"
+
+
+def _exchange(fs, folder, old, fresh) -> None:
+    if fs.exists(folder) and not fs.exists(old):
+        fs.rename(folder, old)
+    if fs.exists(fresh) and not fs.rename(fresh, folder):
+        raise OSError(f"{folder} could not be replaced")
+    fs.delete(old, True)
+
+
+def finish_exchanges(spark: SparkSession, root: str) -> None:
+    """Completes exchanges that a compaction left half done, and removes folders of compactions that never came so far."""
+    pattern, fs = hadoop_path(spark, f"{root}/.old-*")
+    for status in fs.globStatus(pattern) or []:
+        day, mark = status.getPath().getName().removeprefix(".old-").rsplit("-", 1)
+        _exchange(fs, hadoop_path(spark, f"{root}/service_date={day}")[0], status.getPath(), hadoop_path(spark, f"{root}/.new-{day}-{mark}")[0])
+    for status in fs.globStatus(hadoop_path(spark, f"{root}/.new-*")[0]) or []:
+        fs.delete(status.getPath(), True)
+
+
 def read_collected_positions(spark: SparkSession, root: str) -> DataFrame:
     """Samples written by :func:`write_positions`; the service day is the partition."""
     lines = spark.read.schema(schemas.POSITION_LINE + ", service_date date").option(

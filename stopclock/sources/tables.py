@@ -102,7 +102,7 @@ def write_documents(documents: DataFrame, path: str, folders: int = 64) -> None:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One document per file, its id from the digits of the file name."""
+    """One document per file, its id from the digits of the file name. Files without bytes are passed over, as Spark does."""
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return files.select(F.regexp_replace(name, r"\D", "").alias("doc_id"), F.col("content").alias("body"))
