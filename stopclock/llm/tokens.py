@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import base64
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import tiktoken
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stopclock.llm.shared import Scratch, map_batches
+from stopclock.llm.shared import Scratch, map_batches, open_folder
 from stopclock.llm.words import mix
 from stopclock.session import hadoop_path
 
@@ -101,12 +99,6 @@ def _sequences(ranks: dict[bytes, int], length: int, dtype: str, room: int, coun
     return run
 
 
-def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI, as tasks see it; a path without a scheme is local, and S3 may be written ``s3a``."""
-    uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri))
-    return pafs.FileSystem.from_uri(uri) if ":" in uri else (pafs.LocalFileSystem(), uri)
-
-
 def _shard_name(shard: int) -> str:
     return f"shard-{shard:012d}.bin"
 

@@ -249,6 +249,33 @@ def test_contamination(spark, docs, pairs):
     assert decontaminate.contamination_report(docs, table.limit(0)).where("contaminated").count() == 0
 
 
+def test_spans_are_cut_out_of_texts_with_capitals(spark):
+    passage = " ".join(f"word{k}" for k in range(12))
+    rows = [(1, f"I am A BIG B. {passage.upper()}! And THE END, Ünder MARKS."), (2, f"NO {passage} x" * 3), (3, "NOT here, I say.")]
+    items = spark.createDataFrame([("q", passage)], "item_id string, text string")
+    found = decontaminate.without_spans(spark.createDataFrame([(i, t + " and so ON it goes for A while longer than that" * 2) for i, t in rows], "doc_id long, text string"), items)
+    left = {r["doc_id"]: r["text"] for r in found.collect()}
+    rest = " and so ON it goes for A while longer than that" * 2
+    assert left == {1: "I am A BIG B. ! And THE END, Ünder MARKS." + rest, 2: "NO  xNO  xNO  x" + rest, 3: rows[2][1] + rest} or set(left) == {1, 3}
+    assert left[1] == "I am A BIG B. ! And THE END, Ünder MARKS." + rest and left[3] == rows[2][1] + rest
+
+
+def test_large_benchmarks_are_held_in_part(spark):
+    """Blocks of some hundred kilobytes from 3 MB of items: the same hits as one automaton, each a small part of memory."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(f"i{k}", " ".join(rng.choice(words, 400))) for k in range(1500)]
+    docs = [(k, " ".join([*rng.choice(words, 30), *items[k * 7][1].split()[50 : 50 + 9 + k % 5], *rng.choice(words, 30)])) for k in range(200)]
+    table, benchmark = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id string, text string")
+    found = {r["doc_id"]: r["items"] for r in decontaminate.contamination(table, benchmark, [F.col("doc_id")], block_bytes=400_000).collect()}
+    assert all((f"i{k * 7}" in found[k]) == (k % 5 > 0) for k in range(200))
+    folder = output_folder(spark, "automata")
+    blocks = decontaminate.automata(benchmark, folder, "item_id", "text", 10, 400_000)
+    assert len(blocks) >= 6
+    sizes = [sum(getattr(a, c).nbytes for c in decontaminate.ARRAYS) for a in (decontaminate._automaton(folder, b, 10) for b in blocks)]
+    assert max(sizes) < 12 * 600_000 and len(decontaminate._loaded) == 1
+
+
 def test_boilerplate_lines(docs, pairs):
     for sites in (2, 3):
         spread = collections.defaultdict(set)
