@@ -240,6 +240,12 @@ def scan_licences(docs: DataFrame, path: Column, least: float = 0.7, id_col: str
 
 
 def document_path() -> Column:
-    """A place for each document of the test tables: a folder per source, hundreds below it, every tenth a licence file."""
-    name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), name)
+    """A place for each document of the test tables: folders of a source, its thousands and its hundreds, and every tenth document a licence file on one of the three levels."""
+    level = F.when(F.col("doc_id") % 10 == 0, F.floor(F.col("doc_id") / 10) % 3)
+    source, thousand, hundred = F.col("source"), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string")
+    return (
+        F.when(level.isNull(), F.concat_ws("/", source, thousand, hundred, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+        .when(level == 0, F.concat_ws("/", source, thousand, hundred, F.lit("LICENSE")))
+        .when(level == 1, F.concat_ws("/", source, thousand, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", source, F.lit("LICENSE")))
+    )

@@ -87,7 +87,8 @@ _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+
 LICENCE_SQL = rf"""
         WITH templates(name, body) AS (VALUES {_TEMPLATE_ROWS}),
         tt AS (SELECT name, unnest({_TERMS.format("body")}) AS term FROM templates),
-        files AS (SELECT doc_id, coalesce(text, '') AS text, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS folder,
+        files AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 10 <> 0 OR doc_id // 10 % 3 = 0 THEN source || '/' || (doc_id // 1000) || '/' || (doc_id // 100)
+                              WHEN doc_id // 10 % 3 = 1 THEN source || '/' || (doc_id // 1000) ELSE source END AS folder,
                          CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS file FROM documents),
         df AS (SELECT term, count(*) AS df FROM (SELECT unnest({_TERMS.format("text")}) AS term FROM files) GROUP BY term),
         n AS (SELECT count(*) AS n FROM files),
@@ -103,10 +104,12 @@ LICENCE_SQL = rf"""
                  FROM lines JOIN cosines USING (line) WHERE score >= 0.7),
         own AS (SELECT files.doc_id, folder, file, folder || '/' || file AS path, name, score FROM files LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_id)),
         speaking AS (SELECT folder, name, score, row_number() OVER (PARTITION BY folder ORDER BY score DESC, name) AS r
-                     FROM own WHERE name IS NOT NULL AND file = 'LICENSE')
-        SELECT own.doc_id, own.path, coalesce(own.name, s.name) AS licence, coalesce(own.score, s.score) AS score,
-               CASE WHEN own.name IS NOT NULL THEN 'header' WHEN s.name IS NOT NULL THEN 'inherited' ELSE 'none' END AS how
-        FROM own LEFT JOIN (SELECT * FROM speaking WHERE r = 1) s ON own.folder = s.folder"""
+                     FROM own WHERE name IS NOT NULL AND file = 'LICENSE'),
+        up AS (SELECT own.*, s.name AS near, s.score AS near_score, row_number() OVER (PARTITION BY own.doc_id ORDER BY len(s.folder) DESC) AS nth
+               FROM own LEFT JOIN (SELECT * FROM speaking WHERE r = 1) s ON own.folder = s.folder OR starts_with(own.folder, s.folder || '/'))
+        SELECT doc_id, path, coalesce(name, near) AS licence, coalesce(score, near_score) AS score,
+               CASE WHEN name IS NOT NULL THEN 'header' WHEN near IS NOT NULL THEN 'inherited' ELSE 'none' END AS how
+        FROM up WHERE nth = 1"""
 
 # CRC-32 of a short ASCII text, bit by bit.
 _CRC_STEP = "list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), {})"
