@@ -22,6 +22,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern of the vocabulary, and the id that is free for the end of a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256
+#: Up to so many input files their places are sent to every task; for more, texts are joined with them.
+FILES = 100_000
 #: Sequences that a task hands on together.
 _TOGETHER = 4096
 
@@ -159,7 +161,7 @@ def placed_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
         bases.append((found["f"], total))
         total += found["n"]
     table = docs.sparkSession.createDataFrame(bases, "_f string, _base long")
-    return rows.join(table, F.col("f") == F.col("_f")).select((F.col("_base") + F.col("r")).alias("pos"), "d", "text")
+    return rows.join(F.broadcast(table) if len(bases) <= FILES else table, F.col("f") == F.col("_f")).select((F.col("_base") + F.col("r")).alias("pos"), "d", "text")
 
 
 def write_training_order(
