@@ -116,6 +116,28 @@ _CRC_STEP = "list_reduce(range(8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1
 _CRC = f"xor(list_reduce(list_transform(string_split({{}}, ''), lambda b: CAST(ord(b) AS BIGINT)), lambda c, b: {_CRC_STEP.format('xor(c, b)')}, 4294967295), 4294967295)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": r"""
+        WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x20\x09-\x0D]+') AS w FROM documents),
+        grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') AS g
+                  FROM (SELECT *, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM docs WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * shared >= 85 * (s.n + t.n - shared)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+        FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id""",
+    "op8_substrings": r"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        spots AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS words FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+        first AS (SELECT words, min(doc_id) AS least FROM spots GROUP BY words),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM spots JOIN first USING (words) WHERE least < doc_id),
+        each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+        removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
