@@ -18,6 +18,7 @@ MIDDAY = (10, 16)
 PM_PEAK = (17, 19)
 EVENING_FROM = 20
 EVENING_TO = 6
+DAY_TYPES = {"weekday": (0, 4), "sat": (5, 5), "sun": (6, 6)}  # first and last day, Monday is 0
 SERVICE_FIRST_HOUR = 6
 SERVICE_END_HOUR = 1
 
@@ -65,29 +66,21 @@ def hour_band(hour: Column) -> Column:
     )
 
 
+#: Hour ranges of the bands; the evening goes over midnight.
+BANDS = {"am_peak": [AM_PEAK], "midday": [MIDDAY], "pm_peak": [PM_PEAK], "evening": [(EVENING_FROM, 23), (0, EVENING_TO)]}
+
+
 def in_band(hour: Column, band: str) -> Column:
     """Hour filter of one band; any unknown band keeps every hour."""
-    if band == "am_peak":
-        return hour.between(*AM_PEAK)
-    if band == "midday":
-        return hour.between(*MIDDAY)
-    if band == "pm_peak":
-        return hour.between(*PM_PEAK)
-    if band == "evening":
-        return (hour >= EVENING_FROM) | (hour <= EVENING_TO)
-    return F.lit(True)
+    kept = F.lit(band not in BANDS)
+    for first, last in BANDS.get(band, []):
+        kept |= hour.between(first, last)
+    return kept
 
 
 def matches_day_type(date: Column, day_type: str | None) -> Column:
     """``weekday``, ``sat`` or ``sun``; anything else, null included, keeps every day."""
-    monday_based = F.weekday(date)
-    if day_type == "weekday":
-        return monday_based <= 4
-    if day_type == "sat":
-        return monday_based == 5
-    if day_type == "sun":
-        return monday_based == 6
-    return F.lit(True)
+    return F.weekday(date).between(*DAY_TYPES[day_type]) if day_type in DAY_TYPES else F.lit(True)
 
 
 def in_service_hours(hour: Column) -> Column:

@@ -4,58 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stopclock.functions.calendar import BANDS, DAY_TYPES
+from stopclock.operators.history import COVERAGE, DAILY_MEASURES, HOURLY_MEASURES, PROFILE_MEASURES
+
 DAILY_VIEW, HOURLY_VIEW, LEDGER_VIEW = "transit_stop_daily", "transit_stop_hourly", "transit_derive_log"
 
-_DAY_TYPE = """
-CREATE OR REPLACE TEMPORARY FUNCTION day_type_matches(d DATE, day_type STRING) RETURNS BOOLEAN
-RETURN CASE day_type
-  WHEN 'weekday' THEN weekday(d) <= 4
-  WHEN 'sat' THEN weekday(d) = 5
-  WHEN 'sun' THEN weekday(d) = 6
-  ELSE true END
-"""
-
-_BAND = """
-CREATE OR REPLACE TEMPORARY FUNCTION hour_in_band(h INT, band STRING) RETURNS BOOLEAN
-RETURN CASE band
-  WHEN 'am_peak' THEN h BETWEEN 7 AND 9
-  WHEN 'midday' THEN h BETWEEN 10 AND 16
-  WHEN 'pm_peak' THEN h BETWEEN 17 AND 19
-  WHEN 'evening' THEN h >= 20 OR h <= 6
-  ELSE true END
-"""
-
-_SUMS = ", ".join(f"sum(t.{c}) AS {c}" for c in ("n_obs", "n_matched", "on_time", "late", "early"))
-_PICKED = "array_contains(stops, t.stop_id) AND t.date BETWEEN from_day AND to_day AND day_type_matches(t.date, day_type)"
-
-_STATS = f"""
-CREATE OR REPLACE TEMPORARY FUNCTION transit_history_stats(
-  stops ARRAY<STRING>, from_day DATE, to_day DATE, day_type STRING DEFAULT 'all', band STRING DEFAULT 'all')
-RETURNS TABLE (stop_id STRING, n_obs BIGINT, n_matched BIGINT, on_time BIGINT, late BIGINT, early BIGINT,
-  delay_med_s DOUBLE, delay_p90_s DOUBLE, ewt_s DOUBLE, headway_med_s DOUBLE)
-RETURN
-  SELECT t.stop_id, {_SUMS}, percentile(t.delay_med_s, 0.5), percentile(t.delay_p90_s, 0.5),
-    CAST(sum(CAST(t.ewt_s AS BIGINT) * t.n_obs) AS DOUBLE) / nullif(sum(t.n_obs) FILTER (WHERE t.ewt_s IS NOT NULL), 0),
-    percentile(t.headway_med_s, 0.5)
-  FROM {DAILY_VIEW} t WHERE band = 'all' AND {_PICKED} GROUP BY t.stop_id
-  UNION ALL
-  SELECT t.stop_id, {_SUMS}, percentile(t.delay_med_s, 0.5), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
-  FROM {HOURLY_VIEW} t WHERE band <> 'all' AND {_PICKED} AND hour_in_band(t.hour, band) GROUP BY t.stop_id
-"""
-
-_HOURLY = f"""
-CREATE OR REPLACE TEMPORARY FUNCTION transit_history_hourly(
-  stops ARRAY<STRING>, from_day DATE, to_day DATE, day_type STRING DEFAULT 'all')
-RETURNS TABLE (hour INT, n_matched BIGINT, on_time BIGINT, late BIGINT, delay_med_s DOUBLE)
-RETURN SELECT t.hour, sum(t.n_matched), sum(t.on_time), sum(t.late), percentile(t.delay_med_s, 0.5)
-  FROM {HOURLY_VIEW} t WHERE {_PICKED} GROUP BY t.hour
-"""
-
-_COVERAGE = f"""
-CREATE OR REPLACE TEMPORARY FUNCTION transit_history_coverage()
-RETURNS TABLE (first_date DATE, last_date DATE, days BIGINT)
-RETURN SELECT min(date), max(date), count(*) FROM {LEDGER_VIEW}
-"""
+
+
+def _case(subject: str, choices: dict[str, str]) -> str:
+    """A choice by name; any other name, null included, is true."""
+    return f"CASE {subject} " + " ".join(f"WHEN '{name}' THEN {condition}" for name, condition in choices.items()) + " ELSE true END"
+
+
+def _selected(measures: dict[str, str]) -> str:
+    return ", ".join(f"{value} AS {name}" for name, value in measures.items())
+
+
+def _function(name: str, parameters: str, returns: str, body: str) -> str:
+    return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {body}"
+
+
+def _statements() -> list[str]:
+    """The functions' texts, made from the same hours, days and measures as the Python functions."""
+    days = {name: f"weekday(d) BETWEEN {first} AND {last}" for name, (first, last) in DAY_TYPES.items()}
+    hours = {name: " OR ".join(f"h BETWEEN {first} AND {last}" for first, last in ranges) for name, ranges in BANDS.items()}
+    span = "stops ARRAY<STRING>, from_day DATE, to_day DATE, day_type STRING DEFAULT 'all'"
+    picked = "array_contains(stops, stop_id) AND date BETWEEN from_day AND to_day AND day_type_matches(date, day_type)"
+    branches = [
+        (DAILY_VIEW, DAILY_MEASURES, "band = 'all'"),
+        (HOURLY_VIEW, HOURLY_MEASURES, "band <> 'all' AND hour_in_band(hour, band)"),
+    ]
+    stats = " UNION ALL ".join(f"SELECT stop_id, {_selected(measures)} FROM {view} WHERE {only} AND {picked} GROUP BY stop_id" for view, measures, only in branches)
+    kinds = {name: "BIGINT" if value.startswith(("sum(", "count(")) else "DOUBLE" for name, value in DAILY_MEASURES.items()}
+    table = lambda first, names: f"TABLE ({first}, " + ", ".join(f"{n} {kinds[n]}" for n in names) + ")"
+    return [
+        _function("day_type_matches", "d DATE, day_type STRING", "BOOLEAN", _case("day_type", days)),
+        _function("hour_in_band", "h INT, band STRING", "BOOLEAN", _case("band", hours)),
+        _function("transit_history_stats", f"{span}, band STRING DEFAULT 'all'", table("stop_id STRING", DAILY_MEASURES), stats),
+        _function(
+            "transit_history_hourly", span, table("hour INT", PROFILE_MEASURES),
+            f"SELECT hour, {_selected(PROFILE_MEASURES)} FROM {HOURLY_VIEW} WHERE {picked} GROUP BY hour",
+        ),
+        _function("transit_history_coverage", "", "TABLE (first_date DATE, last_date DATE, days BIGINT)", f"SELECT {_selected(COVERAGE)} FROM {LEDGER_VIEW}"),
+    ]
 
 
 def register(spark: SparkSession, daily: DataFrame, hourly: DataFrame, ledger: DataFrame) -> None:
@@ -68,5 +59,5 @@ def register(spark: SparkSession, daily: DataFrame, hourly: DataFrame, ledger: D
     daily.createOrReplaceTempView(DAILY_VIEW)
     hourly.createOrReplaceTempView(HOURLY_VIEW)
     ledger.createOrReplaceTempView(LEDGER_VIEW)
-    for statement in (_DAY_TYPE, _BAND, _STATS, _HOURLY, _COVERAGE):
+    for statement in _statements():
         spark.sql(statement)

@@ -12,6 +12,8 @@ LABEL_ISSUED = "გაცემის თარიღი"
 LABEL_RESULT = "შედეგი"
 LABEL_NOMENCLATURE = "ნომენკლატურა"
 CODE_PATTERN = r"\d{2}\.\d{2}\.\d{2}\.\d{3}\.\d{3}"
+DATE_AFTER_LABEL = r"[^0-9]{0,20}(\d{1,2}[/.]\d{1,2}[/.]\d{4})"
+WORD_AFTER_LABEL = rf"{SPACE}*:?{SPACE}*([ა-ჰ]+)"
 PDF_SIGNATURE = "25504446"
 NOMENCLATURE_FIELD = r'nomenklaturMarkup:"([^"\\]*+(?:\\[^\n\r\x{2028}\x{2029}][^"\\]*+)*+)"'
 
@@ -40,13 +42,12 @@ def plain_text(html: Column) -> Column:
 
 def labelled_date(text: Column, label: str) -> Column:
     """First ``d/m/yyyy`` or ``d.m.yyyy`` within 20 non-digits of the label, or ``''``."""
-    pattern = label + r"[^0-9]{0,20}(\d{1,2}[/.]\d{1,2}[/.]\d{4})"
-    return F.replace(F.regexp_extract(text, pattern, 1), F.lit("."), F.lit("/"))
+    return F.replace(F.regexp_extract(text, label + DATE_AFTER_LABEL, 1), F.lit("."), F.lit("/"))
 
 
 def labelled_word(text: Column, label: str) -> Column:
     """First Georgian-letter word after the label and an optional colon, or ``''``."""
-    return F.regexp_extract(text, f"{label}{SPACE}*:?{SPACE}*([ა-ჰ]+)", 1)
+    return F.regexp_extract(text, label + WORD_AFTER_LABEL, 1)
 
 
 def property_codes(text: Column) -> Column:

@@ -22,6 +22,21 @@ Day = str | dt.date
 Stops = list[str] | DataFrame
 
 _COUNTS = ["n_obs", "n_matched", "on_time", "late", "early"]
+_WEIGHT = "CAST(nvl2(ewt_s, n_obs, NULL) AS BIGINT)"
+#: What the statistics of a stop are, as SQL aggregates; the SQL functions use the same.
+DAILY_MEASURES = {c: f"sum({c})" for c in _COUNTS} | {
+    "delay_med_s": "percentile(delay_med_s, 0.5)",
+    "delay_p90_s": "percentile(delay_p90_s, 0.5)",
+    "ewt_s": f"CAST(sum(ewt_s * {_WEIGHT}) AS DOUBLE) / nullif(sum({_WEIGHT}), 0)",
+    "headway_med_s": "percentile(headway_med_s, 0.5)",
+}
+HOURLY_MEASURES = DAILY_MEASURES | {c: "CAST(NULL AS DOUBLE)" for c in ("delay_p90_s", "ewt_s", "headway_med_s")}
+PROFILE_MEASURES = {c: DAILY_MEASURES[c] for c in ("n_matched", "on_time", "late", "delay_med_s")}
+COVERAGE = {"first_date": "min(date)", "last_date": "max(date)", "days": "count(*)"}
+
+
+def _measured(measures: dict[str, str]) -> list[Column]:
+    return [F.expr(value).alias(name) for name, value in measures.items()]
 
 
 def _chosen(table: DataFrame, stops: Stops, start: Day, end: Day, day_type: str | None) -> DataFrame:
@@ -56,43 +71,22 @@ def history_stats(
     one every hour of the hourly table.
     """
     if band == "all":
-        chosen = _chosen(daily, stops, start, end, day_type)
-        weight = F.when(F.col("ewt_s").isNotNull(), F.col("n_obs").cast("long"))
-        return chosen.groupBy("stop_id").agg(
-            *_sums(_COUNTS),
-            median("delay_med_s").alias("delay_med_s"),
-            median("delay_p90_s").alias("delay_p90_s"),
-            (F.sum(F.col("ewt_s") * weight).cast("double") / F.nullif(F.sum(weight), F.lit(0))).alias("ewt_s"),
-            median("headway_med_s").alias("headway_med_s"),
-        )
+        return _chosen(daily, stops, start, end, day_type).groupBy("stop_id").agg(*_measured(DAILY_MEASURES))
     chosen = _chosen(hourly, stops, start, end, day_type)
     chosen = chosen.where(F.lit(False) if band is None else in_band(F.col("hour"), band))
-    nothing = F.lit(None).cast("double")
-    return chosen.groupBy("stop_id").agg(
-        *_sums(_COUNTS), median("delay_med_s").alias("delay_med_s")
-    ).select(
-        "stop_id", *_COUNTS, "delay_med_s",
-        nothing.alias("delay_p90_s"), nothing.alias("ewt_s"), nothing.alias("headway_med_s"),
-    )
+    return chosen.groupBy("stop_id").agg(*_measured(HOURLY_MEASURES))
 
 
 def history_hourly(
     hourly: DataFrame, stops: Stops, start: Day, end: Day, day_type: str | None = "all"
 ) -> DataFrame:
     """Delay profile by local hour over a stop set, in hour order."""
-    return (
-        _chosen(hourly, stops, start, end, day_type)
-        .groupBy("hour")
-        .agg(*_sums(["n_matched", "on_time", "late"]), median("delay_med_s").alias("delay_med_s"))
-        .orderBy("hour")
-    )
+    return _chosen(hourly, stops, start, end, day_type).groupBy("hour").agg(*_measured(PROFILE_MEASURES)).orderBy("hour")
 
 
 def history_coverage(ledger: DataFrame) -> DataFrame:
     """First and last derived day and their number; one row even for an empty ledger."""
-    return ledger.agg(
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("days")
-    )
+    return ledger.agg(*_measured(COVERAGE))
 
 
 def area_reliability(stats: DataFrame) -> DataFrame:
