@@ -17,7 +17,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two texts of one SHA-256 would stay two groups, and the lookup of the winners would stop with an error.
 
     Rows with equal text and equal id (repeated rows) share one decision. Null ids count as the smallest; where
-    all ids of a group are null, ``keep_id`` is null and its rows are kept. An empty table gives no rows. Other
+    all ids of a group are null, ``keep_id`` is null and its rows are kept. Texts of any length are compared whole. An empty table gives no rows. Other
     columns are ignored.
     """
     rows = docs.select(

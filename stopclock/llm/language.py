@@ -375,7 +375,8 @@ def identify(docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000,
     """``doc_id, held_out, lang_pred, score`` for every row; see ``fit`` and ``classify``.
 
     Documents whose ``crc32`` of the id as text leaves remainder 2 modulo 4 are held out of the fit; a null id
-    counts as empty text. Repeated rows are treated alike, an empty table gives no rows, other columns are ignored.
+    counts as empty text. Texts and words of any length count whole. Repeated rows are treated alike, equally likely languages
+    go by name, an empty table gives no rows, other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return classify(rows, fit(docs, path, per_language, id_col=id_col, text_col=text_col, lang_col=lang_col)).drop("text")

@@ -173,7 +173,7 @@ def scan_licences(docs: DataFrame, path: Column, least: float = 0.7, id_col: str
     folder above a text.
 
     Null texts are empty; a null path has no folders, a path without ``/`` lies in the top folder. Repeated
-    rows are treated alike; an empty table gives no rows; other columns are ignored.
+    rows are treated alike; every line of a text counts, however long it is; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(id_of(id_col).alias("d"), path.cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

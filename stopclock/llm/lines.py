@@ -45,7 +45,7 @@ def clean_lines(docs: DataFrame, sites: int = 10, id_col: str = "doc_id", text_c
 
     Lines are split at line feeds and compared without outer blanks; blank lines always stay, and kept lines are returned as
     they were. Texts that hold no such line never move. Null texts count as empty and have no lines; a null site is a
-    site of its own; null ids are ordinary; repeated rows are treated alike; an empty table gives no rows.
+    site of its own; null ids are ordinary; repeated rows are treated alike; a text is taken apart whole, however long; an empty table gives no rows.
     """
     rows = docs.select(
         id_of(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -74,14 +74,16 @@ def _window_rows(width: int):
                 row = np.searchsorted(step.first, start, "right") - 1
                 d = ids[step.first_row + row]
                 salts = -(-n // TOGETHER)
-                salt = (d * 0x9E3779B1 >> 7) % salts
+                variant = variants[step.first_row + row]
+                # Texts that share an id, or have none, are dealt out as well.
+                salt = ((d ^ variant) * 0x9E3779B1 >> 7) % salts
                 yield pa.RecordBatch.from_arrays(
                     [
                         _signed(rolling(hashes, width)[start]),
                         pa.array((rolling(hashes, width, seed=0x77)[start] >> np.uint64(33)).astype(np.int32)),
                         pa.array(np.where(salts > 1, salt, -1).astype(np.int32)),
                         pa.array(d),
-                        pa.array(variants[step.first_row + row]),
+                        pa.array(variant),
                         pa.array((start - step.first[row]).astype(np.int32)),
                     ],
                     ["w1", "w2", "salt", "d", "v", "at"],
@@ -102,13 +104,12 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
         index.join(shared, F.col("gram") == F.col("g"))
         .groupBy("d", "t")
         .agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("found"))
-        .withColumn("v", F.row_number().over(Window.partitionBy("d").orderBy("t")).cast("int"))
-        .select(F.col("d").alias("pd"), F.col("t").alias("pt"), "v", F.col("found.at").alias("places"), F.col("found.n").alias("counts"))
+        .select(F.col("d").alias("pd"), F.col("t").alias("pt"), F.col("found.at").alias("places"), F.col("found.n").alias("counts"))
     )
     places = checkpointed(places)
     some, _ = split_by_bits(rows, ["d", "t"], key_bits(places, ["pd", "pt"]))
     texts = some.dropDuplicates(["d", "t"]).join(places, (F.col("d") == F.col("pd")) & (F.col("t") == F.col("pt")))
-    windows = map_batches(texts.select("d", "v", "text", "places", "counts"), _window_rows(width), "w1 long, w2 int, salt int, d long, v int, at int")
+    windows = map_batches(texts.select("d", F.col("t").alias("v"), "text", "places", "counts"), _window_rows(width), "w1 long, w2 int, salt int, d long, v long, at int")
     before = Window.partitionBy("w1", "w2", "salt").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Within a salt the first row with the least id is decided by the other salts, if there are any.
     within = checkpointed(windows.withColumn("low", F.min("d").over(before)).where((F.col("low") < F.col("d")) | (F.col("salt") >= 0)))
@@ -116,9 +117,7 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
     across = within.where("low = d")
     least = checkpointed(across.groupBy("w1", "w2").agg(F.min("d").alias("least")).select(F.col("w1").alias("l1"), F.col("w2").alias("l2"), "least"))
     more = across.join(least, (F.col("w1") == F.col("l1")) & (F.col("w2") == F.col("l2"))).where("least < d").select("d", "v", "at")
-    starts = sure.union(more).groupBy("d", "v").agg(F.collect_set("at").alias("starts"))
-    names = places.select("pd", "pt", F.col("v").alias("pv"))
-    return starts.join(names, (F.col("d") == F.col("pd")) & (F.col("v") == F.col("pv"))).select("d", F.col("pt").alias("t"), "starts")
+    return sure.union(more).groupBy("d", F.col("v").alias("t")).agg(F.collect_set("at").alias("starts"))
 
 
 def _covered(step: Step, row: int, starts: np.ndarray | None, width: int) -> np.ndarray:
