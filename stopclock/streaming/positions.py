@@ -42,7 +42,9 @@ def follow_positions(
     keeps files from being read twice.
     """
     start_file, fs = hadoop_path(spark, f"{checkpoint}-open-from")
-    start = spark.read.text(str(start_file)).first()[0] if fs.exists(start_file) else ""
+    # A file without a line, as a crash may leave it, means all days.
+    found = spark.read.text(str(start_file)).first() if fs.exists(start_file) else None
+    start = found[0] if found else ""
     days = sorted(str(r[0]) for r in archive.archived_days(spark, root).collect())
     opened = [d for d in days if d >= start]
     if not opened:

@@ -142,4 +142,7 @@ def test_an_interrupted_pass_is_repeated(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         positions.follow_positions(spark, str(root), keep, checkpoint, files_per_batch=1)
     assert len(positions.follow_positions(spark, str(root), keep, checkpoint, files_per_batch=1)) == 4
+    (tmp_path / "cp-open-from").write_text("")
+    (tmp_path / ".cp-open-from.crc").unlink(missing_ok=True)
+    assert len(positions.follow_positions(spark, str(root), keep, checkpoint, files_per_batch=1)) == 4
     assert spark.read.parquet(out).where(F.col("vehicle_id").isNotNull()).count() == 20
