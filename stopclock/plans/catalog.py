@@ -445,7 +445,7 @@ def backfill_daily(spark, sf):
     layout = Layout(_fresh(spark, "positions"), _fresh(spark, "snapshots"), _fresh(spark, "derived"))
     archive.write_positions(ad.position_lines(ad.event_positions(spark, sf, days=3)), layout.positions, whole_days=True)
     _write_snapshots(spark, sf, layout.snapshots)
-    backfill(spark, layout, dt.date(2024, 2, 1), days_per_job=2)
+    backfill(spark, layout, dt.date(2024, 2, 1))
     return tables.read_table(spark, layout.tables, "transit_stop_daily").withColumn("direction", F.col("direction").cast("int"))
 
 
