@@ -148,7 +148,8 @@ def lookup_cells(vertices: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
     side = F.pow(F.lit(2.0), F.col("level"))
     leveled = cells.withColumn("level", level).withColumn("sx", F.floor(F.col("x") / side)).withColumn("sy", F.floor(F.col("y") / side))
     wanted = beside(leveled, "sx", "sy")
-    levels = leveled.select(F.col("model_id").alias("_model"), F.col("level").alias("_level")).distinct()
+    # Cells are many times what the lines take that the planner knows the size of: nothing of them is broadcast.
+    levels = leveled.select(F.col("model_id").alias("_model"), F.col("level").alias("_level")).distinct().hint("merge")
     squares = vertices.join(levels, F.col("model_id") == F.col("_model")).select(
         F.col("model_id").alias("_m"), F.col("_level").alias("_l"), F.struct("idx", "lat", "lon", "cum_m").alias("v"),
         F.floor(F.floor(F.col("lon") / cell_deg) / F.pow(F.lit(2.0), F.col("_level"))).alias("_sx"),
@@ -156,7 +157,7 @@ def lookup_cells(vertices: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
     )
     same = (F.col("model_id") == F.col("_m")) & (F.col("level") == F.col("_l")) & (F.col("sx") == F.col("_sx")) & (F.col("sy") == F.col("_sy"))
     distance = F.sqrt(squared_degrees(F.col("v.lat"), F.col("v.lon"), (F.col("y") + 0.5) * cell_deg, (F.col("x") + 0.5) * cell_deg))
-    met = wanted.join(squares, same).withColumn("d", distance).where(F.col("d") <= radius)
+    met = wanted.join(squares.hint("merge"), same).withColumn("d", distance).where(F.col("d") <= radius)
     found = met.groupBy("model_id", "x", "y").agg(F.min("d").alias("closest"), F.sort_array(F.collect_list(F.struct("v.idx", "v.lat", "v.lon", "v.cum_m", "d"))).alias("all"))
     near = F.transform(F.filter("all", lambda v: v["d"] <= F.col("closest") + reach), lambda v: F.struct(v["idx"].alias("idx"), v["lat"].alias("lat"), v["lon"].alias("lon"), v["cum_m"].alias("cum_m")))
     return found.select("model_id", F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), near.alias("near"))
@@ -202,19 +203,24 @@ def build_network(days: DataFrame, stops: DataFrame, routes: DataFrame) -> Netwo
         .select("service_date", "snapshot_date", "route_id", "entry", "direction", "patterns", "chosen.block", "chosen.head", "chosen.tail")
     )
     # A route listed twice is its last entry that has a matching pattern; one without any keeps its last entry.
-    matching = _preference().isNotNull().cast("int")
-    entries = dated.select("service_date", "route_id", "entry", "direction", "head", "tail", F.explode_outer("patterns").alias("pattern"))
-    chosen = entries.groupBy("service_date", "route_id").agg(F.max_by("entry", F.struct(F.coalesce(matching, F.lit(0)), F.col("entry"))).alias("entry"))
-    dated = dated.join(chosen, ["service_date", "route_id", "entry"], "left_semi").withColumn(
+    matching = F.coalesce(F.exists("patterns", lambda p: F.coalesce(_preference(p).isNotNull(), F.lit(False))), F.lit(False))
+    entries = dated.select("service_date", "route_id", "entry", matching.alias("matching"))
+    last = F.when(F.max("matching"), F.max(F.when(F.col("matching"), F.col("entry")))).otherwise(F.max("entry"))
+    chosen = entries.groupBy("service_date", "route_id").agg(last.alias("entry"))
+    # Routes are many times larger in memory than in their files, so the size of files must not make Spark broadcast them. The
+    # narrow sides are hashed; the rows with timetables are neither sorted nor collected.
+    dated = dated.join(chosen.hint("shuffle_hash"), ["service_date", "route_id", "entry"], "left_semi").withColumn(
         "model_id", F.concat_ws("|", F.col("snapshot_date").cast("string"), "route_id", F.col("direction").cast("string"), F.col("block").cast("string"))
     )
     used = dated.select("model_id", "snapshot_date", "route_id", "entry", "direction", "block").distinct()
-    models = used.join(
+    models = used.hint("shuffle_hash").join(
         directed.drop("patterns"), ["snapshot_date", "route_id", "entry", "direction"]
     ).select(
         "model_id", "snapshot_date", "encoded",
         F.coalesce(F.get("blocks", F.col("block"))["stops"], F.array().cast("array<struct<id:string,arrivalTimes:string>>")).alias("stops"),
     )
+    # Stops and vertices grow from these rows afterwards, so the planner must not put partitions together by the rows' size.
+    models = models.repartition(int(days.sparkSession.conf.get("spark.sql.shuffle.partitions")), "model_id")
 
     return Network(
         patterns=_match_patterns(dated),
@@ -225,11 +231,11 @@ def build_network(days: DataFrame, stops: DataFrame, routes: DataFrame) -> Netwo
     )
 
 
-def _preference() -> Column:
-    """How well ``pattern`` matches a direction's end stops: 0 best, null not at all."""
+def _preference(pattern: Column) -> Column:
+    """How well a pattern matches a direction's end stops: 0 best, null not at all."""
     return (
-        F.when(F.col("pattern.firstStop.id") == F.col("head"), F.lit(0))
-        .when(F.col("pattern.lastStop.id") == F.col("tail"), F.lit(2))
+        F.when(pattern["firstStop"]["id"] == F.col("head"), F.lit(0))
+        .when(pattern["lastStop"]["id"] == F.col("tail"), F.lit(2))
     ) + F.when(F.col("direction") == FORWARD, F.lit(0)).otherwise(F.lit(1))
 
 
@@ -241,7 +247,7 @@ def _match_patterns(dated: DataFrame) -> DataFrame:
     )
     ranked = ends.select(
         "service_date", "route_id", F.col("pattern.patternSuffix").alias("pattern_suffix"), "pos",
-        "direction", "model_id", _preference().alias("preference"),
+        "direction", "model_id", _preference(F.col("pattern")).alias("preference"),
     ).where(F.col("preference").isNotNull())
     # A suffix listed twice keeps its last matching entry.
     return (

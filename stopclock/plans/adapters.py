@@ -336,7 +336,8 @@ def customer_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "",
     )
-    routes = load(spark, sf_dir, "customer").select(
+    # Routes are many times larger than customers: all tasks build them, not only those that read the file.
+    routes = load(spark, sf_dir, "customer").select(k).repartition(k).select(
         k.alias("pos"),
         F.concat(F.lit("R"), k.cast("string")).alias("id"),
         patterns(("0:01", first, last), ("1:01", last, first), ("0:02", nowhere, last), ("9:99", nowhere, nowhere)).alias("patterns"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-from conftest import rows
+from conftest import TESTDATA, rows
 
-from stopclock.operators import arrivals, history
+from stopclock.operators import arrivals, history, network
+from stopclock.plans import adapters as ad
 
+SF = str(TESTDATA / "sf0.001")
 DAY = dt.date(2026, 7, 13)
 
 
@@ -88,3 +90,17 @@ def test_cells_of_a_long_line_meet_few_vertices(spark):
     # What a cell meets before the distances are compared is bounded as well.
     touched = network._touched_cells(vertices_of(spark, {"long": line}), network.CELL_DEG)
     assert touched.selectExpr("max(bound) as b").first().b < 2e-4
+
+
+def test_rows_with_timetables_are_neither_collected_nor_sorted(spark):
+    """A route's timetables take many times the room of its row in a file, so no plan may broadcast them for a file's size."""
+    days = network.snapshot_for_days(ad.route_days(spark), ad.route_snapshots(spark))
+    built = network.build_network(days, ad.customer_stops(spark, SF), ad.customer_routes(spark, SF))
+    plan = built.vertices._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "entry" in line]
+    assert len(joins) == 2 and all("ShuffledHashJoin" in line for line in joins)
+    assert "partial_max_by(entry" not in plan
+    # The cells around a line meet its vertices and levels without a broadcast.
+    plan = built.cells._jdf.queryExecution().sparkPlan().toString()
+    met = [line for line in plan.splitlines() if "Join" in line and "_model" in line or "_sx" in line and "Join" in line]
+    assert len(met) == 2 and all("SortMergeJoin" in line for line in met)
