@@ -45,9 +45,13 @@ class Network:
     cell_deg: float = CELL_DEG
 
     def staged(self, staging: Staging) -> "Network":
-        """The same tables written to the shared folder, so that their sizes are known."""
+        """The same tables written to the shared folder, so that their sizes are known.
+
+        A timetable is joined by time spans, a row each, of which every entry is in three.
+        """
         tables = {f.name: getattr(self, f.name) for f in fields(self)}
-        return Network(**{k: staging.stage(v, k) if isinstance(v, DataFrame) else v for k, v in tables.items()})
+        grown = {"timetable": 16}
+        return Network(**{k: staging.stage_sized(v, k, grown.get(k, 1)) if isinstance(v, DataFrame) else v for k, v in tables.items()})
 
 
 def snapshot_for_days(days: DataFrame, snapshots: DataFrame) -> DataFrame:

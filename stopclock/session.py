@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,6 +67,29 @@ class Staging:
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def stage_sized(self, df: DataFrame, label: str, grown: int = 1) -> DataFrame:
+        """The same for a table that large tables are joined with; it is broadcast only while its rows in memory are small.
+
+        Files of repeated values are many times smaller than their rows, and the file size alone would have Spark collect
+        such a table into the driver. ``grown`` is how much larger than the table its joined form can be.
+        """
+        staged = self.stage(df, label)
+        taken = staged.select(row_bytes(F.struct("*"), staged.schema).alias("n")).agg(F.sum("n")).first()[0] or 0
+        limit = self._spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        return staged.hint("merge") if taken * grown > limit else staged
+
+
+def row_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, StructType):
+        return sum((row_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, ArrayType):
+        each = F.aggregate(value, F.lit(16).cast("long"), lambda s, x: s + row_bytes(x, kind.elementType))
+        return F.coalesce(each, F.lit(8).cast("long"))
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    return F.lit(8).cast("long")
+
 
 def hadoop_path(spark: SparkSession, path: str):
     """A path and the file system it lives on."""

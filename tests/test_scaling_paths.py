@@ -6,9 +6,11 @@ import datetime as dt
 import random
 
 from conftest import TESTDATA, rows
+from pyspark.sql import functions as F
 
 from stopclock.operators import arrivals, history, network
 from stopclock.plans import adapters as ad
+from stopclock.session import Staging
 
 SF = str(TESTDATA / "sf0.001")
 DAY = dt.date(2026, 7, 13)
@@ -104,3 +106,15 @@ def test_rows_with_timetables_are_neither_collected_nor_sorted(spark):
     plan = built.cells._jdf.queryExecution().sparkPlan().toString()
     met = [line for line in plan.splitlines() if "Join" in line and "_model" in line or "_sx" in line and "Join" in line]
     assert len(met) == 2 and all("SortMergeJoin" in line for line in met)
+
+
+def test_small_files_of_large_rows_are_not_broadcast(spark):
+    """A table whose repeated values take little room in files, but more than the broadcast limit in memory."""
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    text = F.repeat(F.lit("timetable "), 100)
+    wide = spark.range(limit // 500).select("id", F.array(F.struct(text.alias("a"))).alias("stops"))
+    narrow = spark.range(10).select("id", F.lit("x").alias("b"))
+    with Staging(spark) as staging:
+        plans = [spark.range(1 << 20).join(staging.stage_sized(t, "t"), "id")._jdf.queryExecution().sparkPlan().toString() for t in (wide, narrow)]
+        assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" in plans[1]
+        assert staging.stage_sized(wide, "t").count() == limit // 500
