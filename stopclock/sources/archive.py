@@ -80,16 +80,19 @@ def snapshot_days(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _snapshot_rows(spark: SparkSession, root: str, name: str, schema: str, dates) -> DataFrame:
-    """Entries of dated JSON arrays, with their place in the array.
+    """Entries of dated JSON arrays, with their place in the snapshot.
 
-    Each snapshot file is one JSON array and is read by one task; the position is its order of
-    reading within that file.
+    Each file is one JSON array and is read by one task; a large snapshot is a folder of numbered files. The position is the file's
+    number and the order of reading within that file.
     """
     folders = [str(d) for d in dates] if dates else [_DATE_GLOB]
-    rows = spark.read.schema(schema).option("multiLine", True).json([f"{root}/{f}/{name}.json.gz" for f in folders])
-    return rows.withColumn("snapshot_date", folder_date(F.col("_metadata.file_path"))).withColumn(
-        "pos", F.monotonically_increasing_id()
-    )
+    rows = spark.read.schema(schema).option("multiLine", True).json([f"{root}/{f}/{name}{{,/*}}.json.gz" for f in folders])
+    path = F.col("_metadata.file_path")
+    number = F.coalesce(F.nullif(F.regexp_extract(path, rf"/{name}/(\d+)\.json\.gz$", 1), F.lit("")).cast("long"), F.lit(0))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumns({
+        "snapshot_date": folder_date(F.regexp_replace(path, f"/{name}/([^/]*)$", "/$1")), "pos": F.shiftleft(number, 33) + within,
+    })
 
 
 def read_stops(spark: SparkSession, root: str, dates: list[dt.date | str] | None = None) -> DataFrame:
@@ -116,27 +119,44 @@ def read_routes(spark: SparkSession, root: str, dates: list[dt.date | str] | Non
     )
 
 
-def write_snapshot(rows: DataFrame, root: str, day: dt.date | str, name: str, position: str = "pos") -> None:
+def write_snapshot(rows: DataFrame, root: str, day: dt.date | str, name: str, position: str = "pos", entries_per_file: int = 20_000) -> None:
     """Writes rows as the gzipped JSON array ``root/day/name.json.gz``, in the order of ``position``, replacing what is there.
 
-    A snapshot is one file with one array, so one task writes it: it describes a network, and doesn't grow with the
-    archive. The file appears under its name when it is whole. Null fields are left out.
+    An array is written and read by one task, so a snapshot of more than ``entries_per_file`` entries becomes a folder
+    ``root/day/name`` of about so large arrays, numbered in that order. What is written appears under its name when it is
+    whole. Null fields are left out.
     """
     spark = rows.sparkSession
+    entries = rows.count()
+    files = max(1, -(-entries // entries_per_file))
+    dealt = rows.repartitionByRange(files, position) if files > 1 else rows
     entry = F.to_json(F.struct(*[c for c in rows.columns if c != position]))
-    first = F.row_number().over(Window.orderBy(position)) == 1
-    lines = rows.select(F.lit(1).alias("part"), F.col(position).cast("long").alias("at"), F.concat(F.when(first, "").otherwise(","), entry).alias("value"))
-    edges = spark.createDataFrame([(0, 0, "["), (2, 0, "]")], "part int, at long, value string")
-    aside = f"{root}/.{day}-{name}-{uuid.uuid4().hex}"
-    whole = lines.union(edges).coalesce(1).sortWithinPartitions("part", "at").select("value")
-    whole.write.option("compression", "gzip").text(aside)
-    target, fs = hadoop_path(spark, f"{root}/{day}/{name}.json.gz")
-    written = [s.getPath() for s in fs.listStatus(hadoop_path(spark, aside)[0]) if s.getPath().getName().startswith("part-")]
-    fs.mkdirs(target.getParent())
-    fs.delete(target, False)
-    if not fs.rename(written[0], target):
+    number = F.spark_partition_id() if files > 1 else F.lit(0)
+    inside = Window.partitionBy("file").orderBy("at")
+    first, last = F.row_number().over(inside) == 1, F.lead(F.lit(1)).over(inside).isNull()
+    lines = dealt.select(number.alias("file"), F.col(position).cast("long").alias("at"), entry.alias("entry")).select(
+        "file", F.concat(F.when(first, "[").otherwise(","), "entry", F.when(last, "]").otherwise("")).alias("value")
+    )
+    if not entries:
+        lines = spark.createDataFrame([(0, "[]")], "file int, value string")
+    aside, fs = hadoop_path(spark, f"{root}/.{day}-{name}-{uuid.uuid4().hex}")
+    lines.write.partitionBy("file").option("compression", "gzip").text(str(aside))
+    whole, _ = hadoop_path(spark, f"{aside}/whole")
+    fs.mkdirs(whole)
+    for status in fs.globStatus(hadoop_path(spark, f"{aside}/file=*/part-*")[0]):
+        part = status.getPath()
+        _rename(fs, part, hadoop_path(spark, f"{whole}/{int(part.getParent().getName().removeprefix('file=')):06d}.json.gz")[0])
+    single, folder = (hadoop_path(spark, f"{root}/{day}/{name}{end}")[0] for end in (".json.gz", ""))
+    fs.mkdirs(single.getParent())
+    fs.delete(single, False)
+    fs.delete(folder, True)
+    _rename(fs, whole if files > 1 else hadoop_path(spark, f"{whole}/000000.json.gz")[0], folder if files > 1 else single)
+    fs.delete(aside, True)
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
         raise OSError(f"{target} could not be written")
-    fs.delete(hadoop_path(spark, aside)[0], True)
 
 
 def timetable_faults(routes: DataFrame) -> DataFrame:

@@ -146,3 +146,33 @@ def test_an_interrupted_pass_is_repeated(spark, tmp_path):
     (tmp_path / ".cp-open-from.crc").unlink(missing_ok=True)
     assert len(positions.follow_positions(spark, str(root), keep, checkpoint, files_per_batch=1)) == 4
     assert spark.read.parquet(out).where(F.col("vehicle_id").isNotNull()).count() == 20
+
+
+def test_large_snapshot_is_several_arrays_in_order(spark, tmp_path):
+    table = spark.createDataFrame([(k, f"S{k % 7}", float(k)) for k in range(50)], "pos long, id string, lat double").repartition(5)
+    archive.write_snapshot(table, str(tmp_path), "2026-07-10", "stops", entries_per_file=8)
+    files = sorted((tmp_path / "2026-07-10/stops").glob("*.json.gz"))
+    arrays = [json.loads(gzip.decompress(f.read_bytes())) for f in files]
+    assert len(files) > 3 and max(map(len, arrays)) <= 25
+    assert [e["lat"] for a in arrays for e in a] == [float(k) for k in range(50)]
+    found = archive.read_stops(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r.lat for r in found] == [float(k) for k in range(50)] and {str(r.snapshot_date) for r in found} == {"2026-07-10"}
+    assert len({r.pos for r in found}) == 50
+    # Written again with few entries it is one file, and the folder is gone.
+    archive.write_snapshot(table.limit(3), str(tmp_path), "2026-07-10", "stops")
+    assert [p.name for p in (tmp_path / "2026-07-10").iterdir() if not p.name.startswith(".")] == ["stops.json.gz"]
+    assert archive.read_stops(spark, str(tmp_path), ["2026-07-10"]).count() == 3
+
+
+def test_lines_of_a_whole_day_are_dealt_to_several_files(spark, tmp_path):
+    """One task's lines of one day: a gzip file can't be split among readers."""
+    micros = F.lit(1_784_000_000_000) + F.col("id")
+    lines = spark.range(20_000).coalesce(1).select(F.lit("2026-07-14T04:00:00.000Z").alias("t"), F.lit("R").alias("r"), F.sha2(F.col("id").cast("string"), 512).alias("n"), micros.alias("ts_ms"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        archive.write_positions(lines, str(tmp_path), whole_days=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = list(tmp_path.rglob("*.gz"))
+    assert len({f.parent for f in files}) == 1 and len(files) > 1
+    assert spark.read.json(str(tmp_path)).select("n").distinct().count() == 20_000
