@@ -11,8 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from stopclock.llm.shared import checkpointed, map_batches, own_names, plain_names
+from stopclock.llm.shared import Scratch, checkpointed, map_batches, own_names, plain_names
 from stopclock.llm.words import mix, powers, texts_of, word_bounds, word_hashes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -223,12 +224,7 @@ def _distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Model:
-    """Piece chances per language (pieces × languages) and the share of each language.
-
-    ``floor`` is the least log-chance a byte that a text of the fit has in its own language, where it was asked for.
-    """
-
-    floor: np.ndarray | None = None
+    """Piece chances per language (pieces × languages) and the share of each language."""
 
     def __init__(self, pieces: Pieces, languages: list[str], chances: np.ndarray, shares: np.ndarray):
         self.pieces, self.languages, self.chances, self.shares = pieces, languages, chances, shares
@@ -238,30 +234,33 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def _teaches(id_col: str, text_col: str, lang_col: str) -> Column:
+    return F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(id_col)
+
+
 def fit(
-    docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000, rounds: int = 2,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_floor: bool = False,
+    docs: DataFrame, path: str = VOCABULARY, per_language: int | None = 1000, rounds: int = 2,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model | None:
     """Fits the piece chances by expectation maximisation on labelled documents that are not held out.
 
-    ``per_language`` bounds the sample: about so many documents of each language, chosen by a hash of id and text.
+    ``per_language`` bounds the sample: about so many documents of each language, chosen by a hash of id and text; without
+    it the fit is on all of them.
     Their words are counted by Spark, every round sums expected uses over the distinct words, and the driver holds
     one number per piece and language. Null without labelled text.
     """
     pieces = load_pieces(path)
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(id_col))
+    labelled = docs.where(_teaches(id_col, text_col, lang_col))
     counts = {str(r[0]): r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    spark: SparkSession = docs.sparkSession
-    shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "_l string, _share double")
-    chosen = (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / F.lit(1 << 30)) < F.col("_share")
-    sample = (
-        labelled.join(F.broadcast(shares), F.col(lang_col).cast("string") == F.col("_l"))
-        .where(chosen)
-        .select(F.col("_l").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    )
+    if per_language is not None:
+        spark: SparkSession = docs.sparkSession
+        shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "_l string, _share double")
+        chosen = (F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / F.lit(1 << 30)) < F.col("_share")
+        labelled = labelled.join(F.broadcast(shares), F.col(lang_col).cast("string") == F.col("_l")).where(chosen)
+    sample = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _slices(whole, "text")):
@@ -281,23 +280,7 @@ def fit(
         np.add.at(uses, (summed["piece"].to_numpy(np.int64), summed["lang"].to_numpy(np.int64)), summed["n"].to_numpy())
         chances = uses / uses.sum(axis=0)
     total = sum(counts.values())
-    model = Model(pieces, languages, chances, np.array([counts[k] / total for k in languages]))
-    if with_floor:
-
-        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            floor = np.full(len(languages), np.inf)
-            for batch in (part for whole in batches for part in _slices(whole, "text")):
-                rate, words = _rates(model, batch.column("text"))
-                lang = pc.index_in(batch.column("lang"), pa.array(languages)).to_numpy(zero_copy_only=False).astype(np.int64)
-                full = words >= FULL_TEXT
-                np.minimum.at(floor, lang[full], rate[full, lang[full]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages))), pa.array(floor)], ["lang", "floor"])
-
-        found = map_batches(sample, least, "lang long, floor double").groupBy("lang").agg(F.min("floor").alias("floor")).collect()
-        # A language without a full text has a floor that no text is below.
-        floor = {r["lang"]: r["floor"] for r in found}
-        model.floor = np.array([floor[k] if floor.get(k, np.inf) < np.inf else -np.inf for k in range(len(languages))])
-    return model
+    return Model(pieces, languages, chances, np.array([counts[k] / total for k in languages]))
 
 
 def _rates(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -382,26 +365,44 @@ def identify(docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000,
     return classify(rows, fit(docs, path, per_language, id_col=id_col, text_col=text_col, lang_col=lang_col)).drop("text")
 
 
-def known_language(docs: DataFrame, path: str = VOCABULARY, per_language: int = 1000) -> DataFrame:
+def known_language(docs: DataFrame, path: str = VOCABULARY, per_language: int | None = None) -> DataFrame:
     """The documents in a learned language, with their columns unchanged, whatever they are called.
 
     The model decides: a text goes if in every language its likelihood a byte lies far below that of all texts which the language
     was learned from (see ``BELOW``), or if it is null or without a letter. So all texts of the fit stay, and text of other languages
     or garbage goes when it is long enough to tell. Without a labelled text there is no model, and all documents go.
+
+    The model is learned from all labelled documents that are not held out (or about ``per_language`` of each language), and
+    every language's least likely text is looked for among all of them. Texts are scored once, and wait in the shared folder with
+    their scores until that is known.
     """
-    model = fit(docs, path, per_language, with_floor=True)
+    model = fit(docs, path, per_language)
     rows = plain_names(docs)
+    if model is None:
+        return own_names(rows.limit(0), docs.columns)
     text = f"c{docs.columns.index('text')}"
+    teacher = F.when(_teaches(*[f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "lang")]), F.col(f"c{docs.columns.index('lang')}").cast("string"))
+    scores = "_rates array<double>, _words long, _letter boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _slices(whole, text)):
             texts = batch.column(batch.schema.get_field_index(text))
             rate, words = _rates(model, texts)
-            keep = words > 0
-            margin = BELOW + BELOW_SHORT / np.sqrt(np.maximum(1, words))
-            keep &= (rate >= model.floor - margin[:, None]).any(axis=1)
-            for i in _without_ascii_letter(texts, keep):
-                keep[i] = _has_letter(texts[int(i)].as_py())
-            yield batch.filter(pa.array(keep))
-
-    return own_names(map_batches(rows, run, rows.schema) if model else rows.limit(0), docs.columns)
+            letter = words > 0
+            # Words of non-ASCII characters alone may be signs without a letter.
+            for i in _without_ascii_letter(texts, letter):
+                letter[i] = _has_letter(texts[int(i)].as_py())
+            rates = pa.ListArray.from_arrays(pa.array(np.arange(len(rate) + 1, dtype=np.int32) * rate.shape[1]), pa.array(rate.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, rates, pa.array(words.astype(np.int64)), pa.array(letter)], names=[*batch.schema.names, "_rates", "_words", "_letter"])
+
+    taught = rows.withColumn("_teacher", teacher)
+    schema = StructType([*taught.schema.fields, *StructType.fromDDL(scores).fields])
+    scored = Scratch(docs.sparkSession, "language").keep(map_batches(taught, run, schema))
+    own = F.get("_rates", F.array_position(F.lit(model.languages), F.col("_teacher")).cast("int") - 1)
+    full = scored.where(F.col("_teacher").isNotNull() & (F.col("_words") >= FULL_TEXT))
+    least = {r["_teacher"]: r["floor"] for r in full.groupBy("_teacher").agg(F.min(own).alias("floor")).collect()}
+    # A language without a full text has a floor that no text is below.
+    floors = F.lit([float(least.get(k, -math.inf)) for k in model.languages])
+    margin = F.lit(BELOW) + F.lit(BELOW_SHORT) / F.sqrt(F.greatest(F.lit(1), F.col("_words")))
+    likely = F.exists(F.zip_with("_rates", floors, lambda rate, floor: rate >= floor - margin), lambda x: x)
+    return own_names(scored.where(F.col("_letter") & likely), docs.columns)

@@ -496,3 +496,13 @@ def test_documents_keep_columns_with_the_names_of_internal_ones(spark, keep):
 )
 def test_empty_tables(spark, run):
     assert run(messy.empty(spark)).collect() == []
+
+
+def test_every_labelled_text_teaches_the_pipeline(spark):
+    """Of more labelled texts than a sample of a thousand: the odd one that such a sample leaves out is learned from, and stays."""
+    plain = " ".join(f"the quick brown fox and lazy dog number of words {w}" for w in ("one", "two", "three", "four"))
+    odd = " ".join(["zzxqj qqkzw xjjqv wvvxz"] * 20)
+    ids = spark.range(10**6, 10**6 + 60).select(F.col("id").alias("doc_id"), F.lit(odd).alias("text"))
+    out = ids.where(~language.is_held_out("doc_id") & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(1 << 30) > 0.6)).first()["doc_id"]
+    table = spark.createDataFrame([(i, plain, "en") for i in range(3000)] + [(out, odd, "en"), (-1, None, "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language.known_language(table).select("doc_id").collect()} == {*range(3000), out}
