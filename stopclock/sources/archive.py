@@ -189,6 +189,10 @@ def flatten_replies(replies: DataFrame) -> DataFrame:
     )
 
 
+#: Parts of a whole day's lines, which the adaptive planner puts together to files.
+_DAY_FILES = 64
+
+
 def write_positions(
     lines: DataFrame, root: str, offset_hours: int = LOCAL_OFFSET_HOURS, writer: str | None = None, whole_days: bool = False
 ) -> None:
@@ -197,16 +201,18 @@ def write_positions(
     Lines outside service hours are not collected; nothing to collect writes no rows. Writing a cycle again
     replaces just that cycle. A cycle that several writers fill in parts, as the batches of a stream do, has
     one folder per ``writer``, and each replaces its own only. ``whole_days`` is for loading an archive: each
-    local date is one cycle, which spares a folder per minute.
+    local date is one cycle, which spares a folder per minute. A gzip file is written and read by one task, so the lines of
+    a whole day are dealt to several.
     """
     day, minute = local_key_parts(F.col("ts_ms"), offset_hours)
     minute = F.lit("all") if whole_days else minute
     cycle = minute if writer is None else F.concat(minute, F.lit(f"-{writer}"))
     kept = lines.where(in_service_hours(local_hour(F.col("ts_ms"), offset_hours)))
+    dealt = F.pmod(F.xxhash64("ts_ms"), F.lit(_DAY_FILES)) if whole_days else F.lit(0)
     (
         # The letter keeps the name from being read back as a number.
         kept.withColumn("service_date", day).withColumn("cycle", F.concat(F.lit("m"), cycle))
-        .drop("ts_ms").hint("rebalance", F.col("service_date"), F.col("cycle"))
+        .withColumn("_dealt", dealt).hint("rebalance", F.col("service_date"), F.col("cycle"), F.col("_dealt")).drop("ts_ms", "_dealt")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("service_date", "cycle").option("compression", "gzip").json(root)
     )
