@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,16 +33,31 @@ def id_back(column: Column) -> Column:
     return F.when(column != NO_ID, column)
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed; a worker that Spark uses again would keep it beside all later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches of at most about ``BATCH_BYTES``, so that long texts don't fill a worker.
 
-    The limit is a setting of the session and stays set; one that is lower already is kept.
+    The limit is a setting of the session and stays set; one that is lower already is kept. Workers serve many tasks, so
+    memory that earlier tasks have freed is given back before a task, and its own after it.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from function(batches)
+        give_back()
+
     conf = df.sparkSession.conf
     now = re.fullmatch(r"(-?\d+)b?", conf.get(BATCH_SETTING))
     if not now or not 0 < int(now[1]) <= BATCH_BYTES:
         conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

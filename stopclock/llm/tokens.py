@@ -26,6 +26,8 @@ END = 50256
 FILES = 100_000
 #: Sequences that a task hands on together.
 _TOGETHER = 4096
+#: Bytes of a shard that a task reads at once.
+_PIECE = 1 << 20
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -160,7 +162,8 @@ def placed_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     for found in sorted(rows.groupBy("f").agg((F.max("r") + 1).alias("n")).collect()):
         bases.append((found["f"], total))
         total += found["n"]
-    table = docs.sparkSession.createDataFrame(bases, "_f string, _base long")
+    # From Arrow no Python worker is started for it.
+    table = docs.sparkSession.createDataFrame(pa.table({"_f": pa.array([f for f, _ in bases], pa.string()), "_base": pa.array([n for _, n in bases], pa.int64())}))
     return rows.join(F.broadcast(table) if len(bases) <= FILES else table, F.col("f") == F.col("_f")).select((F.col("_base") + F.col("r")).alias("pos"), "d", "text")
 
 
@@ -226,24 +229,29 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """``slot, shard, row, record`` of the records from slot ``start`` on, read from the binary files; earlier shards aren't opened."""
+    """``slot, shard, row, record`` of the records from slot ``start`` on, read from the binary files; earlier shards aren't opened.
+
+    A task reads one shard, a piece of about ``_PIECE`` bytes at a time.
+    """
     manifest = read_manifest(spark, path).where(F.col("base") + F.col("rows") > start)
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(f"{path}/shards")
-    shard = F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long")
-    opened = files.select(shard.alias("shard"), "content").join(manifest, "shard")
+    shards = manifest.agg(F.max("shard") - F.min("shard") + 1).first()[0] or 1
+    folder = f"{path}/shards"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_folder(folder)
         for batch in batches:
-            for shard, base, stride, content in zip(*(batch.column(c) for c in ("shard", "base", "stride", "content")), strict=True):
-                whole, step = content.as_buffer(), stride.as_py()
-                count = whole.size // step
-                for a in range(max(0, start - base.as_py()), count, 1 << 14):
-                    n = min(1 << 14, count - a)
-                    records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(step), n, [None, whole.slice(a * step, n * step)]).cast(pa.binary())
-                    rows = np.arange(a, a + n)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows + base.as_py()), pa.array(np.full(n, shard.as_py())), pa.array(rows), records], ["slot", "shard", "row", "record"])
-
-    return map_batches(opened.select("shard", "base", "stride", "content"), run, "slot long, shard long, row long, record binary")
+            for shard, base, stride in zip(*(batch.column(c).to_pylist() for c in ("shard", "base", "stride")), strict=True):
+                with fs.open_input_file(f"{root}/{_shard_name(shard)}") as file:
+                    first, count, some = max(0, start - base), file.size() // stride, max(1, _PIECE // stride)
+                    file.seek(min(first, count) * stride)
+                    for a in range(first, count, some):
+                        n = min(some, count - a)
+                        records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), n, [None, file.read_buffer(n * stride)]).cast(pa.binary())
+                        rows = np.arange(a, a + n)
+                        yield pa.RecordBatch.from_arrays([pa.array(rows + base), pa.array(np.full(n, shard)), pa.array(rows), records], ["slot", "shard", "row", "record"])
+
+    dealt = manifest.select("shard", "base", "stride").repartitionById(shards, F.pmod("shard", F.lit(shards)).cast("int"))
+    return map_batches(dealt, run, "slot long, shard long, row long, record binary")
 
 
 def training_order(docs: DataFrame, path: str, **settings) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import collections
+import ctypes
 import hashlib
 import heapq
 import itertools
 import math
+import re
 import zlib
 from fractions import Fraction
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -19,7 +23,7 @@ from conftest import TESTDATA
 from llm import messy
 from stopclock.llm import decontaminate, exact, language, licences, lines, mixing, neardup, shards, substrings, tokens
 from stopclock.llm.components import components
-from stopclock.llm.shared import Scratch, numbered, output_folder
+from stopclock.llm.shared import Scratch, map_batches, numbered, output_folder
 from stopclock.llm.words import SPACES, words_of
 
 SF = str(TESTDATA / "sf0.001")
@@ -415,6 +419,61 @@ def test_training_order_round_trip(spark, docs, pairs):
     assert sorted(tokens.read_records(spark, path, start).toPandas()["slot"]) == list(range(start, len(index)))
 
 
+def test_records_are_read_in_pieces_of_a_shard(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat(concat('word ', id, ' '), 1 + id % 40) as text")
+    path = output_folder(spark, "tokens")
+    tokens.write_training_order(docs, path, key=2, length=16, per_shard=400)
+    shards = {r["shard"]: (r["base"], r["rows"], r["stride"]) for r in tokens.read_manifest(spark, path).collect()}
+    assert len(shards) > 2 and min(n * stride for _, n, stride in shards.values()) > 2000
+    expected = []
+    for shard, (base, n, stride) in shards.items():
+        data = Path(path, "shards", f"shard-{shard:012d}.bin").read_bytes()
+        expected += [(base + k, shard, k, data[k * stride : (k + 1) * stride]) for k in range(n)]
+    start = sorted(base for base, _, _ in shards.values())[1] + 7
+    # No value may hold a whole shard.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:
+        for piece in (tokens._PIECE, 1000, 1):
+            monkeypatch.setattr(tokens, "_PIECE", piece)
+            assert sorted((r["slot"], r["shard"], r["row"], bytes(r["record"])) for r in tokens.read_records(spark, path).collect()) == sorted(expected)
+        assert sorted(r["slot"] for r in tokens.read_records(spark, path, start).collect()) == list(range(start, len(expected)))
+        assert tokens.read_records(spark, path, len(expected)).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_places_of_files_need_no_python_worker(spark):
+    path = output_folder(spark, "files")
+    spark.range(100).selectExpr("id as doc_id", "cast(id as string) as text").repartitionByRange(3, "doc_id").write.parquet(path)
+    placed = tokens.placed_documents(spark.read.parquet(path), Scratch(spark, "places"))
+    # A table made of Python rows is an RDD that Python workers serialise.
+    assert "ExistingRDD" not in placed._jdf.queryExecution().toString()
+    assert [r["pos"] for r in placed.orderBy("pos").collect()] == list(range(100))
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="not glibc")
+def test_workers_give_back_what_a_task_has_freed():
+    def taken():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    class Table:
+        sparkSession = SimpleNamespace(conf=SimpleNamespace(get=lambda _: str(1 << 20)))
+
+        def mapInArrow(self, function, _):
+            return function
+
+    last = []
+
+    def busy(batches):
+        rows = [bytes(1000) for _ in range(200_000)]
+        last.append(rows[-1])  # above all others, so that these don't go by themselves
+        yield from batches
+
+    before = taken()
+    assert list(map_batches(Table(), busy, "x long")(iter([1]))) == [1]
+    assert last and taken() - before < 100
+
+
 def test_training_order_depends_on_key_and_data_alone(spark, docs):
     path = output_folder(spark, "whole-table")
     docs.where("doc_id is null or doc_id < 40").write.parquet(path)
