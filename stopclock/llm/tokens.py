@@ -207,6 +207,8 @@ def write_training_order(
     dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "place")
     map_batches(dealt, _writer(folder, private, length * width), "shard long, row long, doc_id long, seq long, n_tokens long").write.mode("overwrite").parquet(f"{path}/index")
     fs.delete(target, True)
+    # The records lie in shards now, their shuffle files can go.
+    scratch.drop()
     sizes = spark.read.schema("shard long, row long").parquet(f"{path}/index").groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sizes.select("shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"), "rows", F.lit(length * width).alias("stride"), F.lit(width).alias("width")).write.mode("overwrite").parquet(f"{path}/manifest")
@@ -255,8 +257,12 @@ def read_records(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
 
 
 def training_order(docs: DataFrame, path: str, **settings) -> DataFrame:
-    """Writes the shards and returns ``slot, shard, row, doc_id, seq, n_tokens, record_crc32`` as read from the files."""
+    """Writes the shards and returns ``slot, shard, row, doc_id, seq, n_tokens, record_crc32`` as read from the files.
+
+    The planner takes the records for as small as the manifest that they are read by, and would collect all of them into the driver for
+    a broadcast: both sides are as long as the corpus, so they are merged.
+    """
     write_training_order(docs, path, **settings)
     spark = docs.sparkSession
     found = read_records(spark, path).select("slot", F.crc32("record").alias("record_crc32"))
-    return read_index(spark, path).join(found, "slot").select("slot", "shard", "row", "doc_id", "seq", "n_tokens", "record_crc32")
+    return read_index(spark, path).join(found.hint("merge"), "slot").select("slot", "shard", "row", "doc_id", "seq", "n_tokens", "record_crc32")

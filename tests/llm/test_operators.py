@@ -419,6 +419,16 @@ def test_training_order_round_trip(spark, docs, pairs):
     assert sorted(tokens.read_records(spark, path, start).toPandas()["slot"]) == list(range(start, len(index)))
 
 
+def test_records_of_all_shards_are_not_collected_in_the_driver(spark):
+    """Records are as many as the corpus has sequences, though the manifest they are read by is small."""
+    docs = spark.range(50).selectExpr("id as doc_id", "repeat(concat('word ', id, ' '), 1 + id % 7) as text")
+    out = tokens.training_order(docs, output_folder(spark, "tokens"), key=2, length=4, per_shard=20)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "[slot#" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    assert sorted(r["slot"] for r in out.collect()) == list(range(out.count())) and out.count() > 100
+
+
 def test_records_are_read_in_pieces_of_a_shard(spark, monkeypatch):
     docs = spark.range(300).selectExpr("id as doc_id", "repeat(concat('word ', id, ' '), 1 + id % 40) as text")
     path = output_folder(spark, "tokens")
