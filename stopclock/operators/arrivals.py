@@ -93,13 +93,19 @@ def interpolate_arrivals(changes: DataFrame) -> DataFrame:
 def _within_reach(timetable: DataFrame) -> DataFrame:
     """``model_id, stop_id, span, entries``: for each span of ``MATCH_WINDOW_S`` seconds the timetable entries that an arrival in it can match.
 
-    Those are the entries of the span and of its two neighbours, each time once, with its first place in the list.
+    Those are the entries of the span and of its two neighbours, each time once, with its first place in the list. A list is cut into
+    spans within its row, so one shuffle moves a span's entries together.
     """
-    listed = timetable.select("model_id", "stop_id", F.posexplode("times").alias("pos", "entry")).where(F.col("entry").isNotNull())
-    first = listed.groupBy("model_id", "stop_id", "entry").agg(F.min("pos").alias("pos"))
-    own = F.floor(F.col("entry") / MATCH_WINDOW_S)
-    spread = first.select("model_id", "stop_id", F.struct("entry", "pos").alias("e"), F.explode(F.sequence(own - 1, own + 1)).alias("span"))
-    return spread.groupBy("model_id", "stop_id", "span").agg(F.collect_list("e").alias("entries"))
+    own = lambda e: F.floor(e["entry"] / MATCH_WINDOW_S)
+    places = F.transform("times", lambda t, i: F.struct(t.alias("entry"), i.alias("pos")))
+    listed = timetable.select("model_id", "stop_id", F.filter(places, lambda e: e["entry"].isNotNull()).alias("all"))
+    spans = F.array_distinct(F.flatten(F.transform("all", lambda e: F.sequence(own(e) - 1, own(e) + 1))))
+    spread = listed.select("model_id", "stop_id", "all", F.explode(spans).alias("span")).select(
+        "model_id", "stop_id", "span", F.filter("all", lambda e: F.abs(own(e) - F.col("span")) <= 1).alias("some")
+    )
+    met = spread.groupBy("model_id", "stop_id", "span").agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("sorted"))
+    first = F.filter("sorted", lambda e, i: (i == 0) | (F.get(F.col("sorted"), i - 1)["entry"] != e["entry"]))
+    return met.select("model_id", "stop_id", "span", first.alias("entries"))
 
 
 def match_schedule(

@@ -6,7 +6,7 @@ so a long archive repeats only the small day-to-model table, never the models.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stopclock.functions.calendar import clock_list_seconds
 from stopclock.functions.geo import polyline_vertices, squared_degrees
 from stopclock.operators.carry import carry_forward
-from stopclock.session import Staging
+from stopclock.session import Staging, joins_in_place
 
 FORWARD, REVERSE = 1, 0
 
@@ -43,15 +43,21 @@ class Network:
     cells: DataFrame
     # The size the cells were built with.
     cell_deg: float = CELL_DEG
+    # Names of staged tables that are joined by merge.
+    large: frozenset[str] = frozenset()
 
     def staged(self, staging: Staging) -> "Network":
         """The same tables written to the shared folder, so that their sizes are known.
 
-        A timetable is joined by time spans, a row each, of which every entry is in three.
+        A timetable is joined by time spans, a row each, of which every entry is in three. Cells and the vertices they meet are many
+        times what the lines take, and lie by model already: they are joined there and aren't shuffled.
         """
-        tables = {f.name: getattr(self, f.name) for f in fields(self)}
+        tables = {f.name: table for f in fields(self) if isinstance(table := getattr(self, f.name), DataFrame)}
         grown = {"timetable": 16}
-        return Network(**{k: staging.stage_sized(v, k, grown.get(k, 1)) if isinstance(v, DataFrame) else v for k, v in tables.items()})
+        with joins_in_place(self.cells.sparkSession):
+            staged = {"cells": staging.stage_sized(tables.pop("cells"), "cells")}
+        staged |= {k: staging.stage_sized(v, k, grown.get(k, 1)) for k, v in tables.items()}
+        return replace(self, **staged, large=frozenset(staging.large & staged.keys()))
 
 
 def snapshot_for_days(days: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from stopclock.functions.calendar import LOCAL_OFFSET_HOURS
 from stopclock.operators.arrivals import derive_arrivals
 from stopclock.operators.network import Network, build_network, scheduled_headways, snapshot_for_days
+from stopclock.operators.presence import may_meet
 from stopclock.operators.segments import GROUP_KEYS, locate_along, segment_weekly, speed_histogram, traversals
 from stopclock.operators.stop_metrics import stop_daily, stop_hourly
 from stopclock.operators.traces import assign_model, sample_pairs, valid_samples
-from stopclock.session import Staging
+from stopclock.session import Staging, release_shuffles
 from stopclock.sources import archive, tables
 from stopclock.sources.publish import Publication, read_published
 
@@ -35,8 +36,17 @@ class Layout:
 
 
 def located_pairs(samples: DataFrame, network: Network) -> DataFrame:
-    """Sample pairs with direction, model and place along the line."""
-    located = locate_along(assign_model(samples, network.patterns), network)
+    """Sample pairs with direction, model and place along the line.
+
+    Cells are many times what the lines take; where they are too many for a broadcast, those that no sample can lie in are left out
+    before the join's shuffle.
+    """
+    placed = assign_model(samples, network.patterns)
+    if "cells" in network.large:
+        cell = [F.col("model_id"), *[F.floor(F.col(c) / network.cell_deg) for c in ("lon", "lat")]]
+        met = may_meet(network.cells, [F.col("model_id"), F.col("cell_x").cast("long"), F.col("cell_y").cast("long")], placed, cell)
+        network = replace(network, cells=met)
+    located = locate_along(placed, network)
     return sample_pairs(located, extra_keys=["direction", "model_id"], extra_carry=["along_m"])
 
 
@@ -126,9 +136,14 @@ def _derive(
 
     with Publication(spark, layout.tables) as out:
         # Every output owns the days asked for: a day that has no rows any more is emptied, not left as it was.
-        fresh = derive_arrivals(pairs, network, offset_hours)
+        timed = network
+        if "timetable" in network.large:
+            # Timetables of models without pairs needn't be listed by time spans.
+            timed = replace(network, timetable=may_meet(network.timetable, [F.col("model_id")], pairs, [F.col("model_id")]))
+        fresh = derive_arrivals(pairs, timed, offset_hours)
         out.stage(fresh, DERIVED_ARRIVALS, "service_date", ["stop_id", "ts_ms"], days)
         arrivals = out.read(DERIVED_ARRIVALS, fresh.schema, names={f"service_date={d}" for d in days})
+        release_shuffles(spark)
         out.stage(speed_histogram(traversals(pairs, offset_hours)), SPEED_HISTOGRAMS, "service_date", ["route_id", "bin_idx"], days)
 
         tables.stage_table(out, stop_daily(arrivals, scheduled_headways(network)), "transit_stop_daily", ["stop_id", "route_id"], days)

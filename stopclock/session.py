@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,8 @@ class Staging:
     def __init__(self, spark: SparkSession):
         self._spark = spark
         self._folder = f"{scratch_root(spark)}/stopclock/job-{uuid.uuid4().hex}"
+        #: Labels of the sized tables that are too large for a broadcast.
+        self.large: set[str] = set()
 
     def __enter__(self) -> "Staging":
         return self
@@ -65,6 +70,7 @@ class Staging:
     def stage(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self._folder}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        release_shuffles(self._spark)
         return self._spark.read.schema(df.schema).parquet(path)
 
     def stage_sized(self, df: DataFrame, label: str, grown: int = 1) -> DataFrame:
@@ -76,7 +82,32 @@ class Staging:
         staged = self.stage(df, label)
         taken = staged.select(row_bytes(F.struct("*"), staged.schema).alias("n")).agg(F.sum("n")).first()[0] or 0
         limit = self._spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-        return staged.hint("merge") if taken * grown > limit else staged
+        if taken * grown <= limit:
+            return staged
+        self.large.add(label)
+        return staged.hint("merge")
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner know that shuffle files of finished steps can go; otherwise they lie on disk until the driver is short of memory.
+
+    The first collection only clears the weak references that hold a finished query's plan, the second one finds its shuffles free.
+    """
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.05)
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def joins_in_place(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables that are dealt by some of their join keys alike are joined as they lie, not dealt again by all keys."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def row_bytes(value: Column, kind: DataType) -> Column:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
 from conftest import TESTDATA, rows
 from pyspark.sql import functions as F
 
 from stopclock.operators import arrivals, history, network
+from stopclock.operators.presence import may_meet
+from stopclock.operators.traces import valid_samples
 from stopclock.plans import adapters as ad
+from stopclock.plans import derive
 from stopclock.session import Staging
 
 SF = str(TESTDATA / "sf0.001")
@@ -118,3 +122,86 @@ def test_small_files_of_large_rows_are_not_broadcast(spark):
         plans = [spark.range(1 << 20).join(staging.stage_sized(t, "t"), "id")._jdf.queryExecution().sparkPlan().toString() for t in (wide, narrow)]
         assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" in plans[1]
         assert staging.stage_sized(wide, "t").count() == limit // 500
+
+
+def test_timetable_rows_of_one_stop_are_taken_together(spark):
+    """Rows that repeat a stop, nulls and repeated times; every time once, with its first place in any row, after one shuffle."""
+    data = [("m", "A", [25_000, None, 1200, 25_000, 2399]), ("m", "A", [2399, 90]), ("m", "A", None), ("m", "B", []), (None, "A", [5, 5]), ("m", None, [1])]
+    found = arrivals._within_reach(spark.createDataFrame(data, "model_id string, stop_id string, times array<int>"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    expected = {}
+    for m, s, times in data:
+        for pos, t in enumerate(times or []):
+            for span in range(t // 1200 - 1, t // 1200 + 2) if t is not None else ():
+                best = expected.setdefault((m, s, span), {})
+                best[t] = min(pos, best.get(t, pos))
+    assert {(r.model_id, r.stop_id, r.span): sorted(map(tuple, r.entries)) for r in found.collect()} == {k: sorted(v.items()) for k, v in expected.items()}
+
+
+class Watched(Staging):
+    """Notes how each table is made."""
+
+    plans: dict[str, str] = {}
+
+    def stage(self, df, label):
+        self.plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return super().stage(df, label)
+
+
+def test_cells_are_joined_where_their_models_lie(spark):
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    days = network.snapshot_for_days(ad.route_days(spark), ad.route_snapshots(spark))
+    built = network.build_network(days, ad.customer_stops(spark, SF), ad.customer_routes(spark, SF))
+    with Watched(spark) as staging:
+        staged = built.staged(staging)
+        shuffles = [line for line in staging.plans["cells"].splitlines() if "Exchange hashpartitioning" in line]
+        assert shuffles and not any("sx#" in line or "cell_x#" in line or "x#" in line for line in shuffles)
+        near = F.to_json("near").alias("near")
+        assert rows(staged.cells.select("model_id", "cell_x", "cell_y", near)) == rows(built.cells.select("model_id", "cell_x", "cell_y", near))
+    assert spark.conf.get(name) == "true"
+
+
+def test_cells_without_samples_are_not_shuffled(spark, monkeypatch):
+    """Of a network that is too large for a broadcast, cells that no sample lies in stay out of the join; rows are the same."""
+    samples = valid_samples(ad.event_positions(spark, SF)).withColumn("lat", F.expr("if(pmod(hash(vehicle_id, ts_ms), 5) = 0, lat + 0.3, lat)"))
+    plain = derive.located_pairs(samples, ad.line_network(spark))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "1000")
+    try:
+        with Staging(spark) as staging:
+            net = ad.line_network(spark).staged(staging)
+            assert {"cells", "timetable"} <= net.large
+            kept = []
+            monkeypatch.setattr(derive, "may_meet", lambda *a: kept.append(may_meet(*a)) or kept[-1])
+            found = derive.located_pairs(samples, net)
+            assert rows(found) == rows(plain)
+            assert 0 < kept[0].count() < net.cells.count() / 2
+            keys = ["model_id", "cell_x", "cell_y"]
+            assert net.cells.join(kept[0], keys, "left_anti").join(kept[0], keys).count() == 0
+            joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "cell_x" in line]
+            assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """No shuffle of a staged table stays until the driver is short of memory."""
+    limit, jvm = "spark.sql.autoBroadcastJoinThreshold", spark.sparkContext._jvm
+    statuses = jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    joined = spark.range(1000).selectExpr("id % 7 as k").join(spark.range(7).withColumnRenamed("id", "k"), "k").groupBy("k").count()
+    for _ in range(3):
+        jvm.System.gc()
+        time.sleep(0.5)
+    before = statuses.size()
+    spark.conf.set(limit, "-1")
+    try:
+        with Staging(spark) as staging:
+            counted = staging.stage(joined, "t")
+            for _ in range(50):
+                if (left := statuses.size()) <= before:
+                    break
+                time.sleep(0.1)
+            assert left <= before and counted.count() == 7
+    finally:
+        spark.conf.unset(limit)
