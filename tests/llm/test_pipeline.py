@@ -31,6 +31,14 @@ def test_stages_return_the_columns_of_documents(outputs):
         assert outputs[name].columns == outputs["input"].columns
 
 
+def test_token_stage_collects_no_records_in_the_driver(spark, outputs):
+    """Sequences are as many as the corpus has; none of its two last tables may be broadcast, whatever size the planner takes them for."""
+    out = corpus_pipeline.materialised(spark, outputs["mix"], SF)
+    joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "[slot#" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, outputs["tokens"].select(out.columns).collect()))
+
+
 def test_language_keeps_all_text(outputs):
     assert rows(outputs["language"]) == {i: t for i, t in rows(outputs["input"]).items() if t and any(map(str.isalpha, t))}
 
